@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from newsloom.functions.strings import empty_strings, sorted_set
-from newsloom.functions.urls import path_tokens, url_host
+from newsloom.functions.urls import after_host, url_host
 
 # A hint cashtag stands between delimiters; a body cashtag only ends at a word break.
-HINT_CASHTAG = r"(?:\A|[\s(\[])\$([A-Z]{1,5})(?:\z|[\s)\],.!?;:])"
+HINT_CASHTAG = r"(?:\A|[\s(\[])(\$[A-Z]{1,5})(?:\z|[\s)\],.!?;:])"
 BODY_CASHTAG = r"\$([A-Z]{1,5})(?![\p{L}\p{N}_])"
 
 
 def hint_cashtags(text: Column) -> Column:
     """Delimited cashtags with their dollar sign."""
-    found = F.regexp_extract_all(text, F.lit(HINT_CASHTAG), F.lit(1))
-    return F.transform(found, lambda s: F.concat(F.lit("$"), s))
+    return F.regexp_extract_all(text, F.lit(HINT_CASHTAG), F.lit(1))
 
 
 def extract_cashtags(text: Column) -> Column:
@@ -30,7 +29,9 @@ def hint_host(url: Column) -> Column:
 
 
 def hint_path_tokens(url: Column) -> Column:
-    return F.transform(path_tokens(url), lambda t: F.concat(F.lit("path:"), t))
+    # Every run gets the prefix first, so the length test is one more pattern and not a lambda.
+    marked = F.regexp_replace(after_host(url), "([a-z0-9]+)", "path:$1")
+    return F.regexp_extract_all(marked, F.lit(r"path:[a-z0-9]{3,}"), F.lit(0))
 
 
 def extract_hints(url: Column, text: Column) -> Column:

@@ -39,7 +39,7 @@ def string_array(values: list[str]) -> Column:
 def sorted_set(*arrays: Column) -> Column:
     """Sorted distinct union of string arrays; missing arrays count as empty."""
     parts = [F.coalesce(a, empty_strings()) for a in arrays]
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+    return F.sort_array(F.array_distinct(F.concat(*parts)))
 
 
 def topics_pipe(topics: Column) -> Column:
@@ -47,7 +47,7 @@ def topics_pipe(topics: Column) -> Column:
 
 
 def topics_split(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[|]"), lambda t: t != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[|]"), "")
 
 
 def model_text(title: Column, body: Column, n_chars: int = 2000) -> Column:

@@ -27,10 +27,10 @@ def topic_rules(lowered: Column) -> Column:
     keywords would be slower. Pass title and body joined by a line break, which no keyword holds.
     """
     hits = [
-        F.when(reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(k)) for k in words]), F.lit(topic))
+        F.when(reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(k)) for k in words]), F.lit(topic)).otherwise("")
         for topic, words in sorted(TOPIC_KEYWORDS.items())
     ]
-    return F.array_compact(F.array(*hits))
+    return F.array_remove(F.array(*hits), "")
 
 
 def merge_topics(rule_topics: Column, model_topics: Column) -> Column:

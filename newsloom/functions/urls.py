@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from newsloom.functions.strings import ascii_lower, starts_with
+from newsloom.functions.strings import ascii_lower
 
 _HOST = r"(?s)\A.*?://([^/]*)"
 _PATH = r"(?s)\A.*?://[^/]*(/[^?]*)"
@@ -21,14 +21,9 @@ TRACKING_PREFIXES = ["utm_", "fbclid="]
 
 
 def _clean_query(query: Column) -> Column:
-    def wanted(part: Column) -> Column:
-        tracking = starts_with(part, TRACKING_PREFIXES[0])
-        for prefix in TRACKING_PREFIXES[1:]:
-            tracking = tracking | starts_with(part, prefix)
-        return ~tracking
-
-    parts = F.filter(F.split(F.regexp_replace(query, r"&\z", ""), "&"), wanted)
-    return F.regexp_replace(F.array_join(parts, "&"), r"\A&+", "")
+    parts = F.concat(F.lit("&"), F.regexp_replace(query, r"&\z", ""))
+    kept = F.regexp_replace(parts, rf"&(?:{'|'.join(TRACKING_PREFIXES)})[^&]*", "")
+    return F.regexp_replace(kept, r"\A&+", "")
 
 
 def normalize_url(url: Column) -> Column:
@@ -56,9 +51,14 @@ def url_host(url: Column, schemeless: bool = False) -> Column:
     )
 
 
-def path_tokens(url: Column) -> Column:
-    """Lower-case alphanumeric runs of three or more characters after the host."""
+def after_host(url: Column) -> Column:
+    """Lower-case text after the first slash that follows the scheme."""
     rest = F.when(F.contains(url, F.lit("://")), F.regexp_extract(url, _AFTER_HOST, 1)).otherwise(
         F.regexp_extract(url, _AFTER_SLASH, 1)
     )
-    return F.regexp_extract_all(ascii_lower(rest), F.lit(r"[a-z0-9]{3,}"), F.lit(0))
+    return ascii_lower(rest)
+
+
+def path_tokens(url: Column) -> Column:
+    """Lower-case alphanumeric runs of three or more characters after the host."""
+    return F.regexp_extract_all(after_host(url), F.lit(r"[a-z0-9]{3,}"), F.lit(0))

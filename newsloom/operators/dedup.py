@@ -66,7 +66,8 @@ def _slice_walk(
     folder = work_folder(spark, "dedup")
     by_slice, kept_path = f"{folder}/rows", f"{folder}/kept"
     sliced = df.withColumn("_slice", F.floor(F.col("_t") / F.lit(ttl)).cast("bigint"))
-    sliced.write.partitionBy("_slice").parquet(by_slice)
+    # Rebalancing keeps the files of a slice few and splits a slice that holds most of the rows.
+    sliced.hint("rebalance", F.col("_slice")).write.partitionBy("_slice").parquet(by_slice)
 
     rows = spark.read.schema(sliced.schema).parquet(by_slice)
     slices = [r[0] for r in rows.select("_slice").distinct().orderBy("_slice").collect()]
