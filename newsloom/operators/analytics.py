@@ -50,13 +50,9 @@ def ops_latest(df: DataFrame, limit: int = 50) -> DataFrame:
 
 def ticker_sentiment(df: DataFrame, minutes: int = 60, min_count: int = 3, as_of: datetime | Column | None = None) -> DataFrame:
     """Mean sentiment and article count per ticker in a trailing window."""
-    rows = recent(df, clamp(minutes, WINDOW_CAP), as_of)
-    return _ticker_means(rows, clamp(min_count, MIN_COUNT_CAP))
-
-
-def _ticker_means(rows: DataFrame, min_count: int) -> DataFrame:
     return (
-        rows.select(F.explode("tickers").alias("ticker"), F.col("sentiment").cast("double").alias("sentiment"))
+        recent(df, minutes, as_of)
+        .select(F.explode("tickers").alias("ticker"), F.col("sentiment").cast("double").alias("sentiment"))
         .groupBy("ticker")
         .agg(F.avg("sentiment").alias("avg_sent"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_count)
@@ -77,7 +73,8 @@ def movers(means: DataFrame, n: int = MOVERS) -> Movers:
 
 
 def top_sentiment(df: DataFrame, minutes: int = 60, min_count: int = 3, as_of: datetime | Column | None = None) -> Movers:
-    return movers(ticker_sentiment(df, minutes, min_count, as_of))
+    """Both ends over a window and count limited as the served query limits them."""
+    return movers(ticker_sentiment(df, clamp(minutes, WINDOW_CAP), clamp(min_count, MIN_COUNT_CAP), as_of))
 
 
 def top_sentiment_ends(df: DataFrame, minutes: int = 60, min_count: int = 3, as_of: datetime | Column | None = None) -> DataFrame:

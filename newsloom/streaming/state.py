@@ -1,4 +1,9 @@
-"""Keyed state: first-seen filter and per-ticker recent lists."""
+"""Keyed state: first-seen filter and per-ticker recent lists.
+
+State travels to the Python workers in the same Arrow batches as the rows, so a key costs no
+extra call. Expiry is in processing time: each state holds the time it counts from, because a
+timeout only fires in the first micro-batch after it.
+"""
 
 from __future__ import annotations
 
@@ -6,56 +11,52 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State with expiry needs the RocksDB store; it also keeps large state off the heap."""
+    """Keep state in RocksDB, off the heap, with incremental checkpoints."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-class _FirstSeen(StatefulProcessor):
-    """Lets the first row of a key pass, then none until its state expires. The expiry runs from
-    the accepted row because later rows never write the state."""
-
-    def __init__(self, ttl_ms: int, order: list[str]):
-        self.ttl_ms, self.order = ttl_ms, order
+def dedup_stream(df: DataFrame, key: str = "id", ttl_s: int = 172_800, order: tuple[str, ...] = ()) -> DataFrame:
+    """First row per key, again allowed `ttl_s` of processing time after an accepted row; rows in
+    between do not extend it.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("seen", IntegerType())])
-        self.seen = handle.getValueState("seen", schema, self.ttl_ms)
+    One exchange by key. Of several rows of a key in one micro-batch the first in `order` counts;
+    they are looked at batch by batch and never held together.
+    """
+    use_rocksdb(df.sparkSession)
+    ttl_ms, by = ttl_s * 1000, list(order)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
+    def first_seen(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        if state.exists and now - state.get[0] < ttl_ms:
+            for _unused in batches:
+                pass
             return
         first = None
-        for batch in rows:
+        for batch in batches:
             batch = batch if first is None else pd.concat([first, batch])
-            first = batch.sort_values(self.order, kind="stable").head(1) if self.order else batch.head(1)
+            first = batch.sort_values(by, kind="stable").head(1) if by else batch.head(1)
         if first is not None:
-            self.seen.update((1,))
+            state.update((now,))
+            state.setTimeoutDuration(ttl_ms)
             yield first.reset_index(drop=True)
 
-    def close(self) -> None:
-        pass
-
-
-def dedup_stream(df: DataFrame, key: str = "id", ttl_s: int = 172_800, order: tuple[str, ...] = ()) -> DataFrame:
-    """First row per key, again allowed `ttl_s` of processing time after an accepted row.
-
-    One exchange by key. Of several rows of a key in one micro-batch the first in `order` counts;
-    they are looked at batch by batch and never held together.
-    """
-    use_rocksdb(df.sparkSession)
-    return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_FirstSeen(ttl_s * 1000, list(order)),
+    return df.groupBy(key).applyInPandasWithState(
+        first_seen,
         outputStructType=df.schema,
-        outputMode="Append",
-        timeMode="ProcessingTime",
+        stateStructType=StructType([StructField("accepted_ms", LongType())]),
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
@@ -65,58 +66,48 @@ def dedup_stream_event_time(df: DataFrame, key: str = "id", ts: str = "ts", ttl_
     return df.withWatermark(ts, f"{int(ttl_s)} seconds").dropDuplicatesWithinWatermark([key])
 
 
-class _RecentList(StatefulProcessor):
-    """The newest n payloads of a ticker, newest first, and one time at which the list expires."""
-
-    def __init__(self, n: int, ttl_ms: int, arrival: str, payload: str):
-        self.n, self.ttl_ms, self.arrival, self.payload = n, ttl_ms, arrival, payload
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        item = StructType([StructField("arrival", LongType()), StructField("payload", StringType())])
-        ttl = {"ttlDurationMs": self.ttl_ms} if self.ttl_ms > 0 else {}
-        self.items = handle.getListState("items", item, **ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = [(int(a), p) for a, p in self.items.get()] if self.items.exists() else []
-        for batch in rows:
-            newest.extend(zip(batch[self.arrival].astype("int64").tolist(), batch[self.payload].tolist()))
-            newest = sorted(newest, reverse=True)[: self.n]
-        # Writing the whole list renews the expiry of every entry, as one key-level expiry does.
-        self.items.put(newest)
-        yield pd.DataFrame(
-            {
-                "ticker": [key[0]] * len(newest),
-                "rank": pd.Series(range(1, len(newest) + 1), dtype="int32"),
-                self.arrival: [a for a, _ in newest],
-                self.payload: [p for _, p in newest],
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def ticker_feed_stream(
     scored: DataFrame, n: int = 50, ttl_s: int = 604_800, arrival: str = "scored_ts", payload: str = "payload"
 ) -> DataFrame:
     """Updated feeds of the tickers a micro-batch touches: `ticker, rank`, arrival and payload.
 
     Input rows carry `tickers`, an arrival time in epoch ms and the message text. State per ticker
-    is bounded by `n`. Write it in update mode; readers keep the latest list of each ticker.
+    is bounded by `n` and expires `ttl_s` after its last push (0: never). Write it in update mode;
+    readers keep the latest list of each ticker.
     """
     use_rocksdb(scored.sparkSession)
     exploded = scored.filter(F.col("tickers").isNotNull()).select(F.explode("tickers").alias("ticker"), arrival, payload)
-    out = StructType(
-        [
-            StructField("ticker", StringType()),
-            StructField("rank", IntegerType()),
-            StructField(arrival, LongType()),
-            StructField(payload, StringType()),
-        ]
-    )
-    return exploded.groupBy("ticker").transformWithStateInPandas(
-        statefulProcessor=_RecentList(n, ttl_s * 1000, arrival, payload),
-        outputStructType=out,
-        outputMode="Update",
-        timeMode="ProcessingTime",
+    ttl_ms = ttl_s * 1000
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms > 0 else GroupStateTimeout.NoTimeout
+    item = StructType([StructField(arrival, LongType()), StructField(payload, StringType())])
+    out = StructType([StructField("ticker", StringType()), StructField("rank", IntegerType()), *item.fields])
+    state_type = "pushed_ms bigint, arrivals array<bigint>, payloads array<string>"
+
+    def push(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        newest: list[tuple[int, str]] = []
+        if state.exists:
+            pushed, arrivals, payloads = state.get
+            if ttl_ms <= 0 or now - pushed < ttl_ms:
+                newest = list(zip(arrivals, payloads))
+        for batch in batches:
+            newest.extend(zip(batch[arrival].astype("int64").tolist(), batch[payload].tolist()))
+            newest = sorted(newest, reverse=True)[:n]
+        state.update((now, [a for a, _ in newest], [p for _, p in newest]))
+        if ttl_ms > 0:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(
+            {
+                "ticker": [key[0]] * len(newest),
+                "rank": pd.Series(range(1, len(newest) + 1), dtype="int32"),
+                arrival: [a for a, _ in newest],
+                payload: [p for _, p in newest],
+            }
+        )
+
+    return exploded.groupBy("ticker").applyInPandasWithState(
+        push, outputStructType=out, stateStructType=state_type, outputMode="update", timeoutConf=timeout
     )
