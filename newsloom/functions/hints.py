@@ -14,7 +14,9 @@ BODY_CASHTAG = r"\$([A-Z]{1,5})(?![\p{L}\p{N}_])"
 
 def hint_cashtags(text: Column) -> Column:
     """Delimited cashtags with their dollar sign."""
-    return F.regexp_extract_all(text, F.lit(HINT_CASHTAG), F.lit(1))
+    # A search that starts with a literal is several times faster, and most texts end there.
+    maybe = F.rlike(text, F.lit(r"\$[A-Z]"))
+    return F.when(maybe, F.regexp_extract_all(text, F.lit(HINT_CASHTAG), F.lit(1))).otherwise(empty_strings())
 
 
 def extract_cashtags(text: Column) -> Column:

@@ -11,11 +11,18 @@ ASCII_SHARE = 0.85
 
 def ascii_share(text: Column) -> Column:
     """Share of printable ASCII, tab, newline and carriage return among the first 5001 bytes."""
+
+
+    def others(sample: Column) -> Column:
+        return F.regexp_replace(sample, r"[\x20-\x7E\t\n\r]+", "")
+
     # 5001 bytes never need more than 5001 characters, so long bodies are cut before encoding.
     head = F.substring(F.encode(F.substring(text, 1, SAMPLE_BYTES), "UTF-8"), 1, SAMPLE_BYTES)
-    latin = F.decode(head, "ISO-8859-1")
-    plain = F.regexp_replace(latin, r"[^\x20-\x7E\t\n\r]+", "")
-    return F.length(plain) / F.length(latin)
+    odd_of_head = F.length(others(F.decode(head, "ISO-8859-1")))
+    n_bytes = F.octet_length(text)
+    return F.when(n_bytes <= SAMPLE_BYTES, (n_bytes - F.octet_length(others(text))) / n_bytes).otherwise(
+        (SAMPLE_BYTES - odd_of_head) / F.lit(SAMPLE_BYTES)
+    )
 
 
 def detect_language(text: Column) -> Column:

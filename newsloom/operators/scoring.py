@@ -37,18 +37,15 @@ class LexiconScorer:
     def __init__(self, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS):
         self.positive, self.negative = list(positive), list(negative)
 
-    @staticmethod
-    def _count(text: Column, words: list[str]) -> Column:
-        # Words are runs of a-z, so the neighbours of a hit must be anything else.
-        return F.regexp_count(text, F.lit(rf"(?<![a-z])(?:{'|'.join(sorted(words))})(?![a-z])"))
-
     def logits(self, text: Column) -> Column:
-        lowered = F.lower(text)
-        return F.array(
-            self._count(lowered, self.negative).cast("double"),
-            F.lit(1.0),
-            self._count(lowered, self.positive).cast("double"),
-        )
+        words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+        def count(found: Column, wanted: list[str]) -> Column:
+            return F.size(F.filter(found, lambda w: w.isin(wanted))).cast("double")
+
+        # Bound as a lambda's variable, the word list is made once for both counts.
+        both = F.transform(F.array(words), lambda ws: F.array(count(ws, self.negative), F.lit(1.0), count(ws, self.positive)))
+        return F.get(both, F.lit(0))
 
 
 class BatchScorer:

@@ -36,9 +36,9 @@ class CapitalizedRuns:
         self.names = names or []
 
     def mentions(self, text: Column) -> Column:
-        runs = F.regexp_extract_all(text, F.lit(r"[A-Z][A-Za-z0-9&.'-]*(?:[ ][A-Z][A-Za-z0-9&.'-]*)*"), F.lit(0))
-        # A run at the end of a sentence keeps no full stop unless it abbreviates ("Inc.").
-        runs = F.transform(runs, lambda m: F.regexp_replace(m, r"(?<!\b[A-Z][a-z]{1,2})\.\z", ""))
+        # A full stop belongs to a word inside it ("Amazon.com") or after an abbreviation ("Inc.").
+        word = r"[A-Z](?:[A-Za-z0-9&'-]|\.(?=[A-Za-z0-9])|(?<=\b(?:Inc|Corp|Co|Ltd))\.)*"
+        runs = F.regexp_extract_all(text, F.lit(f"{word}(?: {word})*"), F.lit(0))
         if not self.names:
             return runs
         known = F.filter(string_array(self.names), lambda n: F.contains(text, n) & ~F.array_contains(runs, n))
