@@ -30,15 +30,16 @@ class EntityExtractor(Protocol):
 
 
 class CapitalizedRuns:
-    """Runs of capitalized words, plus dictionary names found in the text that no run gave."""
+    """Runs of up to eight capitalized words, plus dictionary names in the text that no run gave."""
 
     def __init__(self, names: list[str] | None = None):
         self.names = names or []
 
     def mentions(self, text: Column) -> Column:
         # A full stop belongs to a word inside it ("Amazon.com") or after an abbreviation ("Inc.").
-        word = r"[A-Z](?:[A-Za-z0-9&'-]|\.(?=[A-Za-z0-9])|(?<=\b(?:Inc|Corp|Co|Ltd))\.)*"
-        runs = F.regexp_extract_all(text, F.lit(f"{word}(?: {word})*"), F.lit(0))
+        # Repeated groups are bounded because the regex engine recurses on them.
+        word = r"[A-Z][A-Za-z0-9&'-]*+(?:\.[A-Za-z0-9&'-]++){0,3}(?:(?<=\b(?:Inc|Corp|Co|Ltd))\.)?"
+        runs = F.regexp_extract_all(text, F.lit(f"{word}(?: {word}){{0,7}}"), F.lit(0))
         if not self.names:
             return runs
         known = F.filter(string_array(self.names), lambda n: F.contains(text, n) & ~F.array_contains(runs, n))

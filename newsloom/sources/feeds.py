@@ -15,7 +15,7 @@ _FEED_XML = """
     entry ARRAY<STRUCT<title ARRAY<STRING>, link ARRAY<STRUCT<_href STRING, _VALUE STRING>>, published ARRAY<STRING>>>
 """
 _ITEMS = "array<struct<title:string,link:string,published:string>>"
-_ROOT = r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([A-Za-z][A-Za-z0-9:]*)"
+_ROOT = r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*){0,100}<([A-Za-z][A-Za-z0-9:]*)"
 
 # Date formats of RSS (after the weekday) and Atom.
 _DATE_FORMATS = ["d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "yyyy-MM-dd'T'HH:mm:ssXXX"]
