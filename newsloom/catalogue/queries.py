@@ -545,6 +545,7 @@ def _run_to_files(df: DataFrame, purpose: str) -> DataFrame:
         df.writeStream.format("parquet")
         .option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
         .start()
     )
     run_until_idle(query)
@@ -559,7 +560,11 @@ def _run_updates(df: DataFrame, purpose: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
     query = (
-        df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").start()
+        df.writeStream.outputMode("update")
+        .foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
     )
     run_until_idle(query)
     return spark.read.option("basePath", f"{folder}/out").schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out")

@@ -8,16 +8,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def run_until_idle(query: StreamingQuery, timeout_s: float = 3600) -> None:
-    """Stop a query once a micro-batch found no new input.
+    """Wait for a query to end by itself, or stop it once its input is used up.
 
     State that expires in processing time keeps a query busy with empty micro-batches, so such a
-    query neither ends under an `availableNow` trigger nor ever counts as fully processed.
+    query neither ends under an `availableNow` trigger nor ever counts as fully processed. One
+    empty micro-batch may be the repetition of an unfinished one; the next one has looked at the
+    sources again, so two in a row mean there is nothing left.
     """
     deadline = time.monotonic() + timeout_s
     try:
         while query.isActive:
-            progress = query.lastProgress
-            if progress is not None and progress["numInputRows"] == 0:
+            last_two = query.recentProgress[-2:]
+            if len(last_two) == 2 and not any(p["numInputRows"] for p in last_two):
                 return
             if time.monotonic() > deadline:
                 raise TimeoutError(f"stream still busy after {timeout_s} s")

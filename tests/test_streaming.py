@@ -27,7 +27,8 @@ def put(spark, rows, schema, path):
 
 
 def to_files(df, out, checkpoint):
-    run_until_idle(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start(), 120)
+    writer = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    run_until_idle(writer.trigger(availableNow=True).start(), 120)
 
 
 def test_dedup_over_restarts(spark, folder):
@@ -61,8 +62,8 @@ def test_feed_list_is_bounded(spark, folder):
         rows = spark.readStream.schema(schema).parquet(folder("in"))
         feed = state.ticker_feed_stream(rows, n=3)
         keep = lambda df, batch: seen.append([tuple(r) for r in df.collect()])
-        query = feed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", folder("cp")).start()
-        run_until_idle(query, 120)
+        query = feed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", folder("cp"))
+        run_until_idle(query.trigger(availableNow=True).start(), 120)
 
     put(spark, [(["X", "Y"], 1, "a"), (["X"], 2, "b"), (None, 3, "c")], schema, folder("in"))
     run()
