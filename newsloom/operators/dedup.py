@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
-from newsloom.settings import work_folder
+from newsloom.settings import work_folder, written
 
 # Largest number of rows of one key that are folded as one sorted array.
 FOLD_LIMIT = 10_000
@@ -101,7 +101,8 @@ def dedup_ttl(
 
     One aggregate over key and time decides the plan. If no key spans a whole TTL the answer is
     the first row per key. Otherwise keys are folded as sorted arrays, except keys with more than
-    `fold_limit` rows, which are walked by time slice.
+    `fold_limit` rows, which are walked by time slice. The input is read for that aggregate and
+    again for the result, so pass costly plans through `settings.written` first.
     """
     keys = [key] if isinstance(key, str) else list(key)
     ticks, unit = _ticks(df, ts)
@@ -122,9 +123,7 @@ def dedup_ttl(
         return _fold(timed, keys, order, ttl).select(*columns)
 
     # The heavy keys are written, so both branches see the same set and it is found once.
-    folder = work_folder(df.sparkSession, "dedup-keys")
-    heavy.select(*keys).write.parquet(folder)
-    heavy_keys = df.sparkSession.read.schema(heavy.select(*keys).schema).parquet(folder)
+    heavy_keys = written(heavy.select(*keys), "dedup-keys")
     small = _small_side(heavy_keys, facts["heavy"])
     same_key = [timed[k].eqNullSafe(heavy_keys[k]) for k in keys]
     light_rows = _fold(timed.join(small, same_key, "left_anti"), keys, order, ttl)

@@ -20,7 +20,7 @@ from newsloom.operators.dedup import dedup_ttl
 from newsloom.operators.html import extract_links, parse_html
 from newsloom.operators.scoring import Scorer, score
 from newsloom.operators.tickers import EntityExtractor, with_tickers
-from newsloom.settings import CleanOptions, IngestOptions, ResolveOptions, ScoreOptions
+from newsloom.settings import CleanOptions, IngestOptions, ResolveOptions, ScoreOptions, written
 from newsloom.sources.crawl import attach_html, robots_filter, successful_fetches
 from newsloom.sources.feeds import feed_items
 
@@ -56,7 +56,8 @@ def ingest_batch(
             F.col("source.source").alias("source"), "title", "link", "published_ts", F.col("source.fetched_ts").alias("_poll")
         )
         raw = to_raw(polled, F.col("_poll"), algo)
-    return dedup_ttl(raw, "id", "ingested_ts", options.dedup_ttl_s, tie=["title"])
+    # Raw articles are small next to the documents, which are parsed once this way.
+    return dedup_ttl(written(raw, "raw"), "id", "ingested_ts", options.dedup_ttl_s, tie=["title"])
 
 
 def ingest_listing(
@@ -73,12 +74,15 @@ def ingest_listing(
         allowed.select("source", "html"), options.link_domain, options.link_path_token, options.max_links_per_page, order
     )
     raw = to_raw(links.withColumn("published_ts", as_of_ms(as_of)), as_of, algo)
-    return dedup_ttl(raw, "id", "ingested_ts", options.dedup_ttl_s, tie=["title"])
+    return dedup_ttl(written(raw, "raw"), "id", "ingested_ts", options.dedup_ttl_s, tie=["title"])
 
 
-def to_clean(raw_with_html: DataFrame, mode: str = "intent") -> DataFrame:
-    """Clean articles of raw ones joined to their `html`; the page's title wins over the feed's."""
-    parsed = raw_with_html.withColumn("_page", parse_html(F.col("html"), mode)).drop("html")
+def to_clean(raw_with_page: DataFrame, mode: str = "intent") -> DataFrame:
+    """Clean articles of raw ones joined to their `html`, or to its parsed form in `_page`; the
+    page's title wins over the feed's."""
+    parsed = raw_with_page
+    if "_page" not in parsed.columns:
+        parsed = parsed.withColumn("_page", parse_html(F.col("html"), mode)).drop("html")
     body, title = F.col("_page.body"), F.col("_page.title")
     return parsed.select(
         "id",
@@ -92,9 +96,25 @@ def to_clean(raw_with_html: DataFrame, mode: str = "intent") -> DataFrame:
     )
 
 
-def clean(raw: DataFrame, crawl: DataFrame, options: CleanOptions = CleanOptions(), mode: str = "intent") -> DataFrame:
-    """Raw articles to clean ones: fetch result by URL, text, language and length filters."""
-    articles = to_clean(attach_html(raw, crawl), mode)
+def clean(
+    raw: DataFrame,
+    crawl: DataFrame,
+    options: CleanOptions = CleanOptions(),
+    mode: str = "intent",
+    parse_first: bool = True,
+) -> DataFrame:
+    """Raw articles to clean ones: fetch result by URL, text, language and length filters.
+
+    With `parse_first` pages are parsed before the join: once per page, however many articles
+    share it, and only title and text go through the exchange. Turn it off where most of the
+    crawl matches no article, as in a stream against a large crawl.
+    """
+    if parse_first:
+        pages = successful_fetches(crawl).filter(F.col("html").isNotNull())
+        joined = raw.join(pages.select("url", parse_html(F.col("html"), mode).alias("_page")), "url")
+    else:
+        joined = attach_html(raw, crawl)
+    articles = to_clean(joined, mode)
     return filter_min_body(filter_english(articles, options.require_english), options.min_body_bytes)
 
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,6 @@ class ResolveOptions:
 @dataclass(frozen=True)
 class ScoreOptions:
     model_chars: int = 2000
-    max_tokens: int = 256
-    batch_rows: int = 64
     enable_rules: bool = True
 
 
@@ -52,11 +50,15 @@ class SinkOptions:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for durable intermediate data.
 
-    A cluster names its shared folder in `spark.checkpoint.dir`; a local session without one
-    gets a temporary folder of its own.
+    A cluster names its shared folder in `spark.checkpoint.dir`; only a local session without one
+    gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, computed once and read from a durable table from here on."""
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

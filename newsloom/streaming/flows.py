@@ -24,8 +24,7 @@ def raw_stream(feeds: DataFrame, options: IngestOptions = IngestOptions(), as_of
 def score_stream(
     enriched: DataFrame, scorer: Scorer | None = None, options: ScoreOptions = ScoreOptions(), as_of=None
 ) -> DataFrame:
-    """Scored articles; Arrow batches to a Python scorer hold at most `batch_rows` articles."""
-    enriched.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", options.batch_rows)
+    """Scored articles, micro-batch by micro-batch; a `BatchScorer` cuts each into its own batches."""
     return score(enriched, scorer, options, as_of)
 
 
@@ -42,7 +41,7 @@ def article_stream(
 ) -> DataFrame:
     """Raw articles to scored ones in one streaming plan. `crawl` is a static table of pages; the
     page join is the only step that is not row-local."""
-    cleaned = clean(raw, crawl, clean_options)
+    cleaned = clean(raw, crawl, clean_options, parse_first=False)
     return score_stream(enrich(cleaned, tickers, extractor, resolve_options), scorer, score_options, as_of)
 
 
