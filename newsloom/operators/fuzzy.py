@@ -123,7 +123,8 @@ def match_mention(mention: Column, aliases: Sequence[tuple[str, str]], cutoff: f
             found = [(best(m) if m else None) or (None, None, None) for m in mentions]
             yield pd.DataFrame(found, columns=MATCH_TYPE.names)
 
-    return match(mention)
+    # Marked so that a filter on the result does not search again.
+    return match.asNondeterministic()(mention)
 
 
 def match_mentions(mentions: Column, aliases: Sequence[tuple[str, str]], cutoff: float = 85.0) -> Column:
@@ -137,7 +138,7 @@ def match_mentions(mentions: Column, aliases: Sequence[tuple[str, str]], cutoff:
                 lambda row: [] if row is None else [hit[2] for hit in (best(m) for m in row if m) if hit]
             )
 
-    return match(mentions)
+    return match.asNondeterministic()(mentions)
 
 
 def fuzzy_match(

@@ -251,7 +251,8 @@ def parse_html(html: Column, mode: str = "intent") -> Column:
     def parse(pages: pd.Series) -> pd.DataFrame:
         return _parse_pages(pages, mode)
 
-    return parse(html)
+    # Marked so that a filter on the result runs after the one parse and does not repeat it.
+    return parse.asNondeterministic()(html)
 
 
 def extract_title(html: Column) -> Column:

@@ -90,6 +90,15 @@ def test_clean_stage(spark):
     assert articles.clean(raw, fetched, loose).count() == 4
 
 
+@pytest.mark.parametrize("parse_first", [True, False])
+def test_pages_are_parsed_once(spark, parse_first, plan):
+    raw = spark.createDataFrame([("1", "s", "http://h/1", "t", "", 0, 0)], schemas.RAW_SCHEMA)
+    pages = spark.createDataFrame([("http://h/1", 200, "<article>" + "word " * 99)], schemas.CRAWL_SCHEMA)
+    cleaned = articles.clean(raw, pages, parse_first=parse_first)
+    assert cleaned.count() == 1
+    assert cleaned._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+
+
 PAYLOADS = [
     "{}", "not json", "[1]", '{"id":"a","tickers":"x","sentiment":0.5,"scored_ts":1700000000123}',
     '{"id":"b","tickers":["T"],"sentiment":1,"topics":null,"title":"t"}',
