@@ -6,8 +6,6 @@ for the crawl, `nation` for a ticker list and `embeddings` for model logits.
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.hints import extract_hints
@@ -91,11 +89,6 @@ def as_of(spark: SparkSession, sf_dir: str) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{newest}'") if newest else F.expr("TIMESTAMP_NTZ '1970-01-01'")
 
 
-def seen_at_least(spark: SparkSession, sf_dir: str, days: int) -> Column:
-    newest = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    return F.expr(f"TIMESTAMP_NTZ '{newest - timedelta(days=days)}'")
-
-
 def tickers(spark: SparkSession) -> DataFrame:
     return tickers_from_rows(spark, TICKER_ROWS)
 

@@ -20,14 +20,6 @@ def trim_space(col: Column) -> Column:
     return F.regexp_replace(col, r"\A[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z", "")
 
 
-def starts_with(col: Column, prefix: str) -> Column:
-    return F.startswith(col, F.lit(prefix))
-
-
-def replace_all(col: Column, old: str, new: Column) -> Column:
-    return F.replace(col, F.lit(old), new)
-
-
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
