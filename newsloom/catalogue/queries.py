@@ -548,7 +548,7 @@ def _run_to_files(df: DataFrame, purpose: str) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    run_until_idle(query)
+    run_until_idle(query, empty_batches=1)
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
@@ -566,7 +566,7 @@ def _run_updates(df: DataFrame, purpose: str) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    run_until_idle(query)
+    run_until_idle(query, empty_batches=1)
     return spark.read.option("basePath", f"{folder}/out").schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out")
 
 
