@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -48,13 +48,22 @@ class SinkOptions:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for durable intermediate data.
+    """A fresh folder for durable intermediate data, deleted when the application ends.
 
-    A cluster names its shared folder in `spark.checkpoint.dir`; only a local session without one
-    gets a temporary folder.
+    A cluster names its shared folder in `spark.checkpoint.dir` (or sets the context's checkpoint
+    directory). Without one only a purely local session gets a temporary folder; a cluster raises,
+    since each machine would write to its own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-")
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="newsloom-")
+    folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
