@@ -1,10 +1,11 @@
 """N-gram Jaccard join of all documents with themselves, by prefix trees.
 
-Which sets can link: sets of sizes x and y with similarity of at least p percent differ in at most
-d = (x + y)(100 - p) / (100 + p) members. Members are dealt by hash to d + 1 parts, so linked sets
-agree wholly in some part; sets that agree in a part get into one cluster. This loses no link, and
-since a part holds several members, a passage that many documents share brings nobody together.
-Equal sets count once from the start.
+Which sets can link: put all n-grams into one order. Two sets that link share a member among the
+first n - ceil(n p / 100) + 1 of each (its prefix). The order is: n-grams whose hash lies in a fixed
+lower range come first, rare before common as counted over all documents, then all others by hash.
+So only the lower range is counted, and a passage that many documents share is no part of a prefix
+unless a document has little else. Sets that share a prefix member get into one cluster, over its
+smallest document, and so on transitively; this loses no link. Equal sets count once from the start.
 
 The join: in a cluster, packs of sets are stored in a prefix tree, in an order of their members
 that all sets of the tree share (most frequent first, so near copies share long paths). Batches of
@@ -17,8 +18,9 @@ packs, so a group of copies takes as many rounds as it has sets outside that com
 
 Defined results: null text, empty text and texts without words have an empty set and link with
 nothing; fewer words than n make one member; rows with a null doc_id have a size but no component;
-rows that repeat a doc_id count as one document that has the links of each; an empty table gives
-an empty result; other columns are ignored.
+rows that repeat a doc_id each have the component of their own text; where a doc_id is the smallest of
+two texts' classes, these count as linked; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +50,14 @@ class JoinOptions:
     slice_members: int = 4_000_000
     packs_per_round: int = 16
 
+    def prefix(self, n: int) -> int:
+        return n - -(-n * self.percent // 100) + 1
+
+    @property
+    def lower(self) -> int:
+        """End of the hash range that is counted: nearly twice the share that prefixes have."""
+        return min((1 << 64) - 1, (100 - self.percent) * 18 * (1 << 64) // 1000)
+
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit finalizer (multiply and shift), applied to hashes."""
@@ -83,69 +93,32 @@ class Shingler:
         return np.unique(mixed(grams, 77))
 
 
-def size_classes(percent: int, largest: int) -> list[int]:
-    """Lower bounds of size classes so wide that linked sets are of the same or neighbouring classes."""
-    bounds = [1]
-    while bounds[-1] <= largest:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 14 // 10, bounds[-1] * 100 // percent))
-    return bounds + [bounds[-1] * 100 // percent + 2]
-
-
-class Signer:
-    """Part signatures of a set: one for each part of its size class, and of the class below if it can link there."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.bounds = size_classes(percent, 1024)
-
-    def _parts(self, number: int) -> int:
-        small = self.bounds[number + 1] - 1
-        return (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
-
-    def __call__(self, members: np.ndarray) -> np.ndarray:
-        n = len(members)
-        while self.bounds[-2] <= n:
-            self.bounds = size_classes(self.percent, 2 * n)
-        own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        numbers = [own]
-        if own and n <= (self.bounds[own] - 1) * 100 // self.percent:
-            numbers.append(own - 1)
-        values, places, out = mixed(members, 1), mixed(members, 2), []
-        with np.errstate(over="ignore"):
-            for number in numbers:
-                parts = self._parts(number)
-                part = (places % U64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                sums = np.zeros(parts, U64)
-                held, starts = np.unique(part[order], return_index=True)
-                sums[held] = np.add.reduceat(values[order], starts)
-                out.append(mixed(sums + np.arange(parts, dtype=U64) * U64(0xA24BAED4963EE407), number + 11))
-        return np.concatenate(out).view(np.int64)
-
-
 def fingerprint(members: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         both = np.array([mixed(members, 3).sum(dtype=U64), mixed(members, 4).sum(dtype=U64)], U64).view(np.int64)
     return int(both[0]), int(both[1])
 
 
-def signed_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (what identifies the set), signatures."""
+def counted_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
+    """doc_id, n_shingles, f1 and f2 (what identifies the set), low (its n-grams of the lower range), more (further ones of its prefix)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sign = Shingler(options.words), Signer(options.percent)
+        shingle, end = Shingler(options.words), U64(options.lower)
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            sizes, marks, signatures = [], [], []
+            sizes, marks, low, more = [], [], [], []
             for text in batch.column(1):
                 members = shingle(text.as_py() or "")
+                cut = int(np.searchsorted(members, end))
                 sizes.append(len(members))
                 marks.append(fingerprint(members))
-                signatures.append(sign(members) if len(members) else np.zeros(0, np.int64))
-            out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(signatures, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "f1", "f2", "signatures"])
+                low.append(members[:cut].view(np.int64))
+                more.append(members[cut : options.prefix(len(members))].view(np.int64) if len(members) else members.view(np.int64))
+            out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(low, longs), pa.array(more, longs)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "f1", "f2", "low", "more"])
 
-    schema = f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, signatures array<bigint>"
+    schema = f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, low array<bigint>, more array<bigint>"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -347,11 +320,23 @@ def pack_links(stream: DataFrame, percent: int) -> DataFrame:
 # --- the join ---------------------------------------------------------------------------------
 
 
-def clusters(reps: DataFrame) -> DataFrame:
-    """(node, component): sets that agree in a part, transitively. A part's minimum is aggregated before the shuffle."""
-    parts = reps.select("rep", F.explode("signatures").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where(F.col("hub") < F.col("_last")).select("part", "hub")
-    edges = parts.join(shared, "part").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+def clusters(reps: DataFrame, options: JoinOptions) -> DataFrame:
+    """(node, component): sets that share a prefix member, transitively. reps: rep, n, low, more.
+
+    Counts and minima are aggregated before the shuffle; the joins back are ordinary joins, which
+    Spark splits where an n-gram is common.
+    """
+    low = reps.select("rep", F.explode("low").alias("gram"))
+    shared = low.groupBy("gram").agg(F.count("*").alias("held_by")).where(F.col("held_by") > 1)
+    # Members held by one set only come first in its order; of the others a prefix takes the rarest.
+    ranked = low.join(shared, "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held_by", "gram"))).alias("common"))
+    prefix = F.col("n") - F.ceil(F.col("n") * options.percent / 100).cast("long") + 1
+    rooms = reps.select(F.col("rep").alias("_rep"), (prefix - F.size("low")).cast("int").alias("_room"))
+    kept = ranked.join(rooms, F.col("rep") == F.col("_rep")).withColumn("_room", F.col("_room") + F.size("common")).where(F.col("_room") > 0)
+    first = kept.select("rep", F.explode(F.slice("common", F.lit(1), F.col("_room"))["gram"]).alias("gram"))
+    members = written(first.unionByName(reps.select("rep", F.explode("more").alias("gram"))), "prefixes")
+    hubs = members.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where(F.col("hub") < F.col("_last")).select("gram", "hub")
+    edges = members.join(hubs, "gram").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     return components(edges)
 
 
@@ -393,21 +378,24 @@ def _rounds(sets: DataFrame, options: JoinOptions) -> DataFrame | None:
 
 def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    base = written(signed_sets(docs, options), "sets")
-    full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    base = written(counted_sets(docs, options), "sets")
     same = ["n_shingles", "f1", "f2"]
-    # One set per class of equal sets; equal sets have equal signatures.
-    reps = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"))
-    found = written(clusters(reps.select("rep", "signatures")), "clusters")
-    classes = full.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", *same)
+    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_copies")), "classes")
+    # One set per class of equal sets goes on; the copies' ids are left out, by broadcast where they are few.
+    copies = classes.where(F.col("_copies") > 1).select("rep", *same).join(full, same).where(F.col("doc_id") != F.col("rep")).select("doc_id")
+    copies = written(copies, "copies")
+    firsts = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(broadcast_if_small(copies, copies.count(), 16), "doc_id", "left_anti")
+    found = clusters(firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "low", "more"), options)
     wanted = classes.join(found, classes["rep"] == found["node"]).select("rep", F.col("component").alias("cluster"), F.col("n_shingles").alias("n"), "f1", "f2")
     sets = written(member_sets(docs, written(wanted, "wanted"), options), "member-sets")
     links = _rounds(sets, options)
-    # Documents belong to their class's first document; a class that repeats an id joins it with the others.
-    own = full.join(classes, same).where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = components(own if links is None else own.unionByName(links))
-    out = base.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    if links is not None:
+        labels = components(links)
+        classes = classes.join(labels, classes["rep"] == labels["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
+    moved = classes.where((F.col("_copies") > 1) | F.col("component").isNotNull()) if links is not None else classes.where(F.col("_copies") > 1)
+    out = base.select("doc_id", *same).join(moved.select(*[F.col(c).alias(f"_{c}") for c in same], "rep"), [F.col(c) == F.col(f"_{c}") for c in same], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
