@@ -23,6 +23,7 @@ import sys
 import types
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -32,6 +33,7 @@ from newsloom.llm.common import arrow_texts
 
 # The pre-tokenizer's pattern (blanks are single spaces by then) and what counts as a blank.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
+ODD_BLANKS = regex.compile("[\x1c-\x1f]")  # blanks to str.split, but not here
 BLANKS = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
 
@@ -129,7 +131,10 @@ class WordBpe:
         self.label = {i: label for label, i in {**self.vocab, **self.special}.items()}
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._ids = [self.vocab[label] for label in self.automaton.labels]
-        self._words: dict[str, tuple[str, int, str]] = {}
+        # Of each run of non-blanks seen: its ids, and ids and labels as text. Blanks end every word, so runs are independent.
+        self._runs: tuple[dict[str, tuple[int, ...]], dict[str, str], dict[str, str]] = {}, {}, {}
+        self._held = 0
+        self.forget()
 
     @staticmethod
     def normalized(text: str) -> str:
@@ -140,29 +145,45 @@ class WordBpe:
     def word(self, word: str) -> list[int]:
         return [self._ids[t] for t in self.automaton.path(word.encode("utf-8", "surrogatepass"))]
 
-    def _spelled(self, text: str) -> list[tuple[str, int, str]]:
-        """For each word: its numbers as text, how many, and their labels."""
-        known = self._words
-        if len(known) > 400_000:
-            known.clear()
-        words = WORDS.findall(self.normalized(text))
-        for word in set(words).difference(known):
-            ids = self.word(word)
-            known[word] = (" ".join(map(str, ids)), len(ids), " ".join(self.label[i] for i in ids))
-        return [known[w] for w in words]
-
-    def pieces(self, text: str) -> list[tuple[str, int, str]]:
+    def _learn(self, run: str) -> None:
+        ids = tuple(i for word in WORDS.findall(self.normalized(run)) for i in self.word(word))
+        for shelf, value in zip(self._runs, (ids, " ".join(map(str, ids)), " ".join(self.label[i] for i in ids))):
+            shelf[run] = value
+        self._held += 200 + 4 * len(run)
+
+    def runs(self, text: str) -> list[str]:
+        """The text's runs of non-blanks and special tokens, all of them learnt."""
         if not self._split or "<" not in text:
-            return self._spelled(text)
-        out, at = [], 0
-        for found in self._split.finditer(text):
-            out += self._spelled(text[at : found.start()])
-            out.append((str(self.special[found.group()]), 1, found.group()))
-            at = found.end()
-        return out + self._spelled(text[at:])
+            runs = text.split() if not ODD_BLANKS.search(text) else [r for r in BLANKS.split(text) if r]
+        else:
+            runs, at = [], 0
+            for found in self._split.finditer(text):
+                runs += [*filter(None, BLANKS.split(text[at : found.start()])), found.group()]
+                at = found.end()
+            runs += filter(None, BLANKS.split(text[at:]))
+        if self._held > 128 << 20:
+            self.forget()
+        for run in set(runs).difference(self._runs[0]):
+            self._learn(run)
+        return runs
+
+    def forget(self) -> None:
+        """Empties what was learnt, so that memory is bounded; special tokens are their own runs."""
+        self._held = 0
+        for shelf in self._runs:
+            shelf.clear()
+        for label, i in self.special.items():
+            for shelf, value in zip(self._runs, ((i,), str(i), label)):
+                shelf[label] = value
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, n, _ in self.pieces(text) if n for i in ids.split(" ")]
+        return list(chain.from_iterable(map(self._runs[0].__getitem__, self.runs(text))))
+
+    def spelled(self, text: str) -> tuple[int, str, str]:
+        """How many tokens, their ids as text, and the decoded text."""
+        runs = self.runs(text)
+        ids, shown, labels = self._runs
+        return sum(map(len, map(ids.__getitem__, runs))), " ".join(map(shown.__getitem__, runs)), " ".join(map(labels.__getitem__, runs))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The arc labels along the path, with a space between them; unknown numbers emit nothing."""
@@ -217,16 +238,16 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def digest(parts: Iterable[str]) -> str:
-        return hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+    def digest(text: str) -> str:
+        return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
             rows = []
             for text in arrow_texts(batch.column(1)):
-                pieces = bpe.pieces(text)
-                rows.append((sum(p[1] for p in pieces), digest(p[0] for p in pieces), digest(p[2] for p in pieces)))
+                count, ids, decoded = bpe.spelled(text)
+                rows.append((count, digest(ids), digest(decoded)))
             counts, ids, decoded = zip(*rows) if rows else ((), (), ())
             out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=names)
