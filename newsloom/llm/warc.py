@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm.common import work_folder, written
+from newsloom.llm.common import broadcast_if_small, work_folder, written
 
 ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
 # Fixed values of the ZIP format: signatures of its records, and the number that says "see ZIP64".
@@ -219,6 +219,9 @@ def with_refers_to(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     first = keyed.groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where(F.col("first") < F.col("last"))
     repeats = keyed.join(first, ["sha", "bytes"]).where(F.col("page_id") > F.col("first"))
     repeats = repeats.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first").alias("refers_to")).distinct()
+    repeats = written(repeats, "warc-repeats")
+    # Where revisits are few, the pages themselves are not shuffled.
+    repeats = broadcast_if_small(repeats, repeats.count(), 80)
     same = (F.col("page_id") == F.col("_id")) & (F.sha1(F.col("html").cast("binary")) == F.col("_sha"))
     return base.join(repeats, same, "left").select("page_id", "url", "html", "refers_to")
 
