@@ -29,11 +29,15 @@ BINS = 16
 
 @dataclass(frozen=True)
 class FMOptions:
-    """`sample_rows` bounds the labelled rows that training sees; everything else is a hyperparameter."""
+    """`sample_rows` bounds the labelled rows that training sees; everything else is a hyperparameter.
+
+    A small sample is passed over more often, until `least_steps` batches were seen.
+    """
 
     buckets: int = 1 << 15
     rank: int = 8
     epochs: int = 10
+    least_steps: int = 900
     batch: int = 64
     rate: float = 0.08
     l2: float = 2e-4
@@ -122,7 +126,8 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], options: FMOptions) ->
         return FMModel(options, 0.0, linear, np.zeros_like(factors))
     seen_l, seen_f, seen_b = np.full(size, 1e-2), np.full((size, options.rank), 1e-2), 1e-2
     labels = np.array([r[0] for r in rows])
-    for _ in range(options.epochs):
+    epochs = max(options.epochs, -(-options.least_steps * options.batch // len(rows)))
+    for _ in range(min(epochs, options.least_steps)):
         order = rng.permutation(len(rows))
         for start in range(0, len(order), options.batch):
             chosen = order[start : start + options.batch]
