@@ -29,7 +29,7 @@ def held_out() -> Column:
 
 def domain_of(source: Column) -> Column:
     """Sources by number in four domains; the tables have no domain of their own."""
-    return F.concat(F.lit("domain"), (F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d{1,9})", 1).cast("int") % 4).cast("string"))
+    return F.concat(F.lit("domain"), (F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d{1,9})", 1).try_cast("int") % 4).cast("string"))
 
 
 #: Weights by level: one domain counts twice, English counts three times; sources share alike.
