@@ -153,10 +153,10 @@ def ticker_feed_query(feed: DataFrame, symbol: str, limit: int = 50) -> DataFram
     return feed.filter((F.col("ticker") == symbol.upper()) & (F.col("rank") <= clamp(limit, FEED_CAP))).orderBy("rank")
 
 
-def merge_live(live: DataFrame, stored: DataFrame, limit: int = LIVE_ROWS) -> DataFrame:
+def merge_live(live: DataFrame, stored: DataFrame, limit: int = LIVE_ROWS, live_rows: int = LIVE_ROWS, stored_rows: int = STORED_ROWS) -> DataFrame:
     """Live and stored rows as one list without repeated ids, newest first.
 
-    Both sides are short lists to begin with: the newest 200 live and the newest 100 stored rows.
+    Both sides are short lists to begin with: the newest `live_rows` and `stored_rows` of them.
     A stored copy replaces the live one. Rows order by `scored_ts`, or by `ts` where it is missing.
     """
     columns = ["id", "source", "url", "title", "tickers", "sentiment", "topics", "time_ms"]
@@ -168,7 +168,7 @@ def merge_live(live: DataFrame, stored: DataFrame, limit: int = LIVE_ROWS) -> Da
         rows = df.withColumn("time_ms", ms).select(*columns)
         return rows.orderBy(F.desc("time_ms"), "id").limit(n).withColumn("_priority", F.lit(priority))
 
-    both = shaped(live, LIVE_ROWS, 1).unionByName(shaped(stored, STORED_ROWS, 0))
+    both = shaped(live, live_rows, 1).unionByName(shaped(stored, stored_rows, 0))
     one_each = Window.partitionBy("id").orderBy("_priority", F.desc("time_ms"))
     return (
         both.withColumn("_copy", F.row_number().over(one_each))

@@ -11,8 +11,6 @@ from newsloom.settings import work_folder, written
 
 # Largest number of rows of one key that are folded as one sorted array.
 FOLD_LIMIT = 10_000
-# Largest number of heavy keys handed to a broadcast join; beyond it Spark chooses the join.
-BROADCAST_KEYS = 100_000
 
 
 def _ticks(df: DataFrame, ts: str) -> tuple[Column, int]:
@@ -22,10 +20,6 @@ def _ticks(df: DataFrame, ts: str) -> tuple[Column, int]:
     return F.unix_micros(F.col(ts).cast("timestamp")), 1_000_000
 
 
-def _small_side(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_KEYS else df
-
-
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key. A minimum aggregates before the exchange, so a key of any
     weight sends one row per task."""
@@ -52,7 +46,7 @@ def _fold(df: DataFrame, key: Sequence[str], order: Sequence[str], ttl: int) ->
 
 
 def _slice_walk(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], ttl: int, n_keys: int
+    df: DataFrame, key: Sequence[str], order: Sequence[str], ttl: int
 ) -> DataFrame:
     """The same result for keys too heavy for one array.
 
@@ -74,11 +68,12 @@ def _slice_walk(
     kept_schema = first_per_key(df, key, order).schema
     for number, at in enumerate(slices):
         part = rows.filter(F.col("_slice") == at).drop("_slice")
-        if number:
-            kept = spark.read.schema(kept_schema).parquet(f"{kept_path}/*")
+        # Rows kept two slices back or earlier are a whole `ttl` away: only the slice just before can suppress.
+        if number and slices[number - 1] == at - 1:
+            kept = spark.read.schema(kept_schema).parquet(f"{kept_path}/{number - 1}")
             last = kept.groupBy(*key).agg(F.max("_t").alias("_last"))
             same_key = [part[k].eqNullSafe(last[k]) for k in key]
-            joined = part.join(_small_side(last, n_keys), same_key, "left")
+            joined = part.join(last, same_key, "left")
             part = joined.filter(F.col("_last").isNull() | (F.col("_t") - F.col("_last") >= ttl)).select(
                 *[part[c] for c in part.columns]
             )
@@ -101,7 +96,8 @@ def dedup_ttl(
 
     One aggregate over key and time decides the plan. If no key spans a whole TTL the answer is
     the first row per key. Otherwise keys are folded as sorted arrays, except keys with more than
-    `fold_limit` rows, which are walked by time slice. The input is read for that aggregate and
+    `fold_limit` rows: these are walked by time slice, or, where they do not span a TTL, are again
+    the first row per key. The input is read for that aggregate and
     again for the result, so pass costly plans through `settings.written` first.
     """
     keys = [key] if isinstance(key, str) else list(key)
@@ -111,24 +107,29 @@ def dedup_ttl(
     order = ["_t", *tie]
 
     per_key = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max("_t") - F.min("_t")).alias("_span"))
-    heavy = per_key.filter((F.col("_n") > fold_limit) & (F.col("_span") >= ttl))
+    big = per_key.filter(F.col("_n") > fold_limit).select(*keys, (F.col("_span") >= ttl).alias("_long"))
     facts = per_key.agg(
         F.max("_span").alias("span"),
-        F.count_if((F.col("_n") > fold_limit) & (F.col("_span") >= ttl)).alias("heavy"),
+        F.count_if(F.col("_n") > fold_limit).alias("big"),
+        F.count_if((F.col("_n") > fold_limit) & (F.col("_span") >= ttl)).alias("long"),
     ).first()
 
     if facts["span"] is None or facts["span"] < ttl:
         return first_per_key(timed, keys, order).select(*columns)
-    if not facts["heavy"]:
+    if not facts["big"]:
         return _fold(timed, keys, order, ttl).select(*columns)
 
-    # The heavy keys are written, so both branches see the same set and it is found once.
-    heavy_keys = written(heavy.select(*keys), "dedup-keys")
-    small = _small_side(heavy_keys, facts["heavy"])
-    same_key = [timed[k].eqNullSafe(heavy_keys[k]) for k in keys]
-    light_rows = _fold(timed.join(small, same_key, "left_anti"), keys, order, ttl)
-    heavy_rows = _slice_walk(timed.join(small, same_key, "left_semi"), keys, order, ttl, facts["heavy"])
-    return light_rows.select(*columns).unionByName(heavy_rows.select(*columns))
+    # The big keys are written, so all branches see the same set and it is found once.
+    big_keys = written(big, "dedup-keys")
+
+    def only(side: DataFrame, how: str) -> DataFrame:
+        return timed.join(side, [timed[k].eqNullSafe(side[k]) for k in keys], how)
+
+    out = _fold(only(big_keys, "left_anti"), keys, order, ttl).select(*columns)
+    out = out.unionByName(first_per_key(only(big_keys.filter(~F.col("_long")), "left_semi"), keys, order).select(*columns))
+    if facts["long"]:
+        out = out.unionByName(_slice_walk(only(big_keys.filter("_long"), "left_semi"), keys, order, ttl).select(*columns))
+    return out
 
 
 def new_articles(batch: DataFrame, history: DataFrame, ttl_s: int, key: str = "id", ts: str = "ts") -> DataFrame:

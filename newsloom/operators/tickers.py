@@ -54,7 +54,7 @@ class NoEntities:
 
 
 def _hosts(hints: Column) -> Column:
-    return F.transform(F.filter(hints, lambda h: F.startswith(h, F.lit("host:"))), lambda h: F.substring(h, 6, 4096))
+    return F.transform(F.filter(hints, lambda h: F.startswith(h, F.lit("host:"))), lambda h: F.substr(h, F.lit(6)))
 
 
 def _investor_host(hosts: Column) -> Column:

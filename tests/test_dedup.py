@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from newsloom.operators import dedup
 from newsloom.operators.dedup import dedup_ttl, first_per_key, new_articles
 
 HOUR = 3_600_000
@@ -63,3 +64,13 @@ def test_new_articles(spark):
     history = spark.createDataFrame([("a", 0), ("a", 10 * HOUR), ("b", 0)], "id string, ts long")
     batch = spark.createDataFrame([("a", 57 * HOUR), ("a", 58 * HOUR), ("b", 47 * HOUR), ("c", 0)], "id string, ts long")
     assert sorted(map(tuple, new_articles(batch, history, 172_800).collect())) == [("a", 58 * HOUR), ("c", 0)]
+
+
+def test_heavy_key_within_ttl_is_not_folded(spark, monkeypatch):
+    rows = [("hot", t) for t in range(20)] + [("slow", t * 60_000) for t in range(3)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    seen = []
+    fold = dedup._fold
+    monkeypatch.setattr(dedup, "_fold", lambda part, *rest: seen.append(sorted({r.k for r in part.collect()})) or fold(part, *rest))
+    kept = sorted(map(tuple, dedup.dedup_ttl(df, "k", "t", 60, fold_limit=5).collect()))
+    assert seen == [["slow"]] and kept == [("hot", 0), ("slow", 0), ("slow", 60_000), ("slow", 120_000)]
