@@ -133,6 +133,7 @@ class WordBpe:
         self._ids = [self.vocab[label] for label in self.automaton.labels]
         # Of each run of non-blanks seen: its ids, and ids and labels as text. Blanks end every word, so runs are independent.
         self._runs: tuple[dict[str, tuple[int, ...]], dict[str, str], dict[str, str]] = {}, {}, {}
+        self._words: dict[str, tuple[int, ...]] = {}  # runs differ in case and marks, their words much less
         self._held = 0
         self.forget()
 
@@ -146,7 +147,12 @@ class WordBpe:
         return [self._ids[t] for t in self.automaton.path(word.encode("utf-8", "surrogatepass"))]
 
     def _learn(self, run: str) -> None:
-        ids = tuple(i for word in WORDS.findall(self.normalized(run)) for i in self.word(word))
+        known, ids = self._words, ()
+        for word in WORDS.findall(self.normalized(run)):
+            if word not in known:
+                known[word] = tuple(self.word(word))
+                self._held += 200 + 2 * len(word)
+            ids += known[word]
         for shelf, value in zip(self._runs, (ids, " ".join(map(str, ids)), " ".join(self.label[i] for i in ids))):
             shelf[run] = value
         self._held += 200 + 4 * len(run)
@@ -170,6 +176,7 @@ class WordBpe:
     def forget(self) -> None:
         """Empties what was learnt, so that memory is bounded; special tokens are their own runs."""
         self._held = 0
+        self._words.clear()
         for shelf in self._runs:
             shelf.clear()
         for label, i in self.special.items():
