@@ -60,7 +60,13 @@ class Automaton:
         self._arcs: dict[tuple[int, int], bool] = {}
         for step, (a, b) in enumerate(merges, 1):
             self._add_gadget(step, a, b)
-        self.longest = max((len(label) for label in self.labels), default=1)
+        # How far back a token can begin, by its last three symbols; tokens of one or two are always in reach.
+        self._reach: dict[str, int] = {}
+        for label in self.labels:
+            end = suffix if label.endswith(suffix) else ""
+            stem = label[: len(label) - len(end)]
+            if len(stem) > 2:
+                self._reach[stem[-3:] + end] = max(len(stem), self._reach.get(stem[-3:] + end, 2))
 
     def _add_gadget(self, step: int, a: str, b: str) -> None:
         left, right = self.number.get(a), self.number.get(b)
@@ -103,11 +109,13 @@ class Automaton:
         """Arcs that spell a word. Step i keeps the one token that ends the path of the first i symbols."""
         text = "".join(self.symbols[b] for b in word)
         n, last, number, arc = len(text), [-1] * (len(word) + 1), self.number, self.arc
+        get, reach, arcs = number.get, self._reach.get, self._arcs
         for end in range(1, n + 1):
             tail = self.suffix if end == n else ""
-            for start in range(max(0, end - self.longest), end):
-                token = number.get(text[start:end] + tail)
-                if token is not None and (start == 0 or arc(last[start], token)):
+            back = reach(text[max(0, end - 3) : end] + tail, 2)
+            for start in range(max(0, end - back), end):
+                token = get(text[start:end] + tail if tail else text[start:end])
+                if token is not None and (start == 0 or arcs.get((last[start], token)) or arc(last[start], token)):
                     last[end] = token
                     break
         out, end = [], n
@@ -133,7 +141,7 @@ class WordBpe:
         self._ids = [self.vocab[label] for label in self.automaton.labels]
         # Of each run of non-blanks seen: its ids, and ids and labels as text. Blanks end every word, so runs are independent.
         self._runs: tuple[dict[str, tuple[int, ...]], dict[str, str], dict[str, str]] = {}, {}, {}
-        self._words: dict[str, tuple[int, ...]] = {}  # runs differ in case and marks, their words much less
+        self._words: dict[str, tuple[tuple[int, ...], str, str]] = {}  # runs differ in case and marks, their words much less
         self._held = 0
         self.forget()
 
@@ -147,13 +155,23 @@ class WordBpe:
         return [self._ids[t] for t in self.automaton.path(word.encode("utf-8", "surrogatepass"))]
 
     def _learn(self, run: str) -> None:
-        known, ids = self._words, ()
-        for word in WORDS.findall(self.normalized(run)):
-            if word not in known:
-                known[word] = tuple(self.word(word))
-                self._held += 200 + 2 * len(word)
-            ids += known[word]
-        for shelf, value in zip(self._runs, (ids, " ".join(map(str, ids)), " ".join(self.label[i] for i in ids))):
+        known, found = self._words, []
+        if run.isascii():
+            low = run.lower()
+        else:
+            low = self.normalized(run)
+        for word in WORDS.findall(low):
+            entry = known.get(word)
+            if entry is None:
+                ids = tuple(self.word(word))
+                entry = known[word] = ids, " ".join(map(str, ids)), " ".join([self.label[i] for i in ids])
+                self._held += 400 + 8 * len(word)
+            found.append(entry)
+        if len(found) == 1:
+            entry = found[0]  # shared, not copied
+        else:
+            entry = tuple(chain.from_iterable(f[0] for f in found)), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+        for shelf, value in zip(self._runs, entry):
             shelf[run] = value
         self._held += 200 + 4 * len(run)
 
