@@ -60,13 +60,14 @@ class Automaton:
         self._arcs: dict[tuple[int, int], bool] = {}
         for step, (a, b) in enumerate(merges, 1):
             self._add_gadget(step, a, b)
-        # How far back a token can begin, by its last three symbols; tokens of one or two are always in reach.
-        self._reach: dict[str, int] = {}
+        # Lengths of the tokens that can end in three given symbols; tokens of one or two may always.
+        lengths: dict[str, set[int]] = {}
         for label in self.labels:
             end = suffix if label.endswith(suffix) else ""
             stem = label[: len(label) - len(end)]
             if len(stem) > 2:
-                self._reach[stem[-3:] + end] = max(len(stem), self._reach.get(stem[-3:] + end, 2))
+                lengths.setdefault(stem[-3:] + end, set()).add(len(stem))
+        self._lengths = {tail: (2, *sorted(found), 1) for tail, found in lengths.items()}
 
     def _add_gadget(self, step: int, a: str, b: str) -> None:
         left, right = self.number.get(a), self.number.get(b)
@@ -105,23 +106,36 @@ class Automaton:
             known = self._arcs[key] = self._has_arc(state, token, 1 << 60)
         return known
 
-    def path(self, word: bytes) -> list[int]:
-        """Arcs that spell a word. Step i keeps the one token that ends the path of the first i symbols."""
-        text = "".join(self.symbols[b] for b in word)
-        n, last, number, arc = len(text), [-1] * (len(word) + 1), self.number, self.arc
-        get, reach, arcs = number.get, self._reach.get, self._arcs
+    def spelling(self, word: str) -> str:
+        """One symbol for each byte of a word."""
+        if word.isascii() and word.isprintable():
+            return word  # such bytes stand for themselves
+        return "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
+
+    def path(self, text: str) -> list[int]:
+        """Arcs that spell a word's symbols. Step i keeps the one token that ends the path of the first i, in whichever order tried."""
+        n = len(text)
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        number, lengths, arcs, arc = self.number.get, self._lengths.get, self._arcs.get, self.arc
         for end in range(1, n + 1):
             tail = self.suffix if end == n else ""
-            back = reach(text[max(0, end - 3) : end] + tail, 2)
-            for start in range(max(0, end - back), end):
-                token = get(text[start:end] + tail if tail else text[start:end])
-                if token is not None and (start == 0 or arcs.get((last[start], token)) or arc(last[start], token)):
-                    last[end] = token
-                    break
+            for length in lengths(text[end - 3 : end] + tail, (2, 1)) if end > 2 else (2, 1):
+                start = end - length
+                if start < 0:
+                    continue
+                token = number(text[start:end] + tail)
+                if token is None:
+                    continue
+                if start:
+                    known = arcs((last[start], token))
+                    if not (arc(last[start], token) if known is None else known):
+                        continue
+                last[end], begin[end] = token, start
+                break
         out, end = [], n
         while end:
             out.append(last[end])
-            end -= len(self.labels[last[end]]) - (len(self.suffix) if end == n else 0)
+            end = begin[end]
         return out[::-1]
 
 
@@ -152,7 +166,7 @@ class WordBpe:
         return BLANKS.sub(" ", text).lower()
 
     def word(self, word: str) -> list[int]:
-        return [self._ids[t] for t in self.automaton.path(word.encode("utf-8", "surrogatepass"))]
+        return [self._ids[t] for t in self.automaton.path(self.automaton.spelling(word))]
 
     def _learn(self, run: str) -> None:
         known, found = self._words, []
@@ -185,7 +199,7 @@ class WordBpe:
                 runs += [*filter(None, BLANKS.split(text[at : found.start()])), found.group()]
                 at = found.end()
             runs += filter(None, BLANKS.split(text[at:]))
-        if self._held > 128 << 20:
+        if self._held > 256 << 20:
             self.forget()
         for run in set(runs).difference(self._runs[0]):
             self._learn(run)

@@ -39,9 +39,9 @@ def test_bpe_equals_library(pair):
 def test_automaton_small_merges():
     automaton = bpe.Automaton([("a", "a"), ("aa", "aa"), ("b", "a"), ("a", "b</w>")], "</w>")
     labels = lambda word: [automaton.labels[t] for t in automaton.path(word)]
-    assert labels(b"aaaaab") == ["aaaa", "ab</w>"]
-    assert labels(b"aaab") == ["aa", "ab</w>"]
-    assert labels(b"") == []
+    assert labels("aaaaab") == ["aaaa", "ab</w>"]
+    assert labels("aaab") == ["aa", "ab</w>"]
+    assert labels("") == []
 
 
 def test_bpe_documents(spark, pair):
