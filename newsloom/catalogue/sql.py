@@ -229,6 +229,12 @@ past AS (SELECT key, max(ts) AS last FROM keyed WHERE ts < TIMESTAMP '2024-01-16
 SELECT event_id, ts, k.key FROM keyed k LEFT JOIN past p ON p.key = k.key
 WHERE ts >= TIMESTAMP '2024-01-16' AND (p.last IS NULL OR ts - p.last >= INTERVAL 48 HOUR)"""
 
+SQL["dedup_backfill"] = """WITH keyed AS (SELECT event_id, ts, concat(user_id, '/', event_type) AS key FROM events),
+load AS (SELECT * FROM keyed WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-16'),
+past AS (SELECT * FROM keyed WHERE ts < TIMESTAMP '2024-01-10' OR ts >= TIMESTAMP '2024-01-16' OR event_id % 3 = 0)
+SELECT event_id, ts, key FROM load WHERE NOT EXISTS (
+    SELECT 1 FROM past WHERE past.key = load.key AND past.ts <= load.ts AND load.ts - past.ts < INTERVAL 48 HOUR)"""
+
 # --- URLs, ids, feeds and pages --------------------------------------------------------------
 
 SQL["normalize_url"] = f"SELECT page_id, {normalized('url')} AS url FROM pages"
@@ -246,7 +252,7 @@ SQL["ingest_raw"] = f"WITH {RAW} SELECT * EXCLUDE (page_id, html) FROM raw"
 
 def feed_rows(where: str = "TRUE") -> str:
     link = "concat('https://example.com/d/', md5(text))"
-    return f"""SELECT source, trim(text) AS title, {link} AS link, CAST({V.AS_OF_MS} AS BIGINT) AS published_ts FROM documents WHERE {where} AND trim(text) <> ''
+    return f"""SELECT source, text AS title, {link} AS link, CAST({V.AS_OF_MS} AS BIGINT) AS published_ts FROM documents WHERE {where} AND text <> ''
 UNION ALL
 SELECT source, source AS title, {link} || '/b' AS link, CAST({V.AS_OF_MS} AS BIGINT) AS published_ts FROM documents WHERE {where} AND doc_id % 5 <> 0"""
 
@@ -256,8 +262,8 @@ SQL["feed_items_atom"] = feed_rows()
 SQL["feed_items"] = feed_rows("lang IN ('en', 'fr', 'de')")
 _POLLED = f"""polled AS (
     SELECT source, title, link, {V.AS_OF_MS} + doc_id * 3600000 AS polled_at FROM (
-        SELECT doc_id, source, trim(text) AS title, concat('https://example.com/d/', md5(text)) AS link FROM documents
-        WHERE lang IN ('en', 'fr', 'de') AND trim(text) <> ''
+        SELECT doc_id, source, text AS title, concat('https://example.com/d/', md5(text)) AS link FROM documents
+        WHERE lang IN ('en', 'fr', 'de') AND text <> ''
         UNION ALL
         SELECT doc_id, source, source AS title, concat('https://example.com/d/', md5(text), '/b') AS link FROM documents
         WHERE lang IN ('en', 'fr', 'de') AND doc_id % 5 <> 0))"""

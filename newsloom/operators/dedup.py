@@ -135,14 +135,32 @@ def dedup_ttl(
 def new_articles(batch: DataFrame, history: DataFrame, ttl_s: int, key: str = "id", ts: str = "ts") -> DataFrame:
     """Rows of a load whose key was not kept in the history within `ttl_s` seconds before them.
 
-    The history is first reduced to one time per key; only history young enough to matter for
-    the load's own time range takes part.
+    History rows later than a load row do not count, nor does history outside the load's own time
+    range and one `ttl_s` before it; that bound is a literal filter on `ts`, which reaches the scan.
+    Time is cut into slices one `ttl_s` long: of a key's history in a slice, the first row decides
+    for the load rows of that slice, and the last row for those of the next. Both aggregate before
+    the exchange, so a key of any weight is two rows per slice.
     """
     ticks, unit = _ticks(batch, ts)
     past_ticks, past_unit = _ticks(history, ts)
     if unit != past_unit:
         raise ValueError("both sides need the same kind of time column")
-    kept = history.groupBy(F.col(key).alias("_key")).agg(F.max(past_ticks).alias("_last"))
+    ttl = ttl_s * unit
+    span = batch.agg(F.min(ticks).alias("first"), F.max(ticks).alias("last")).first()
+    if span["first"] is None:
+        return batch
+    kind = history.schema[ts].dataType
+
+    def literal(at: int) -> Column:
+        return F.lit(at) if isinstance(kind, LongType) else F.timestamp_micros(F.lit(at)).cast(kind)
+
+    recent = history.filter((F.col(ts) > literal(span["first"] - ttl)) & (F.col(ts) <= literal(span["last"])))
+    sliced = recent.select(F.col(key).alias("_key"), past_ticks.alias("_at")).withColumn("_slice", F.floor(F.col("_at") / F.lit(ttl)).cast("long"))
+    ends = sliced.groupBy("_key", "_slice").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    decides = F.array(F.struct("_slice", F.col("_first").alias("_at")), F.struct((F.col("_slice") + 1).alias("_slice"), F.col("_last").alias("_at")))
+    kept = ends.select("_key", F.explode(decides).alias("_e")).select("_key", "_e.*")
     timed = batch.withColumn("_t", ticks)
-    seen = (timed[key] == kept["_key"]) & (timed["_t"] - kept["_last"] < ttl_s * unit)
+    gap = timed["_t"] - kept["_at"]
+    same_slice = F.floor(timed["_t"] / F.lit(ttl)).cast("long") == kept["_slice"]
+    seen = (timed[key] == kept["_key"]) & same_slice & (gap >= 0) & (gap < ttl)
     return timed.join(kept, seen, "left_anti").drop("_t")

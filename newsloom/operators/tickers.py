@@ -152,7 +152,6 @@ def resolve_tickers(
     tickers: DataFrame,
     min_score: float = 2.0,
     max_tickers: int = 5,
-    key: str = "id",
     max_literal: int = MAX_LITERAL_SYMBOLS,
 ) -> DataFrame:
     """Articles with `tickers`: at most `max_tickers` symbols scoring `min_score` or more, best
@@ -161,7 +160,7 @@ def resolve_tickers(
     if rows is not None:
         scored = _score_literal(articles, rows)
         return scored.withColumn("tickers", _top(F.col("ticker_scores"), min_score, max_tickers)).drop("ticker_scores")
-    return _resolve_by_join(articles, tickers, min_score, max_tickers, key)
+    return _resolve_by_join(articles, tickers, min_score, max_tickers)
 
 
 def _substring_hits(texts: DataFrame, key: str, text: str, needles: DataFrame) -> DataFrame:
@@ -180,10 +179,17 @@ def _substring_hits(texts: DataFrame, key: str, text: str, needles: DataFrame) -
     return grams.join(sought, "_gram").filter(at_place == F.col("needle")).select(key, "symbol").distinct()
 
 
-def _resolve_by_join(articles: DataFrame, tickers: DataFrame, min_score: float, max_tickers: int, key: str) -> DataFrame:
+def _resolve_by_join(articles: DataFrame, tickers: DataFrame, min_score: float, max_tickers: int) -> DataFrame:
     """The same result for dictionaries too large to be a literal: each kind of evidence is an
-    equi-join that yields only the symbols an article holds, then one sum per article and symbol."""
-    facts = _evidence(articles).select(key, *_EVIDENCE)
+    equi-join that yields only the symbols an article holds, then one sum per article and symbol.
+
+    An article's evidence alone decides its symbols, so equal evidence is resolved once and the
+    articles meet it again by its digest: repeated ids stay apart.
+    """
+    columns = articles.columns
+    key = "_fact"
+    articles = _evidence(articles).withColumn(key, F.sha2(F.to_json(F.struct(*_EVIDENCE)), 256))
+    facts = articles.select(key, *_EVIDENCE).dropDuplicates([key])
     symbols = tickers.select("symbol", "ord", F.lower("symbol").alias("low"))
 
     names = tickers.select("symbol", F.explode(F.concat(F.array(F.lower("symbol")), F.transform("aliases", F.lower))).alias("needle"))
@@ -222,18 +228,23 @@ def _resolve_by_join(articles: DataFrame, tickers: DataFrame, min_score: float,
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "symbol"))).alias("_s"))
         .select(key, F.transform(F.slice("_s", 1, max_tickers), lambda s: s["symbol"]).alias("tickers"))
     )
-    return articles.join(ranked, key, "left").withColumn("tickers", F.coalesce("tickers", empty_strings()))
+    resolved = articles.select(*columns, key).join(ranked, key, "left")
+    return resolved.select(*columns, F.coalesce("tickers", empty_strings()).alias("tickers"))
+
 
+def match_entities(articles: DataFrame, tickers: DataFrame, cutoff: float = 85.0) -> DataFrame:
+    """Articles with `matched`: the symbol of each mention in `entities` that resembles an alias.
 
-def match_entities(articles: DataFrame, tickers: DataFrame, cutoff: float = 85.0, key: str = "id") -> DataFrame:
-    """Articles with `matched`: the symbol of each mention in `entities` that resembles an alias."""
+    Where the dictionary is joined, equal lists of mentions are matched once, so repeated ids stay apart."""
     local = local_aliases(tickers)
     if local is not None:
         return articles.withColumn("matched", match_mentions(F.col("entities"), local, cutoff))
-    mentions = articles.select(key, F.explode("entities").alias("mention"))
+    key, columns = "_fact", articles.columns
+    articles = articles.withColumn(key, F.sha2(F.to_json(F.struct("entities")), 256))
+    mentions = articles.select(key, "entities").dropDuplicates([key]).select(key, F.explode("entities").alias("mention"))
     found = fuzzy_match(mentions, tickers, cutoff).filter(F.col("symbol").isNotNull())
     matched = found.groupBy(key).agg(F.collect_list("symbol").alias("matched"))
-    return articles.join(matched, key, "left").withColumn("matched", F.coalesce("matched", empty_strings()))
+    return articles.join(matched, key, "left").select(*columns, F.coalesce("matched", empty_strings()).alias("matched"))
 
 
 def with_tickers(
@@ -241,12 +252,11 @@ def with_tickers(
     tickers: DataFrame,
     extractor: EntityExtractor | None = None,
     options: ResolveOptions = ResolveOptions(),
-    key: str = "id",
 ) -> DataFrame:
     """Clean articles with `entities` and `tickers`."""
     extractor = extractor if extractor is not None else CapitalizedRuns()
     text = entity_text(F.col("title"), F.col("body"), options.entity_chars)
     found = clean.withColumn("entities", extractor.mentions(text))
     if not isinstance(extractor, NoEntities):
-        found = match_entities(found, tickers, options.fuzzy_cutoff, key)
-    return resolve_tickers(found, tickers, options.min_score, options.max_tickers, key).drop("matched")
+        found = match_entities(found, tickers, options.fuzzy_cutoff)
+    return resolve_tickers(found, tickers, options.min_score, options.max_tickers).drop("matched")

@@ -106,11 +106,13 @@ def clean(
     """Raw articles to clean ones: fetch result by URL, text, language and length filters.
 
     With `parse_first` pages are parsed before the join: once per page, however many articles
-    share it, and only title and text go through the exchange. Turn it off where most of the
-    crawl matches no article, as in a stream against a large crawl.
+    share it. In batch, pages that no article names leave before they are parsed. Turn it off for a
+    stream against a large crawl.
     """
     if parse_first:
         pages = successful_fetches(crawl).filter(F.col("html").isNotNull())
+        if not raw.isStreaming and not crawl.isStreaming:
+            pages = pages.join(raw.select("url"), "url", "left_semi")
         joined = raw.join(pages.select("url", parse_html(F.col("html"), mode).alias("_page")), "url")
     else:
         joined = attach_html(raw, crawl)

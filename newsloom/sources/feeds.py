@@ -15,7 +15,9 @@ _FEED_XML = """
     entry ARRAY<STRUCT<title ARRAY<STRING>, link ARRAY<STRUCT<_href STRING, _VALUE STRING>>, published ARRAY<STRING>>>
 """
 _ITEMS = "array<struct<title:string,link:string,published:string>>"
-_ROOT = r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*){0,100}<([A-Za-z][A-Za-z0-9:]*)"
+# Comments and instructions, an unclosed one up to the end, so that each character is read once.
+_ASIDES = r"(?s)<!--.*?(?:-->|\z)|<\?.*?(?:\?>|\z)"
+_ROOT = r"(?s)\A\s*+(?:<!DOCTYPE[^\[>]*+(?:\[[^\]]*+\])?[^>]*+>\s*+)?<([A-Za-z][A-Za-z0-9:]*+)"
 
 # Date formats of RSS (after the weekday) and Atom.
 _DATE_FORMATS = ["d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "yyyy-MM-dd'T'HH:mm:ssXXX"]
@@ -60,10 +62,11 @@ def _explode_items(feeds: DataFrame, items: Column, published: str, as_of) -> Da
 
 
 def _parsed(feeds: DataFrame, xml: str) -> DataFrame:
+    text = F.regexp_replace(F.col(xml), F.lit("\\A\\x{FEFF}"), F.lit(""))  # a byte order mark
     return feeds.select(
         "source",
-        F.lower(F.regexp_extract(xml, _ROOT, 1)).alias("root"),
-        F.from_xml(F.col(xml), _FEED_XML, {"mode": "PERMISSIVE"}).alias("doc"),
+        F.lower(F.regexp_extract(F.regexp_replace(text, F.lit(_ASIDES), F.lit("")), _ROOT, 1)).alias("root"),
+        F.from_xml(text, _FEED_XML, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}).alias("doc"),
     )
 
 

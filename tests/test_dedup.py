@@ -74,3 +74,15 @@ def test_heavy_key_within_ttl_is_not_folded(spark, monkeypatch):
     monkeypatch.setattr(dedup, "_fold", lambda part, *rest: seen.append(sorted({r.k for r in part.collect()})) or fold(part, *rest))
     kept = sorted(map(tuple, dedup.dedup_ttl(df, "k", "t", 60, fold_limit=5).collect()))
     assert seen == [["slow"]] and kept == [("hot", 0), ("slow", 0), ("slow", 60_000), ("slow", 120_000)]
+
+
+def test_new_articles_looks_back_only(spark):
+    rnd = random.Random(5)
+    history = [(rnd.choice("hhhab"), rnd.randrange(-300, 300)) for _ in range(60)]
+    batch = [(rnd.choice("hhhabc"), rnd.randrange(-50, 200)) for _ in range(300)]
+    stated = sorted((k, t) for k, t in batch if not any(j == k and 0 <= t - h < 20 for j, h in history))
+    past, load = (spark.createDataFrame([(k, t * 1000) for k, t in rows], "id string, ts long") for rows in (history, batch))
+    found = sorted((r.id, r.ts // 1000) for r in new_articles(load, past, 20).collect())
+    assert found == stated and 0 < len(found) < len(batch)
+    assert new_articles(load.limit(0), past, 20).count() == 0
+    assert new_articles(load, past.limit(0), 20).count() == len(batch)

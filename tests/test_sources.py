@@ -42,6 +42,16 @@ def test_feed_items(feed_docs):
     assert items(both) == expected
 
 
+def test_prologs_and_blanks(spark):
+    item = "<item><title> a </title><link>l</link></item><item><title> </title><link>m</link></item>"
+    rss = f"<rss><channel>{item}</channel></rss>"
+    subset = "<!DOCTYPE rss [ <!ELEMENT rss (channel)> <!-- ]> --> <!ENTITY x 'y>'> ]>"
+    docs = [("bom", "\ufeff" + rss), ("mark", "\ufeff<?xml version='1.0'?>\n" + rss), ("subset", subset + rss),
+            ("many", "<!-- c -->" * 5_000 + rss), ("open", "<!-- " * 5_000), ("text", "<!-- c -->" * 5_000 + "text")]
+    found = feeds.feed_items(spark.createDataFrame(docs, "source string, xml string"), as_of=5).collect()
+    assert sorted((r.source, r.title, r.link) for r in found) == sorted((s, t, k) for s in ("bom", "mark", "subset", "many") for t, k in ((" a ", "l"), (" ", "m")))
+
+
 def test_parsed_times(feed_docs):
     times = {r["source"]: r["published_ts"] for r in feeds.feed_items(feed_docs, published="parse", as_of=5).collect()}
     assert times == {"atom": 1_704_067_200_000, "caps": 1_704_067_200_000, "cdata": 5, "rdf": 5, "rss": 5}

@@ -159,3 +159,12 @@ def test_large_dictionary_never_pairs_everything(spark, dictionary, plan):
     mentions = spark.createDataFrame([("Apple",)], "mention string")
     text = plan(fuzzy.fuzzy_match(mentions, dictionary, max_local=0))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_repeated_ids_stay_apart(spark, dictionary):
+    rows = [(1, "$AAPL up", ["Apple"]), (1, "$MSFT up", ["Microsoft", "Apple"]), (1, "$AAPL up", ["Apple"]), (None, "$NVDA", []), (2, None, None)]
+    df = spark.createDataFrame(rows, "id long, title string, entities array<string>").withColumn("body", F.lit("")).withColumn("hints", F.array().cast("array<string>"))
+    for max_literal in (256, 0):
+        out = resolve.resolve_tickers(df, dictionary, max_literal=max_literal)
+        assert out.columns == [*df.columns, "tickers"]
+        assert sorted((str(r.id), r.tickers) for r in out.collect()) == [("1", ["AAPL"]), ("1", ["AAPL"]), ("1", ["MSFT"]), ("2", []), ("None", ["NVDA"])]
