@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +14,8 @@ from newsloom.settings import ResolveOptions
 
 # Largest dictionary written into the plan as a literal; beyond it, articles meet symbols in joins.
 MAX_LITERAL_SYMBOLS = 256
+# Most symbols a plan takes as one literal where only a row-local form will do (all scores, streams).
+MAX_ROW_LOCAL_SYMBOLS = 20_000
 
 # Weight of each kind of evidence. A known cashtag counts in two places.
 CASHTAG_WEIGHT = 2.0 + 2.0
@@ -102,7 +105,7 @@ def _literal_dictionary(tickers: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def score_tickers(articles: DataFrame, tickers: DataFrame, max_literal: int = MAX_LITERAL_SYMBOLS) -> DataFrame:
+def score_tickers(articles: DataFrame, tickers: DataFrame, max_literal: int = MAX_ROW_LOCAL_SYMBOLS) -> DataFrame:
     """Articles with `ticker_scores`: every symbol with a positive score, best first.
 
     A dictionary of at most `max_literal` symbols is part of the expression, so scoring is
@@ -116,17 +119,9 @@ def score_tickers(articles: DataFrame, tickers: DataFrame, max_literal: int = MA
 
 
 def _score_literal(articles: DataFrame, rows: list) -> DataFrame:
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(r["symbol"]).alias("symbol"),
-                F.lit(r["ord"]).cast("int").alias("ord"),
-                F.lit(r["symbol"].lower()).alias("low"),
-                string_array([a.lower() for a in r["aliases"] if a]).alias("names"),
-            )
-            for r in rows
-        ]
-    )
+    # One constant, whatever the size of the dictionary: Catalyst folds it into a single literal.
+    stated = [{"symbol": r["symbol"], "ord": r["ord"], "low": r["symbol"].lower(), "names": [a.lower() for a in r["aliases"] if a]} for r in rows]
+    entries = F.from_json(F.lit(json.dumps(stated)), "array<struct<symbol:string,ord:int,low:string,names:array<string>>>")
     scored = F.transform(
         entries,
         lambda d: F.struct(
@@ -155,8 +150,14 @@ def resolve_tickers(
     max_literal: int = MAX_LITERAL_SYMBOLS,
 ) -> DataFrame:
     """Articles with `tickers`: at most `max_tickers` symbols scoring `min_score` or more, best
-    first, ties in dictionary order."""
-    rows = _literal_dictionary(tickers, max_literal)
+    first, ties in dictionary order.
+
+    In a batch, a dictionary over `max_literal` symbols meets the articles in joins. A stream is
+    always resolved row by row, with at most MAX_ROW_LOCAL_SYMBOLS symbols.
+    """
+    rows = _literal_dictionary(tickers, MAX_ROW_LOCAL_SYMBOLS if articles.isStreaming else max_literal)
+    if rows is None and articles.isStreaming:
+        raise ValueError(f"a stream takes at most {MAX_ROW_LOCAL_SYMBOLS} symbols")
     if rows is not None:
         scored = _score_literal(articles, rows)
         return scored.withColumn("tickers", _top(F.col("ticker_scores"), min_score, max_tickers)).drop("ticker_scores")

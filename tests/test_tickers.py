@@ -168,3 +168,20 @@ def test_repeated_ids_stay_apart(spark, dictionary):
         out = resolve.resolve_tickers(df, dictionary, max_literal=max_literal)
         assert out.columns == [*df.columns, "tickers"]
         assert sorted((str(r.id), r.tickers) for r in out.collect()) == [("1", ["AAPL"]), ("1", ["AAPL"]), ("1", ["MSFT"]), ("2", []), ("None", ["NVDA"])]
+
+
+def test_hundreds_of_symbols(spark, tmp_path):
+    """Over the literal limit: joins, all scores, and a stream give the same."""
+    symbol = lambda i: "Z" + "QXJW"[i % 4] + chr(65 + i // 4 % 26) + chr(65 + i // 104)
+    many = tickers_from_rows(spark, [(symbol(i), f"Firm{i} Ltd", f"firm{i}x;Brand{i}") for i in range(400)])
+    rows = [(str(i), f"${symbol(i)} and Brand{i + 1} news", f"about ${symbol(7)}") for i in range(0, 400, 40)]
+    df = spark.createDataFrame(rows, "id string, title string, body string").withColumn("hints", F.array().cast("array<string>"))
+    local = {r.id: r.tickers for r in resolve.resolve_tickers(df, many, max_literal=1000).collect()}
+    assert {r.id: r.tickers for r in resolve.resolve_tickers(df, many).collect()} == local
+    best = {r.id: [s.symbol for s in r.ticker_scores if s.score >= 2][:5] for r in resolve.score_tickers(df, many).collect()}
+    assert best == local and all({symbol(int(i)), symbol(7)} <= set(local[i]) for i in local)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = resolve.resolve_tickers(stream, many).writeStream.format("memory").queryName("many_symbols").trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination(60)
+    assert {r.id: r.tickers for r in spark.table("many_symbols").collect()} == local
