@@ -45,8 +45,13 @@ class CapitalizedRuns:
         runs = F.regexp_extract_all(text, F.lit(f"{word}(?: {word}){{0,7}}"), F.lit(0))
         if not self.names:
             return runs
-        known = F.filter(string_array(self.names), lambda n: F.contains(text, n) & ~F.array_contains(runs, n))
-        return F.concat(runs, known)
+        names = string_array(self.names)
+
+        def with_known(found: Column) -> Column:
+            return F.concat(found, F.filter(names, lambda n: F.contains(text, n) & ~F.array_contains(found, n)))
+
+        # Bound as an element, so the pattern runs once and not per name.
+        return F.get(F.transform(F.array(runs), with_known), F.lit(0))
 
 
 class NoEntities:
