@@ -8,13 +8,15 @@ unless a document has little else. Sets that share a prefix member get into one
 smallest document, and so on transitively; this loses no link. Equal sets count once from the start.
 
 The join: in a cluster, packs of sets are stored in a prefix tree, in an order of their members
-that all sets of the tree share (most frequent first, so near copies share long paths). Batches of
-the cluster's sets go down the tree; the overlap along a shared path is counted once, and a subtree
-is left when its remaining length cannot bring any of its sets to the needed overlap, or when it
-holds only sets of the same component. What comes out are links that connect; a link between sets
-already connected is not searched for. Packs are of bounded members. A cluster, however large, is
-dealt over tasks in salted slices, which meet a pack in a stream; its largest component needs no
-packs, so a group of copies takes as many rounds as it has sets outside that component, in packs.
+that all sets of the tree share (most frequent first, so near copies share long paths). A pack's own
+sets go down its tree, and those of the cluster's other sets that share a prefix member with a set of
+the pack whose size and component leave a link open. They go in batches; the overlap along a shared
+path is counted once, and a subtree is left when its remaining length cannot bring any of its sets to
+the needed overlap, or when it holds only sets of the same component. What comes out are links that
+connect; a link between sets already connected is not searched for. Packs are of bounded members. A
+cluster, however large, is dealt over tasks in salted slices, which meet a pack in a stream; its
+largest component needs no packs, so a group of copies takes as many rounds as it has sets outside
+that component, in packs.
 
 Defined results: null text, empty text and texts without words have an empty set and link with
 nothing; fewer words than n make one member; rows with a null doc_id have a size but no component;
@@ -48,6 +50,7 @@ class JoinOptions:
     pack_sets: int = 256
     pack_members: int = 1_000_000
     slice_members: int = 4_000_000
+    slice_sets: int = 1024
     packs_per_round: int = 16
 
     def prefix(self, n: int) -> int:
@@ -226,9 +229,11 @@ class PrefixTree:
             waiting += [(child, active, overlap) for child in node[3]]
 
 
-def _probe(rows: Iterator[tuple], percent: int) -> Iterator[tuple]:
+def _probe(rows: Iterator[tuple], percent: int, own: bool) -> Iterator[tuple]:
     """Links of one pack's stream: its sets (kind 0) come first, then the sets to look up (kind 1).
 
+    own: the pack's sets are looked up too.
+
     rows: (kind, rep, group, members). Groups that a found link connects are joined for the rest of
     the stream, so at most one link comes out per set and pack member.
     """
@@ -256,15 +261,30 @@ def _probe(rows: Iterator[tuple], percent: int) -> Iterator[tuple]:
                 yield held[j][0], pack[i][0]
         held = []
 
-    for kind, rep, group, members in rows:
-        if kind == 0:
-            pack.append((rep, group, members))
-            continue
-        if tree is None and pack:
-            tree = PrefixTree([p[2] for p in pack], [p[1] for p in pack])
-            room = max(1, min(256, (32 << 20) // max(1, len(tree.universe))))
-        held.append((rep, group, members))
-        weight += len(members)
+    def looked_up():
+        nonlocal tree, room
+        rest = None
+        for kind, *row in rows:
+            if kind == 1:
+                rest = row
+                break
+            pack.append(row)
+        if not pack:
+            return
+        if rest is None and not own:
+            return
+        tree = PrefixTree([p[2] for p in pack], [p[1] for p in pack])
+        room = max(1, min(256, (32 << 20) // max(1, len(tree.universe))))
+        if own:
+            yield from pack
+        if rest is not None:
+            yield rest
+            for _, *row in rows:
+                yield row
+
+    for row in looked_up():
+        held.append(row)
+        weight += len(row[2])
         if len(held) >= room or weight >= 4_000_000:
             yield from flush()
             weight = 0
@@ -299,11 +319,11 @@ def pack_links(stream: DataFrame, percent: int) -> DataFrame:
                         ahead = next(buffer, None)
                         yield value
 
-                yield one()
+                yield current, one()
 
         out: list[tuple] = []
-        for group in groups():
-            for link in _probe(group, percent):
+        for (_, salt), group in groups():
+            for link in _probe(group, percent, salt == 0):
                 out.append(link)
                 if len(out) >= 50_000:
                     yield made(out, ids)
@@ -320,8 +340,8 @@ def pack_links(stream: DataFrame, percent: int) -> DataFrame:
 # --- the join ---------------------------------------------------------------------------------
 
 
-def clusters(reps: DataFrame, options: JoinOptions) -> DataFrame:
-    """(node, component): sets that share a prefix member, transitively. reps: rep, n, low, more.
+def clusters(reps: DataFrame, options: JoinOptions) -> tuple[DataFrame, DataFrame]:
+    """(node, component): sets that share a prefix member, transitively; and (rep, gram) of the shared ones. reps: rep, n, low, more.
 
     Counts and minima are aggregated before the shuffle; the joins back are ordinary joins, which
     Spark splits where an n-gram is common.
@@ -336,37 +356,56 @@ def clusters(reps: DataFrame, options: JoinOptions) -> DataFrame:
     first = kept.select("rep", F.explode(F.slice("common", F.lit(1), F.col("_room"))["gram"]).alias("gram"))
     members = written(first.unionByName(reps.select("rep", F.explode("more").alias("gram"))), "prefixes")
     hubs = members.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where(F.col("hub") < F.col("_last")).select("gram", "hub")
-    edges = members.join(hubs, "gram").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    return components(edges)
+    held = written(members.join(hubs, "gram").select("rep", "gram", "hub"), "shared-prefixes")
+    edges = held.where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    return components(edges), held.select("rep", "gram")
+
+
+def _routes(waiting: DataFrame, packed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, cluster, comp, pack_no): the packs that hold a set which a waiting set may link to, its own and earlier packs left out.
+
+    Two sets may link when they share a prefix member, their sizes are near enough and their
+    components differ. Of two packs' sets, those of the earlier pack are looked up in the later one.
+    """
+    bounds = packed.join(held, "rep").groupBy("gram", "pack_no").agg(F.min("n").alias("_low"), F.max("n").alias("_high"), F.min("comp").alias("_c1"), F.max("comp").alias("_c2"))
+    own = packed.select("rep", "n", F.col("pack_no").alias("_own"))
+    asked = waiting.select("rep", "n", "cluster", "comp").join(own, ["rep", "n"], "left").join(held, "rep")
+    near = (100 * F.col("n") >= percent * F.col("_low")) & (100 * F.col("_high") >= percent * F.col("n"))
+    other = (F.col("_c1") != F.col("comp")) | (F.col("_c2") != F.col("comp"))
+    later = F.col("_own").isNull() | (F.col("_own") < F.col("pack_no"))
+    return asked.join(bounds, "gram").where(near & other & later).select("rep", "n", "cluster", "comp", "pack_no").distinct()
 
 
-def _rounds(sets: DataFrame, options: JoinOptions) -> DataFrame | None:
+def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame | None:
     """Links of all clusters' sets. Each round makes packs of the sets that still have to be looked up."""
-    state = written(sets.select("rep", "cluster", "n", F.col("rep").alias("comp"), F.lit(False).alias("done")), "join-state")
+    state = written(sets.select("rep", "cluster", "n", F.col("rep").alias("comp"), F.lit(False).alias("done")).distinct(), "join-state")
     links, first = None, True
     while True:
         # A cluster goes on while its sets that were in no pack belong to several components.
         open_sets = state.where(~F.col("done"))
-        going = open_sets.groupBy("cluster").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), F.sum("n").alias("_weight")).where(F.col("_c1") < F.col("_c2"))
-        going = written(going.select("cluster", F.greatest(F.lit(1), F.ceil(F.col("_weight") / options.slice_members)).cast("int").alias("slices")), "join-going")
+        going = open_sets.groupBy("cluster").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).where(F.col("_c1") < F.col("_c2"))
+        going = written(going.select("cluster"), "join-going")
         if not going.take(1):
             return links
         sizes = open_sets.join(going, "cluster").groupBy("cluster", "comp").agg(F.count("*").alias("_size"))
         waiting = open_sets.join(going, "cluster").join(sizes, ["cluster", "comp"])
         # Small components first: once all sets outside the largest one were in packs, the cluster is through.
-        rank = Window.partitionBy("cluster").orderBy("_size", "comp", "rep", "n")
+        # Among components of one size, sets of near sizes share a pack.
+        rank = Window.partitionBy("cluster").orderBy("_size", "n", "comp", "rep")
         most = options.pack_sets * (1 if first else options.packs_per_round)
         ranked = waiting.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= most)
         weight = F.sum("n").over(Window.partitionBy("cluster").orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         number = F.floor((F.col("_rank") - 1) / options.pack_sets) * 1_000_000 + F.floor(weight / options.pack_members)
-        packed = written(ranked.withColumn("pack_no", number.cast("long")).select("rep", "n", "cluster", "slices", "pack_no"), "join-packs")
-        packs = packed.select("cluster", "pack_no").distinct()
-        salt = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
-        live = state.where(~F.col("done")).select("rep", "n", "comp").join(sets, ["rep", "n"])
-        key = F.struct("cluster", "pack_no").alias("pack")
-        stored = live.join(packed.select("rep", "n", "slices", "pack_no"), ["rep", "n"]).select(key, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"), F.lit(0).alias("kind"), "rep", "comp", "members")
-        looked_up = live.join(going, "cluster").join(packs, "cluster").select(key, salt.alias("salt"), F.lit(1).alias("kind"), "rep", "comp", "members")
-        stream = stored.unionByName(looked_up).withColumn("pack", F.xxhash64("pack")).repartition("pack", "salt").sortWithinPartitions("pack", "salt", "kind", "rep")
+        packed = written(ranked.withColumn("pack_no", number.cast("long")).select("rep", "n", "comp", "cluster", "pack_no"), "join-packs")
+        routes = written(_routes(waiting, packed, held, options.percent), "join-routes")
+        slices = F.greatest(F.ceil(F.sum("n") / options.slice_members), F.ceil(F.count("*") / options.slice_sets)).cast("int")
+        dealt = routes.groupBy("cluster", "pack_no").agg(slices.alias("slices"))
+        pack, salts = F.xxhash64("cluster", "pack_no").alias("pack"), F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
+        stored = packed.join(dealt, ["cluster", "pack_no"], "left").select("rep", "n", pack, F.explode(salts).alias("salt"), F.lit(0).alias("kind"), "comp")
+        looked_up = routes.join(dealt, ["cluster", "pack_no"]).select("rep", "n", pack, F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int").alias("salt"), F.lit(1).alias("kind"), "comp")
+        keys = written(stored.unionByName(looked_up), "join-keys")
+        stream = sets.select("rep", "n", "members").join(broadcast_if_small(keys, keys.count(), 96), ["rep", "n"])
+        stream = stream.repartition("pack", "salt").sortWithinPartitions("pack", "salt", "kind", "rep")
         found = written(pack_links(stream, options.percent), "join-links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -386,10 +425,10 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
     copies = classes.where(F.col("_copies") > 1).select("rep", *same).join(full, same).where(F.col("doc_id") != F.col("rep")).select("doc_id")
     copies = written(copies, "copies")
     firsts = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(broadcast_if_small(copies, copies.count(), 16), "doc_id", "left_anti")
-    found = clusters(firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "low", "more"), options)
+    found, held = clusters(firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "low", "more"), options)
     wanted = classes.join(found, classes["rep"] == found["node"]).select("rep", F.col("component").alias("cluster"), F.col("n_shingles").alias("n"), "f1", "f2")
     sets = written(member_sets(docs, written(wanted, "wanted"), options), "member-sets")
-    links = _rounds(sets, options)
+    links = _rounds(sets, held, options)
     if links is not None:
         labels = components(links)
         classes = classes.join(labels, classes["rep"] == labels["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
