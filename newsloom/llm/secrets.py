@@ -5,7 +5,8 @@ data are made of, with up to two padding signs. The forest looks at its length,
 words cover, the path of the document, and the neighbouring text. Training runs on at most
 `sample_documents` documents' candidates and `sample_findings` rows, with generated findings of
 known labels beside them; the trained trees become one SQL expression, so a scan is row-local
-DataFrame work: candidates and the text between them are two arrays of one row.
+DataFrame work: candidates and the text between them are two arrays of one row. The neighbouring text
+is that of the whole document: a long credential name is itself a candidate and still stands before its value.
 
 Labels of the corpus part, where no labelled table is given, follow a stated rule: letters with
 digits that are assigned to a credential name, or begin like a known key format, are a secret; other
@@ -103,6 +104,23 @@ def _items(text: Column, options: ScanOptions) -> tuple[Column, Column]:
     return F.regexp_extract_all(whole, F.lit(_pattern(options)), F.lit(0)), F.split(whole, _pattern(options), -1)
 
 
+def _in_context(found: Column, between: Column, options: ScanOptions) -> Column:
+    """value, before, after of each candidate: the text around it, other candidates included.
+
+    Put together from as many neighbouring pieces as the widths can reach, so the work grows with the text.
+    """
+    reach = lambda width: range(1, -(-width // options.least_length) + 1)
+
+    def item(value: Column, i: Column) -> Column:
+        left = [p for j in reversed(reach(options.before)) for p in (F.get(between, i - j), F.get(found, i - j))] + [F.get(between, i)]
+        right = [F.get(between, i + 1)] + [p for j in reach(options.after) for p in (F.get(found, i + j), F.get(between, i + j + 1))]
+        ends = [F.coalesce(F.right(p, F.lit(options.before)), F.lit("")) for p in left]
+        starts = [F.coalesce(F.left(p, F.lit(options.after)), F.lit("")) for p in right]
+        return F.struct(value.alias("value"), F.right(F.concat(*ends), F.lit(options.before)).alias("before"), F.left(F.concat(*starts), F.lit(options.after)).alias("after"))
+
+    return F.transform(found, item)
+
+
 def candidates(docs: DataFrame, options: ScanOptions = ScanOptions(), path_col: str = "source") -> DataFrame:
     """doc_id, path, start (characters before it), value, before, after: one row per candidate."""
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
@@ -112,8 +130,8 @@ def candidates(docs: DataFrame, options: ScanOptions = ScanOptions(), path_col:
     # Ends of the candidates so far; each starts its own length before its end.
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
     cut = cut.withColumn("ends", ends)
-    item = lambda value, i: F.struct((F.get("ends", i + 1) - F.length(value)).alias("start"), value.alias("value"), F.right(F.get("between", i), F.lit(options.before)).alias("before"), F.left(F.get("between", i + 1), F.lit(options.after)).alias("after"))
-    return cut.select("doc_id", "path", F.inline(F.transform("found", item)))
+    item = lambda c, i: F.struct((F.get("ends", i + 1) - F.length(c["value"])).alias("start"), c["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after"))
+    return cut.select("doc_id", "path", F.inline(F.transform(_in_context(F.col("found"), F.col("between"), options), item)))
 
 
 def rule_label(value: Column, before: Column) -> Column:
@@ -215,13 +233,13 @@ def redact(docs: DataFrame, forest: Forest, path_col: str = "source", mark: str
     path = F.col(path_col).cast("string") if path_col in names else F.lit(None).cast("string")
     held = docs.select(*names, found.alias("_found"), between.alias("_between"), path.alias("_path"))
 
-    def replaced(value: Column, i: Column) -> Column:
-        before, after = F.right(F.get("_between", i), F.lit(options.before)), F.left(F.get("_between", i + 1), F.lit(options.after))
-        inputs = F.array(*features(value, before, after, F.col("_path")))
+    def replaced(item: Column) -> Column:
+        value = item["value"]
+        inputs = F.array(*features(value, item["before"], item["after"], F.col("_path")))
         # A one-element transform binds the features, so that each is computed once per candidate.
         score = F.get(F.transform(F.array(inputs), lambda f: forest_score(forest, [F.get(f, k) for k in range(len(features(*[F.lit("")] * 4)))])), 0)
         return F.when(score >= options.threshold, F.lit(mark)).otherwise(value)
 
-    kept = F.concat(F.array_join(F.zip_with(F.transform("_found", replaced), F.slice("_between", F.lit(1), F.size("_found")), lambda v, b: F.concat(b, v)), ""), F.element_at("_between", -1))
+    kept = F.concat(F.array_join(F.zip_with(F.transform(_in_context(F.col("_found"), F.col("_between"), options), replaced), F.slice("_between", F.lit(1), F.size("_found")), lambda v, b: F.concat(b, v)), ""), F.element_at("_between", -1))
     text = F.when(F.size("_found") > 0, kept).otherwise(F.col("text").cast("string"))
     return held.withColumn("_text", text).select(*[F.col("_text").alias("text") if n == "text" else F.col(n) for n in names])

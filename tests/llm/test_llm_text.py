@@ -148,6 +148,30 @@ def test_secret_candidates_and_redaction(spark):
     assert secrets.scan(docs.limit(0), forest).count() == 0
 
 
+def test_long_credential_names_stand_before_their_values(spark):
+    options = secrets.ScanOptions(generated=1000)
+    value = "q7Rt2LmX9vKpW4sZ8bNc3dFg"
+    texts = [
+        f'aws_secret_access_key = "{value}"',
+        f"GITHUB_ACCESS_TOKEN={value}",
+        f"DATABASE_PASSWORD={value}\n",
+        f"é azure_client_secret: {value} then_a_long_word_follows",
+        f"https://host.org/a/long/path.html aaaaaaaaaaaaaaaa=bbbbbbbbbbbbbbbb=cccccccccccccccc {value}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.candidates(docs).withColumn("label", secrets.rule_label(F.col("value"), F.col("before"))).collect()
+    for r in found:
+        text, end = texts[r.doc_id], r.start + len(r.value)
+        assert text[r.start : end] == r.value
+        assert (r.before, r.after) == (text[max(0, r.start - options.before) : r.start], text[end : end + options.after])
+    assert [r.label for r in sorted(found, key=lambda r: r.doc_id) if r.value == value] == [1.0, 1.0, 1.0, 1.0, 0.0]
+    forest = secrets.train(secrets.generated_findings(spark, options), options)
+    flagged = {(r.doc_id, r.value) for r in secrets.scan(docs, forest).where("is_secret = 1").collect()}
+    assert {f for f in flagged if f[0] < 4} == {(i, value) for i in range(4)}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert [clean[i] for i in range(4)] == [t.replace(value, "[SECRET]") for t in texts[:4]]
+
+
 def test_forest_expression_equals_walk(spark):
     options = secrets.ScanOptions(generated=500, trees=3, depth=3)
     forest = secrets.train(secrets.generated_findings(spark, options), options)
