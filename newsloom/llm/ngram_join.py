@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.llm.common import broadcast_if_small, written
 from newsloom.llm.components import components
@@ -102,8 +102,13 @@ def fingerprint(members: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
+def text_hash() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+
+
 def counted_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (what identifies the set), low (its n-grams of the lower range), more (further ones of its prefix)."""
+    """doc_id, text_hash, n_shingles, f1 and f2 (what identifies the set), low (its n-grams of the lower range), more (further ones of its prefix)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,18 +116,18 @@ def counted_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
         longs = pa.list_(pa.int64())
         for batch in batches:
             sizes, marks, low, more = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 members = shingle(text.as_py() or "")
                 cut = int(np.searchsorted(members, end))
                 sizes.append(len(members))
                 marks.append(fingerprint(members))
                 low.append(members[:cut].view(np.int64))
                 more.append(members[cut : options.prefix(len(members))].view(np.int64) if len(members) else members.view(np.int64))
-            out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(low, longs), pa.array(more, longs)]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "f1", "f2", "low", "more"])
+            out = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(low, longs), pa.array(more, longs)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "low", "more"])
 
-    schema = f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, low array<bigint>, more array<bigint>"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, low array<bigint>, more array<bigint>"
+    return docs.select("doc_id", text_hash(), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def member_sets(docs: DataFrame, wanted: DataFrame, options: JoinOptions) -> DataFrame:
@@ -415,16 +420,16 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         first = False
 
 
-def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _labelled(docs: DataFrame, options: JoinOptions) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row."""
     base = written(counted_sets(docs, options), "sets")
     same = ["n_shingles", "f1", "f2"]
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", *same)
     classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_copies")), "classes")
-    # One set per class of equal sets goes on; the copies' ids are left out, by broadcast where they are few.
-    copies = classes.where(F.col("_copies") > 1).select("rep", *same).join(full, same).where(F.col("doc_id") != F.col("rep")).select("doc_id")
+    # One set per class of equal sets goes on; the copies are left out (an id may be another set's first), by broadcast where they are few.
+    copies = classes.where(F.col("_copies") > 1).select("rep", *same).join(full, same).where(F.col("doc_id") != F.col("rep")).select("doc_id", *same)
     copies = written(copies, "copies")
-    firsts = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(broadcast_if_small(copies, copies.count(), 16), "doc_id", "left_anti")
+    firsts = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(broadcast_if_small(copies, copies.count(), 40), ["doc_id", *same], "left_anti")
     found, held = clusters(firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "low", "more"), options)
     wanted = classes.join(found, classes["rep"] == found["node"]).select("rep", F.col("component").alias("cluster"), F.col("n_shingles").alias("n"), "f1", "f2")
     sets = written(member_sets(docs, written(wanted, "wanted"), options), "member-sets")
@@ -433,15 +438,19 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) ->
         labels = components(links)
         classes = classes.join(labels, classes["rep"] == labels["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
     moved = classes.where((F.col("_copies") > 1) | F.col("component").isNotNull()) if links is not None else classes.where(F.col("_copies") > 1)
-    out = base.select("doc_id", *same).join(moved.select(*[F.col(c).alias(f"_{c}") for c in same], "rep"), [F.col(c) == F.col(f"_{c}") for c in same], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
+    out = base.select("doc_id", "text_hash", *same).join(moved.select(*[F.col(c).alias(f"_{c}") for c in same], "rep"), [F.col(c) == F.col(f"_{c}") for c in same], "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return _labelled(docs, options).drop("text_hash")
 
 
 def keep_first(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """Documents without those that link, directly or over others, to one of a smaller doc_id.
+    """Rows without those whose text links, directly or over others, to one of a smaller doc_id.
 
-    Rows that repeat a kept doc_id are kept too; rows without an id stay.
+    Rows that repeat a doc_id are judged each by its own text; rows without an id stay.
     """
-    found = jaccard_components(docs, options)
-    later = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(written(later, "later-copies"), "doc_id", "left_anti").select(*docs.columns)
+    later = _labelled(docs, options).where(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
+    return docs.withColumn("_text_hash", text_hash()).join(written(later, "later-copies"), ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)

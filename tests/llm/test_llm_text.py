@@ -105,6 +105,19 @@ def test_ngram_join_nulls_and_empty(spark):
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_one_id_with_two_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    near = two + " z"
+    rows = [(3, one), (5, one), (5, two), (9, near), (9, near), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).where("doc_id is not null").collect()}
+    assert got == {(3, 58, 3), (5, 58, 3), (5, 58, 5), (9, 59, 5)}
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.where("doc_id is not null").collect())) == [(3, one), (5, two)]
+    assert kept.where("doc_id is null").count() == 1
+
+
 def test_factorisation_identity():
     options = quality.FMOptions(buckets=32, rank=3)
     rng = np.random.default_rng(0)
