@@ -1,5 +1,6 @@
 """BPE, n-gram join, quality, secrets and mixing against plain versions."""
 
+import hashlib
 import os
 import random
 import re
@@ -53,6 +54,22 @@ def test_bpe_documents(spark, pair):
     assert bpe.round_trip_digests(docs.limit(0), queries.WORD_BPE).count() == 0
 
 
+def test_bpe_digests_equal_library(spark, pair):
+    ours, library = pair
+    rng = random.Random(2)
+    parts = ["aaaa", "'s", "the", "ing", "Σ", "İ", "é", "\x1c", "\u3000", "<|endoftext|>", "<|", "12", "½", "日本", "😀", "\u200b", "!!", " ", "\n", "hello"]
+    texts = ["", " ", "\n\n"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    stated = []
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        stated.append((len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)))
+        assert ours.spelled(text) == stated[-1], repr(text)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.round_trip_digests(docs, queries.WORD_BPE).collect()}
+    assert got == {i: (n, digest(ids), digest(decoded)) for i, (n, ids, decoded) in enumerate(stated)}
+
+
 def brute_components(rows, percent=90, width=3):
     sets = {}
     for i, text in rows:
