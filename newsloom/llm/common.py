@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsloom.settings import work_folder, written
 
@@ -38,3 +38,17 @@ def finite_vector(vector: Column) -> Column:
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column of equal lengths as doubles."""
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+
+
+def with_base(parts: DataFrame, number: str, amount: str, group: int = 1024) -> DataFrame:
+    """`base`: the sum of `amount` over all rows of a smaller `number` (a distinct long).
+
+    Sums run inside groups of consecutive numbers, then over the groups' totals, so the one task
+    without a key sees a row per group only.
+    """
+    grouped = parts.withColumn("_group", F.floor(F.col(number) / group))
+    totals = grouped.groupBy("_group").agg(F.sum(amount).alias("_total"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.withColumn("_earlier", F.coalesce(F.sum("_total").over(before.orderBy("_group")), F.lit(0))).drop("_total")
+    inside = F.coalesce(F.sum(amount).over(before.partitionBy("_group").orderBy(number)), F.lit(0))
+    return grouped.withColumn("_inside", inside).join(earlier, "_group").withColumn("base", F.col("_inside") + F.col("_earlier")).drop("_group", "_inside", "_earlier")

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsloom.llm import ann, bpe, chat, mixing, ngram_join, quality, rollups, secrets, topk, warc
+from newsloom.llm import ann, bpe, chat, lexical, mixing, ngram_join, quality, rollups, secrets, token_files, topk, warc, whitening
 from newsloom.llm.common import read_table, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Folder of public tokenizer files; the file is read where the work runs and never copied.
-TOKENIZER_FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZER_FOLDER}/word_bpe_49k.json"
+#: Files of public tokenizers; they are read where the work runs and never copied.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def registered(fn: Query) -> Query:
@@ -125,3 +125,21 @@ def op10_token_counts(spark, sf_dir):
     rollup.apply("delete", rollups.changes("delete", short, "words-1", shown).unionByName(rollups.changes("delete", short, "marks-1", marks)))
     rollup.apply("load", load)
     return rollup.totals()
+
+
+@registered
+def op11_token_files(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    manifest = token_files.write_tokens(docs, work_folder(spark, "token-files"), BYTE_BPE)
+    stored = token_files.read_documents(token_files.locate_documents(manifest, docs.schema["doc_id"].dataType.simpleString()))
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@registered
+def op12_lexical_search(spark, sf_dir):
+    return lexical.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@registered
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
