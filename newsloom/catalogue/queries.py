@@ -422,9 +422,16 @@ def resolve_tickers(spark, sf_dir):
 
 @registered
 def resolve_tickers_joined(spark, sf_dir):
-    """The form for large dictionaries, on the same one."""
+    """The dictionary dealt into parts of one symbol each, as a very large one is, and their results joined."""
     docs = V.clean_documents(spark, sf_dir)
-    return resolve.resolve_tickers(docs, V.tickers(spark), max_literal=0).select("id", "tickers")
+    return resolve.resolve_tickers(docs, V.tickers(spark), part_letters=1).select("id", "tickers")
+
+
+@registered
+def resolve_tickers_large(spark, sf_dir):
+    """Documents whose title is their whole text, against a dictionary of all customers and all documents' first letters."""
+    docs = V.clean_documents(spark, sf_dir).withColumn("title", F.col("body"))
+    return resolve.resolve_tickers(docs, V.tickers_large(spark, sf_dir)).select("id", "tickers")
 
 
 @registered
@@ -486,7 +493,7 @@ def score_lexicon(spark, sf_dir):
 @registered
 def enrich_score(spark, sf_dir):
     docs = V.clean_documents(spark, sf_dir)
-    return _scored_docs(articles.enrich(docs, V.tickers(spark), resolve.NoEntities()))
+    return _scored_docs(articles.enrich(docs, V.tickers(spark)))
 
 
 @registered
@@ -668,7 +675,7 @@ def stream_articles(spark, sf_dir):
     raw = articles.to_raw(V.pages_as_items(_stream(spark, sf_dir, "pages")), V.AS_OF_MS, "md5")
     fresh = state.dedup_stream(raw, "id", TTL_S, order=("title",))
     crawl = V.pages_as_crawl(V.table(spark, sf_dir, "pages"))
-    scored = flows.article_stream(fresh, crawl, V.tickers(spark), extractor=resolve.NoEntities(), as_of=V.AS_OF_MS)
+    scored = flows.article_stream(fresh, crawl, V.tickers(spark), as_of=V.AS_OF_MS)
     back = _run_to_files(scored, "stream-articles")
     return back.withColumns({"sentiment": rounded("sentiment", 5), "confidence": rounded("confidence", 5)})
 
@@ -677,7 +684,6 @@ def stream_articles(spark, sf_dir):
 def scored_pages(spark, sf_dir):
     """The batch form of the same chain of stages."""
     scored = articles.scored_articles(
-        _new_pages(spark, sf_dir), V.pages_as_crawl(V.table(spark, sf_dir, "pages")), V.tickers(spark),
-        extractor=resolve.NoEntities(), as_of=V.AS_OF_MS,
+        _new_pages(spark, sf_dir), V.pages_as_crawl(V.table(spark, sf_dir, "pages")), V.tickers(spark), as_of=V.AS_OF_MS
     )
     return scored.withColumns({"sentiment": rounded("sentiment", 5), "confidence": rounded("confidence", 5)})

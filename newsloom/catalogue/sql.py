@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from newsloom.catalogue import tables as V
 from newsloom.functions.topics import TOPIC_KEYWORDS
 from newsloom.operators.scoring import NEGATIVE_WORDS, POSITIVE_WORDS
@@ -145,10 +147,84 @@ _DICTIONARY = ", ".join(
 )
 
 
-def scores(articles: str) -> str:
-    """`scores(id, symbol, ord, score)` of every article in a CTE with id, title, body, url."""
+# Fixed dictionary of the twins: place, alias, the symbol that owns it.
+_OWNED: dict[str, str] = {}
+for _symbol, _name, _aliases in V.TICKER_ROWS:
+    for _alias in (_name, *_aliases.split(";")):
+        _OWNED.setdefault(_alias, _symbol)
+_ALIASES = ", ".join(f"({i}, {_text(alias)}, {_text(symbol)})" for i, (alias, symbol) in enumerate(_OWNED.items()))
+
+
+def entity_text(title: str, body: str) -> str:
+    return trimmed(f"({title} || chr(10) || substr({body}, 1, 3000))")
+
+
+def runs(text: str) -> str:
+    """Capitalized runs: binding signs are marked by control characters, neighbours that share a letter in a second pass."""
+    for _ in range(2):
+        text = rf"regexp_replace({text}, '([A-Za-z0-9&''-])\.([A-Za-z0-9&''-])', '\1' || chr(2) || '\2', 'g')"
+    text = rf"regexp_replace({text}, '\b(Inc|Corp|Co|Ltd)\.', '\1' || chr(3), 'g')"
+    for _ in range(2):
+        text = rf"regexp_replace({text}, '([A-Za-z0-9&''\x03-]) ([A-Z])', '\1' || chr(1) || '\2', 'g')"
+    found = rf"regexp_extract_all({text}, '[A-Z][A-Za-z0-9&''\x01\x02\x03-]*')"
+    return f"list_transform({found}, lambda r: translate(r, chr(1) || chr(2) || chr(3), ' ..'))"
+
+
+def matches(mentions: str) -> str:
+    """CTE `matches(mention, alias, score, symbol)` of the distinct `mention` column of a query: token-set
+    similarity with the longest common subsequence as a recursive table, a letter of one text per step."""
+    return f"""aliases(place, alias, symbol) AS (VALUES {_ALIASES}),
+pairs AS (
+    SELECT mention, place, alias, symbol, list_sort(list_intersect(a, b)) AS joint,
+           array_to_string(list_sort(list_filter(a, lambda w: NOT list_contains(b, w))), ' ') AS ta,
+           array_to_string(list_sort(list_filter(b, lambda w: NOT list_contains(a, w))), ' ') AS tb
+    FROM (SELECT mention, place, alias, symbol, list_distinct(string_split(mention, ' ')) AS a, list_distinct(string_split(alias, ' ')) AS b
+          FROM (SELECT DISTINCT mention FROM ({mentions})), aliases)),
+sized AS (
+    SELECT *, CASE WHEN len(joint) > 0 THEN 1 ELSE 0 END AS gap, length(array_to_string(joint, ' ')) AS joined, length(ta) AS na, length(tb) AS nb FROM pairs),
+near AS (
+    SELECT * FROM sized WHERE (gap = 1 AND (na = 0 OR nb = 0)) OR 100.0 - 100.0 * abs(na - nb) / (2 * joined + 2 * gap + na + nb) >= 85
+        OR (gap = 1 AND 100.0 - 100.0 * (gap + least(na, nb)) / (2 * joined + gap + least(na, nb)) >= 85)),
+steps AS (
+    SELECT DISTINCT ta, tb, 0 AS k, [0 for i in range(length(ta))] AS line FROM near
+    UNION ALL
+    SELECT ta, tb, k + 1, list_transform(range(1, length(ta) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i:
+        greatest(line[i], (CASE WHEN i > 1 THEN line[i - 1] ELSE 0 END) + (CASE WHEN substr(ta, i, 1) = substr(tb, k + 1, 1) THEN 1 ELSE 0 END)))))
+    FROM steps WHERE k < length(tb)),
+common AS (SELECT ta, tb, coalesce(line[-1], 0) AS n FROM steps WHERE k = length(tb)),
+judged AS (
+    SELECT mention, place, alias, symbol, CASE WHEN gap = 1 AND (na = 0 OR nb = 0) THEN 100.0::DOUBLE
+        ELSE greatest(100.0::DOUBLE - 100.0::DOUBLE * (na + nb - 2 * n) / (2 * joined + 2 * gap + na + nb),
+                      CASE WHEN gap = 1 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + least(na, nb)) / (2 * joined + gap + least(na, nb)) ELSE 0 END) END AS score
+    FROM near JOIN common USING (ta, tb)),
+matches AS (
+    SELECT mention, alias, score, symbol FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, place) AS nth FROM judged WHERE score >= 85)
+    WHERE nth = 1)"""
+
+
+def entities(articles: str, names: bool = False) -> str:
+    """CTEs `entities(id, entities)` and `matched(id, symbol, mentions)` of the articles in a CTE with id, title, body."""
+    text = entity_text("title", "body")
+    with_names = f"list_concat(found, list_filter({_known('t')}, lambda n: NOT list_contains(found, n)))" if names else "found"
+    return f"""heads AS (SELECT id, {text} AS t FROM {articles}), run_lists AS (SELECT id, t, {runs('t')} AS found FROM heads),
+entities AS (SELECT id, {with_names} AS entities FROM run_lists),
+{matches("SELECT unnest(entities) AS mention FROM entities")},
+matched AS (SELECT id, symbol, count(*) AS mentions FROM (SELECT id, unnest(entities) AS mention FROM entities) JOIN matches USING (mention) GROUP BY id, symbol)"""
+
+
+def _known(text: str) -> str:
+    """Dictionary names as whole words, the longest first; doubled blanks let neighbours share one."""
+    escaped = [re.sub(r"([.&-])", r"\\\1", n).replace(" ", "  ") for n in sorted({r[1] for r in V.TICKER_ROWS}, key=len, reverse=True)]
+    edge = r"[^\p{L}\p{N}&''-]"
+    found = f"regexp_extract_all(replace({text}, ' ', '  '), '(?:^|{edge})({'|'.join(escaped)})(?:$|{edge})', 1)"
+    return f"list_distinct(list_transform({found}, lambda n: replace(n, '  ', ' ')))"
+
+
+def scores(articles: str, mentions: bool = False, dictionary: str = f"dictionary(ord, symbol, names) AS (VALUES {_DICTIONARY})") -> str:
+    """`scores(id, symbol, ord, score)` of every article in a CTE with id, title, body, url; `mentions` adds those of CTE `matched`."""
     h = host("url")
-    return f"""dictionary(ord, symbol, names) AS (VALUES {_DICTIONARY}),
+    table, add = ("LEFT JOIN matched USING (id, symbol)", " + coalesce(mentions, 0)") if mentions else ("", "")
+    return f"""{dictionary},
 facts AS (SELECT id, lower(title) AS low, {cashtags("(title || ' ' || body)")} AS tags, {h} AS host FROM {articles}),
 scores AS (
     SELECT id, symbol, ord,
@@ -157,8 +233,8 @@ scores AS (
                   THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END
            + CASE WHEN contains(host, 'ir.') OR contains(host, 'investor')
                        OR (ends_with(host, '.com') AND contains(host, lower(symbol)))
-                  THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
-    FROM facts CROSS JOIN dictionary),
+                  THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END{add} AS score
+    FROM (SELECT * FROM facts CROSS JOIN dictionary) {table}),
 best AS (
     SELECT id, list(symbol ORDER BY score DESC, ord)[1:5] AS tickers FROM scores WHERE score >= 2.0 GROUP BY id)"""
 
@@ -344,6 +420,27 @@ SQL["score_tickers"] = f"WITH {DOCS}, {scores('docs')} SELECT id, symbol, score
 SQL["resolve_tickers"] = f"""WITH {DOCS}, {scores('docs')}
 SELECT docs.id, coalesce(tickers, {EMPTY}) AS tickers FROM docs LEFT JOIN best ON best.id = docs.id"""
 SQL["resolve_tickers_joined"] = SQL["resolve_tickers"]
+
+
+def _letters(number: str) -> str:
+    return f"translate(to_hex({number}), '0123456789ABCDEF', 'ETAOINSHRDLUCMFW')"
+
+
+_LARGE = f"""dictionary AS (
+    SELECT symbol, min(ord) AS ord, arg_max(names, ord) AS names FROM (
+        SELECT c_custkey AS ord, {_letters('c_custkey')} AS symbol, [lower(trim(c_name))] AS names FROM customer
+        UNION ALL
+        SELECT 1000000000 + doc_id, 'Z' || {_letters('doc_id')}, list_filter([lower(trim(substr(text, 1, 12)))], lambda n: n <> '') FROM documents)
+    GROUP BY symbol)"""
+SQL["resolve_tickers_large"] = f"""WITH {DOCS}, titled AS (SELECT * REPLACE (body AS title) FROM docs), {scores('titled', dictionary=_LARGE)}
+SELECT docs.id, coalesce(tickers, {EMPTY}) AS tickers FROM docs LEFT JOIN best ON best.id = docs.id"""
+_TEXT = entity_text("title", "body")
+SQL["fuzzy_match"] = f"""WITH RECURSIVE {DOCS}, mentions AS (SELECT id, unnest({runs(_TEXT)}) AS mention FROM docs),
+{matches("SELECT mention FROM mentions")}
+SELECT id, mention, alias, round(score, 6) AS score, symbol FROM mentions JOIN matches USING (mention)"""
+SQL["enrich_entities"] = f"""WITH RECURSIVE {DOCS}, {entities('docs', names=True)}, {scores('docs', True)}, low AS (SELECT id, {WHOLE} AS t FROM docs)
+SELECT id, entities, coalesce(tickers, {EMPTY}) AS tickers, {topics('t')} AS topics
+FROM low JOIN entities USING (id) LEFT JOIN best USING (id)"""
 _OWNERS = ", ".join(
     f"({i}, {_text(symbol)}, {_text(alias)})"
     for i, (symbol, name, aliases) in enumerate(V.TICKER_ROWS)
@@ -373,8 +470,8 @@ SELECT seen.id, source, url, title, coalesce(tickers, {EMPTY}) AS tickers, {_S}
 FROM seen LEFT JOIN best ON best.id = seen.id"""
 
 
-SQL["enrich_score"] = f"WITH {DOCS}, {scores('docs')}, {scored_rows('docs')}"
-SQL["scored_pages"] = f"WITH {CLEAN}, {scores('clean')}, {scored_rows('clean')}"
+SQL["enrich_score"] = f"WITH RECURSIVE {DOCS}, {entities('docs')}, {scores('docs', True)}, {scored_rows('docs')}"
+SQL["scored_pages"] = f"WITH RECURSIVE {CLEAN}, {entities('clean')}, {scores('clean', True)}, {scored_rows('clean')}"
 SQL["zip_scores"] = f"""WITH {SCORED}
 SELECT id, CAST(pos AS INTEGER) AS pos, topics[pos + 1] AS topic, tickers[pos + 1] AS ticker
 FROM (SELECT *, unnest(range(least(len(topics), len(tickers)))) AS pos FROM scored)"""

@@ -12,7 +12,7 @@ from newsloom.functions.hints import extract_hints
 from newsloom.functions.strings import string_array
 from newsloom.functions.urls import normalize_url
 from newsloom.operators.dedup import first_per_key
-from newsloom.sources.tickers import tickers_from_rows
+from newsloom.sources.tickers import tickers_from_frame, tickers_from_rows
 
 # A window as long as the test events, so the trailing queries read all of them.
 WHOLE_WINDOW_MIN = 43_200
@@ -93,6 +93,23 @@ def tickers(spark: SparkSession) -> DataFrame:
     return tickers_from_rows(spark, TICKER_ROWS)
 
 
+def tickers_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary that grows with the tables: a symbol of frequent letters per customer, and per
+    document one whose name is the first twelve characters of its text."""
+
+    def letters(number: Column) -> Column:
+        return F.translate(F.hex(number.cast("bigint")), "0123456789ABCDEF", "ETAOINSHRDLUCMFW")
+
+    customers = table(spark, sf_dir, "customer").select(
+        letters(F.col("c_custkey")).alias("symbol"), F.col("c_name").alias("name"), F.lit("").alias("aliases"), F.col("c_custkey").cast("int").alias("ord")
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("Z"), letters(F.col("doc_id"))).alias("symbol"), F.substring("text", 1, 12).alias("name"), F.lit("").alias("aliases"),
+        (F.lit(1_000_000_000) + F.col("doc_id")).cast("int").alias("ord"),
+    )
+    return tickers_from_frame(customers.unionByName(docs))
+
+
 def _pick(values: list[str], number: Column) -> Column:
     return F.get(string_array(values), (number % len(values)).cast("int"))
 

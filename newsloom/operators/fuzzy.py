@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
-from newsloom.sources.tickers import alias_index, alias_owner
+from newsloom.sources.tickers import alias_index
 
-# Largest alias list shipped to the workers; beyond it mentions meet aliases in joins.
-MAX_LOCAL_ALIASES = 5_000
+# The dictionary goes to the workers in parts of this many letters; each part is one index.
+PART_LETTERS = 4_000_000
 _MEMO_SIZE = 50_000
+# Letters are counted in this many classes for an upper bound of the common subsequence.
+_CLASSES = 32
+
+MATCH = "struct<alias:string,score:double,symbol:string,place:bigint>"
 
 
 def _common_subsequence(a: str, b: str) -> int:
@@ -63,184 +69,178 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def local_aliases(tickers: DataFrame, limit: int = MAX_LOCAL_ALIASES) -> list[tuple[str, str]] | None:
-    """(alias, owning symbol) in dictionary order, or None for a dictionary over the limit."""
-    rows = (
-        alias_index(tickers)
-        .groupBy("alias")
-        .agg(F.min(F.struct("ord", "pos")).alias("place"), F.min_by("symbol", "ord").alias("symbol"))
-        .orderBy("place")
-        .select("alias", "symbol")
-        .limit(limit + 1)
-        .collect()
-    )
-    return [(r["alias"], r["symbol"]) for r in rows] if len(rows) <= limit else None
-
-
-def _best_match(aliases: Sequence[tuple[str, str]], cutoff: float) -> Callable[[str], tuple[str, float, str] | None]:
-    """Best alias of a mention, remembered per task so that common names cost one lookup."""
-    table = [(alias, set(alias.split()), _joined_length(set(alias.split())), symbol) for alias, symbol in aliases]
-    memo: dict[str, tuple[str, float, str] | None] = {}
-
-    def search(mention: str) -> tuple[str, float, str] | None:
-        words = set(mention.split())
-        length = _joined_length(words)
-        best, best_score = None, -1.0
-        for alias, alias_words, alias_length, symbol in table:
-            if words.isdisjoint(alias_words):
-                # Without a shared word the shorter text bounds the score.
-                bound = 200.0 * min(length, alias_length) / ((length + alias_length) or 1)
-                if bound < cutoff or bound <= best_score:
-                    continue
-            score = _similarity(words, alias_words)
-            if score >= cutoff and score > best_score:
-                best, best_score = (alias, score, symbol), score
-        return best
-
-    def match(mention: str) -> tuple[str, float, str] | None:
-        if mention not in memo:
-            if len(memo) >= _MEMO_SIZE:
-                memo.clear()
-            memo[mention] = search(mention)
-        return memo[mention]
-
-    return match
-
+def _classes(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.replace(" ", "").encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.bincount(codes % _CLASSES, minlength=_CLASSES)
 
-MATCH_TYPE = StructType(
-    [StructField("alias", StringType()), StructField("score", DoubleType()), StructField("symbol", StringType())]
-)
 
+def _pairs(text: str) -> set[str]:
+    return {text[i : i + 2] for i in range(len(text) - 1)}
 
-def match_mention(mention: Column, aliases: Sequence[tuple[str, str]], cutoff: float = 85.0) -> Column:
-    """Struct of the best alias, its score and symbol; null fields without a match."""
 
-    @F.pandas_udf(MATCH_TYPE)
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        best = _best_match(aliases, cutoff)
-        for mentions in batches:
-            found = [(best(m) if m else None) or (None, None, None) for m in mentions]
-            yield pd.DataFrame(found, columns=MATCH_TYPE.names)
-
-    # Marked so that a filter on the result does not search again.
-    return match.asNondeterministic()(mention)
+class AliasIndex:
+    """Aliases by their words, by the letter pairs of their sorted words, and by length.
 
+    The best alias of a mention is found exactly at every cutoff. Aliases that share a word come
+    from its list. One without a shared word scores by edits alone: its length lies near the
+    mention's, and of the mention's pairs, sorted from the rarest on, more must survive than the
+    edits can destroy, so it holds one of the first few. Where a cutoff allows more edits than
+    there are pairs, all aliases of a near length are looked at. Each candidate has an upper bound
+    from lengths and counts of letters; the similarity itself is computed in falling order of the
+    bound until no bound reaches the best score.
+    """
 
-def match_mentions(mentions: Column, aliases: Sequence[tuple[str, str]], cutoff: float = 85.0) -> Column:
+    def __init__(self, aliases: list[tuple[int, str, str]]):
+        """aliases: (place, alias, symbol), places ascending."""
+        self.aliases = aliases
+        self.words = [set(a.split()) for _, a, _ in aliases]
+        texts = [" ".join(sorted(w)) for w in self.words]
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.count = np.array([len(w) for w in self.words], np.int64)
+        self.letters = np.array([_classes(t) for t in texts], np.int32).reshape(-1, _CLASSES)
+        self.by_length = np.argsort(self.length, kind="stable")
+        self.lengths = self.length[self.by_length]
+        self.by_word, self.by_pair = self._lists(self.words), self._lists(map(_pairs, texts))
+
+    @staticmethod
+    def _lists(parts) -> dict[str, np.ndarray]:
+        lists: dict[str, list[int]] = {}
+        for i, found in enumerate(parts):
+            for part in found:
+                lists.setdefault(part, []).append(i)
+        return {part: np.array(numbers, np.int64) for part, numbers in lists.items()}
+
+    def _near(self, text: str, r: float) -> np.ndarray:
+        """Aliases without a shared word that may score r or more by edits."""
+        size = len(text)
+        low, high = r * size / (2 - r), (2 - r) * size / r if r > 0 else np.inf
+        a, b = np.searchsorted(self.lengths, (np.floor(low - 1e-9), np.ceil(high + 1e-9)), side="left")
+        b = int(np.searchsorted(self.lengths, np.floor(high + 1e-9), side="right")) if np.isfinite(high) else len(self.lengths)
+        shortest = max(1.0, low)
+        # A deletion destroys two of the mention's pairs at most, an insertion one.
+        destroyed = 2 * size + shortest - 1.5 * r * (size + shortest) if 1.5 * r >= 1 else np.inf
+        pairs = sorted(_pairs(text), key=lambda p: (len(self.by_pair.get(p, ())), p))
+        if destroyed + 1 >= len(pairs):
+            return self.by_length[a:b]
+        lists = [self.by_pair[p] for p in pairs[: int(destroyed) + 1] if p in self.by_pair]
+        if not lists:
+            return np.zeros(0, np.int64)
+        found = np.unique(np.concatenate(lists))
+        return found[(self.length[found] >= low - 1e-9) & (self.length[found] <= high + 1e-9)]
+
+    def best(self, mention: str, cutoff: float) -> tuple[str, float, str, int] | None:
+        """(alias, score, symbol, place) of the first alias with the highest score, from the cutoff on."""
+        words = set(mention.split())
+        if not words or not self.aliases:
+            if cutoff > 0 or not self.aliases:
+                return None
+            place, alias, symbol = self.aliases[0]
+            return alias, 0.0, symbol, place
+        text = " ".join(sorted(words))
+        lists = [(self.by_word[w], len(w)) for w in words if w in self.by_word]
+        near = self._near(text, cutoff / 100.0)
+        found = np.unique(np.concatenate([near, *(numbers for numbers, _ in lists)]))
+        if not len(found):
+            return None
+        shared, held = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        for numbers, size in lists:
+            at = np.searchsorted(found, numbers)
+            shared[at] += size
+            held[at] += 1
+        # Lengths of the shared words and of both remainders, each joined by blanks.
+        joined = shared + np.maximum(held - 1, 0)
+        gap = (held > 0).astype(np.int64)
+        rest_a = len(text) - joined - gap * (held < len(words))
+        rest_b = self.length[found] - joined - gap * (held < self.count[found])
+        letters = np.minimum(self.letters[found], _classes(text)).sum(1) - shared
+        blanks = np.minimum(np.maximum(len(words) - held - 1, 0), np.maximum(self.count[found] - held - 1, 0))
+        common = np.minimum(np.minimum(rest_a, rest_b), letters + blanks)
+        full_a, full_b = joined + gap + rest_a, joined + gap + rest_b
+        bound = 100.0 - 100.0 * (rest_a + rest_b - 2 * common) / (full_a + full_b)
+        for rest, full in ((rest_a, full_a), (rest_b, full_b)):
+            bound = np.where(held > 0, np.maximum(bound, 100.0 - 100.0 * (gap + rest) / np.maximum(joined + full, 1)), bound)
+        bound = np.where((held > 0) & ((held == len(words)) | (held == self.count[found])), 100.0, bound) + 1e-9
+        order = np.lexsort((found, -bound))
+        best, best_score = None, -1.0
+        for i in order[bound[order] >= cutoff].tolist():
+            if bound[i] < best_score:
+                break
+            number = int(found[i])
+            if bound[i] <= best_score + 2e-9 and best is not None and number > best:
+                continue
+            score = _similarity(words, self.words[number])
+            if score >= cutoff and (score > best_score or score == best_score and number < best):
+                best, best_score = number, score
+        if best is None:
+            return None
+        place, alias, symbol = self.aliases[best]
+        return alias, best_score, symbol, place
+
+
+def _indexes(tickers: DataFrame, part_letters: int) -> Iterator[list[tuple[int, str, str]]]:
+    """(place, alias, owning symbol) in dictionary order, in parts; the driver holds one at a time."""
+    rows = alias_index(tickers).groupBy("alias").agg(F.min(F.struct("ord", "pos")).alias("place"), F.min_by("symbol", "ord").alias("symbol"))
+    held, letters = [], 0
+    for place, r in enumerate(rows.orderBy("place").select("alias", "symbol").toLocalIterator()):
+        held.append((place, r["alias"], r["symbol"]))
+        letters += len(r["alias"] or "")
+        if letters >= part_letters:
+            yield held
+            held, letters = [], 0
+    if held:
+        yield held
+
+
+def best_matches(mentions: Column, tickers: DataFrame, cutoff: float = 85.0, part_letters: int = PART_LETTERS) -> Column:
+    """For an array of mentions the array of their best aliases (alias, score, symbol, place), null
+    where none reaches the cutoff. Among equal scores the first alias in dictionary order wins.
+
+    Row-local for a dictionary of any size, in batches and streams. A worker builds the index of a
+    part once per task and remembers the mentions it has met.
+    """
+    spark = tickers.sparkSession
+
+    def part(aliases: list[tuple[int, str, str]]) -> Column:
+        shared = spark.sparkContext.broadcast(aliases)
+
+        @F.arrow_udf(f"array<{MATCH}>")
+        def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            index, memo = AliasIndex(shared.value), {}
+            kind = pa.struct([("alias", pa.string()), ("score", pa.float64()), ("symbol", pa.string()), ("place", pa.int64())])
+            for lists in batches:
+                values = lists.flatten().to_pylist()
+                found = []
+                for mention in values:
+                    if mention not in memo:
+                        if len(memo) >= _MEMO_SIZE:
+                            memo.clear()
+                        hit = index.best(mention, cutoff) if mention else None
+                        memo[mention] = None if hit is None else dict(zip(("alias", "score", "symbol", "place"), hit))
+                    found.append(memo[mention])
+                counts = np.where(np.asarray(lists.is_valid()), np.diff(lists.offsets.to_numpy()), 0)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(found, kind))
+
+        # Marked so that a filter on the result does not search again.
+        return match.asNondeterministic()(F.coalesce(mentions, F.array().cast("array<string>")))
+
+    def better(a: Column, b: Column) -> Column:
+        return F.when(b.isNull() | (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["place"] < b["place"])), a).otherwise(b)
+
+    out = None
+    for aliases in _indexes(tickers, part_letters):
+        found = part(aliases)
+        out = found if out is None else F.zip_with(out, found, better)
+    return out if out is not None else F.transform(mentions, lambda _: F.lit(None).cast(MATCH))
+
+
+def match_mentions(mentions: Column, tickers: DataFrame, cutoff: float = 85.0, part_letters: int = PART_LETTERS) -> Column:
     """Symbols matched by an array of mentions, one entry per matching mention."""
+    found = best_matches(mentions, tickers, cutoff, part_letters)
+    return F.transform(F.filter(found, lambda m: m.isNotNull()), lambda m: m["symbol"])
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        best = _best_match(aliases, cutoff)
-        for rows in batches:
-            yield rows.map(
-                lambda row: [] if row is None else [hit[2] for hit in (best(m) for m in row if m) if hit]
-            )
-
-    return match.asNondeterministic()(mentions)
-
-
-def fuzzy_match(
-    mentions: DataFrame,
-    tickers: DataFrame,
-    cutoff: float = 85.0,
-    column: str = "mention",
-    max_local: int = MAX_LOCAL_ALIASES,
-) -> DataFrame:
-    """Mentions with `alias, score, symbol` of their best alias at or above the cutoff, else null.
-
-    Among equal scores the first alias in dictionary order wins. A dictionary within `max_local`
-    aliases goes to the workers and the work is row-local: no exchange, whatever the names'
-    frequencies. A larger one is joined to the distinct mentions.
-    """
-    local = local_aliases(tickers, max_local)
-    if local is not None:
-        hit = match_mention(F.col(column), local, cutoff)
-        return mentions.withColumn("_hit", hit).select(
-            *mentions.columns, "_hit.alias", "_hit.score", "_hit.symbol"
-        )
-    found = _match_by_join(mentions.select(F.col(column).alias("mention")).distinct(), tickers, cutoff)
-    return mentions.join(found.withColumnRenamed("mention", column), column, "left").select(
-        *mentions.columns, "alias", "score", "symbol"
-    )
-
-
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-
-
-def _pairs_of_letters(words: Column) -> Column:
-    """Letter pairs of the padded words, numbered so that repeats stay distinct."""
-    pairs = F.flatten(
-        F.transform(
-            words,
-            lambda w: F.transform(
-                F.sequence(F.lit(1), F.length(w) + 1),
-                lambda i: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)),
-            ),
-        )
-    )
-    return F.transform(
-        pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, 1, i + 1), lambda q: q == p)).cast("string"))
-    )
-
-
-def _match_by_join(mentions: DataFrame, tickers: DataFrame, cutoff: float) -> DataFrame:
-    """The same match through equi-joins on words and letter pairs.
-
-    A score at or above the cutoff needs one of two things. Either shared words make up most of
-    one side; then one of that side's rarest words is shared. Or the texts are close in edit
-    distance; then they share so many letter pairs that one is among the rarest of both. Only
-    those rare words and pairs are joined on, so common ones ("Inc.") do not pair everything.
-    """
-    r = cutoff / 100.0
-    if r <= 2 / 3:
-        raise ValueError("the joined match needs a cutoff above 66.7")
-    places = alias_index(tickers).groupBy("alias").agg(F.min(F.struct("ord", "pos")).alias("place"))
-
-    def rare(df: DataFrame, side: str, feature: str, parts: Column, counts: DataFrame) -> DataFrame:
-        exploded = df.select(side, F.explode(parts).alias(feature))
-        return exploded.join(counts, feature, "left").select(
-            side, feature, F.coalesce("df", F.lit(0)).alias("df")
-        )
-
-    def sorted_features(df: DataFrame, side: str, feature: str) -> DataFrame:
-        return df.groupBy(side).agg(F.array_sort(F.collect_list(F.struct("df", feature))).alias("fs"))
-
-    alias_words = places.select("alias", F.explode(_words(F.col("alias"))).alias("word"))
-    word_counts = alias_words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    alias_pairs = places.select("alias", F.explode(_pairs_of_letters(_words(F.col("alias")))).alias("pair"))
-    pair_counts = alias_pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
-
-    # Shared words must hold this share of one side's letters (with the joining space).
-    word_share = r / (2 - r)
-
-    def rare_words(df: DataFrame, side: str) -> DataFrame:
-        fs = sorted_features(rare(df, side, "word", _words(F.col(side)), word_counts), side, "word")
-        size = lambda arr: F.aggregate(arr, F.lit(0), lambda acc, x: acc + F.length(x["word"]) + 1)
-        keep = F.filter(
-            "fs", lambda f, i: size(F.slice("fs", i + 1, F.size("fs"))) + 1 >= word_share * size(F.col("fs")) - 1
-        )
-        return fs.select(side, F.explode(F.transform(keep, lambda f: f["word"])).alias("word"))
-
-    def rare_pairs(df: DataFrame, side: str) -> DataFrame:
-        fs = sorted_features(rare(df, side, "pair", _pairs_of_letters(_words(F.col(side))), pair_counts), side, "pair")
-        n = F.size("fs")
-        least = F.ceil((1.5 * r - 1) * (2 / (2 - r)) * (n - 1) + 1 - 1e-9)
-        keep = F.slice("fs", F.lit(1), F.greatest(n - least + 1, F.lit(1)).cast("int"))
-        return fs.select(side, F.explode(F.transform(keep, lambda f: f["pair"])).alias("pair"))
-
-    mention_words = mentions.select("mention", F.explode(_words(F.col("mention"))).alias("word"))
-    by_mention = rare_words(mentions, "mention").join(alias_words, "word").select("mention", "alias")
-    by_alias = mention_words.join(rare_words(places, "alias"), "word").select("mention", "alias")
-    by_pairs = rare_pairs(mentions, "mention").join(rare_pairs(places, "alias"), "pair").select("mention", "alias")
-    candidates = by_mention.unionByName(by_alias).unionByName(by_pairs).distinct()
-
-    scored = candidates.withColumn("score", token_set_ratio("mention", "alias")).filter(F.col("score") >= cutoff)
-    best = (
-        scored.join(places, "alias")
-        .groupBy("mention")
-        .agg(F.min_by(F.struct("alias", "score"), F.struct(-F.col("score"), F.col("place"))).alias("best"))
-        .select("mention", "best.alias", "best.score")
-    )
-    return best.join(alias_owner(tickers), "alias")
+
+def fuzzy_match(mentions: DataFrame, tickers: DataFrame, cutoff: float = 85.0, column: str = "mention", part_letters: int = PART_LETTERS) -> DataFrame:
+    """Mentions with `alias, score, symbol` of their best alias at or above the cutoff, else null."""
+    hit = F.get(best_matches(F.array(column), tickers, cutoff, part_letters), F.lit(0))
+    return mentions.withColumn("_hit", hit).select(*mentions.columns, "_hit.alias", "_hit.score", "_hit.symbol")

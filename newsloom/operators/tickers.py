@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.hints import extract_cashtags
-from newsloom.functions.strings import empty_strings, entity_text, string_array
-from newsloom.operators.fuzzy import fuzzy_match, local_aliases, match_mentions
+from newsloom.functions.strings import empty_strings, entity_text
+from newsloom.operators.fuzzy import match_mentions
+from newsloom.operators.patterns import NameTrie, PatternTable
 from newsloom.settings import ResolveOptions
 
-# Largest dictionary written into the plan as a literal; beyond it, articles meet symbols in joins.
-MAX_LITERAL_SYMBOLS = 256
-# Most symbols a plan takes as one literal where only a row-local form will do (all scores, streams).
-MAX_ROW_LOCAL_SYMBOLS = 20_000
-
 # Weight of each kind of evidence. A known cashtag counts in two places.
 CASHTAG_WEIGHT = 2.0 + 2.0
 TITLE_WEIGHT = 1.5
 HOST_WEIGHT = 1.0
 MENTION_WEIGHT = 1.0
 
+# A dictionary goes to the workers in parts of this many letters; each part is one automaton.
+PART_LETTERS = 4_000_000
+
 _SCORES = "array<struct<score:double,ord:int,symbol:string>>"
 
 
@@ -32,26 +33,49 @@ class EntityExtractor(Protocol):
     def mentions(self, text: Column) -> Column: ...
 
 
+# Signs that bind words while runs are marked: a blank, a full stop inside a word, one after an abbreviation.
+_BLANK, _INNER, _AFTER = "\x01", "\x02", "\x03"
+_LETTER = "[A-Za-z0-9&'-]"
+
+
+def capitalized_runs(text: Column) -> Column:
+    """Runs of capitalized words with one blank between, of any length.
+
+    A full stop belongs to a word inside it ("Amazon.com") or after an abbreviation ("Inc."). What
+    binds two words is marked first, so a run is one class of characters, which the regex engine
+    reads in a loop; a repeated group would make it recurse once per word.
+    """
+    plain = F.translate(text, _BLANK + _INNER + _AFTER, "\n\n\n")
+    inner = F.regexp_replace(plain, rf"(?<={_LETTER})\.(?={_LETTER})", _INNER)
+    after = F.regexp_replace(inner, rf"(?<=\b(?:Inc|Corp|Co|Ltd))\.(?!{_LETTER})", _AFTER)
+    bound = F.regexp_replace(after, rf"(?<=[A-Za-z0-9&'\-{_AFTER}]) (?=[A-Z])", _BLANK)
+    runs = F.regexp_extract_all(bound, F.lit(f"[A-Z][A-Za-z0-9&'\\-{_BLANK}{_INNER}{_AFTER}]*+"), F.lit(0))
+    return F.transform(runs, lambda r: F.translate(r, _BLANK + _INNER + _AFTER, " .."))
+
+
 class CapitalizedRuns:
-    """Runs of up to eight capitalized words, plus dictionary names in the text that no run gave."""
+    """Runs of capitalized words, then dictionary names that stand in the text as whole words and were no run."""
 
     def __init__(self, names: list[str] | None = None):
         self.names = names or []
 
     def mentions(self, text: Column) -> Column:
-        # A full stop belongs to a word inside it ("Amazon.com") or after an abbreviation ("Inc.").
-        # Repeated groups are bounded because the regex engine recurses on them.
-        word = r"[A-Z][A-Za-z0-9&'-]*+(?:\.[A-Za-z0-9&'-]++){0,3}(?:(?<=\b(?:Inc|Corp|Co|Ltd))\.)?"
-        runs = F.regexp_extract_all(text, F.lit(f"{word}(?: {word}){{0,7}}"), F.lit(0))
+        runs = capitalized_runs(text)
         if not self.names:
             return runs
-        names = string_array(self.names)
+        names = self.names
+
+        @F.arrow_udf("array<string>")
+        def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            trie = NameTrie(names)
+            for texts in batches:
+                yield pa.array([list(dict.fromkeys(trie.find(t.as_py() or ""))) for t in texts], pa.list_(pa.string()))
 
-        def with_known(found: Column) -> Column:
-            return F.concat(found, F.filter(names, lambda n: F.contains(text, n) & ~F.array_contains(found, n)))
+        def with_known(both: Column) -> Column:
+            return F.concat(both["runs"], F.filter(both["known"], lambda n: ~F.array_contains(both["runs"], n)))
 
-        # Bound as an element, so the pattern runs once and not per name.
-        return F.get(F.transform(F.array(runs), with_known), F.lit(0))
+        # Bound as an element, so the runs are found once and not per name; marked, so that no later step repeats the search.
+        return F.get(F.transform(F.array(F.struct(runs.alias("runs"), known.asNondeterministic()(text).alias("known"))), with_known), F.lit(0))
 
 
 class NoEntities:
@@ -70,187 +94,139 @@ def _investor_host(hosts: Column) -> Column:
     return F.exists(hosts, lambda h: F.contains(h, F.lit("ir.")) | F.contains(h, F.lit("investor")))
 
 
-def _company_host(hosts: Column, symbol_low: Column) -> Column:
-    return F.exists(hosts, lambda h: F.endswith(h, F.lit(".com")) & F.contains(h, symbol_low))
-
-
-def ticker_score(
-    symbol: Column, symbol_low: Column, names_low: Column, title_low: Column, hosts: Column, cashtags: Column, matched: Column
-) -> Column:
-    """Summed evidence for one symbol in one article."""
-    in_title = F.contains(title_low, symbol_low) | F.exists(names_low, lambda a: F.contains(title_low, a))
-    prior = _investor_host(hosts) | _company_host(hosts, symbol_low)
-    return (
-        F.when(F.array_contains(cashtags, symbol), CASHTAG_WEIGHT).otherwise(0.0)
-        + F.when(in_title, TITLE_WEIGHT).otherwise(0.0)
-        + F.when(prior, HOST_WEIGHT).otherwise(0.0)
-        + F.size(F.filter(matched, lambda m: m == symbol)) * F.lit(MENTION_WEIGHT)
-    )
-
-
-def _evidence(articles: DataFrame) -> DataFrame:
-    """The inputs of the score, each computed once per article. `matched` lists mention symbols."""
+def _pairs(lists: pa.Array) -> tuple[np.ndarray, list]:
+    """Row number and value of every element of a list column."""
+    counts = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(lists)), counts), lists.flatten().to_pylist()
+
+
+class SymbolTable:
+    """Part of a dictionary: its symbols, and one automaton over their symbols and names."""
+
+    def __init__(self, rows: list[tuple[str, int, str, list[str]]]):
+        self.symbols = [symbol for symbol, *_ in rows]
+        self.ords = np.array([ord_ for _, ord_, *_ in rows], np.int64)
+        self.number = {symbol: i for i, symbol in enumerate(self.symbols)}
+        patterns = [(low, i, True) for i, (_, _, low, _) in enumerate(rows)]
+        patterns += [(name, i, False) for i, (*_, names) in enumerate(rows) for name in names if name]
+        self.table = PatternTable([p for p, _, _ in patterns])
+        self.owner = np.array([i for _, i, _ in patterns], np.int64)
+        self.is_symbol = np.array([s for *_, s in patterns], bool)
+        # A symbol without letters is contained in every text.
+        self.always = np.array([i for i, (_, _, low, _) in enumerate(rows) if not low], np.int64)
+
+    def _contained(self, rows: np.ndarray, texts: list[str], symbols_only: bool) -> np.ndarray:
+        """rows[i] * symbols + symbol for texts[i], each once."""
+        at, pattern = self.table.find(texts)
+        if symbols_only:
+            at, pattern = at[self.is_symbol[pattern]], pattern[self.is_symbol[pattern]]
+        keys = [rows[at] * len(self.symbols) + self.owner[pattern]]
+        keys += [rows * len(self.symbols) + i for i in self.always]
+        return np.unique(np.concatenate(keys))
+
+    def scores(self, titles: pa.Array, hosts: pa.Array, investor: pa.Array, cashtags: pa.Array, matched: pa.Array, min_score: float, most: int | None) -> pa.Array:
+        """Per row the (score, ord, symbol) of all symbols that score min_score or more (and more than 0), best first."""
+        count = len(self.symbols)
+        size = len(titles)
+        title = self._contained(np.arange(size), [t or "" for t in titles.to_pylist()], False)
+        at, names = _pairs(hosts)
+        company = [i for i, h in enumerate(names) if h is not None and h.endswith(".com")]
+        host = self._contained(at[company], [names[i] for i in company], True)
+
+        def known(lists: pa.Array) -> np.ndarray:
+            rows, values = _pairs(lists)
+            numbers = np.array([self.number.get(v, -1) for v in values], np.int64)
+            return (rows * count + numbers)[numbers >= 0]
+
+        parts = [(np.unique(known(cashtags)), CASHTAG_WEIGHT), (title, TITLE_WEIGHT), (known(matched), MENTION_WEIGHT), (host, 0.0)]
+        everyone = np.flatnonzero(np.asarray(investor.fill_null(False)))
+        if HOST_WEIGHT >= min_score:
+            # On an investor host every symbol scores; with nothing else, only the first of the dictionary get far.
+            first = np.argsort(self.ords, kind="stable")[:most]
+            parts.append(((everyone[:, None] * count + first).ravel(), 0.0))
+        keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        total = np.bincount(which, np.concatenate([np.full(len(k), w) for k, w in parts]), len(keys)).astype(np.float64)
+        rows, symbol = np.divmod(keys, max(1, count))
+        total += HOST_WEIGHT * (np.isin(keys, host, assume_unique=True) | np.isin(rows, everyone))
+        kept = np.flatnonzero((total >= min_score) & (total > 0))
+        kept = kept[np.lexsort((self.ords[symbol[kept]], -total[kept], rows[kept]))]
+        row = rows[kept]
+        if most is not None:
+            kept = kept[np.arange(len(row)) - np.searchsorted(row, row) < most]
+            row = rows[kept]
+        values = [pa.array(total[kept]), pa.array(self.ords[symbol[kept]].astype(np.int32)), pa.array([self.symbols[i] for i in symbol[kept]], pa.string())]
+        offsets = np.searchsorted(row, np.arange(size + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, ["score", "ord", "symbol"]))
+
+
+def _tables(tickers: DataFrame, part_letters: int) -> Iterator[SymbolTable]:
+    """The dictionary in parts, in its order; the driver holds one part at a time."""
+    held, letters = [], 0
+    rows = tickers.select("symbol", "ord", F.lower("symbol").alias("low"), F.transform("aliases", F.lower).alias("names")).orderBy("ord")
+    for r in rows.toLocalIterator():
+        held.append((r["symbol"], r["ord"], r["low"], r["names"] or []))
+        letters += len(r["low"]) + sum(len(n or "") for n in held[-1][3])
+        if letters >= part_letters:
+            yield SymbolTable(held)
+            held, letters = [], 0
+    if held:
+        yield SymbolTable(held)
+
+
+def _by_score(a: Column, b: Column) -> Column:
+    return F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["ord"] - b["ord"])
+
+
+def ticker_scores(articles: DataFrame, tickers: DataFrame, min_score: float = 0.0, most: int | None = None, part_letters: int = PART_LETTERS) -> Column:
+    """Column of the (score, ord, symbol) that reach `min_score`, best first, at most `most`.
+
+    Row-local for a dictionary of any size, in batches and streams: title, hosts, cashtags and
+    mentions go to the worker, whose automaton holds the dictionary. A large one is dealt into
+    parts; a symbol's score rests on its own part, so the parts' best lists are merged.
+    """
     title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
-    hints = F.coalesce("hints", empty_strings())
-    return articles.withColumns(
-        {
-            "_title_low": F.lower(title),
-            "_hosts": _hosts(hints),
-            "_cashtags": extract_cashtags(F.concat(title, F.lit(" "), body)),
-            "_matched": F.col("matched") if "matched" in articles.columns else empty_strings(),
-        }
-    )
+    hosts = _hosts(F.coalesce("hints", empty_strings()))
+    matched = F.col("matched") if "matched" in articles.columns else empty_strings()
+    evidence = [F.lower(title), hosts, _investor_host(hosts), extract_cashtags(F.concat(title, F.lit(" "), body)), F.coalesce(matched, empty_strings())]
 
+    def part(table: SymbolTable) -> Column:
+        shared = articles.sparkSession.sparkContext.broadcast(table)
 
-_EVIDENCE = ["_title_low", "_hosts", "_cashtags", "_matched"]
+        @F.arrow_udf(_SCORES)
+        def scores(titles: pa.Array, hosts: pa.Array, investor: pa.Array, cashtags: pa.Array, matched: pa.Array) -> pa.Array:
+            return shared.value.scores(titles, hosts, investor, cashtags, matched, min_score, most)
 
+        return scores(*evidence)
 
-def _literal_dictionary(tickers: DataFrame, limit: int) -> list | None:
-    rows = tickers.select("symbol", "ord", "aliases").orderBy("ord").limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    parts = [part(table) for table in _tables(tickers, part_letters)]
+    if not parts:
+        return F.array().cast(_SCORES)
+    if len(parts) == 1:
+        return parts[0]
+    merged = F.array_sort(F.concat(*parts), _by_score)
+    return merged if most is None else F.slice(merged, 1, most)
 
 
-def score_tickers(articles: DataFrame, tickers: DataFrame, max_literal: int = MAX_ROW_LOCAL_SYMBOLS) -> DataFrame:
+def score_tickers(articles: DataFrame, tickers: DataFrame, part_letters: int = PART_LETTERS) -> DataFrame:
     """Articles with `ticker_scores`: every symbol with a positive score, best first.
 
-    A dictionary of at most `max_literal` symbols is part of the expression, so scoring is
-    row-local: no join and no exchange. This is the only form that lists symbols whose sole
-    evidence is an investor-relations host; use `resolve_tickers` for larger dictionaries.
+    On an investor-relations host these are all symbols; `resolve_tickers` keeps only the best.
     """
-    rows = _literal_dictionary(tickers, max_literal)
-    if rows is None:
-        raise ValueError(f"dictionary over {max_literal} symbols: use resolve_tickers")
-    return _score_literal(articles, rows)
-
-
-def _score_literal(articles: DataFrame, rows: list) -> DataFrame:
-    # One constant, whatever the size of the dictionary: Catalyst folds it into a single literal.
-    stated = [{"symbol": r["symbol"], "ord": r["ord"], "low": r["symbol"].lower(), "names": [a.lower() for a in r["aliases"] if a]} for r in rows]
-    entries = F.from_json(F.lit(json.dumps(stated)), "array<struct<symbol:string,ord:int,low:string,names:array<string>>>")
-    scored = F.transform(
-        entries,
-        lambda d: F.struct(
-            ticker_score(
-                d["symbol"], d["low"], d["names"], F.col("_title_low"), F.col("_hosts"), F.col("_cashtags"), F.col("_matched")
-            ).alias("score"),
-            d["ord"].alias("ord"),
-            d["symbol"].alias("symbol"),
-        ),
-    )
-    positive = F.filter(scored, lambda s: s["score"] > 0)
-    by_score = F.array_sort(positive, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["ord"] - b["ord"]))
-    return _evidence(articles).withColumn("ticker_scores", by_score.cast(_SCORES)).drop(*_EVIDENCE)
-
-
-def _top(scores: Column, min_score: float, max_tickers: int) -> Column:
-    kept = F.filter(scores, lambda s: s["score"] >= min_score)
-    return F.transform(F.slice(kept, 1, max_tickers), lambda s: s["symbol"])
+    return articles.withColumn("ticker_scores", ticker_scores(articles, tickers, part_letters=part_letters))
 
 
 def resolve_tickers(
-    articles: DataFrame,
-    tickers: DataFrame,
-    min_score: float = 2.0,
-    max_tickers: int = 5,
-    max_literal: int = MAX_LITERAL_SYMBOLS,
+    articles: DataFrame, tickers: DataFrame, min_score: float = 2.0, max_tickers: int = 5, part_letters: int = PART_LETTERS
 ) -> DataFrame:
     """Articles with `tickers`: at most `max_tickers` symbols scoring `min_score` or more, best
-    first, ties in dictionary order.
-
-    In a batch, a dictionary over `max_literal` symbols meets the articles in joins. A stream is
-    always resolved row by row, with at most MAX_ROW_LOCAL_SYMBOLS symbols.
-    """
-    rows = _literal_dictionary(tickers, MAX_ROW_LOCAL_SYMBOLS if articles.isStreaming else max_literal)
-    if rows is None and articles.isStreaming:
-        raise ValueError(f"a stream takes at most {MAX_ROW_LOCAL_SYMBOLS} symbols")
-    if rows is not None:
-        scored = _score_literal(articles, rows)
-        return scored.withColumn("tickers", _top(F.col("ticker_scores"), min_score, max_tickers)).drop("ticker_scores")
-    return _resolve_by_join(articles, tickers, min_score, max_tickers)
-
-
-def _substring_hits(texts: DataFrame, key: str, text: str, needles: DataFrame) -> DataFrame:
-    """`key, symbol` for every needle contained in a text, each once.
-
-    A needle is joined on its first three letters (all of it, if shorter) to the windows of the
-    text, then compared in full at that place.
-    """
-    filled = texts.filter(F.length(text) > 0)
-    windows = filled.select(key, text, F.explode(F.sequence(F.lit(1), F.length(text))).alias("_at"))
-    head = F.substr(F.col(text), F.col("_at"), F.lit(3))
-    heads = F.array_distinct(F.array(F.substring(head, 1, 1), F.substring(head, 1, 2), head))
-    grams = windows.select(key, text, "_at", F.explode(heads).alias("_gram"))
-    sought = needles.select("symbol", "needle", F.substring("needle", 1, 3).alias("_gram")).distinct()
-    at_place = F.substr(F.col(text), F.col("_at"), F.length("needle"))
-    return grams.join(sought, "_gram").filter(at_place == F.col("needle")).select(key, "symbol").distinct()
-
-
-def _resolve_by_join(articles: DataFrame, tickers: DataFrame, min_score: float, max_tickers: int) -> DataFrame:
-    """The same result for dictionaries too large to be a literal: each kind of evidence is an
-    equi-join that yields only the symbols an article holds, then one sum per article and symbol.
-
-    An article's evidence alone decides its symbols, so equal evidence is resolved once and the
-    articles meet it again by its digest: repeated ids stay apart.
-    """
-    columns = articles.columns
-    key = "_fact"
-    articles = _evidence(articles).withColumn(key, F.sha2(F.to_json(F.struct(*_EVIDENCE)), 256))
-    facts = articles.select(key, *_EVIDENCE).dropDuplicates([key])
-    symbols = tickers.select("symbol", "ord", F.lower("symbol").alias("low"))
-
-    names = tickers.select("symbol", F.explode(F.concat(F.array(F.lower("symbol")), F.transform("aliases", F.lower))).alias("needle"))
-    cash = facts.select(key, F.explode("_cashtags").alias("symbol")).join(symbols, "symbol", "left_semi")
-    title = _substring_hits(facts, key, "_title_low", names.filter("needle <> ''"))
-    mention = facts.select(key, F.explode("_matched").alias("symbol"))
-    hosts = facts.select(key, F.explode("_hosts").alias("_host"))
-    company = _substring_hits(
-        hosts.filter(F.endswith("_host", F.lit(".com"))), key, "_host", symbols.select("symbol", F.col("low").alias("needle"))
-    )
-    investor = facts.filter(_investor_host(F.col("_hosts"))).select(key, F.lit(True).alias("_investor"))
-    def part(df: DataFrame, weight: float, host: float = 0.0) -> DataFrame:
-        return df.select(key, "symbol", F.lit(weight).alias("w"), F.lit(host).alias("h"))
-
-    evidence = (
-        part(cash, CASHTAG_WEIGHT)
-        .unionByName(part(title, TITLE_WEIGHT))
-        .unionByName(part(mention, MENTION_WEIGHT))
-        .unionByName(part(company, 0.0, HOST_WEIGHT))
-    )
-    if min_score <= HOST_WEIGHT:
-        # On an investor host every symbol scores; of those with nothing else, only the first
-        # `max_tickers` in the dictionary can reach the result.
-        first = string_array([r["symbol"] for r in tickers.orderBy("ord").limit(max_tickers).collect()])
-        anyone = investor.select(key, F.explode(first).alias("symbol"))
-        evidence = evidence.unionByName(part(anyone, 0.0, HOST_WEIGHT))
-    sums = evidence.groupBy(key, "symbol").agg(F.sum("w").alias("w"), F.max("h").alias("h"))
-    # A kept symbol needs min_score from its own evidence and at most one host's worth.
-    near = sums.filter(F.col("w") + HOST_WEIGHT >= min_score).join(symbols.select("symbol", "ord"), "symbol")
-    flagged = near.join(investor, key, "left")
-    score = F.col("w") + F.greatest(F.col("h"), F.when(F.col("_investor"), HOST_WEIGHT).otherwise(0.0))
-    ranked = (
-        flagged.withColumn("score", score)
-        .filter(F.col("score") >= min_score)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "symbol"))).alias("_s"))
-        .select(key, F.transform(F.slice("_s", 1, max_tickers), lambda s: s["symbol"]).alias("tickers"))
-    )
-    resolved = articles.select(*columns, key).join(ranked, key, "left")
-    return resolved.select(*columns, F.coalesce("tickers", empty_strings()).alias("tickers"))
+    first, ties in dictionary order."""
+    best = ticker_scores(articles, tickers, min_score, max_tickers, part_letters)
+    return articles.withColumn("tickers", F.transform(best, lambda s: s["symbol"]))
 
 
 def match_entities(articles: DataFrame, tickers: DataFrame, cutoff: float = 85.0) -> DataFrame:
-    """Articles with `matched`: the symbol of each mention in `entities` that resembles an alias.
-
-    Where the dictionary is joined, equal lists of mentions are matched once, so repeated ids stay apart."""
-    local = local_aliases(tickers)
-    if local is not None:
-        return articles.withColumn("matched", match_mentions(F.col("entities"), local, cutoff))
-    key, columns = "_fact", articles.columns
-    articles = articles.withColumn(key, F.sha2(F.to_json(F.struct("entities")), 256))
-    mentions = articles.select(key, "entities").dropDuplicates([key]).select(key, F.explode("entities").alias("mention"))
-    found = fuzzy_match(mentions, tickers, cutoff).filter(F.col("symbol").isNotNull())
-    matched = found.groupBy(key).agg(F.collect_list("symbol").alias("matched"))
-    return articles.join(matched, key, "left").select(*columns, F.coalesce("matched", empty_strings()).alias("matched"))
+    """Articles with `matched`: the symbol of each mention in `entities` that resembles an alias."""
+    return articles.withColumn("matched", match_mentions(F.col("entities"), tickers, cutoff))
 
 
 def with_tickers(

@@ -14,7 +14,8 @@ def _split_aliases(text):
     )
 
 
-def _with_names(rows: DataFrame) -> DataFrame:
+def tickers_from_frame(rows: DataFrame) -> DataFrame:
+    """The dictionary of rows with `symbol, name, aliases` (parted by semicolons) and `ord`."""
     name = F.trim(F.coalesce("name", F.lit("")))
     aliases = _split_aliases(F.col("aliases"))
     entries = rows.select(
@@ -57,13 +58,13 @@ def load_tickers(spark: SparkSession, path: str, repair: bool = False) -> DataFr
             F.when(cut, F.col("extra")).otherwise(F.col("aliases")).alias("aliases"),
             "ord",
         )
-    return _with_names(rows)
+    return tickers_from_frame(rows)
 
 
 def tickers_from_rows(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     """The same dictionary from (symbol, name, aliases) tuples in order."""
     data = [(i, *row) for i, row in enumerate(rows)]
-    return _with_names(spark.createDataFrame(data, "ord int, symbol string, name string, aliases string"))
+    return tickers_from_frame(spark.createDataFrame(data, "ord int, symbol string, name string, aliases string"))
 
 
 def alias_index(tickers: DataFrame) -> DataFrame:

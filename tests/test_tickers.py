@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalogue.tables import TICKER_ROWS
 from newsloom.operators import fuzzy, tickers as resolve
+from newsloom.operators.patterns import NameTrie, PatternTable
 from newsloom.plans.articles import enrich
 from newsloom.sources.tickers import alias_index, alias_owner, load_tickers, tickers_from_rows
 
@@ -79,11 +80,11 @@ def _mentions(n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_local", [5000, 3])
-def test_fuzzy_match_is_exact(spark, dictionary, max_local):
+@pytest.mark.parametrize("part_letters", [fuzzy.PART_LETTERS, 40])
+def test_fuzzy_match_is_exact(spark, dictionary, part_letters):
     mentions = _mentions(300)
     df = spark.createDataFrame([(m,) for m in mentions], "mention string")
-    found = fuzzy.fuzzy_match(df, dictionary, max_local=max_local).collect()
+    found = fuzzy.fuzzy_match(df, dictionary, part_letters=part_letters).collect()
     assert {r["mention"]: (r["alias"], r["score"], r["symbol"]) for r in found} == {m: _best(m) for m in mentions}
 
 
@@ -119,19 +120,19 @@ def test_scores(spark, dictionary):
     df = spark.createDataFrame(ARTICLES, SCHEMA)
     got = {r["id"]: {s["symbol"]: s["score"] for s in r["ticker_scores"]} for r in resolve.score_tickers(df, dictionary).collect()}
     assert got == {i: {k: v for k, v in _scores(t, b, h).items() if v > 0} for i, t, b, h in ARTICLES}
-    with pytest.raises(ValueError):
-        resolve.score_tickers(df, dictionary, max_literal=2)
+    parted = resolve.score_tickers(df, dictionary, part_letters=30).collect()
+    assert {r["id"]: {s["symbol"]: s["score"] for s in r["ticker_scores"]} for r in parted} == got
 
 
 @pytest.mark.parametrize("min_score,max_tickers", [(2.0, 5), (1.0, 3), (3.5, 5)])
-def test_both_ways_to_resolve(spark, dictionary, min_score, max_tickers):
+def test_whole_and_parted_dictionary(spark, dictionary, min_score, max_tickers):
     df = spark.createDataFrame(ARTICLES, SCHEMA)
     expected = {}
     for i, t, b, h in ARTICLES:
         ranked = sorted(_scores(t, b, h).items(), key=lambda kv: -kv[1])
         expected[i] = [s for s, v in ranked if v >= min_score and v > 0][:max_tickers]
-    for max_literal in (256, 0):
-        out = resolve.resolve_tickers(df, dictionary, min_score, max_tickers, max_literal=max_literal)
+    for part_letters in (resolve.PART_LETTERS, 30, 1):
+        out = resolve.resolve_tickers(df, dictionary, min_score, max_tickers, part_letters)
         assert {r["id"]: r["tickers"] for r in out.collect()} == expected
 
 
@@ -146,42 +147,87 @@ def test_mentions_add_up(spark, dictionary):
     assert known["entities"] == ["Google", "Alphabet", "Google Inc", "Reuters", "agreed"]
 
 
-def test_small_dictionary_needs_no_exchange(spark, dictionary, plan):
-    df = spark.createDataFrame(ARTICLES, SCHEMA)
-    text = plan(resolve.resolve_tickers(df, dictionary))
-    assert "Exchange" not in text and "Join" not in text and "EvalPython" not in text
-
-
-def test_large_dictionary_never_pairs_everything(spark, dictionary, plan):
-    df = spark.createDataFrame(ARTICLES, SCHEMA)
-    text = plan(resolve.resolve_tickers(df, dictionary, max_literal=0))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
-    mentions = spark.createDataFrame([("Apple",)], "mention string")
-    text = plan(fuzzy.fuzzy_match(mentions, dictionary, max_local=0))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
+def test_row_local(spark, dictionary, plan):
+    df = spark.createDataFrame(ARTICLES, SCHEMA).withColumn("entities", F.array(F.lit("Apple")))
+    text = plan(resolve.resolve_tickers(resolve.match_entities(df, dictionary), dictionary))
+    assert "Exchange" not in text and "Join" not in text and "ArrowEvalPython" in text
+
+
+def test_patterns_are_found_by_one_pass():
+    rnd = random.Random(1)
+    for _ in range(200):
+        needles = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(5))) for _ in range(rnd.randrange(12))]
+        texts = ["".join(rnd.choice("abcd\u00e9\U0001f600") for _ in range(rnd.choice([0, 1, 3, 40, 1300]))) for _ in range(rnd.randrange(8))]
+        at, which = PatternTable(needles).find(texts)
+        found = list(zip(at.tolist(), which.tolist()))
+        assert len(found) == len(set(found))
+        assert set(found) == {(i, j) for i, t in enumerate(texts) for j, n in enumerate(needles) if n and n in t}
+
+
+def test_best_alias_at_every_cutoff():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 6))) for _ in range(25)] + ["Inc", "Corp"]
+    for _ in range(60):
+        aliases = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(4))), f"S{i}") for i in range(rnd.randrange(30))]
+        index = fuzzy.AliasIndex(aliases)
+        for cutoff in (0, 20, 50, 66, 70, 85, 90, 100):
+            mention = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 4))).replace("a", rnd.choice("abcdef"), 1)
+            best, top = None, -1.0
+            for place, alias, symbol in aliases:
+                score = fuzzy.token_set_similarity(mention, alias)
+                if score >= cutoff and score > top:
+                    best, top = (alias, score, symbol, place), score
+            assert index.best(mention, cutoff) == best
+
+
+def test_mentions_have_no_bound(spark):
+    long_name = "The Great Northern And Southern Railway Steamship Land Timber Mining Company"
+    many = " ".join(f"Word{i}" for i in range(20_000))
+    rows = [f"{long_name} said", "x a.b.C.D.e.F.G-H.i said iPhone Pro", "Acme Inc. Foo Ltd. Then Co.uk and Sinc.", many, "A B C  D\u00e9 E\nF", "Mac\x01Donald", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "n int, t string")
+    found = [r[0] for r in df.orderBy("n").select(resolve.CapitalizedRuns().mentions(F.col("t"))).collect()]
+    assert found[0] == [long_name]
+    assert found[1] == ["C.D.e.F.G-H.i", "Phone Pro"]
+    assert found[2] == ["Acme Inc. Foo Ltd. Then Co.uk", "Sinc"]
+    assert found[3] == [many] and found[4] == ["A B C", "D", "E", "F"] and found[5] == ["Mac", "Donald"] and found[6] == []
+
+
+def test_names_are_whole_words_longest_first(spark):
+    names = ["Apple", "Apple Inc", "Alphabet Inc. Class A", "de la Rue", "A&B"]
+    trie = NameTrie(names)
+    assert trie.find("Apple Inc. Pineapple Apple-x Apple; Alphabet Inc. Class A, Alphabet Inc. Class, de la Rue A&B A&Bc") == [
+        "Apple Inc", "Apple", "Alphabet Inc. Class A", "de la Rue", "A&B"]
+    df = spark.createDataFrame([("the de la Rue of Apple, de la Rue",), (None,)], "t string")
+    found = [r[0] for r in df.select(resolve.CapitalizedRuns(names).mentions(F.col("t"))).collect()]
+    assert found[0] == ["Rue", "Apple", "Rue", "de la Rue"]
+
+
+def test_tens_of_thousands_of_symbols(spark, tmp_path):
+    """The same answers at 50 000 symbols, in a batch and in a stream, as from the symbols that matter."""
+    symbol = lambda i: "Q" + "".join("BCDFGHJKLMNPRSTVWXZ"[i // 19**k % 19] for k in range(4))
+    entries = [(symbol(i), f"Firm{i} Ltd", f"Brand{i}x;Zug{i}") for i in range(50_000)]
+    wanted = [7, 123, 4_567, 49_999]
+    rows = [(str(i), f"${symbol(i)} and Brand{i}x news", f"about ${symbol(7)}", [f"Firm{i} Ltdd", "Nobody"]) for i in wanted]
+    df = spark.createDataFrame(rows, "id string, title string, body string, entities array<string>").withColumn("hints", F.array(F.lit("host:ir.x")))
+    large = tickers_from_rows(spark, entries)
+    found = resolve.resolve_tickers(resolve.match_entities(df, large), large)
+    local = {r.id: r.tickers for r in found.collect()}
+    assert all(set(local[str(i)]) >= {symbol(i), symbol(7)} for i in wanted)
+    few = tickers_from_rows(spark, [e for i, e in enumerate(entries) if i in wanted])
+    few_found = {r.id: [s for s in r.tickers] for r in resolve.resolve_tickers(resolve.match_entities(df, few), few).collect()}
+    known = {symbol(i) for i in wanted}
+    assert {k: [s for s in v if s in known][:2] for k, v in local.items()} == {k: v[:2] for k, v in few_found.items()}
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = resolve.resolve_tickers(resolve.match_entities(stream, large), large).writeStream.format("memory").queryName("large_symbols").trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination(120)
+    assert {r.id: r.tickers for r in spark.table("large_symbols").collect()} == local
 
 
 def test_repeated_ids_stay_apart(spark, dictionary):
     rows = [(1, "$AAPL up", ["Apple"]), (1, "$MSFT up", ["Microsoft", "Apple"]), (1, "$AAPL up", ["Apple"]), (None, "$NVDA", []), (2, None, None)]
     df = spark.createDataFrame(rows, "id long, title string, entities array<string>").withColumn("body", F.lit("")).withColumn("hints", F.array().cast("array<string>"))
-    for max_literal in (256, 0):
-        out = resolve.resolve_tickers(df, dictionary, max_literal=max_literal)
+    for part_letters in (resolve.PART_LETTERS, 30):
+        out = resolve.resolve_tickers(df, dictionary, part_letters=part_letters)
         assert out.columns == [*df.columns, "tickers"]
         assert sorted((str(r.id), r.tickers) for r in out.collect()) == [("1", ["AAPL"]), ("1", ["AAPL"]), ("1", ["MSFT"]), ("2", []), ("None", ["NVDA"])]
-
-
-def test_hundreds_of_symbols(spark, tmp_path):
-    """Over the literal limit: joins, all scores, and a stream give the same."""
-    symbol = lambda i: "Z" + "QXJW"[i % 4] + chr(65 + i // 4 % 26) + chr(65 + i // 104)
-    many = tickers_from_rows(spark, [(symbol(i), f"Firm{i} Ltd", f"firm{i}x;Brand{i}") for i in range(400)])
-    rows = [(str(i), f"${symbol(i)} and Brand{i + 1} news", f"about ${symbol(7)}") for i in range(0, 400, 40)]
-    df = spark.createDataFrame(rows, "id string, title string, body string").withColumn("hints", F.array().cast("array<string>"))
-    local = {r.id: r.tickers for r in resolve.resolve_tickers(df, many, max_literal=1000).collect()}
-    assert {r.id: r.tickers for r in resolve.resolve_tickers(df, many).collect()} == local
-    best = {r.id: [s.symbol for s in r.ticker_scores if s.score >= 2][:5] for r in resolve.score_tickers(df, many).collect()}
-    assert best == local and all({symbol(int(i)), symbol(7)} <= set(local[i]) for i in local)
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = resolve.resolve_tickers(stream, many).writeStream.format("memory").queryName("many_symbols").trigger(availableNow=True)
-    query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination(60)
-    assert {r.id: r.tickers for r in spark.table("many_symbols").collect()} == local
