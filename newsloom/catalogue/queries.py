@@ -169,6 +169,13 @@ def dedup_ttl(spark, sf_dir):
     return dedup.dedup_ttl(events, ["user_id", "event_type"], "ts", TTL_S, tie=["event_id"])
 
 
+@registered
+def dedup_ttl_sliced(spark, sf_dir):
+    """Few keys with very many rows each and a TTL of a minute: kept times by pointer doubling."""
+    events = V.table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return dedup.dedup_ttl(events, "event_type", "ts", 60, tie=["event_id"], fold_limit=100)
+
+
 def _keyed_events(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select(
         "event_id", "ts", F.concat_ws("/", "user_id", "event_type").alias("key")

@@ -300,6 +300,15 @@ SQL["dedup_ttl"] = """WITH RECURSIVE walk AS (
 SELECT min(e.event_id) AS event_id, e.ts, e.user_id, e.event_type
 FROM events e JOIN walk w ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.ts = w.ts
 GROUP BY e.ts, e.user_id, e.event_type"""
+SQL["dedup_ttl_sliced"] = """WITH RECURSIVE next AS (
+    SELECT event_type, ts, min(ts) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS following
+    FROM (SELECT DISTINCT event_type, ts FROM events)),
+walk AS (
+    SELECT event_type, min(ts) AS ts FROM events GROUP BY event_type
+    UNION ALL
+    SELECT w.event_type, n.following AS ts FROM walk w JOIN next n ON n.event_type = w.event_type AND n.ts = w.ts WHERE n.following IS NOT NULL)
+SELECT min(e.event_id) AS event_id, e.ts, e.event_type
+FROM events e JOIN walk w ON e.event_type = w.event_type AND e.ts = w.ts GROUP BY e.ts, e.event_type"""
 SQL["dedup_history"] = """WITH keyed AS (SELECT event_id, ts, concat(user_id, '/', event_type) AS key FROM events),
 past AS (SELECT key, max(ts) AS last FROM keyed WHERE ts < TIMESTAMP '2024-01-16' GROUP BY key)
 SELECT event_id, ts, k.key FROM keyed k LEFT JOIN past p ON p.key = k.key

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
-from newsloom.settings import work_folder, written
+from newsloom.settings import discard, written
 
 # Largest number of rows of one key that are folded as one sorted array.
 FOLD_LIMIT = 10_000
+# Times of one key that a window of the pointer walk holds, about.
+CELL_ROWS = 1_000_000
 
 
 def _ticks(df: DataFrame, ts: str) -> tuple[Column, int]:
@@ -24,6 +26,8 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     """The first row of each key. A minimum aggregates before the exchange, so a key of any
     weight sends one row per task."""
     rest = [c for c in df.columns if c not in key and c not in order]
+    if not [*order, *rest]:
+        return df.distinct()
     first = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     return first.select(*key, *[F.col("_first")[c].alias(c) for c in (*order, *rest)])
 
@@ -45,40 +49,59 @@ def _fold(df: DataFrame, key: Sequence[str], order: Sequence[str], ttl: int) ->
     return kept.select(*key, *[F.col("_r")[c].alias(c) for c in (*order, *rest)])
 
 
-def _slice_walk(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], ttl: int
-) -> DataFrame:
-    """The same result for keys too heavy for one array.
+def _next_times(times: DataFrame, ttl: int, cell_rows: int) -> DataFrame:
+    """`_k, _t, _next`: for each distinct time of a key its first time at least `ttl` later, if there is one.
 
-    Time is cut into slices one `ttl` long. A key keeps at most one row per slice: the first one
-    at least `ttl` after the row it kept last. So each slice is a plain minimum per key, which
-    aggregates before the exchange, over rows joined to one number per key. Slices are visited in
-    order; rows are written once by slice, so each is read once, and every step's result is a
-    written table, so no lineage builds up and a lost executor costs one step.
+    Time is cut into cells, narrow enough to hold about `cell_rows` times of a key. A time is
+    looked up in the cell it points into; past that cell's last time the answer is the first time
+    of the key's next cell that holds one. So no window is longer than a cell, or than a key's cells.
+    """
+    densest = times.groupBy("_k", F.floor(F.col("_t") / F.lit(ttl))).count().agg(F.max("count")).first()[0] or 1
+    width = max(1, ttl // -(-densest // cell_rows))
+    cell = F.floor(F.col("_at") / F.lit(width)).cast("bigint").alias("_cell")
+    none = F.lit(None).cast("bigint")
+    stored = times.select("_k", F.col("_t").alias("_at"), F.col("_t").alias("_stored"), none.alias("_t"))
+    asked = times.select("_k", (F.col("_t") + ttl).alias("_at"), none.alias("_stored"), "_t")
+    both = stored.unionByName(asked).select("*", cell)
+    # From the latest time back, a stored time before one that asks for the same time.
+    back = Window.partitionBy("_k", "_cell").orderBy(F.desc("_at"), F.desc_nulls_last("_stored"))
+    inside = both.withColumn("_inside", F.last("_stored", ignorenulls=True).over(back)).where(F.col("_t").isNotNull())
+    later = Window.partitionBy("_k").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = both.groupBy("_k", "_cell").agg(F.min("_stored").alias("_first"))
+    after = cells.select("_k", "_cell", F.last("_first", ignorenulls=True).over(later).alias("_after"))
+    found = inside.select("_k", "_cell", "_t", "_inside").join(after, ["_k", "_cell"])
+    return found.select("_k", "_t", F.coalesce("_inside", "_after").alias("_next")).where(F.col("_next").isNotNull())
+
+
+def kept_times(times: DataFrame, ttl: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """`_k, _t`: the times a walk of each key keeps, of its distinct times `_k, _t`.
+
+    Every time points to the one that would be kept after it. The first time of each key is kept;
+    in each round the kept ones' pointers add as many again, and the pointers are doubled, so the
+    rounds grow with the logarithm of the times a key keeps. Joins meet on key and time, which are
+    distinct, so no key is heavy; each round is a written table, and the one before it is deleted.
     """
-    spark: SparkSession = df.sparkSession
-    folder = work_folder(spark, "dedup")
-    by_slice, kept_path = f"{folder}/rows", f"{folder}/kept"
-    sliced = df.withColumn("_slice", F.floor(F.col("_t") / F.lit(ttl)).cast("bigint"))
-    # Rebalancing keeps the files of a slice few and splits a slice that holds most of the rows.
-    sliced.hint("rebalance", F.col("_slice")).write.partitionBy("_slice").parquet(by_slice)
-
-    rows = spark.read.schema(sliced.schema).parquet(by_slice)
-    slices = [r[0] for r in rows.select("_slice").distinct().orderBy("_slice").collect()]
-    kept_schema = first_per_key(df, key, order).schema
-    for number, at in enumerate(slices):
-        part = rows.filter(F.col("_slice") == at).drop("_slice")
-        # Rows kept two slices back or earlier are a whole `ttl` away: only the slice just before can suppress.
-        if number and slices[number - 1] == at - 1:
-            kept = spark.read.schema(kept_schema).parquet(f"{kept_path}/{number - 1}")
-            last = kept.groupBy(*key).agg(F.max("_t").alias("_last"))
-            same_key = [part[k].eqNullSafe(last[k]) for k in key]
-            joined = part.join(last, same_key, "left")
-            part = joined.filter(F.col("_last").isNull() | (F.col("_t") - F.col("_last") >= ttl)).select(
-                *[part[c] for c in part.columns]
-            )
-        first_per_key(part, key, order).write.parquet(f"{kept_path}/{number}")
-    return spark.read.schema(kept_schema).parquet(f"{kept_path}/*")
+    pointers = written(_next_times(times, ttl, cell_rows), "dedup-pointers")
+    kept = written(times.groupBy("_k").agg(F.min("_t").alias("_t")), "dedup-kept")
+    while True:
+        added = written(kept.join(pointers, ["_k", "_t"]).select("_k", F.col("_next").alias("_t")), "dedup-added")
+        if added.isEmpty():
+            return kept
+        joined = written(kept.unionByName(added), "dedup-kept")
+        second = pointers.select("_k", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+        doubled = written(pointers.join(second, ["_k", "_next"]).select("_k", "_t", F.col("_far").alias("_next")), "dedup-pointers")
+        for old in (kept, pointers, added):
+            discard(old)
+        kept, pointers = joined, doubled
+
+
+def _pointer_walk(df: DataFrame, key: Sequence[str], order: Sequence[str], ttl: int) -> DataFrame:
+    """The same result for keys too heavy for one array: the kept times by pointer doubling, then the first row of each."""
+    named = F.struct(*key).alias("_k")
+    times = written(df.select(named, "_t").distinct(), "dedup-times")
+    kept = kept_times(times, ttl)
+    rows = df.withColumn("_k", named).join(kept, ["_k", "_t"], "left_semi").drop("_k")
+    return first_per_key(rows, [*key, "_t"], [c for c in order if c != "_t"])
 
 
 def dedup_ttl(
@@ -96,8 +119,8 @@ def dedup_ttl(
 
     One aggregate over key and time decides the plan. If no key spans a whole TTL the answer is
     the first row per key. Otherwise keys are folded as sorted arrays, except keys with more than
-    `fold_limit` rows: these are walked by time slice, or, where they do not span a TTL, are again
-    the first row per key. The input is read for that aggregate and
+    `fold_limit` rows: these are walked by pointer doubling, or, where they do not span a TTL, are
+    again the first row per key. The input is read for that aggregate and
     again for the result, so pass costly plans through `settings.written` first.
     """
     keys = [key] if isinstance(key, str) else list(key)
@@ -128,7 +151,7 @@ def dedup_ttl(
     out = _fold(only(big_keys, "left_anti"), keys, order, ttl).select(*columns)
     out = out.unionByName(first_per_key(only(big_keys.filter(~F.col("_long")), "left_semi"), keys, order).select(*columns))
     if facts["long"]:
-        out = out.unionByName(_slice_walk(only(big_keys.filter("_long"), "left_semi"), keys, order, ttl).select(*columns))
+        out = out.unionByName(_pointer_walk(only(big_keys.filter("_long"), "left_semi"), keys, order, ttl).select(*columns))
     return out
 
 

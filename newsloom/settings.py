@@ -70,4 +70,14 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, computed once and read from a durable table from here on."""
     folder = work_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    back = df.sparkSession.read.schema(df.schema).parquet(folder)
+    back.work_folder = folder
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written` after their last reader; nothing that still has to run may read them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.work_folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

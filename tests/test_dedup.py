@@ -86,3 +86,35 @@ def test_new_articles_looks_back_only(spark):
     assert found == stated and 0 < len(found) < len(batch)
     assert new_articles(load.limit(0), past, 20).count() == 0
     assert new_articles(load, past.limit(0), 20).count() == len(batch)
+
+
+@pytest.mark.parametrize("cell_rows", [3, 1_000_000])
+def test_pointer_walk_equals_the_walk(spark, cell_rows):
+    rnd = random.Random(11)
+    rows = [(rnd.choice("hhhhhab"), rnd.choice([rnd.randrange(4000), rnd.randrange(900, 1000)])) for _ in range(1500)] + [(None, t) for t in range(0, 90, 4)]
+    times = spark.createDataFrame(rows, "k string, _t long").selectExpr("struct(k) AS _k", "_t").distinct()
+    found = sorted((str(r._k.k), r._t) for r in dedup.kept_times(times, 10, cell_rows).collect())
+    kept, last = [], {}
+    for t, k in sorted((t, str(k)) for k, t in set(rows)):
+        if k not in last or t - last[k] >= 10:
+            last[k] = t
+            kept.append((k, t))
+    assert found == sorted(kept)
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds = []
+    write = dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, purpose: rounds.append(purpose) or write(df, purpose))
+    for n, most in ((64, 8), (1024, 12)):
+        rounds.clear()
+        rows = spark.range(n).selectExpr("'hot' AS k", "id * 1000 AS t", "id AS i")
+        assert dedup.dedup_ttl(rows, "k", "t", 1, tie=["i"], fold_limit=10).count() == n
+        assert rounds.count("dedup-added") <= most
+
+
+def test_null_keys_and_extra_columns_in_heavy_keys(spark):
+    rows = [(None, t * 1000, t, "x") for t in range(50)] + [("a", t * 1000, t, "y") for t in range(3)]
+    df = spark.createDataFrame(rows, "k string, t long, _next long, _k string")
+    kept = dedup_ttl(df.withColumnRenamed("_k", "v"), "k", "t", 7, tie=["_next"], fold_limit=5).collect()
+    assert sorted((str(r.k), r.t // 1000) for r in kept) == [("None", t) for t in range(0, 50, 7)] + [("a", 0)]
