@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from newsloom.catalogue import tables as V
@@ -13,11 +14,13 @@ from newsloom.functions.ids import stable_id
 from newsloom.operators import analytics, dedup, fuzzy, html, scoring
 from newsloom.operators import tickers as resolve
 from newsloom.plans import articles
-from newsloom.settings import work_folder
+from newsloom.settings import ScoreOptions, work_folder
 from newsloom.sinks import tables as sinks
 from newsloom.sources import crawl as crawls
 from newsloom.sources import feeds
 from newsloom.sources import scored as messages
+from newsloom.sources.tickers import load_tickers
+from newsloom.streaming import feeds as live_feeds
 from newsloom.streaming import flows, metrics, state
 from newsloom.streaming.running import run_until_idle
 
@@ -120,6 +123,16 @@ def stat_cards(spark, sf_dir):
     )
 
 
+@registered
+def query_parameters(spark, sf_dir):
+    """The lists at parameters beyond their caps: they come out at the caps."""
+    rows = V.scored(spark, sf_dir)
+    newest = analytics.latest(rows, 10_000).select(F.lit("latest").alias("query"), F.col("id").alias("label"))
+    means = analytics.ticker_sentiment(rows, analytics.clamp(10_000_000, analytics.WINDOW_CAP), analytics.clamp(10_000, analytics.MIN_COUNT_CAP), V.as_of(spark, sf_dir))
+    feed = analytics.ticker_feed_query(analytics.ticker_feed(rows, 1_000, 604_800, V.as_of(spark, sf_dir)), "T3", 10_000)
+    return newest.unionByName(means.select(F.lit("means").alias("query"), F.col("ticker").alias("label"))).unionByName(feed.select(F.lit("feed").alias("query"), F.col("id").alias("label")))
+
+
 def _feed(spark, sf_dir):
     return analytics.ticker_feed(V.scored(spark, sf_dir), 50, 604_800, V.as_of(spark, sf_dir))
 
@@ -233,7 +246,7 @@ def stable_id_xxh64(spark, sf_dir):
 
 
 def _raw_pages(spark, sf_dir):
-    return articles.to_raw(V.pages_as_items(V.table(spark, sf_dir, "pages")), V.AS_OF_MS, "md5")
+    return articles.to_raw(V.pages_as_items(V.table(spark, sf_dir, "pages")), V.AS_OF_MS)
 
 
 def _new_pages(spark, sf_dir):
@@ -320,6 +333,16 @@ def extract_links_reverse(spark, sf_dir):
     return html.extract_links(_listing_pages(spark, sf_dir), "/", "/", 5, order="reverse_dfs")
 
 
+@registered
+def extract_links_of_site(spark, sf_dir):
+    """Only links into one section of one site count; links of the site without a scheme get one."""
+    linked = F.regexp_replace("html", '<a href="/t', '<a href="//example.com/News/t')
+    linked = F.regexp_replace(linked, '<a href="/d', '<a href="https://EXAMPLE.com/news/d')
+    linked = F.regexp_replace(linked, '<a href="/e', '<a href="http://example.com/sport/e')
+    pages = V.table(spark, sf_dir, "pages").select("page_id", linked.alias("html"))
+    return html.extract_links(pages, "example.com", "/news/", 30)
+
+
 @registered
 def ingest_listing(spark, sf_dir):
     pages = _crawl_with_status(spark, sf_dir).withColumn("source", F.concat(F.lit("listing:"), "page_id"))
@@ -416,6 +439,19 @@ def topics_pipe(spark, sf_dir):
     return piped.select("id", "piped", strings.topics_split(F.col("piped")).alias("split"))
 
 
+@registered
+def ticker_file(spark, sf_dir):
+    """A dictionary file of all nations, written as people write them and read back: blanks, doubled and empty aliases, lower case."""
+    folder, nation = work_folder(spark, "ticker-file"), V.table(spark, sf_dir, "nation")
+    rows = nation.orderBy("n_nationkey").select(
+        F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")).alias("symbol"),
+        F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.concat(F.initcap("n_name"), F.lit(", Inc"))).alias("name"),
+        F.concat(F.initcap("n_name"), F.lit("; Region "), "n_regionkey", F.lit(";;Region "), "n_regionkey", F.lit(" ;")).alias("aliases"),
+    )
+    rows.coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return load_tickers(spark, folder)
+
+
 @registered
 def score_tickers(spark, sf_dir):
     scored = resolve.score_tickers(V.clean_documents(spark, sf_dir), V.tickers(spark))
@@ -497,6 +533,15 @@ def score_lexicon(spark, sf_dir):
     return _scored_docs(docs).select("id", "sentiment", "confidence", "topics")
 
 
+@registered
+def score_hashed(spark, sf_dir):
+    """A batch scorer with weights made by a rule and its labels in another order."""
+    docs = V.documents_as_clean(spark, sf_dir).withColumns({"tickers": strings.empty_strings(), "topics": strings.empty_strings()})
+    scorer = scoring.HashedLinearScorer(spark, V.hashed_weights(), V.HASHED_LABELS)
+    scored = scoring.score(docs, scorer, ScoreOptions(enable_rules=False), as_of=V.AS_OF_MS)
+    return scored.select("id", rounded("sentiment", 5).alias("sentiment"), rounded("confidence", 5).alias("confidence"), "topics")
+
+
 @registered
 def enrich_score(spark, sf_dir):
     docs = V.clean_documents(spark, sf_dir)
@@ -524,31 +569,71 @@ def scored_json_roundtrip(spark, sf_dir):
     return _shown(rows).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _odd_payloads(spark, sf_dir):
+    """Messages of which two thirds are damaged: no JSON, no object, fields missing, null or of a wrong type."""
+    kind, n = F.col("event_id") % 12, F.col("event_id").cast("string")
+    text = (
+        F.when(kind == 0, F.concat(F.lit('{"id":"'), n, F.lit('","tickers":["A","B"],"sentiment":0.5,"scored_ts":'), n, F.lit("}")))
+        .when(kind == 1, F.concat(F.lit('{"id":"'), n, F.lit('"')))
+        .when(kind == 2, F.concat(F.lit("["), n, F.lit("]")))
+        .when(kind == 3, F.lit("null"))
+        .when(kind == 4, F.concat(F.lit('{"id":'), n, F.lit(',"tickers":"A","topics":null,"sentiment":"x"}')))
+        .when(kind == 5, F.lit("{}"))
+        .when(kind == 6, F.concat(F.lit('{"title":"t'), n, F.lit('","tickers":null,"scored_ts":"soon"}')))
+        .when(kind == 7, F.lit(None).cast("string"))
+        .when(kind == 8, F.lit(""))
+        .when(kind == 9, F.concat(F.lit('{"id":null,"url":"u'), n, F.lit('","extra":{"a":1},"tickers":[],"scored_ts":1.5}')))
+        .when(kind == 10, F.concat(F.lit('{"source":"s'), n, F.lit('","tickers":["C"],"topics":["x","y"]}')))
+        .otherwise(F.concat(F.lit("text "), n))
+    )
+    return V.table(spark, sf_dir, "events").select("event_id", text.alias("payload"))
+
+
+@registered
+def odd_payloads_table(spark, sf_dir):
+    rows = _shown(messages.parse_scored_json(_odd_payloads(spark, sf_dir)))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@registered
+def odd_payloads_record(spark, sf_dir):
+    return _shown(messages.to_record(_odd_payloads(spark, sf_dir)))
+
+
+@registered
+def odd_payloads_feed(spark, sf_dir):
+    """Messages whose tickers are a list go on to the feeds."""
+    return messages.parse_feed_json(_odd_payloads(spark, sf_dir)).select("payload", "id", "tickers")
+
+
 @registered
 def archive_record(spark, sf_dir):
     return _shown(messages.to_record(_payloads(spark, sf_dir)))
 
 
+def _archived(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    schema = sinks.with_hour(V.scored_messages(V.table(spark, sf_dir, "events"))).schema
+    return _shown(spark.read.schema(schema).parquet(folder))
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown(messages.read_news_scored(spark, folder)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @registered
 def hourly_archive(spark, sf_dir):
-    """Written, read back and counted by hour."""
+    """Written and read back, with the hour of each row's folder."""
     folder = work_folder(spark, "archive")
     sinks.write_hourly_archive(V.scored_messages(V.table(spark, sf_dir, "events")), folder)
-    back = spark.read.schema(sinks.with_hour(V.scored_messages(V.table(spark, sf_dir, "events"))).schema).parquet(folder)
-    return back.groupBy(*sinks.HOUR_COLUMNS).agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.sum(F.col("sentiment").cast("double")), 4).alias("total")
-    )
+    return _archived(spark, sf_dir, folder)
 
 
 @registered
 def daily_table(spark, sf_dir):
-    """Written, read back through the table reader, and counted by day and source."""
+    """Written and read back through the table reader."""
     folder = work_folder(spark, "news-scored")
     sinks.write_news_scored(V.scored(spark, sf_dir), folder)
-    back = messages.read_news_scored(spark, folder)
-    return back.groupBy("date", "source").agg(
-        F.count(F.lit(1)).alias("n"), F.max("ts").cast("timestamp_ntz").alias("newest")
-    )
+    return _stored(spark, folder)
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -592,6 +677,36 @@ def _run_updates(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.option("basePath", f"{folder}/out").schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out")
 
 
+def _in_batches(spark: SparkSession, purpose: str, inputs: dict[str, list[DataFrame]], start: Callable[[dict[str, DataFrame], str], StreamingQuery]) -> str:
+    """Feeds the parts of each input one after the other to a stream that stops and goes on after
+    each, so it takes a micro-batch or more per part. Returns the work folder."""
+    folder = work_folder(spark, purpose)
+    for step in range(max(map(len, inputs.values()))):
+        for name, parts in inputs.items():
+            if step < len(parts):
+                parts[step].write.mode("append").parquet(f"{folder}/in/{name}")
+        streams = {name: spark.readStream.schema(parts[0].schema).parquet(f"{folder}/in/{name}") for name, parts in inputs.items()}
+        run_until_idle(start(streams, folder), empty_batches=1)
+    return folder
+
+
+def _to_files(df: DataFrame, folder: str) -> StreamingQuery:
+    writer = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.trigger(availableNow=True).start()
+
+
+def _event_parts(spark: SparkSession, sf_dir: str, late: bool = False) -> list[DataFrame]:
+    """All events in three spans of time; with `late`, half of the last five minutes of a span come with the next."""
+    events = V.table(spark, sf_dir, "events")
+    ends = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("first"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last")).first()
+    first, last = ends["first"] or 0, ends["last"] or 0
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    if late:
+        at = at + F.when(F.col("event_id") % 2 == 0, 300_000_000).otherwise(0)
+    cuts = [first + (last - first) * i // 3 for i in (1, 2)]
+    return [events.where(at < cuts[0]), events.where((at >= cuts[0]) & (at < cuts[1])), events.where(at >= cuts[1])]
+
+
 @registered
 def stream_dedup(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").select(
@@ -603,12 +718,17 @@ def stream_dedup(spark, sf_dir):
 
 @registered
 def stream_dedup_event_time(spark, sf_dir):
-    """One micro-batch holds every event here, so the first row seen of each key passes."""
-    events = _stream(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "user_id", "event_type").alias("key")
-    )
-    kept = _run_to_files(state.dedup_stream_event_time(events, "key", "ts", TTL_S), "stream-dedup-event")
-    return kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """The rows that survive over several micro-batches: a key accepted in one is suppressed and accepted again in later ones."""
+
+    def start(streams, folder):
+        events = streams["events"].select(
+            "event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "user_id", "event_type").alias("key")
+        )
+        return _to_files(state.dedup_stream_event_time(events, "key", "ts", TTL_S, order=("event_id",)), folder)
+
+    folder = _in_batches(spark, "stream-dedup-event", {"events": _event_parts(spark, sf_dir)}, start)
+    kept = spark.read.schema("event_id bigint, ts timestamp, key string").parquet(f"{folder}/out")
+    return kept.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _last_update(rows: DataFrame, *keys: str) -> DataFrame:
@@ -624,66 +744,82 @@ def stream_minute_counts(spark, sf_dir):
     return last.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "n")
 
 
+def _windows(spark: SparkSession, sf_dir: str, purpose: str, metric: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Closed windows of an hour by a minute over all events, which come in three parts with late rows."""
+    folder = _in_batches(spark, purpose, {"events": _event_parts(spark, sf_dir, late=True)}, lambda streams, folder: _to_files(metric(V.scored_of(streams["events"])), folder))
+    out = spark.read.schema(metric(V.scored(spark, sf_dir)).schema).parquet(f"{folder}/out")
+    return out.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
 @registered
 def stream_ticker_sentiment(spark, sf_dir):
-    rows = V.scored_of(_stream(spark, sf_dir, "events"))
-    means = metrics.live_ticker_sentiment(rows, minutes=60, slide="30 minutes", min_count=1)
-    last = _last_update(_run_updates(means, "stream-means"), "window_end", "ticker")
-    return last.select(
-        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "ticker", rounded("avg_sent").alias("avg_sent"), "n"
-    )
+    means = _windows(spark, sf_dir, "stream-means", lambda rows: metrics.live_ticker_sentiment(rows, min_count=1))
+    return means.withColumn("avg_sent", rounded("avg_sent"))
 
 
 @registered
 def stream_topic_counts(spark, sf_dir):
-    rows = V.scored_of(_stream(spark, sf_dir, "events"))
-    counts = metrics.live_label_counts(rows, "topics", minutes=60, slide="60 minutes")
-    last = _last_update(_run_updates(counts, "stream-topics"), "window_end", "label")
-    return last.select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "label", "n")
+    return _windows(spark, sf_dir, "stream-topics", lambda rows: metrics.live_label_counts(rows, "topics"))
 
 
 @registered
 def stream_ticker_feed(spark, sf_dir):
-    rows = V.scored_messages(_stream(spark, sf_dir, "events")).withColumn("payload", F.lpad("id", 12, "0"))
-    feed = state.ticker_feed_stream(rows, n=50)
-    updates = _run_updates(feed, "stream-feed")
-    newest = updates.groupBy("ticker").agg(F.max("batch").alias("batch"))
-    return updates.join(newest, ["ticker", "batch"]).select("ticker", "rank", "scored_ts", "payload")
+    """Feeds over three micro-batches; one ticker is on every second row."""
+
+    def start(streams, folder):
+        rows = V.scored_messages(streams["events"]).withColumn("payload", F.lpad("id", 12, "0"))
+        hot = F.when(F.col("id").cast("bigint") % 2 == 0, strings.string_array(["HOT"])).otherwise(strings.empty_strings())
+        rows = rows.withColumn("tickers", F.concat("tickers", hot))
+        return live_feeds.start_ticker_feed(rows, f"{folder}/feed", f"{folder}/checkpoint", trigger={"availableNow": True})
+
+    folder = _in_batches(spark, "stream-feed", {"events": _event_parts(spark, sf_dir)}, start)
+    return live_feeds.read_feed(spark, f"{folder}/feed")
 
 
 @registered
 def stream_scored_ingest(spark, sf_dir):
-    folder = work_folder(spark, "stream-ingest")
-    payloads = messages.to_scored_json(V.scored_messages(_stream(spark, sf_dir, "events")))
-    query = flows.start_scored_ingest(payloads, f"{folder}/table", f"{folder}/checkpoint", {"availableNow": True})
-    query.awaitTermination()
-    back = messages.read_news_scored(spark, f"{folder}/table")
-    return back.groupBy("date", "source").agg(
-        F.count(F.lit(1)).alias("n"), F.max("ts").cast("timestamp_ntz").alias("newest")
-    )
+    """All rows of the table that three micro-batches fill."""
+
+    def start(streams, folder):
+        payloads = messages.to_scored_json(V.scored_messages(streams["events"]))
+        return flows.start_scored_ingest(payloads, f"{folder}/table", f"{folder}/checkpoint", {"availableNow": True})
+
+    return _stored(spark, _in_batches(spark, "stream-ingest", {"events": _event_parts(spark, sf_dir)}, start) + "/table")
 
 
 @registered
 def stream_archive(spark, sf_dir):
-    folder = work_folder(spark, "stream-archive")
-    payloads = messages.to_scored_json(V.scored_messages(_stream(spark, sf_dir, "events")))
-    query = flows.archive_stream(payloads, f"{folder}/out", f"{folder}/checkpoint", trigger={"availableNow": True})
-    query.awaitTermination()
-    schema = sinks.with_hour(V.scored_messages(V.table(spark, sf_dir, "events"))).schema
-    back = spark.read.schema(schema).parquet(f"{folder}/out")
-    return back.groupBy(*sinks.HOUR_COLUMNS).agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.sum(F.col("sentiment").cast("double")), 4).alias("total")
-    )
+    """All rows of the archive that three micro-batches fill, late ones in their own hours."""
+
+    def start(streams, folder):
+        payloads = messages.to_scored_json(V.scored_messages(streams["events"]))
+        return flows.archive_stream(payloads, f"{folder}/archive", f"{folder}/checkpoint", trigger={"availableNow": True})
+
+    return _archived(spark, sf_dir, _in_batches(spark, "stream-archive", {"events": _event_parts(spark, sf_dir, late=True)}, start) + "/archive")
 
 
 @registered
 def stream_articles(spark, sf_dir):
-    """Pages as a stream of raw articles, joined to the crawl, cleaned, enriched and scored."""
-    raw = articles.to_raw(V.pages_as_items(_stream(spark, sf_dir, "pages")), V.AS_OF_MS, "md5")
-    fresh = state.dedup_stream(raw, "id", TTL_S, order=("title",))
-    crawl = V.pages_as_crawl(V.table(spark, sf_dir, "pages"))
-    scored = flows.article_stream(fresh, crawl, V.tickers(spark), as_of=V.AS_OF_MS)
-    back = _run_to_files(scored, "stream-articles")
+    """Raw articles and fetched pages as two streams of several micro-batches each, joined, cleaned,
+    enriched and scored; the parts are dealt so that an article and its page often come apart."""
+    pages = V.table(spark, sf_dir, "pages")
+    raw = articles.to_raw(V.pages_as_items(pages), V.AS_OF_MS)
+    crawl = V.pages_as_crawl(pages).withColumn("fetched_ts", F.lit(V.AS_OF_MS) + F.pmod(F.xxhash64("url"), F.lit(60)) * 60_000)
+
+    def dealt(df: DataFrame, seed: str) -> list[DataFrame]:
+        return [df.where(F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(3)) == i) for i in range(3)]
+
+    def first_seen(streams, folder):
+        return _to_files(state.dedup_stream(streams["raw"], "id", TTL_S, order=("title",)), folder)
+
+    fresh = spark.read.schema(raw.schema).parquet(_in_batches(spark, "stream-raw", {"raw": dealt(raw, "raw")}, first_seen) + "/out")
+
+    def start(streams, folder):
+        return _to_files(flows.article_stream(streams["raw"], streams["crawl"], V.tickers(spark), as_of=V.AS_OF_MS), folder)
+
+    folder = _in_batches(spark, "stream-articles", {"raw": dealt(fresh, "fresh"), "crawl": dealt(crawl, "crawl")}, start)
+    schema = articles.scored_articles(raw, crawl, V.tickers(spark), as_of=V.AS_OF_MS).schema
+    back = spark.read.schema(schema).parquet(f"{folder}/out")
     return back.withColumns({"sentiment": rounded("sentiment", 5), "confidence": rounded("confidence", 5)})
 
 

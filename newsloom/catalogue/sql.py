@@ -277,6 +277,11 @@ alive AS (SELECT ticker, rank, id, title, sentiment, ts FROM feed
           WHERE rank <= 50 AND newest > (SELECT max(ts) FROM events) - INTERVAL 7 DAY)"""
 SQL["ticker_feed"] = f"WITH {_FEED} SELECT * FROM alive"
 SQL["ticker_feed_query"] = f"WITH {_FEED} SELECT * FROM alive WHERE ticker = 'T3' AND rank <= 20"
+SQL["query_parameters"] = f"""WITH {_FEED}, {means(DAY).replace('>= 3)', '>= 100)')}
+SELECT * FROM (SELECT 'latest' AS query, id AS label FROM scored ORDER BY ts DESC, id LIMIT 500)
+UNION ALL SELECT 'means', ticker FROM means
+UNION ALL SELECT 'feed', id FROM (SELECT ticker, id, newest, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) AS nth FROM (SELECT ticker, id, ts, max(ts) OVER (PARTITION BY ticker) AS newest FROM exploded))
+WHERE ticker = 'T3' AND nth <= 200"""
 SQL["live_merge"] = f"""WITH {SCORED},
 stored AS (SELECT id, title, scored_ts AS time_ms, sentiment, 0 AS priority FROM scored ORDER BY time_ms DESC, id LIMIT 100),
 live AS (SELECT id, concat('live ', title) AS title, scored_ts AS time_ms, sentiment, 1 AS priority
@@ -322,17 +327,81 @@ SELECT event_id, ts, key FROM load WHERE NOT EXISTS (
 
 # --- URLs, ids, feeds and pages --------------------------------------------------------------
 
+# The primes of XXH64.
+_P1, _P2, _P3 = 11400714785074694791, 14029467366897019727, 1609587929392839161
+_P4, _P5 = 9650029242287828579, 2870177450012600261
+_M = "18446744073709551616::UHUGEINT"
+
+
+def _mul(a: str, b: str | int) -> str:
+    return f"(({a}) * {b}::UHUGEINT) % {_M}"
+
+
+def _add(a: str, b: str | int) -> str:
+    return f"(({a}) + {b}::UHUGEINT) % {_M}"
+
+
+def _rotated(a: str, bits: int) -> str:
+    return f"((({a}) * {1 << bits}::UHUGEINT) % {_M} + ({a}) // {1 << (64 - bits)}::UHUGEINT)"
+
+
+def _number(pos: str, size: int) -> str:
+    """The little-endian number of `size` bytes at byte `pos` (from 0) of the hex text `h`."""
+    pairs = " || ".join(f"substr(h, 2 * ({pos} + {i}) + 1, 2)" for i in reversed(range(size)))
+    return f"CAST(CAST('0x' || {pairs} AS UBIGINT) AS UHUGEINT)"
+
+
+def xxh64(keys: str) -> str:
+    """CTE `xxh(key, id)`: XXH64 with seed 0 of the distinct `key` column of a query, in whole numbers.
+
+    `stripes` walks 32 bytes a step in four lanes, `tail` the rest by 8, 4 or 1 bytes.
+    """
+    lane = ", ".join(f"{_mul(_rotated(f's{i}', 31), _P1)} AS v{i}" for i in range(4))
+    taken = ", ".join(f"{_add(f'v{i}', '(' + _mul(_number(f'pos + {8 * i}', 8), _P2) + ')')} AS s{i}" for i in range(4))
+    joined = f"({' + '.join(_rotated(f'v{i}', r) for i, r in enumerate((1, 7, 12, 18)))}) % {_M}"
+    merged, steps = "x0", []
+    for i in range(4):
+        mixed = _mul(_rotated(_mul(f"v{i}", _P2), 31), _P1)
+        steps.append(f"SELECT *, {_add(_mul(f'xor(x{i}, {mixed})', _P1), _P4)} AS x{i + 1}")
+    nested = f"SELECT *, {joined} AS x0 FROM stripes WHERE n - pos < 32"
+    for step in steps:
+        nested = f"{step} FROM ({nested})"
+    eight = f"xor(x, {_mul(_rotated(_mul(_number('pos', 8), _P2), 31), _P1)})"
+    four = f"xor(x, {_mul(_number('pos', 4), _P1)})"
+    one = f"xor(x, {_mul(_number('pos', 1), _P5)})"
+    last = "SELECT key, xor(x, x // 8589934592::UHUGEINT) AS x FROM tail WHERE pos = n"
+    last = f"SELECT key, {_mul('x', _P2)} AS x FROM ({last})"
+    last = f"SELECT key, {_mul('xor(x, x // 536870912::UHUGEINT)', _P3)} AS x FROM ({last})"
+    return f"""stripes AS (
+    SELECT key, hex(encode(key)) AS h, strlen(key) AS n, 0 AS pos, {_P1 + _P2 - (1 << 64)}::UHUGEINT AS v0, {_P2}::UHUGEINT AS v1, 0::UHUGEINT AS v2, {(1 << 64) - _P1}::UHUGEINT AS v3
+    FROM (SELECT DISTINCT key FROM ({keys}))
+    UNION ALL
+    SELECT key, h, n, pos + 32 AS pos, {lane} FROM (SELECT key, h, n, pos, {taken} FROM stripes WHERE n - pos >= 32)),
+tail AS (
+    SELECT key, h, n, pos, {_add(f"CASE WHEN n >= 32 THEN x4 ELSE {_P5}::UHUGEINT END", 'n')} AS x FROM ({nested})
+    UNION ALL
+    SELECT key, h, n, pos + step AS pos,
+           CASE step WHEN 8 THEN {_add(_mul(_rotated('y', 27), _P1), _P4)} WHEN 4 THEN {_add(_mul(_rotated('y', 23), _P2), _P3)} ELSE {_mul(_rotated('y', 11), _P1)} END AS x
+    FROM (SELECT *, CASE step WHEN 8 THEN {eight} WHEN 4 THEN {four} ELSE {one} END AS y
+          FROM (SELECT *, CASE WHEN n - pos >= 8 THEN 8 WHEN n - pos >= 4 THEN 4 ELSE 1 END AS step FROM tail WHERE pos < n))),
+xxh AS (SELECT key, lower(lpad(to_hex(CAST(xor(x, x // 4294967296::UHUGEINT) AS UBIGINT)), 16, '0')) AS id FROM ({last}))"""
+
+
 SQL["normalize_url"] = f"SELECT page_id, {normalized('url')} AS url FROM pages"
 SQL["url_host"] = f"""SELECT page_id, {host('url')} AS host,
        lower(split_part(list_extract(string_split(url, '://'), -1), '/', 1)) AS bare_host FROM pages"""
 SQL["path_tokens"] = f"SELECT page_id, {path_words('url')} AS tokens FROM pages"
 SQL["stable_id_md5"] = f"SELECT page_id, md5('crawl|' || {normalized('url')}) AS id FROM pages"
-RAW = f"""raw AS (
-    SELECT md5('crawl|' || url) AS id, 'crawl' AS source, url, concat('page ', page_id) AS title, '' AS body,
+SQL["stable_id_xxh64"] = f"""WITH RECURSIVE keyed AS (SELECT page_id, 'crawl|' || {normalized('url')} AS key FROM pages), {xxh64("SELECT key FROM keyed")}
+SELECT page_id, id FROM keyed JOIN xxh USING (key)"""
+RAW = f"""urls AS (SELECT page_id, html, {normalized('url')} AS url FROM pages),
+{xxh64("SELECT 'crawl|' || url AS key FROM urls")},
+raw AS (
+    SELECT xxh.id, 'crawl' AS source, url, concat('page ', page_id) AS title, '' AS body,
            CASE WHEN page_id % 3 = 0 THEN {V.AS_OF_MS} ELSE 1700000000000 + page_id END AS published_ts,
            CAST({V.AS_OF_MS} AS BIGINT) AS ingested_ts, page_id, html
-    FROM (SELECT page_id, {normalized('url')} AS url, html FROM pages))"""
-SQL["ingest_raw"] = f"WITH {RAW} SELECT * EXCLUDE (page_id, html) FROM raw"
+    FROM urls JOIN xxh ON xxh.key = 'crawl|' || url)"""
+SQL["ingest_raw"] = f"WITH RECURSIVE {RAW} SELECT * EXCLUDE (page_id, html) FROM raw"
 
 
 def feed_rows(where: str = "TRUE") -> str:
@@ -385,6 +454,14 @@ links AS (SELECT * FROM (
 
 SQL["extract_links"] = f"WITH {links('ASC', 5)} SELECT page_id, title, link, pos FROM links"
 SQL["extract_links_reverse"] = f"WITH {links('DESC', 5)} SELECT page_id, title, link, pos FROM links"
+SQL["extract_links_of_site"] = f"""WITH marked AS (
+    SELECT page_id, replace(replace(replace(html, '<a href="/t', '<a href="//example.com/News/t'), '<a href="/d', '<a href="https://EXAMPLE.com/news/d'), '<a href="/e', '<a href="http://example.com/sport/e') AS html FROM pages),
+anchors AS (
+    SELECT page_id, unnest(regexp_extract_all(html, {_ANCHOR}, 1)) AS href, unnest(regexp_extract_all(html, {_ANCHOR}, 2)) AS label,
+           unnest(range(len(regexp_extract_all(html, {_ANCHOR}, 1)))) AS spot FROM marked),
+absolute AS (SELECT page_id, CASE WHEN starts_with(href, '//example.com') THEN 'https:' || {decoded('href')} ELSE {decoded('href')} END AS link, {trimmed(decoded('label'))} AS title, spot FROM anchors),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY spot) AS nth FROM absolute WHERE contains(lower(link), 'example.com') AND contains(lower(link), '/news/'))
+SELECT * FROM (SELECT page_id, title, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY spot) - 1 AS INTEGER) AS pos FROM firsts WHERE nth = 1 AND title <> '') WHERE pos < 30"""
 SQL["ingest_listing"] = f"""WITH {links('ASC', 30)},
 found AS (SELECT concat('listing:', page_id) AS source, {normalized('link')} AS url, title FROM links
           WHERE NOT contains(page_url, '#') AND NOT ends_with({host('page_url')}, '.org'))
@@ -409,7 +486,7 @@ texts AS (
 clean AS (
     SELECT *, {hints('url', 'body')} AS hints, 'en' AS language
     FROM texts WHERE {language('body')} = 'en' AND strlen(body) >= 200)"""
-SQL["clean_articles"] = f"WITH {CLEAN} SELECT * FROM clean"
+SQL["clean_articles"] = f"WITH RECURSIVE {CLEAN} SELECT * FROM clean"
 SQL["detect_language"] = f"SELECT doc_id, {language('text')} AS language FROM documents"
 SQL["filter_clean"] = f"""SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents
 WHERE {language('text')} = 'en' AND strlen(text) >= 200"""
@@ -425,6 +502,9 @@ SQL["merge_topics"] = f"""WITH {DOCS}, low AS (SELECT id, {WHOLE} AS t, lower({m
 SELECT id, list_sort(list_distinct(list_concat({topics('t')}, {topics('m')}, ['news']))) AS topics FROM low"""
 SQL["topics_pipe"] = f"""WITH {DOCS}, low AS (SELECT id, {WHOLE} AS t FROM docs), found AS (SELECT id, {topics('t')} AS topics FROM low)
 SELECT id, array_to_string(topics, '|') AS piped, topics AS split FROM found"""
+SQL["ticker_file"] = """SELECT n_name AS symbol, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE named || ', Inc' END AS name,
+       CASE WHEN n_nationkey % 5 = 0 THEN [named, region, region] ELSE [named || ', Inc', named, region] END AS aliases, CAST(n_nationkey AS INTEGER) AS ord
+FROM (SELECT *, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS named, concat('Region ', n_regionkey) AS region FROM nation)"""
 SQL["score_tickers"] = f"WITH {DOCS}, {scores('docs')} SELECT id, symbol, score FROM scores WHERE score > 0"
 SQL["resolve_tickers"] = f"""WITH {DOCS}, {scores('docs')}
 SELECT docs.id, coalesce(tickers, {EMPTY}) AS tickers FROM docs LEFT JOIN best ON best.id = docs.id"""
@@ -471,6 +551,18 @@ SQL["score_lexicon"] = f"""WITH {DOCS}, seen AS (SELECT id, {model_text('title',
 SELECT id, {_S} AS sentiment, {_C} AS confidence, {topics('lower(m)')} AS topics FROM seen"""
 
 
+_WEIGHT = "CAST((b * {} * 40503) % 129 - 64 AS DOUBLE) / 64"
+_W1, _W2, _W3 = _WEIGHT.format(1), _WEIGHT.format(2), _WEIGHT.format(3)
+SQL["score_hashed"] = f"""WITH {DOCS}, seen AS (SELECT id, regexp_extract_all({model_text('title', 'body')}, '[A-Za-z]+') AS words FROM docs),
+buckets AS (SELECT id, CAST('0x' || substr(md5(lower(w)), 1, 7) AS BIGINT) % 1024 AS b FROM (SELECT id, unnest(words) AS w FROM seen)),
+logits AS (
+    SELECT id, coalesce(sum({_W1}) / count(b), 0) AS neu, coalesce(sum({_W2}) / count(b), 0) AS pos, coalesce(sum({_W3}) / count(b), 0) AS neg
+    FROM seen LEFT JOIN buckets USING (id) GROUP BY id),
+shares AS (SELECT id, exp(neu) / (exp(neu) + exp(pos) + exp(neg)) AS neu, exp(pos) / (exp(neu) + exp(pos) + exp(neg)) AS pos, exp(neg) / (exp(neu) + exp(pos) + exp(neg)) AS neg FROM logits)
+SELECT id, round(CAST(CAST(pos - neg AS FLOAT) AS DOUBLE), 5) AS sentiment, round(CAST(CAST(greatest(neu, pos, neg) AS FLOAT) AS DOUBLE), 5) AS confidence, {EMPTY} AS topics
+FROM shares"""
+
+
 def scored_rows(articles: str) -> str:
     return f"""seen AS (SELECT *, {WHOLE} AS t, {model_text('title', 'body')} AS m FROM {articles})
 SELECT seen.id, source, url, title, coalesce(tickers, {EMPTY}) AS tickers, {_S} AS sentiment, {_C} AS confidence,
@@ -491,29 +583,55 @@ SQL["scored_json_roundtrip"] = f"""WITH {SCORED}
 SELECT date_trunc('millisecond', ts) AS ts, id, source, url, title, tickers, {SENT} AS sentiment, topics, CAST(ts AS DATE) AS date FROM scored"""
 SQL["archive_record"] = f"""WITH {SCORED}
 SELECT id, source, url, title, tickers, {SENT} AS sentiment, topics, scored_ts FROM scored"""
+# What each kind of odd message holds, by hand: (kind, id, source, url, title, tickers, sentiment, topics, scored_ts); the other kinds are skipped.
+_ODD = """odd AS (SELECT event_id, event_id % 12 AS kind, CAST(event_id AS VARCHAR) AS n FROM events),
+held AS (
+    SELECT n AS id, NULL AS source, NULL AS url, NULL AS title, ['A', 'B'] AS tickers, 0.5 AS sentiment, CAST([] AS VARCHAR[]) AS topics, event_id AS scored_ts FROM odd WHERE kind = 0
+    UNION ALL SELECT n, NULL, NULL, NULL, [], 0.0, [], 0 FROM odd WHERE kind = 4
+    UNION ALL SELECT NULL, NULL, NULL, NULL, [], 0.0, [], 0 FROM odd WHERE kind = 5
+    UNION ALL SELECT NULL, NULL, NULL, 't' || n, [], 0.0, [], 0 FROM odd WHERE kind = 6
+    UNION ALL SELECT NULL, NULL, 'u' || n, NULL, [], 0.0, [], 0 FROM odd WHERE kind = 9
+    UNION ALL SELECT NULL, 's' || n, NULL, NULL, ['C'], 0.0, ['x', 'y'], 0 FROM odd WHERE kind = 10)"""
+SQL["odd_payloads_record"] = f"WITH {_ODD} SELECT id, source, url, title, tickers, CAST(sentiment AS DOUBLE) AS sentiment, topics, CAST(scored_ts AS BIGINT) AS scored_ts FROM held"
+SQL["odd_payloads_table"] = f"""WITH {_ODD} SELECT CAST(epoch_ms(CAST(scored_ts AS BIGINT)) AS TIMESTAMP) AS ts, coalesce(id, '') AS id, coalesce(source, '') AS source, coalesce(url, '') AS url,
+    coalesce(title, '') AS title, tickers, CAST(sentiment AS DOUBLE) AS sentiment, topics, CAST(epoch_ms(CAST(scored_ts AS BIGINT)) AS DATE) AS date FROM held"""
+SQL["odd_payloads_feed"] = """WITH odd AS (SELECT event_id % 12 AS kind, CAST(event_id AS VARCHAR) AS n FROM events)
+SELECT '{"id":"' || n || '","tickers":["A","B"],"sentiment":0.5,"scored_ts":' || n || '}' AS payload, n AS id, ['A', 'B'] AS tickers FROM odd WHERE kind = 0
+UNION ALL SELECT '{"id":null,"url":"u' || n || '","extra":{"a":1},"tickers":[],"scored_ts":1.5}', NULL, [] FROM odd WHERE kind = 9
+UNION ALL SELECT '{"source":"s' || n || '","tickers":["C"],"topics":["x","y"]}', NULL, ['C'] FROM odd WHERE kind = 10"""
 SQL["hourly_archive"] = f"""WITH {SCORED}
-SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour,
-       count(*) AS n, round(sum(CAST(sentiment AS DOUBLE)), 4) AS total FROM scored GROUP BY 1, 2, 3, 4"""
-SQL["daily_table"] = f"""WITH {SCORED}
-SELECT CAST(ts AS DATE) AS date, source, count(*) AS n, date_trunc('millisecond', max(ts)) AS newest FROM scored GROUP BY 1, 2"""
+SELECT id, source, url, title, tickers, {SENT} AS sentiment, topics, scored_ts,
+       strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour FROM scored"""
+SQL["daily_table"] = SQL["scored_json_roundtrip"]
 
 # --- streams -------------------------------------------------------------------------------------
 
 SQL["stream_dedup"] = """SELECT arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts, key
 FROM (SELECT event_id, ts, concat(user_id, '/', event_type) AS key FROM events) GROUP BY key"""
-SQL["stream_dedup_event_time"] = """SELECT concat(user_id, '/', event_type) AS key, CAST(1 AS BIGINT) AS n
-FROM events GROUP BY user_id, event_type"""
+SQL["stream_dedup_event_time"] = """WITH RECURSIVE walk AS (
+    SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type
+    UNION ALL
+    SELECT w.user_id, w.event_type, min(e.ts) AS ts
+    FROM walk w JOIN events e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.ts >= w.ts + INTERVAL 48 HOUR
+    GROUP BY w.user_id, w.event_type)
+SELECT min(e.event_id) AS event_id, e.ts, concat(e.user_id, '/', e.event_type) AS key
+FROM events e JOIN walk w ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.ts = w.ts
+GROUP BY e.ts, e.user_id, e.event_type"""
 SQL["stream_minute_counts"] = "SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1"
-_HALF = "time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01')"
+# Windows of an hour that slide by a minute, closed by a watermark ten minutes behind the newest event.
+_ENDS = "unnest([date_trunc('minute', ts) + to_minutes(i + 1) for i in range(60)]) AS window_end"
+_CLOSED = "window_end <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE"
 SQL["stream_ticker_sentiment"] = f"""WITH {SCORED},
-windows AS (SELECT unnest([{_HALF} + INTERVAL 60 MINUTE, {_HALF} + INTERVAL 30 MINUTE]) AS window_end, tickers, sentiment FROM scored),
-exploded AS (SELECT window_end, unnest(tickers) AS ticker, CAST(sentiment AS DOUBLE) AS sentiment FROM windows)
-SELECT window_end, ticker, round(avg(sentiment), 6) AS avg_sent, count(*) AS n FROM exploded GROUP BY window_end, ticker"""
+exploded AS (SELECT ts, unnest(tickers) AS ticker, CAST(sentiment AS DOUBLE) AS sentiment FROM scored),
+panes AS (SELECT date_trunc('minute', ts) AS ts, ticker, sum(sentiment) AS total, count(*) AS n FROM exploded GROUP BY 1, 2),
+windows AS (SELECT {_ENDS}, ticker, total, n FROM panes)
+SELECT window_end, ticker, round(sum(total) / sum(n), 6) AS avg_sent, CAST(sum(n) AS BIGINT) AS n FROM windows WHERE {_CLOSED} GROUP BY window_end, ticker"""
 SQL["stream_topic_counts"] = f"""WITH {SCORED},
-exploded AS (SELECT date_trunc('hour', ts) + INTERVAL 60 MINUTE AS window_end, unnest(topics) AS label FROM scored)
-SELECT window_end, label, count(*) AS n FROM exploded GROUP BY window_end, label"""
+panes AS (SELECT date_trunc('minute', ts) AS ts, label, count(*) AS n FROM (SELECT ts, unnest(topics) AS label FROM scored) GROUP BY 1, 2),
+windows AS (SELECT {_ENDS}, label, n FROM panes)
+SELECT window_end, label, CAST(sum(n) AS BIGINT) AS n FROM windows WHERE {_CLOSED} GROUP BY window_end, label"""
 SQL["stream_ticker_feed"] = f"""WITH {SCORED},
-exploded AS (SELECT unnest(tickers) AS ticker, scored_ts, lpad(id, 12, '0') AS payload FROM scored)
+exploded AS (SELECT unnest(CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN list_append(tickers, 'HOT') ELSE tickers END) AS ticker, scored_ts, lpad(id, 12, '0') AS payload FROM scored)
 SELECT * FROM (
     SELECT ticker, CAST(row_number() OVER (PARTITION BY ticker ORDER BY scored_ts DESC, payload DESC) AS INTEGER) AS rank, scored_ts, payload
     FROM exploded) WHERE rank <= 50"""

@@ -6,6 +6,7 @@ for the crawl, `nation` for a ticker list and `embeddings` for model logits.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.hints import extract_hints
@@ -89,6 +90,15 @@ def as_of(spark: SparkSession, sf_dir: str) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{newest}'") if newest else F.expr("TIMESTAMP_NTZ '1970-01-01'")
 
 
+HASHED_LABELS = ("neutral", "positive", "negative")
+
+
+def hashed_weights(buckets: int = 1024) -> np.ndarray:
+    """Weights of a linear model by a rule, in steps of a 64th, a column per label."""
+    number, column = np.arange(buckets)[:, None], np.arange(1, 4)[None, :]
+    return (number * column * 40_503 % 129 - 64) / 64
+
+
 def tickers(spark: SparkSession) -> DataFrame:
     return tickers_from_rows(spark, TICKER_ROWS)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from newsloom.functions.sentiment import LABEL_ORDER, sentiment_from_logits
@@ -73,6 +75,45 @@ class BatchScorer:
         return run(text)
 
 
+class HashedLinearScorer(BatchScorer):
+    """A linear model over hashed words: logits are the mean weights of a text's words.
+
+    `weights` has a row per bucket and a column per label; it is shared with the workers once. A
+    word's bucket is the head of its MD5, so every engine can find it. Texts without a word get
+    logits of 0.
+    """
+
+    def __init__(self, spark: SparkSession, weights: np.ndarray, label_order: Sequence[str] = LABEL_ORDER, batch_rows: int = 64):
+        if weights.ndim != 2 or weights.shape[1] != len(label_order):
+            raise ValueError("a row of weights needs a number per label")
+        shared = spark.sparkContext.broadcast(np.ascontiguousarray(weights, dtype="float64"))
+        known_words = 200_000
+
+        def load() -> Callable[[list[str]], np.ndarray]:
+            weights, known = shared.value, {}
+            word = re.compile("[A-Za-z]+")
+
+            def bucket(found: str) -> int:
+                number = known.get(found)
+                if number is None:
+                    if len(known) >= known_words:
+                        known.clear()
+                    number = known[found] = int(hashlib.md5(found.lower().encode()).hexdigest()[:7], 16) % len(weights)
+                return number
+
+            def model(texts: list[str]) -> np.ndarray:
+                words = [word.findall(t or "") for t in texts]
+                counts = np.array([len(w) for w in words], np.int64)
+                buckets = np.fromiter((bucket(w) for found in words for w in found), np.int64, counts.sum())
+                sums = np.zeros((len(texts), weights.shape[1]))
+                np.add.at(sums, np.repeat(np.arange(len(texts)), counts), weights[buckets])
+                return sums / np.maximum(counts, 1)[:, None]
+
+            return model
+
+        super().__init__(load, label_order, batch_rows)
+
+
 class OnnxScorer(BatchScorer):
     """A sequence-classification model in ONNX form with a `tokenizer.json`.
 

@@ -16,10 +16,10 @@ _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
 _WITH_BAD = StructType(list(SCORED_SCHEMA.fields)).add("_bad", "string")
 
 
-def to_scored_json(df: DataFrame, column: str = "payload") -> DataFrame:
-    """Keyed compact JSON of the scored message fields."""
+def to_scored_json(df: DataFrame, column: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keyed compact JSON of the scored message fields, with further columns to keep beside it."""
     body = F.struct(*[F.col(n).cast(SCORED_SCHEMA[n].dataType).alias(n) for n in SCORED_SCHEMA.names])
-    return df.select("id", F.to_json(body, {"ignoreNullFields": "false"}).alias(column))
+    return df.select("id", *keep, F.to_json(body, {"ignoreNullFields": "false"}).alias(column))
 
 
 def _field(name: str, parsed: str = "m") -> Column:

@@ -1,8 +1,8 @@
-"""Keyed state: first-seen filter and per-ticker recent lists.
+"""Keyed state: first-seen filters.
 
 State travels to the Python workers in the same Arrow batches as the rows, so a key costs no
-extra call. Expiry is in processing time: each state holds the time it counts from, because a
-timeout only fires in the first micro-batch after it.
+extra round trip. Expiry is in processing time or in event time: each state holds the time it counts
+from, because a timeout only fires in the first micro-batch after it.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,54 +60,49 @@ def dedup_stream(df: DataFrame, key: str = "id", ttl_s: int = 172_800, order: tu
     )
 
 
-def dedup_stream_event_time(df: DataFrame, key: str = "id", ts: str = "ts", ttl_s: int = 172_800) -> DataFrame:
-    """Event-time alternative inside the JVM: at least `ttl_s` of event time after its first row a
-    key is suppressed, and its state is dropped once the watermark has passed that."""
-    return df.withWatermark(ts, f"{int(ttl_s)} seconds").dropDuplicatesWithinWatermark([key])
+def dedup_stream_event_time(df: DataFrame, key: str = "id", ts: str = "ts", ttl_s: int = 172_800, order: tuple[str, ...] = (), lateness: str = "0 seconds") -> DataFrame:
+    """Rows whose key was not accepted within `ttl_s` of event time before them; exact, like the batch form.
 
-
-def ticker_feed_stream(
-    scored: DataFrame, n: int = 50, ttl_s: int = 604_800, arrival: str = "scored_ts", payload: str = "payload"
-) -> DataFrame:
-    """Updated feeds of the tickers a micro-batch touches: `ticker, rank`, arrival and payload.
-
-    Input rows carry `tickers`, an arrival time in epoch ms and the message text. State per ticker
-    is bounded by `n` and expires `ttl_s` after its last push (0: never). Write it in update mode;
-    readers keep the latest list of each ticker.
+    The time runs from the accepted row. A micro-batch's rows of a key are walked by time, then by
+    `order`; a row that arrives after a later one of its key was accepted is suppressed, and rows
+    later than `lateness` behind the newest one may be. A key's state is dropped when the watermark
+    has passed its expiry.
     """
-    use_rocksdb(scored.sparkSession)
-    exploded = scored.filter(F.col("tickers").isNotNull()).select(F.explode("tickers").alias("ticker"), arrival, payload)
-    ttl_ms = ttl_s * 1000
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms > 0 else GroupStateTimeout.NoTimeout
-    item = StructType([StructField(arrival, LongType()), StructField(payload, StringType())])
-    out = StructType([StructField("ticker", StringType()), StructField("rank", IntegerType()), *item.fields])
-    state_type = "pushed_ms bigint, arrivals array<bigint>, payloads array<string>"
-
-    def push(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    use_rocksdb(df.sparkSession)
+    ttl_ms, by = ttl_s * 1000, [ts, *order]
+
+    def walk(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now = state.getCurrentProcessingTimeMs()
-        newest: list[tuple[int, str]] = []
-        if state.exists:
-            pushed, arrivals, payloads = state.get
-            if ttl_ms <= 0 or now - pushed < ttl_ms:
-                newest = list(zip(arrivals, payloads))
+        last = state.get[0] if state.exists else None
+        parts = []
         for batch in batches:
-            newest.extend(zip(batch[arrival].astype("int64").tolist(), batch[payload].tolist()))
-            newest = sorted(newest, reverse=True)[:n]
-        state.update((now, [a for a, _ in newest], [p for _, p in newest]))
-        if ttl_ms > 0:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(
-            {
-                "ticker": [key[0]] * len(newest),
-                "rank": pd.Series(range(1, len(newest) + 1), dtype="int32"),
-                arrival: [a for a, _ in newest],
-                payload: [p for _, p in newest],
-            }
-        )
-
-    return exploded.groupBy("ticker").applyInPandasWithState(
-        push, outputStructType=out, stateStructType=state_type, outputMode="update", timeoutConf=timeout
+            # What the state suppresses is not held.
+            parts.append(batch if last is None else batch[batch[ts].map(_micros) - last >= ttl_ms * 1000])
+        rows = pd.concat(parts).sort_values(by, kind="stable")
+        kept = []
+        for i, at in enumerate(rows[ts].map(_micros)):
+            if last is None or at - last >= ttl_ms * 1000:
+                last = at
+                kept.append(i)
+        if kept:
+            state.update((last,))
+        expiry = last // 1000 + ttl_ms
+        if expiry > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(expiry)
+        elif state.exists:
+            state.remove()
+        yield rows.iloc[kept].reset_index(drop=True)
+
+    return df.withWatermark(ts, lateness).groupBy(key).applyInPandasWithState(
+        walk,
+        outputStructType=df.schema,
+        stateStructType=StructType([StructField("accepted_us", LongType())]),
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
+
+
+def _micros(at: pd.Timestamp) -> int:
+    return at.value // 1000

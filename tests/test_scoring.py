@@ -1,11 +1,14 @@
 """Scorers and the scoring stage."""
 
+import re
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions.sentiment import sentiment_from_logits
+from newsloom.operators import scoring
 from newsloom.operators.scoring import BatchScorer, LexiconScorer, OnnxScorer, score, zip_scores
 from newsloom.settings import ScoreOptions
 
@@ -122,3 +125,25 @@ def test_zip_scores_stops_at_the_shortest(spark):
 def test_default_scoring_stays_in_the_jvm(enriched, plan):
     text = plan(score(enriched, as_of=1))
     assert "EvalPython" not in text and "Exchange" not in text
+
+
+def test_hashed_linear_scorer(spark):
+    """Batches of 64, texts without words, an empty table, and labels in another order."""
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(97, 3))
+    texts = ["Alpha beta alpha", "", None, "123 !", "été Zoo"] + [f"word{i} and more {i}" for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(3)
+    scorer = scoring.HashedLinearScorer(spark, weights)
+    found = {r["n"]: r["l"] for r in df.select("n", scorer.logits(F.col("t")).alias("l")).collect()}
+    for n, text in enumerate(texts):
+        words = [w.lower() for w in re.findall("[A-Za-z]+", text or "")]
+        rows = [weights[int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 97] for w in words]
+        assert found[n] == pytest.approx(np.mean(rows, axis=0) if rows else np.zeros(3))
+    assert df.limit(0).select(scorer.logits(F.col("t")).alias("l")).count() == 0
+    turned = scoring.HashedLinearScorer(spark, weights[:, ::-1], ("positive", "neutral", "negative"))
+    score = lambda s: [tuple(r) for r in df.orderBy("n").select(sentiment_from_logits(s.logits(F.col("t")), s.label_order).alias("s")).select("s.*").collect()]
+    assert np.allclose(score(scorer), score(turned))
+    with pytest.raises(ValueError):
+        scoring.HashedLinearScorer(spark, weights, ("a", "b"))

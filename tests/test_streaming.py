@@ -1,7 +1,8 @@
 """Streams against the batch forms on the same input."""
 
+import os
 import time
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from newsloom.catalogue.tables import TICKER_ROWS
 from newsloom.operators.tickers import NoEntities
 from newsloom.plans import articles
 from newsloom.schemas import RAW_SCHEMA
+from newsloom.settings import SinkOptions
+from newsloom.sinks import commits
 from newsloom.sources.tickers import tickers_from_rows
-from newsloom.streaming import flows, metrics, state
+from newsloom.streaming import feeds, flows, metrics, state
 from newsloom.streaming.running import run_until_idle
 
 NOW_MS = 1_704_067_200_000
@@ -54,24 +57,137 @@ def test_expired_key_passes_again(spark, folder):
     assert sorted(r["n"] for r in spark.read.parquet(folder("out")).collect()) == [1, 2]
 
 
-def test_feed_list_is_bounded(spark, folder):
-    schema = "tickers array<string>, scored_ts long, payload string"
-    seen = []
+HOUR = 3_600_000_000
+
 
-    def run():
-        rows = spark.readStream.schema(schema).parquet(folder("in"))
-        feed = state.ticker_feed_stream(rows, n=3)
-        keep = lambda df, batch: seen.append([tuple(r) for r in df.collect()])
-        query = feed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", folder("cp"))
-        run_until_idle(query.trigger(availableNow=True).start(), 120)
+def test_event_time_expiry_is_exact_over_batches(spark, folder):
+    """Accepted in the first batch, suppressed in the second, accepted again in the third, at 48 hours to the microsecond."""
+    schema = "id string, ts timestamp, n long"
+    at = lambda us: datetime(2024, 1, 1) + timedelta(microseconds=us)
+    parts = [
+        [("a", at(0), 1), ("a", at(0), 0), ("b", at(HOUR), 2)],
+        [("a", at(48 * HOUR - 1), 3), ("b", at(30 * HOUR), 4), ("c", at(31 * HOUR), 5)],
+        [("a", at(48 * HOUR), 6), ("a", at(96 * HOUR - 1), 7), ("a", at(96 * HOUR), 8), ("b", at(49 * HOUR), 9), ("c", at(78 * HOUR), 10), (None, at(79 * HOUR), 11)],
+    ]
+    for part in parts:
+        put(spark, part, schema, folder("in"))
+        stream = spark.readStream.schema(schema).parquet(folder("in"))
+        to_files(state.dedup_stream_event_time(stream, "id", "ts", 172_800, order=("n",), lateness="10 days"), folder("out"), folder("cp"))
+    found = sorted((str(r["id"]), r["n"]) for r in spark.read.schema(schema).parquet(folder("out")).collect())
+    assert found == [("None", 11), ("a", 0), ("a", 6), ("a", 8), ("b", 2), ("b", 9), ("c", 5)]
 
-    put(spark, [(["X", "Y"], 1, "a"), (["X"], 2, "b"), (None, 3, "c")], schema, folder("in"))
-    run()
-    put(spark, [(["X"], 5, "e"), (["X"], 4, "d")], schema, folder("in"))
-    run()
-    lists = [sorted(batch) for batch in seen if batch]
-    assert lists[0] == [("X", 1, 2, "b"), ("X", 2, 1, "a"), ("Y", 1, 1, "a")]
-    assert lists[1] == [("X", 1, 5, "e"), ("X", 2, 4, "d"), ("X", 3, 2, "b")]
+
+def test_feed_list_is_bounded(spark, folder):
+    schema = "tickers array<string>, scored_ts long, payload string"
+    options = SinkOptions(feed_rows=3, feed_ttl_s=100)
+
+    def lists(now=0):
+        rows = feeds.read_feed(spark, folder("feed"), options, now).collect()
+        return sorted((r["ticker"], r["rank"], r["scored_ts"], r["payload"]) for r in rows)
+
+    assert lists() == []
+    first = spark.createDataFrame([(["X", "Y", None], 1, "a"), (["X"], 2, "b"), (None, 3, "c"), ([], 4, "d"), (["X"], None, "e")], schema)
+    second = spark.createDataFrame([(["X"], 5, "e"), (["X"], 4, "d")], schema)
+    feeds.push_batch(first, folder("feed"), 0, options, now_ms=0)
+    assert lists() == [("X", 1, 2, "b"), ("X", 2, 1, "a"), ("Y", 1, 1, "a")]
+    for _ in range(2):  # a repeated batch changes nothing
+        feeds.push_batch(second, folder("feed"), 1, options, now_ms=60_000)
+        assert lists(99_999) == [("X", 1, 5, "e"), ("X", 2, 4, "d"), ("X", 3, 2, "b"), ("Y", 1, 1, "a")]
+    # Y was pushed to 100 s ago; X's push renewed its whole list.
+    assert {t for t, *_ in lists(100_000)} == {"X"} and lists(160_000) == []
+    feeds.push_batch(spark.createDataFrame([(["Y"], 9, "z")], schema), folder("feed"), 2, options, now_ms=150_000)
+    assert lists(150_000) == [("X", 1, 5, "e"), ("X", 2, 4, "d"), ("X", 3, 2, "b"), ("Y", 1, 9, "z")]
+    assert len([p for p in (tmp_names(folder("feed"))) if p.startswith("version=")]) == 2
+
+
+def tmp_names(path):
+    return os.listdir(path)
+
+
+def test_feed_trims_before_the_exchange(spark, folder, monkeypatch):
+    """One ticker on all rows: each task sends at most the list's length."""
+    rows = spark.range(0, 20_000, 1, 8).selectExpr("array('HOT') AS tickers", "id AS scored_ts", "cast(id AS string) AS payload")
+    plans = []
+    write = feeds._last_n
+    monkeypatch.setattr(feeds, "_last_n", lambda df, n: plans.append(write(df, n)) or plans[-1])
+    feeds.push_batch(rows, folder("feed"), 0, SinkOptions(feed_rows=5))
+    assert [r["scored_ts"] for r in feeds.read_feed(spark, folder("feed")).orderBy("rank").collect()] == [19_999 - i for i in range(5)]
+    text = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") == 2
+
+
+def test_committed_batches(spark, folder):
+    """A batch that broke off or is repeated leaves its rows once; its files are few whatever the tasks."""
+    root, rows = folder("t"), spark.range(0, 4_000, 1, 16).selectExpr("id", "id % 3 AS day")
+
+    def write(place, parts=rows):
+        parts.hint("rebalance", F.col("day")).write.partitionBy("day").parquet(place)
+
+    def count():
+        return sorted(map(tuple, spark.read.parquet(root).groupBy("day").count().collect()))
+
+    everything = [(0, 1334), (1, 1333), (2, 1333)]
+    moves = []
+    move = commits.Folder.move
+
+    def broken(self, source, target):
+        moves.append(target)
+        if len([m for m in moves if m.startswith("day=")]) == 2:
+            raise OSError("lost")
+        move(self, source, target)
+
+    commits.Folder.move = broken
+    try:
+        with pytest.raises(OSError):
+            commits.commit_batch(spark, root, "b-0", write)
+    finally:
+        commits.Folder.move = move
+    assert commits.commit_batch(spark, root, "b-0", write) and count() == everything
+    assert not commits.commit_batch(spark, root, "b-0", lambda place: 1 / 0) and count() == everything
+    files = commits.Folder(spark, root).data_files("")
+    assert len(files) == 3 and all("/b-0-" in f for f in files)
+    assert commits.commit_batch(spark, root, "b-1", lambda place: write(place, rows.limit(0))) and count() == everything
+
+
+def test_pages_as_a_stream(spark, folder):
+    """An article meets its page whichever comes first, within the wait and not beyond it."""
+    raw_schema, page_schema = RAW_SCHEMA, "url string, status int, html string, fetched_ts long"
+    minute = 60_000
+    raw = lambda name, at: (name, "s", f"http://h/{name}", name, "", at, at)
+    page = lambda name, at, status=200: (f"http://h/{name}", status, f"page {name}", at)
+    steps = [
+        ([raw("early", NOW_MS), raw("lost", NOW_MS)], [page("later", NOW_MS), page("failed", NOW_MS, 404)]),
+        ([raw("later", NOW_MS + 90 * minute), raw("failed", NOW_MS)], [page("early", NOW_MS + 60 * minute), page("lost", NOW_MS + 300 * minute)]),
+        ([raw("none", NOW_MS + 600 * minute)], [page("x", NOW_MS + 600 * minute), ("http://h/none", 200, None, NOW_MS + 600 * minute)]),
+    ]
+    for raws, pages in steps:
+        put(spark, raws, raw_schema, folder("raw"))
+        put(spark, pages, page_schema, folder("pages"))
+        joined = flows.attach_pages(spark.readStream.schema(raw_schema).parquet(folder("raw")), spark.readStream.schema(page_schema).parquet(folder("pages")))
+        to_files(joined, folder("out"), folder("cp"))
+    found = sorted((r["id"], r["html"]) for r in spark.read.parquet(folder("out")).collect())
+    assert found == [("early", "page early"), ("later", "page later")]
+
+
+def test_sliding_windows_by_panes(spark, folder):
+    """An hour by a minute over two batches, with a late row, against counting each window's rows."""
+    base = datetime(2024, 1, 1)
+    seconds = [0, 30, 61, 3_599, 3_600, 5_000, 9_000]
+    schema = "ts timestamp, tickers array<string>, sentiment float"
+    rows = [(base + timedelta(seconds=s), ["T"], float(i)) for i, s in enumerate(seconds)]
+    late = (base + timedelta(seconds=8_700), ["T"], 50.0)
+    for part in (rows, [late, (base + timedelta(seconds=20_000), ["U"], 1.0), (base + timedelta(seconds=20_000), ["U"], None)]):
+        put(spark, part, schema, folder("in"))
+        means = metrics.live_ticker_sentiment(spark.readStream.schema(schema).parquet(folder("in")), min_count=1)
+        to_files(means, folder("out"), folder("cp"))
+    expected = {}
+    for ts, _, value in [*rows, late]:
+        for m in range(60):
+            end = ts.replace(second=0) + timedelta(minutes=m + 1)
+            expected.setdefault(end, []).append(value)
+    closed = base + timedelta(seconds=20_000 - 600)
+    found = {r["window_end"]: (r["avg_sent"], r["n"]) for r in spark.read.parquet(folder("out")).collect()}
+    assert found == {e: (pytest.approx(sum(v) / len(v)), len(v)) for e, v in expected.items() if e <= closed}
 
 
 def test_minute_counts_append_closed_windows(spark, folder):
@@ -94,8 +210,10 @@ def test_stages_and_fan_out(spark, folder):
     crawl = spark.createDataFrame([(f"http://h/{i}", 200 if i else 404, PAGE.format("profit " * 60)) for i in range(4)], "url string, status int, html string")
     dictionary = tickers_from_rows(spark, TICKER_ROWS)
     stream = flows.article_stream(spark.readStream.schema(RAW_SCHEMA).parquet(folder("raw")), crawl, dictionary, extractor=NoEntities(), as_of=NOW_MS)
-    query = flows.start_fan_out(stream, folder("table"), folder("archive"), folder("cp"), trigger={"availableNow": True})
+    query = flows.start_fan_out(stream, folder("table"), folder("archive"), folder("cp"), trigger={"availableNow": True}, feed=folder("feed"))
     assert query.awaitTermination(180)
+    feed = feeds.read_feed(spark, folder("feed")).collect()
+    assert {r["ticker"] for r in feed} == {"AAPL"} and len(feed) == 3 and all('"tickers":["AAPL"]' in r["payload"] for r in feed)
     batch = articles.scored_articles(spark.createDataFrame(raw, RAW_SCHEMA), crawl, dictionary, extractor=NoEntities(), as_of=NOW_MS)
     expected = sorted((r["id"], r["tickers"], r["sentiment"], r["topics"]) for r in batch.collect())
     table = spark.read.parquet(folder("table"))
