@@ -14,8 +14,8 @@ written manifest count, so a lost or repeated task leaves at most unread files.
 begin among all ids follows from the manifest's token counts.
 
 Encoding is the tokenizers library's. For a byte-level model without a normalizer, texts are cut
-before single blanks between visible characters, where its own splitting always cuts; the library
-encodes each distinct piece once and the worker remembers a bounded number of them.
+where its own splitting always cuts; the library encodes a distinct piece once, and the worker
+remembers a bounded number of them.
 
 Defined results: a null or empty text has the end id alone; rows with a null doc_id come first; rows
 that repeat a doc_id are documents of their own, in the order of a hash of their texts; an empty
@@ -28,10 +28,12 @@ import io
 import json
 import os
 import re
+import string
 import struct
 import sys
 import types
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -43,7 +45,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import arrow_texts, broadcast_if_small, with_base, written
+from newsloom.llm.common import broadcast_if_small, with_base, written
 
 # Fixed values of the seekable format: magic numbers of the skippable frames and of the footer.
 DIRECTORY_MAGIC, SEEK_TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -61,7 +63,7 @@ class FileOptions:
     task_text_bytes: int = 16 << 20
     task_read_tokens: int = 4 << 20
     level: int = 3
-    known_pieces: int = 400_000
+    known_pieces: int = 250_000
 
 
 def _system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -70,56 +72,101 @@ def _system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 # --- encoding ---------------------------------------------------------------------------------
 
-# A blank between two characters that are visible in every reading of Unicode.
-_CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+# Blanks that every reading of Unicode knows, rarer characters that some count as blanks, letters, and ASCII punctuation.
+_WS, _LETTERS, _MARKS = r" \t\n\r\x0b\x0c", r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", re.escape(string.punctuation)
+_RARE = "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# A word with the blanks before it, up to a mark or a blank; any other text up to a blank; blanks at the end.
+_PIECE = re.compile(rf"[{_WS}]*+[{_LETTERS}]++(?![^{_WS}{_MARKS}])|[{_WS}]*[^{_WS}]++|[{_WS}]+")
+_EVEN = re.compile(rf" ?[^{_WS}]+")
+# What no added token may be: something with blanks, or first letters and then a mark.
+_PARTED = re.compile(rf"[{_WS}{_RARE}]|\A[{_LETTERS}]+[{_MARKS}]")
 
 
 class Encoder:
-    """Ids of whole texts as bytes of little-endian unsigned 32-bit numbers."""
+    """Ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str, known_pieces: int):
+    The library's own splitting begins anew where a run of blanks begins, and between a letter and a
+    punctuation mark; so a text's ids are those of such pieces, one after the other. A text with rare
+    kinds of blanks is encoded as a whole. Of the pieces met, a bounded number is remembered: when
+    half of it is new, those that were not met since the last time are forgotten.
+    """
+
+    def __init__(self, path: str, known_pieces: int, by_piece: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._known: dict[str, bytes] = {}
-        self._most = known_pieces
-        with open(path, encoding="utf-8") as file:
-            self.by_piece = self._cuts_at_blanks(json.load(file))
+        self._most, self._young, self._old = known_pieces, {}, {}
+        line_end = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._line_end = line_end[0] if line_end else 0
+        self.by_piece = by_piece and len(line_end) == 1
 
     @staticmethod
-    def _cuts_at_blanks(stated: dict) -> bool:
+    def splits_at_blanks(path: str) -> bool:
+        """Whether texts may be cut. Found once, so that workers need not parse the whole file."""
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
         split = stated.get("pre_tokenizer") or {}
         level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         added = stated.get("added_tokens") or []
-        plain = not any(a.get("lstrip") or a.get("rstrip") or a.get("normalized") and stated.get("normalizer") or " " in a["content"] for a in added)
+        plain = not any(a.get("lstrip") or a.get("rstrip") or _PARTED.search(a["content"]) for a in added)
         return bool(level and plain and not stated.get("normalizer"))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of_lines(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without line ends, many to a call: a line end between them is a token of its own."""
+        lines = ["\n".join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)]
+        out = []
+        for encoded in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(encoded.ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for end in (4 * np.flatnonzero(ids == self._line_end)).tolist():
+                out.append(raw[start:end])
+                start = end + 4
+            out.append(raw[start:])
+        return out
+
+    def _learn(self, met: set[str]) -> dict[str, bytes]:
+        """All pieces that are met are in the memory that comes back."""
+        if 2 * len(self._young) >= self._most:
+            self._young, self._old = {}, self._young
+        known, new = self._young, []
+        for piece in met.difference(known):
+            ids = self._old.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                known[piece] = ids
+        even = [p for p in new if _EVEN.fullmatch(p)]
+        odd = list(set(new).difference(even))
+        known.update(zip(even, self._ids_of_lines(even)))
+        known.update(zip(odd, self._ids(odd)))
+        return known
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
-        cut = [_CUT.split(text) for text in texts]
-        known = self._known
-        if len(known) > self._most:
-            known.clear()
-        new = list(set().union(*cut).difference(known))
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            known.update(zip(part, self._ids(part)))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-
-
-def _encoder(path: str, known_pieces: int) -> Encoder:
+        rare = [i for i, text in enumerate(texts) if any(map(text.__contains__, _RARE[:4] if text.isascii() else _RARE))]
+        cut = [_PIECE.findall(text) for text in texts]
+        for i in rare:
+            cut[i] = []
+        known = self._learn(set().union(*cut))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for i, ids in zip(rare, self._ids([texts[i] for i in rare])):
+            out[i] = ids
+        return out
+
+
+def _encoder(path: str, known_pieces: int, by_piece: bool) -> Encoder:
     """One encoder per worker process: a global of this module would start empty in every task."""
     shelf = sys.modules.setdefault("newsloom_worker_shelf", types.ModuleType("newsloom_worker_shelf")).__dict__
     key = f"encoder {path}"
     if key not in shelf:
-        shelf[key] = Encoder(path, known_pieces)
+        shelf[key] = Encoder(path, known_pieces, by_piece)
     return shelf[key]
 
 
@@ -250,17 +297,17 @@ class TokenFileReader:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, options: FileOptions = FileOptions()) -> DataFrame:
     """Writes the files and their manifest, and returns the manifest as stored: number (its order), file, documents, tokens."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    by_piece = Encoder.splits_at_blanks(tokenizer)
     parts = 1 + (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // options.task_text_bytes
     ordered = docs.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer, options.known_pieces), struct.pack("<I", options.end_id)
+        encode, end = _encoder(tokenizer, options.known_pieces, by_piece), struct.pack("<I", options.end_id)
         writer, name, done = None, "", []
         for batch in batches:
-            texts = list(arrow_texts(batch.column(1)))
-            for start in range(0, len(texts), 64):
-                for i, ids in enumerate(encode(texts[start : start + 64]), start):
+            for start in range(0, batch.num_rows, 64):
+                for i, ids in enumerate(encode(batch.column(1).slice(start, 64).to_pylist()), start):
                     if writer is None:
                         name = f"{folder}/{uuid.uuid4().hex}.zst"
                         writer = TokenFileWriter(name, options, batch.schema.field(0).type)
