@@ -4,7 +4,7 @@ Each round links every node's larger neighbours to its smallest neighbour (large
 smaller neighbours likewise (small star), until only stars are left; the number of rounds grows with
 the logarithm of the nodes. Minima are aggregated before the shuffle and joined back, so a hub with
 a third of all edges is neither one group nor one task's window; Spark splits such a join. Each
-round is a written table, so a lost executor costs no more than a round.
+round is a written table, so a lost executor costs no more than a round; the one before is deleted.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import written
+from newsloom.settings import discard
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -34,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     named = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(named, "links")
     while now.take(1):
-        now = written(_star(_star(now, True), False).distinct(), "links")
+        before, now = now, written(_star(_star(now, True), False).distinct(), "links")
+        discard(before)
         # All stars: every node with a smaller neighbour has one, and that one has none.
         if not now.join(now.select(F.col("b").alias("_b")).distinct(), F.col("a") == F.col("_b"), "left_semi").take(1) and not now.groupBy("a").count().where("count > 1").take(1):
             break

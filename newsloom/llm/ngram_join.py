@@ -2,10 +2,12 @@
 
 Which sets can link: put all n-grams into one order. Two sets that link share a member among the
 first n - ceil(n p / 100) + 1 of each (its prefix). The order is: n-grams whose hash lies in a fixed
-lower range come first, rare before common as counted over all documents, then all others by hash.
-So only the lower range is counted, and a passage that many documents share is no part of a prefix
-unless a document has little else. Sets that share a prefix member get into one cluster, over its
-smallest document, and so on transitively; this loses no link. Equal sets count once from the start.
+lower range come first, rare before common as counted over all sets; then all others, rare before
+common as counted over the sets that have too few members in the lower range to fill their prefix.
+Only those sets, which are short, have prefix members of the second kind, so nothing else of it is
+counted, and a passage that many documents share is no part of a prefix unless a document has little
+else. Sets that share a prefix member get into one cluster, over its smallest document, and so on
+transitively; this loses no link. Equal sets count once from the start.
 
 The join: in a cluster, packs of sets are stored in a prefix tree, in an order of their members
 that all sets of the tree share (most frequent first, so near copies share long paths). A pack's own
@@ -37,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.llm.common import broadcast_if_small, written
 from newsloom.llm.components import components
+from newsloom.settings import discard
 
 U64 = np.uint64
 
@@ -58,8 +61,8 @@ class JoinOptions:
 
     @property
     def lower(self) -> int:
-        """End of the hash range that is counted: nearly twice the share that prefixes have."""
-        return min((1 << 64) - 1, (100 - self.percent) * 18 * (1 << 64) // 1000)
+        """End of the hash range that is counted in all sets: somewhat over the share that prefixes have."""
+        return min((1 << 64) - 1, (100 - self.percent) * 13 * (1 << 64) // 1000)
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -108,7 +111,7 @@ def text_hash() -> Column:
 
 
 def counted_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
-    """doc_id, text_hash, n_shingles, f1 and f2 (what identifies the set), low (its n-grams of the lower range), more (further ones of its prefix)."""
+    """doc_id, text_hash, n_shingles, f1 and f2 (what identifies the set), low (its n-grams of the lower range), more (all others, where the lower range does not fill its prefix)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +125,7 @@ def counted_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
                 sizes.append(len(members))
                 marks.append(fingerprint(members))
                 low.append(members[:cut].view(np.int64))
-                more.append(members[cut : options.prefix(len(members))].view(np.int64) if len(members) else members.view(np.int64))
+                more.append(members[cut:].view(np.int64) if len(members) and cut < options.prefix(len(members)) else members[:0].view(np.int64))
             out = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(low, longs), pa.array(more, longs)]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "low", "more"])
 
@@ -131,7 +134,7 @@ def counted_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, wanted: DataFrame, options: JoinOptions) -> DataFrame:
-    """rep, cluster, n, members (bytes of ascending 64-bit hashes) of the wanted sets (rep, cluster, n, f1, f2)."""
+    """rep, cluster, n, members (bytes of ascending 64-bit hashes) of the wanted sets (rep, cluster, n, f1, f2), as a written table."""
     count = wanted.count()
     side = broadcast_if_small(wanted.withColumnRenamed("rep", "doc_id"), count, 64)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(side, "doc_id")
@@ -148,7 +151,13 @@ def member_sets(docs: DataFrame, wanted: DataFrame, options: JoinOptions) -> Dat
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(fits, pa.bool_()))
 
     found = texts.select("doc_id", "text", "cluster", "n", "f1", "f2").mapInArrow(run, f"rep {kind}, cluster {kind}, n bigint, members binary")
-    return found.dropDuplicates(["rep", "n", "members"])
+    found = written(found, "member-sets")
+    if found.count() <= count:
+        return found
+    # Rows repeat a doc_id and its text.
+    single = written(found.dropDuplicates(["rep", "n", "members"]), "member-sets")
+    discard(found)
+    return single
 
 
 # --- prefix trees -----------------------------------------------------------------------------
@@ -345,25 +354,30 @@ def pack_links(stream: DataFrame, percent: int) -> DataFrame:
 # --- the join ---------------------------------------------------------------------------------
 
 
-def clusters(reps: DataFrame, options: JoinOptions) -> tuple[DataFrame, DataFrame]:
-    """(node, component): sets that share a prefix member, transitively; and (rep, gram) of the shared ones. reps: rep, n, low, more.
+def _rarest(reps: DataFrame, column: str, room: Column) -> DataFrame:
+    """(rep, gram): the members of a list column that take part in prefixes of `room` members and are held by several sets.
 
-    Counts and minima are aggregated before the shuffle; the joins back are ordinary joins, which
-    Spark splits where an n-gram is common.
+    Members held by one set come first in its order and link with nothing; of the others a prefix
+    takes the rarest. Counts are aggregated before the shuffle; the join back is an ordinary join,
+    which Spark splits where an n-gram is common.
     """
-    low = reps.select("rep", F.explode("low").alias("gram"))
-    shared = low.groupBy("gram").agg(F.count("*").alias("held_by")).where(F.col("held_by") > 1)
-    # Members held by one set only come first in its order; of the others a prefix takes the rarest.
-    ranked = low.join(shared, "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held_by", "gram"))).alias("common"))
-    prefix = F.col("n") - F.ceil(F.col("n") * options.percent / 100).cast("long") + 1
-    rooms = reps.select(F.col("rep").alias("_rep"), (prefix - F.size("low")).cast("int").alias("_room"))
+    members = reps.select("rep", F.explode(column).alias("gram"))
+    shared = members.groupBy("gram").agg(F.count("*").alias("held_by")).where(F.col("held_by") > 1)
+    ranked = members.join(shared, "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held_by", "gram"))).alias("common"))
+    rooms = reps.where(F.size(column) > 0).select(F.col("rep").alias("_rep"), (room - F.size(column)).cast("int").alias("_room"))
     kept = ranked.join(rooms, F.col("rep") == F.col("_rep")).withColumn("_room", F.col("_room") + F.size("common")).where(F.col("_room") > 0)
-    first = kept.select("rep", F.explode(F.slice("common", F.lit(1), F.col("_room"))["gram"]).alias("gram"))
-    members = written(first.unionByName(reps.select("rep", F.explode("more").alias("gram"))), "prefixes")
+    return kept.select("rep", F.explode(F.slice("common", F.lit(1), F.col("_room"))["gram"]).alias("gram"))
+
+
+def clusters(reps: DataFrame, options: JoinOptions) -> tuple[DataFrame, DataFrame]:
+    """(node, component): sets that share a prefix member, transitively; and (rep, gram) of the shared ones. reps: rep, n, low, more."""
+    prefix = F.col("n") - F.ceil(F.col("n") * options.percent / 100).cast("long") + 1
+    members = written(_rarest(reps, "low", prefix).unionByName(_rarest(reps, "more", prefix - F.size("low"))), "prefixes")
     hubs = members.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where(F.col("hub") < F.col("_last")).select("gram", "hub")
     held = written(members.join(hubs, "gram").select("rep", "gram", "hub"), "shared-prefixes")
+    discard(members)
     edges = held.where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    return components(edges), held.select("rep", "gram")
+    return components(edges), held
 
 
 def _routes(waiting: DataFrame, packed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -383,14 +397,16 @@ def _routes(waiting: DataFrame, packed: DataFrame, held: DataFrame, percent: int
 
 def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame | None:
     """Links of all clusters' sets. Each round makes packs of the sets that still have to be looked up."""
-    state = written(sets.select("rep", "cluster", "n", F.col("rep").alias("comp"), F.lit(False).alias("done")).distinct(), "join-state")
+    state_now = written(sets.select("rep", "cluster", "n", F.col("rep").alias("comp"), F.lit(False).alias("done")).distinct(), "join-state")
     links, first = None, True
     while True:
+        state = state_now
         # A cluster goes on while its sets that were in no pack belong to several components.
         open_sets = state.where(~F.col("done"))
         going = open_sets.groupBy("cluster").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).where(F.col("_c1") < F.col("_c2"))
         going = written(going.select("cluster"), "join-going")
         if not going.take(1):
+            discard(state, going)
             return links
         sizes = open_sets.join(going, "cluster").groupBy("cluster", "comp").agg(F.count("*").alias("_size"))
         waiting = open_sets.join(going, "cluster").join(sizes, ["cluster", "comp"])
@@ -402,7 +418,10 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         weight = F.sum("n").over(Window.partitionBy("cluster").orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         number = F.floor((F.col("_rank") - 1) / options.pack_sets) * 1_000_000 + F.floor(weight / options.pack_members)
         packed = written(ranked.withColumn("pack_no", number.cast("long")).select("rep", "n", "comp", "cluster", "pack_no"), "join-packs")
-        routes = written(_routes(waiting, packed, held, options.percent), "join-routes")
+        # Only the members of sets that still wait are met: after the first round these are few.
+        live = waiting.select("rep").distinct()
+        met = held.join(broadcast_if_small(live, live.count(), 32), "rep", "left_semi")
+        routes = written(_routes(waiting, packed, met, options.percent), "join-routes")
         slices = F.greatest(F.ceil(F.sum("n") / options.slice_members), F.ceil(F.count("*") / options.slice_sets)).cast("int")
         dealt = routes.groupBy("cluster", "pack_no").agg(slices.alias("slices"))
         pack, salts = F.xxhash64("cluster", "pack_no").alias("pack"), F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
@@ -413,27 +432,33 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         stream = stream.repartition("pack", "salt").sortWithinPartitions("pack", "salt", "kind", "rep")
         found = written(pack_links(stream, options.percent), "join-links")
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = written(components(links), "join-labels")
         done = packed.select("rep", "n", F.lit(True).alias("_done"))
         state = state.join(done, ["rep", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        state = written(state.select("rep", "cluster", "n", F.coalesce("component", "rep").alias("comp"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "join-state")
+        before = state_now
+        state_now = written(state.select("rep", "cluster", "n", F.coalesce("component", "rep").alias("comp"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "join-state")
+        discard(before, going, packed, routes, keys, labels)
         first = False
 
 
 def _labelled(docs: DataFrame, options: JoinOptions) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row."""
-    base = written(counted_sets(docs, options), "sets")
+    counted = written(counted_sets(docs, options), "sets")
     same = ["n_shingles", "f1", "f2"]
+    base = written(counted.select("doc_id", "text_hash", *same), "set-marks")
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", *same)
     classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_copies")), "classes")
     # One set per class of equal sets goes on; the copies are left out (an id may be another set's first), by broadcast where they are few.
     copies = classes.where(F.col("_copies") > 1).select("rep", *same).join(full, same).where(F.col("doc_id") != F.col("rep")).select("doc_id", *same)
     copies = written(copies, "copies")
-    firsts = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(broadcast_if_small(copies, copies.count(), 40), ["doc_id", *same], "left_anti")
+    firsts = counted.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(broadcast_if_small(copies, copies.count(), 40), ["doc_id", *same], "left_anti")
     found, held = clusters(firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "low", "more"), options)
+    discard(counted, copies)
     wanted = classes.join(found, classes["rep"] == found["node"]).select("rep", F.col("component").alias("cluster"), F.col("n_shingles").alias("n"), "f1", "f2")
-    sets = written(member_sets(docs, written(wanted, "wanted"), options), "member-sets")
-    links = _rounds(sets, held, options)
+    wanted = written(wanted, "wanted")
+    sets = member_sets(docs, wanted, options)
+    links = _rounds(sets, held.select("rep", "gram"), options)
+    discard(held, wanted, sets)
     if links is not None:
         labels = components(links)
         classes = classes.join(labels, classes["rep"] == labels["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
