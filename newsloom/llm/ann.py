@@ -3,27 +3,31 @@
 Nearness is the inner product. With one more component, sqrt(M*M - |x|*|x|) for the largest norm M,
 it becomes the Euclidean distance, whose few Gaussian (2-stable) projections keep it in this sense:
 projected over true squared distance follows a chi-square law. A block of vectors is indexed as a
-kd-tree of its projections. A query visits leaves in the order of their projected distance and
-verifies their vectors on the original components. It stops when the projected distance of all
-unvisited leaves is so far that a vector nearer than the current k-th best would be there with a
-probability of at most 1 - `certainty`. The k best so far are carried from block to block of a task,
-so later blocks stop early.
+kd-tree of its projections. A query visits leaves in the order of their projected distance and, in
+them, verifies on the original components the vectors that the test leaves open: one is passed over
+when its projected distance is so far that a vector nearer than the current k-th best would be there
+with a probability of at most 1 - `certainty`. The search of a block ends when that holds for all
+leaves that are left. The k best so far are carried from block to block of a task.
+
+A score is the sum of the products in the order of the components, and so the same bits wherever a
+vector lies; matrix products only decide which vectors are summed up so, with a margin for their error.
 
 Every row is indexed; nothing is fitted on a sample. The projection is drawn from a seed.
 
-Defined results: vectors that are null, empty, zero, of another dimension than the valid vector of
-the smallest id, or hold null or non-finite components take no part; ties go to the smaller id;
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part;
+vectors of several dimensions are searched among those of their own; ties go to the smaller id;
 a repeated id is a candidate per row and never its own neighbour; no valid row gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.topk import search_in_blocks, valid_vectors, vector_blocks
+from newsloom.llm.topk import by_dimension, ranked, search_in_blocks, valid_vectors, vector_blocks
 
 BLOCK_ROWS = 32768
 LEAF_ROWS = 64
@@ -78,60 +82,96 @@ class ProjectedTree:
         return total
 
 
-def search_block(ids, vecs, projected, query_ids, queries, query_projected, norms, largest, k, limit, best_ids, best_scores) -> None:
-    """Improves each query's k best (rows of best_ids and best_scores, best first) in place."""
-    tree = ProjectedTree(projected)
-    away = tree.distances(query_projected)
-    visits = np.argsort(away, axis=1, kind="stable")
-    away = np.take_along_axis(away, visits, axis=1)
-    active = np.arange(len(query_ids))
-    for step in range(visits.shape[1]):
-        kth = best_scores[active, -1]
-        true = np.maximum(norms[active] ** 2 + largest**2 - 2 * kth, 1e-12)  # infinite while fewer than k are known
-        active = active[away[active, step] <= limit * true]
-        if not len(active):
-            break
-        leaf_of = visits[active, step]
-        by = np.argsort(leaf_of, kind="stable")
-        cuts = np.flatnonzero(np.diff(leaf_of[by])) + 1
-        for group in np.split(active[by], cuts):
-            a, b = tree.leaves[visits[group[0], step]]
-            rows = tree.order[a:b]
-            scores = queries[group] @ vecs[rows].T
-            scores[query_ids[group][:, None] == ids[rows][None, :]] = -np.inf
-            helps = (scores >= best_scores[group, -1][:, None]).any(1)
-            group, scores = group[helps], scores[helps]
-            if len(group):
-                all_scores = np.hstack([best_scores[group], scores])
-                all_ids = np.hstack([best_ids[group], np.broadcast_to(ids[rows], scores.shape)])
-                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-                best_scores[group] = np.take_along_axis(all_scores, order, axis=1)
-                best_ids[group] = np.take_along_axis(all_ids, order, axis=1)
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int = 8, certainty: float = 0.98, seed: int = 11, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+def exact_scores(queries: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up component by component."""
+    return np.cumsum(queries * vecs, axis=1)[:, -1] if len(vecs) else np.zeros(0)
+
+
+@dataclass
+class Search:
+    """What a block of queries knows while it goes through the vectors of a task."""
+
+    ids: np.ndarray
+    queries: np.ndarray
+    projected: np.ndarray
+    largest: float
+    k: int
+    limit: float
+
+    def __post_init__(self):
+        self.norms = np.linalg.norm(self.queries, axis=1)
+        self.margin = 4 * self.queries.shape[1] * 2.0**-53 * self.norms * self.largest
+        self.best_ids = np.full((len(self.ids), self.k), -1, np.int64)
+        self.best_scores = np.full((len(self.ids), self.k), -np.inf)
+        self.verified = self.met = 0
+
+    def block(self, ids: np.ndarray, vecs: np.ndarray, projected: np.ndarray) -> None:
+        """Improves each query's k best (best first) by a block of vectors."""
+        tree = ProjectedTree(projected)
+        away = tree.distances(self.projected)
+        visits = np.argsort(away, axis=1, kind="stable")
+        away = np.take_along_axis(away, visits, axis=1)
+        self.met += len(ids) * len(self.ids)
+        active = np.arange(len(self.ids))
+        for step in range(visits.shape[1]):
+            active = active[away[active, step] <= self.limit * self._kth_distance(active)]
+            if not len(active):
+                break
+            leaf_of = visits[active, step]
+            by = np.argsort(leaf_of, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf_of[by])) + 1
+            for group in np.split(active[by], cuts):
+                a, b = tree.leaves[visits[group[0], step]]
+                self._leaf(group, ids, vecs, projected, tree.order[a:b])
+
+    def _kth_distance(self, group: np.ndarray) -> np.ndarray:
+        """Squared distance of the k-th best so far; infinite while fewer than k are known."""
+        return np.maximum(self.norms[group] ** 2 + self.largest**2 - 2 * self.best_scores[group, -1], 1e-12)
+
+    def _leaf(self, group, ids, vecs, projected, rows) -> None:
+        away = (self.projected[group] ** 2).sum(1)[:, None] + (projected[rows] ** 2).sum(1)[None, :] - 2 * self.projected[group] @ projected[rows].T
+        near = away <= (self.limit * self._kth_distance(group))[:, None]
+        near &= self.ids[group][:, None] != ids[rows][None, :]
+        i, j = np.nonzero(near)
+        self.verified += len(i)
+        about = np.einsum("ij,ij->i", self.queries[group[i]], vecs[rows[j]])
+        helps = about >= self.best_scores[group[i], -1] - self.margin[group[i]]
+        i, j = i[helps], j[helps]
+        if not len(i):
+            return
+        scores = np.full((len(group), len(rows)), -np.inf)
+        scores[i, j] = exact_scores(self.queries[group[i]], vecs[rows[j]])
+        touched = np.unique(i)
+        group, scores = group[touched], scores[touched]
+        all_scores = np.hstack([self.best_scores[group], scores])
+        all_ids = np.hstack([self.best_ids[group], np.broadcast_to(ids[rows], scores.shape)])
+        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
+        self.best_scores[group] = np.take_along_axis(all_scores, order, axis=1)
+        self.best_ids[group] = np.take_along_axis(all_ids, order, axis=1)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int = 16, certainty: float = 0.95, seed: int = 11, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found; `is_query` speaks of `id`."""
-    fine, dim = valid_vectors(vectors, id_col, col)
-    fine = fine.where(F.exists("vec", lambda x: x != 0))
-    square = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x)
-    largest = math.sqrt(fine.agg(F.max(square)).first()[0] or 0.0)
-    axes = np.random.default_rng(seed).normal(size=(dim + 1, projections))
-    # Unvisited vectors have a squared projected distance of over `limit` times the k-th true one.
-    limit = chi_square_quantile(certainty, projections)
-
-    def search(query_ids, queries, batches):
-        best_ids = np.full((len(query_ids), k), -1, np.int64)
-        best_scores = np.full((len(query_ids), k), -np.inf)
-        query_projected = queries @ axes[:dim]
-        norms = np.linalg.norm(queries, axis=1)
-        for ids, vecs in vector_blocks(batches, dim, BLOCK_ROWS):
-            rest = np.sqrt(np.maximum(largest**2 - (vecs * vecs).sum(1), 0))
-            projected = vecs @ axes[:dim] + rest[:, None] * axes[dim]
-            search_block(ids, vecs, projected, query_ids, queries, query_projected, norms, largest, k, limit, best_ids, best_scores)
-        known = best_scores > -np.inf
-        yield np.repeat(query_ids, known.sum(1)), best_ids[known], best_scores[known]
-
-    return search_in_blocks(fine, dim, is_query, k, search)
-
-
-__all__ = ["ProjectedTree", "chi_square_quantile", "nearest"]
+
+    def of_dimension(fine: DataFrame, dim: int) -> DataFrame:
+        square = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x)
+        largest = math.sqrt(fine.agg(F.max(square)).first()[0] or 0.0)
+        axes = np.random.default_rng(seed).normal(size=(dim + 1, projections))
+        # Vectors with a squared projected distance of over `limit` times the k-th true one are passed over.
+        limit = chi_square_quantile(certainty, projections)
+
+        def search(query_ids, queries, batches):
+            state = Search(query_ids, queries, queries @ axes[:dim], largest, k, limit)
+            for ids, vecs in vector_blocks(batches, dim, BLOCK_ROWS):
+                rest = np.sqrt(np.maximum(largest**2 - (vecs * vecs).sum(1), 0))
+                state.block(ids, vecs, vecs @ axes[:dim] + rest[:, None] * axes[dim])
+            known = state.best_scores > -np.inf
+            yield np.repeat(query_ids, known.sum(1)), state.best_ids[known], state.best_scores[known]
+
+        return search_in_blocks(fine, dim, is_query, k, search)
+
+    fine = valid_vectors(vectors, id_col, col).where(F.exists("vec", lambda x: x != 0))
+    return ranked(by_dimension(fine, of_dimension).select("query_id", "vec_id", "score"), k)
+
+
+__all__ = ["ProjectedTree", "Search", "chi_square_quantile", "exact_scores", "nearest"]

@@ -1,17 +1,19 @@
 """Exact top-k by inner product without random access.
 
 Each dimension of a block of vectors is a sorted list; a query reads it from the end that adds most.
-After each round of sequential reading every vector has a lower bound (what was read, plus the least
-the unread lists can add) and an upper bound (plus what the lists' current positions can add). A
-query stops when its k-th best lower bound exceeds every outsider's upper bound; then the winners'
-final scores are resolved. Bounds of all queries are advanced together, so a round is a few matrix
-products. A block's winners meet in one ranked window per query with a rank limit before the shuffle.
+The lists are read in slices. Each slice's entries are added to the sums of the vectors they belong to,
+and then every vector has a lower bound (what was read, plus the least the unread lists can add) and
+an upper bound (plus what the lists' current positions can add). A query stops reading when no
+outsider's upper bound reaches the k-th best lower bound, or the k-th best score that earlier blocks of
+the task have left; then the final scores of those that may be among the best are resolved. Bounds of
+all queries of a block are advanced together, so a slice is a few matrix products. A block's winners
+meet in one ranked window per query with a rank limit before the shuffle.
 
 Queries are taken in blocks of bounded bytes; each block passes over all vectors once, and vectors
 are read in blocks of bounded rows, so no task holds a partition.
 
-Defined results: vectors that are null, empty, of another dimension than the valid vector of the
-smallest id, or hold null or non-finite components take no part; rows without an id neither; ties go to
+Defined results: vectors that are null, empty or hold null or non-finite components take no part; rows
+without an id neither; vectors of several dimensions are searched among those of their own; ties go to
 the smaller id; rows that repeat an id are each a candidate of the other ids' queries, and the results
 of the distinct vectors of a repeated query id are ranked together; no valid row gives an empty
 result. Components so large that their sums would not be exact (beyond sqrt(2**53 / dimension) after
@@ -33,12 +35,23 @@ QUERY_BYTES = 32 << 20
 QUERY_SLICE = 512
 
 
-def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> tuple[DataFrame, int]:
-    """(id, vec) of the rows that take part, and their dimension (0 where there are none)."""
-    fine = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & finite_vector(F.col("vec")))
-    first = fine.select("id", F.size("vec").alias("dim")).orderBy("id", "dim").first()
-    dim = first["dim"] if first else 0
-    return fine.where(F.size("vec") == dim), dim
+RESULT = "query_id bigint, rank int, vec_id bigint, score double"
+
+
+def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+    """(id, vec) of the rows that take part."""
+    fine = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("vec"))
+    return fine.where(F.col("id").isNotNull() & finite_vector(F.col("vec")))
+
+
+def by_dimension(fine: DataFrame, search: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The results of `search(vectors of one dimension, the dimension)` for every dimension there is."""
+    dims = [r["dim"] for r in fine.select(F.size("vec").alias("dim")).distinct().orderBy("dim").collect()]
+    parts = [search(fine.where(F.size("vec") == dim), dim) for dim in dims]
+    out = parts[0] if parts else fine.sparkSession.createDataFrame([], RESULT)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def search_in_blocks(fine: DataFrame, dim: int, is_query: Column, k: int, search: Callable) -> DataFrame:
@@ -52,7 +65,6 @@ def search_in_blocks(fine: DataFrame, dim: int, is_query: Column, k: int, search
     blocks = max(1, -(-queries.count() * (dim + 1) * 8 // QUERY_BYTES))
     schema = "query_id bigint, vec_id bigint, score double"
     names = ["query_id", "vec_id", "score"]
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
 
     def block(number: int) -> DataFrame:
         found = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).distinct().toArrow().combine_chunks().sort_by("id")
@@ -65,8 +77,7 @@ def search_in_blocks(fine: DataFrame, dim: int, is_query: Column, k: int, search
                 for arrays in search(ids, vecs, batches):
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
-        found = fine.mapInArrow(run, schema)
-        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return fine.mapInArrow(run, schema)
 
     if blocks == 1:
         return block(0)
@@ -77,6 +88,12 @@ def search_in_blocks(fine: DataFrame, dim: int, is_query: Column, k: int, search
     return out
 
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best found per query, ties to the smaller id."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def vector_blocks(batches: Iterable[pa.RecordBatch], dim: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of at most `rows` rows, sorted by id."""
     held, count = [], 0
@@ -104,74 +121,76 @@ def merge_best(k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray,
 
 
 class SortedLists:
-    """The lists of one block of vectors: one per dimension, ascending."""
+    """The lists of one block of vectors: one per dimension, ascending. `read` and `entries` count for all queries."""
 
     def __init__(self, ids: np.ndarray, vecs: np.ndarray):
         self.ids, self.vecs = ids, vecs
         self.place = np.argsort(np.argsort(vecs, axis=0, kind="stable"), axis=0, kind="stable")
         self.values = np.sort(vecs, axis=0)
+        self.read = self.entries = 0
 
-    def _read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which entries of the lists were read, from the high end and from the low end."""
-        return self.place >= len(self.ids) - depth, self.place < depth
-
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, first_depth: float = 0.125) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, first_depth: float = 1 / 16, beaten: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(query number, ids, scores) of up to k best vectors per query; those that score below `beaten` may be missing."""
         n = len(self.ids)
+        beaten = np.full(len(query_ids), -np.inf) if beaten is None else beaten
         up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
-        least = self.values[0] @ up + self.values[-1] @ down  # per query: the least that all lists add
-        active, out, depth = np.arange(len(query_ids)), [], max(1, int(n * first_depth))
+        known = np.zeros((n, len(query_ids)))  # what the entries read so far add up to
+        # What the lists that are unread for a vector add at least: at first all of them.
+        floor = np.repeat((self.values[0] @ up + self.values[-1] @ down)[None, :], n, axis=0)
+        self.entries += n * queries.shape[1] * len(query_ids)
+        active, out, before, depth = np.arange(len(query_ids)), [], 0, max(1, int(n * first_depth))
         while len(active):
             depth = min(depth, n)
-            high, low = self._read(depth)
+            # The slice that each list gives next, from its high end for positive weights, from its low end for others.
+            high = (self.place >= n - depth) & (self.place < n - before)
+            low = (self.place < depth) & (self.place >= before)
             u, d = up[:, active], down[:, active]
-            known = (self.vecs * high) @ u + (self.vecs * low) @ d
+            known += (self.vecs * high) @ u + (self.vecs * low) @ d
+            floor -= high @ (u * self.values[0][:, None]) + low @ (d * self.values[-1][:, None])
+            self.read += (depth - before) * queries.shape[1] * len(active)
+            before = depth
             own = self.ids[:, None] == query_ids[active][None, :]
-            if depth < n:
-                next_high, next_low = self.values[n - 1 - depth], self.values[depth]
-                frontier_h, frontier_l = u * next_high[:, None], d * next_low[:, None]
-                upper = known + (frontier_h.sum(0) + frontier_l.sum(0)) - (high @ frontier_h + low @ frontier_l)
-                left_h, left_l = u * self.values[0][:, None], d * self.values[-1][:, None]
-                lower = known + least[active] - (high @ left_h + low @ left_l)
-                lower[own] = upper[own] = -np.inf
-                if n > k:
-                    kth = np.partition(lower, n - k, axis=0)[n - k]
-                    winners = lower >= kth
-                    outside = np.where(winners, -np.inf, upper).max(0)
-                    stops = (winners.sum(0) == k) & (outside < kth)
-                else:
-                    stops = np.zeros(len(active), bool)
-                for j in np.flatnonzero(stops):
-                    rows = np.flatnonzero(winners[:, j])
-                    out.append((active[j], self.ids[rows], self.vecs[rows] @ queries[active[j]]))
-                active = active[~stops]
+            if depth == n:
+                lower = upper = np.where(own, -np.inf, known)
             else:
-                known[own] = -np.inf
-                kth = np.partition(known, n - k, axis=0)[n - k] if n > k else np.full(len(active), -np.inf)
-                for j in range(len(active)):
-                    rows = np.flatnonzero((known[:, j] >= kth[j]) & ~own[:, j])
-                    ids, scores = merge_best(k, self.ids[rows], known[rows, j])
-                    out.append((active[j], ids, scores))
-                active = active[:0]
+                front_h, front_l = u * self.values[n - 1 - depth][:, None], d * self.values[depth][:, None]
+                unread = (front_h.sum(0) + front_l.sum(0)) - ((self.place >= n - depth) @ front_h + (self.place < depth) @ front_l)
+                upper = np.where(own, -np.inf, known + unread)
+                lower = np.where(own, -np.inf, known + floor)
+            kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(active), -np.inf)
+            least = np.maximum(kth, beaten[active])
+            # Those that may still be among the best. Reading stops when they are few: their scores are resolved.
+            maybe = (upper >= least) & ~own
+            stops = (maybe.sum(0) <= 4 * k) | (depth == n)
+            for j in np.flatnonzero(stops):
+                rows = np.flatnonzero(maybe[:, j])
+                out.append((active[j], *merge_best(k, self.ids[rows], self.vecs[rows] @ queries[active[j]])))
+            active, known, floor = active[~stops], known[:, ~stops], floor[:, ~stops]
             depth *= 2
         return out
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (long) of the k best of floor(scale * x); `is_query` speaks of `id`."""
-    fine, dim = valid_vectors(vectors, id_col, col)
-    whole = fine.select("id", F.transform("vec", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("vec"))
-    in_range = F.forall("vec", lambda x: F.abs(x) <= float(np.sqrt(2**53 / max(1, dim))))
-    whole = whole.select("id", F.when(in_range, F.col("vec")).otherwise(F.raise_error(F.lit("a component is too large for exact sums"))).alias("vec"))
-
-    def search(query_ids, queries, batches):
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
-        for ids, vecs in vector_blocks(batches, dim, BLOCK_ROWS):
-            lists = SortedLists(ids, vecs)
-            for start in range(0, len(query_ids), QUERY_SLICE):
-                part = slice(start, start + QUERY_SLICE)
-                for j, found, scores in lists.top(query_ids[part], queries[part], k):
-                    ids_so_far, scores_so_far = best[start + j]
-                    best[start + j] = merge_best(k, np.concatenate([ids_so_far, found]), np.concatenate([scores_so_far, scores]))
-        yield np.repeat(query_ids, [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])
-
-    return search_in_blocks(whole, dim, is_query, k, search).withColumn("score", F.col("score").cast("long"))
+
+    def of_dimension(fine: DataFrame, dim: int) -> DataFrame:
+        whole = fine.select("id", F.transform("vec", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("vec"))
+        in_range = F.forall("vec", lambda x: F.abs(x) <= float(np.sqrt(2**53 / dim)))
+        whole = whole.select("id", F.when(in_range, F.col("vec")).otherwise(F.raise_error(F.lit("a component is too large for exact sums"))).alias("vec"))
+
+        def search(query_ids, queries, batches):
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+            for ids, vecs in vector_blocks(batches, dim, BLOCK_ROWS):
+                lists = SortedLists(ids, vecs)
+                for start in range(0, len(query_ids), QUERY_SLICE):
+                    part = slice(start, start + QUERY_SLICE)
+                    beaten = np.array([scores[-1] if len(scores) == k else -np.inf for _, scores in best[part]])
+                    for j, found, scores in lists.top(query_ids[part], queries[part], k, beaten=beaten):
+                        ids_so_far, scores_so_far = best[start + j]
+                        best[start + j] = merge_best(k, np.concatenate([ids_so_far, found]), np.concatenate([scores_so_far, scores]))
+            yield np.repeat(query_ids, [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])
+
+        return search_in_blocks(whole, dim, is_query, k, search)
+
+    found = by_dimension(valid_vectors(vectors, id_col, col), of_dimension)
+    return ranked(found.select("query_id", "vec_id", "score"), k).withColumn("score", F.col("score").cast("long"))

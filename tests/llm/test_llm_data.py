@@ -59,6 +59,72 @@ def test_few_vectors(spark, vectors):
     assert ann.nearest(vectors.limit(0), F.col("id") == 0).count() == 0
 
 
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Vectors of 64 dimensions in five copies each, and odd rows whose ids come first."""
+    rng = np.random.default_rng(8)
+    distinct = rng.normal(size=(300, 64)) * 0.125
+    rows = [(-9, [0.0] * 64), (-8, [1.0]), (-7, [1.0, 2.0]), (-20, [3.0, 4.0]), (-100, [0.5]), (-6, None)]
+    rows += [(i, distinct[(i * 7) % 300].tolist()) for i in range(1500)] + [(40, distinct[3].tolist())]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_results_do_not_depend_on_the_partitioning(copies, monkeypatch):
+    """Ids, order and bits over 1, 7 and 16 partitions and small blocks; equal scores stand by id; odd rows change nothing."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 200)
+    plain = copies.where("vec_id >= 0")
+    for search in (lambda v: ann.nearest(v, F.col("id") % 20 == 0, certainty=1 - 1e-12), lambda v: topk.exact_top_k(v, F.col("id") % 20 == 0)):
+        results = [sorted(map(tuple, search(plain.repartition(n)).collect())) for n in (1, 7, 16)]
+        assert results[0] == results[1] == results[2] and len(results[0]) > 700
+        for (q, _, a, x), (p, _, b, y) in zip(results[0], results[0][1:]):
+            assert q != p or x > y or (x == y and a <= b)
+        with_odd = sorted(map(tuple, search(copies.repartition(7)).collect()))
+        assert [r for r in with_odd if r[0] >= 0] == results[0]
+        # Vectors of two components are searched among themselves; a zero vector or a lone one finds nothing.
+        assert [r[:3] for r in with_odd if r[0] < 0] == [(-100, 1, -8), (-20, 1, -7)]
+
+
+def test_scores_are_sums_in_order(copies):
+    held = {r.vec_id: r.embedding for r in copies.collect() if r.embedding}
+    for r in ann.nearest(copies.where("vec_id >= 0"), F.col("id") % 300 == 0).collect():
+        total = 0.0
+        for a, b in zip(held[r.query_id], held[r.vec_id]):
+            total += a * b
+        assert r.score == total
+
+
+def test_stopping_test_leaves_vectors_unverified():
+    """On vectors without any clusters: the share that is verified, and the recall that is left."""
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(8000, 64))
+    vecs /= np.linalg.norm(vecs, axis=1)[:, None]
+    axes = rng.normal(size=(65, 16))
+    largest = float(np.sqrt((vecs**2).sum(1).max()))
+    projected = vecs @ axes[:64] + np.sqrt(np.maximum(largest**2 - (vecs**2).sum(1), 0))[:, None] * axes[64]
+    ids, queries = np.arange(8000), np.arange(0, 8000, 80)
+    search = ann.Search(queries, vecs[queries], vecs[queries] @ axes[:64], largest, 20, ann.chi_square_quantile(0.95, 16))
+    search.block(ids, vecs, projected)
+    truth = vecs[queries] @ vecs.T
+    truth[np.arange(len(queries)), queries] = -np.inf
+    hits = sum(len(set(search.best_ids[i]) & set(np.argsort(-truth[i])[:20])) for i in range(len(queries)))
+    share, recall = search.verified / search.met, hits / (20 * len(queries))
+    assert share < 0.7 and recall >= 0.9
+
+
+def test_sorted_lists_are_not_read_to_the_end():
+    """On a skewed table, where few vectors are long, most list entries stay unread."""
+    rng = np.random.default_rng(4)
+    vecs = np.floor(rng.normal(size=(4000, 4)) * 50)
+    vecs[rng.choice(4000, 60, replace=False)] *= 40
+    queries = np.floor(rng.normal(size=(30, 4)) * 100)
+    lists = topk.SortedLists(np.arange(4000), vecs)
+    for j, ids, scores in lists.top(np.full(30, -1), queries, 10):
+        order = np.lexsort((np.arange(4000), -(vecs @ queries[j])))[:10]
+        assert list(ids) == list(order) and list(scores) == list((vecs @ queries[j])[order])
+    assert lists.read < 0.6 * lists.entries
+
+
 def test_nearest_recall(vectors):
     stated = brute(vectors, 20, 20, zero=False)
     got = {}
