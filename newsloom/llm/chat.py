@@ -48,6 +48,7 @@ class RepairOptions:
     head: str = "<|im_start|>{role}\n"
     tail: str = "<|im_end|>\n"
     segment_rows: int = 4096
+    task_turns: int = 8192
 
 
 def steps(role: int, options: RepairOptions) -> list[list[tuple[int, int, int, int]]]:
@@ -105,7 +106,7 @@ def _codes(text: str) -> list[int]:
     return [ord(c) - 48 for c in text]
 
 
-def ordered_turns(turns: DataFrame, options: RepairOptions) -> DataFrame:
+def ordered_turns(turns: DataFrame, tasks: int, options: RepairOptions) -> DataFrame:
     """The turns in order, cut into segments: written (conv_id, turn, code, text, part, segment, place)."""
     known = F.lower(F.trim(F.col("role").cast("string")))
     code = F.when(known == "system", 0).when(known == "user", 1).when(known == "assistant", 2).otherwise(3)
@@ -113,7 +114,7 @@ def ordered_turns(turns: DataFrame, options: RepairOptions) -> DataFrame:
     base = base.withColumn("hash", F.xxhash64("text"))
     order = [F.asc("conv_id"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("hash")]
     # Ranges of the whole order: a long conversation goes to as many tasks as its rows fill.
-    dealt = base.repartitionByRange(*order).sortWithinPartitions(*order, F.asc("text")).withColumn("part", F.spark_partition_id())
+    dealt = base.repartitionByRange(tasks, *order).sortWithinPartitions(*order, F.asc("text")).withColumn("part", F.spark_partition_id())
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -142,13 +143,13 @@ def _mapped(segments: DataFrame, fn, schema: str) -> DataFrame:
     return segments.mapInArrow(run, typed)
 
 
-def _chained(segments: DataFrame, columns: str, fn, backwards: bool) -> DataFrame:
+def _chained(segments: DataFrame, tasks: int, columns: str, fn, backwards: bool) -> DataFrame:
     """Runs `fn(values, state) -> (value for the row, next state)` along each conversation's segments.
 
     A conversation has one small row per segment_rows turns here; rows are streamed in order.
     """
     order = [F.desc("part"), F.desc("segment")] if backwards else [F.asc("part"), F.asc("segment")]
-    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+    dealt = segments.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", *order)
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema.fields) + f", {columns}"
     name, kind = columns.split(" ")[0], pa.int64() if "bigint" in columns and "array" not in columns else pa.list_(pa.int64())
 
@@ -168,11 +169,13 @@ def _chained(segments: DataFrame, columns: str, fn, backwards: bool) -> DataFram
 
 def repaired(turns: DataFrame, options: RepairOptions = RepairOptions()) -> DataFrame:
     """conv_id, turn, role (repaired), action, inserted_before, inserted_after, rendered; one row per turn."""
-    rows = ordered_turns(turns, options)
+    # The rows that go from task to task are small, and adaptive execution would join them into one.
+    tasks = 1 + turns.count() // options.task_turns
+    rows = ordered_turns(turns, tasks, options)
     key = ["conv_id", "part", "segment"]
     digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x["code"].cast("string")), "")
     # At most segment_rows one-digit roles per group.
-    segments = rows.groupBy(*key).agg(digits.alias("codes"), F.min("place").alias("first_place"))
+    segments = rows.select(*key, "place", "code").repartition(tasks, *key).groupBy(*key).agg(digits.alias("codes"), F.min("place").alias("first_place"))
     table, ends, begin = tables(options), end_costs(options), [0, BIG, BIG, BIG]
 
     def matrix_of(row):
@@ -198,8 +201,8 @@ def repaired(turns: DataFrame, options: RepairOptions = RepairOptions()) -> Data
         _, path = walk_back(trace, row["exit"] % 10)
         return ("".join(f"{before}{role}{kind}" for before, role, kind in path),)
 
-    segments = _chained(_mapped(segments, matrix_of, "matrix array<bigint>"), "entry array<bigint>", enter, False).drop("matrix")
-    segments = _chained(_mapped(segments, origins, "origins array<bigint>, costs array<bigint>"), "exit bigint", leave, True).drop("origins", "costs")
+    segments = _chained(_mapped(segments, matrix_of, "matrix array<bigint>"), tasks, "entry array<bigint>", enter, False).drop("matrix")
+    segments = _chained(_mapped(segments, origins, "origins array<bigint>, costs array<bigint>"), tasks, "exit bigint", leave, True).drop("origins", "costs")
     segments = written(_mapped(segments, actions, "actions string").select(*key, "first_place", "exit", F.length("codes").alias("turns"), "actions"), "chat-actions")
     on = rows["conv_id"].eqNullSafe(segments["conv_id"]) & (rows["part"] == segments["part"]) & (rows["segment"] == segments["segment"])
     at = (F.col("place") - F.col("first_place")).cast("int") * 3

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm import ann, bpe, chat, lexical, mixing, ngram_join, quality, rollups, secrets, token_files, topk, warc, whitening
-from newsloom.llm.common import read_table, work_folder
+from newsloom.llm.common import read_table, work_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def domain_of(source: Column) -> Column:
 
 
 #: Weights by level: one domain counts twice, English counts three times; sources share alike.
-MIX = mixing.MixOptions(weights={"domain": {"domain1": 2.0}, "lang": {"en": 3.0}}, share=0.5, max_epochs=2)
+MIX = mixing.MixOptions(weights={"domain": {"domain1": 2.0}, "lang": {"en": 3.0}}, share=1.0, max_epochs=2)
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.FMModel:
@@ -43,9 +43,7 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.FMModel:
 @registered
 def op1_secret_scans(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    options = secrets.ScanOptions()
-    findings = secrets.labelled(docs, options).unionByName(secrets.generated_findings(spark, options))
-    found = secrets.scan(docs, secrets.train(findings, options))
+    found = secrets.scan(docs, secrets.trained_on(docs))
     return found.select("doc_id", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
@@ -113,6 +111,7 @@ def op10_token_counts(spark, sf_dir):
     """
     docs = read_table(spark, sf_dir, "documents")
     counted = docs.select("source", "lang", word_count(F.col("text")).alias("words"), mark_count(F.col("text")).alias("marks"))
+    counted = written(counted, "counts")  # texts are split once for all batches
     rollup = rollups.Rollup(spark, work_folder(spark, "rollup"))
     words, marks = F.col("words"), F.col("marks")
     load = rollups.changes("insert", counted, "words-1", words).unionByName(rollups.changes("insert", counted, "marks-1", marks))

@@ -85,7 +85,7 @@ class Rollup:
         if self.committed(batch_id):
             return False
         run = uuid.uuid4().hex
-        delta(batch).coalesce(1).write.parquet(f"{self.folder}/batches/{run}")
+        delta(batch).write.parquet(f"{self.folder}/batches/{run}")
         self._publish(f"{self.folder}/commits/{batch_id}.{run}")
         return True
 
@@ -105,7 +105,7 @@ class Rollup:
         if not batches:
             return
         run = uuid.uuid4().hex
-        self.totals().coalesce(1).write.parquet(f"{self.folder}/bases/{run}/totals")
+        self.totals().write.parquet(f"{self.folder}/bases/{run}/totals")
         everything = [(n.rsplit(".", 1)[0],) for n in self._names("commits")]
         self.spark.createDataFrame(everything, "batch string").coalesce(1).write.json(f"{self.folder}/bases/{run}/covers")
         number = 1 + max([int(n.split(".")[0]) for n in self._names("base-commits")], default=0)

@@ -1,25 +1,31 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-A candidate is a maximal run of at least `least_length` characters that keys, tokens and encoded
-data are made of, with up to two padding signs. The forest looks at its length, its character transitions, how much of it common
-words cover, the path of the document, and the neighbouring text. Training runs on at most
-`sample_documents` documents' candidates and `sample_findings` rows, with generated findings of
-known labels beside them; the trained trees become one SQL expression, so a scan is row-local
-DataFrame work: candidates and the text between them are two arrays of one row. The neighbouring text
-is that of the whole document: a long credential name is itself a candidate and still stands before its value.
-
-Labels of the corpus part, where no labelled table is given, follow a stated rule: letters with
-digits that are assigned to a credential name, or begin like a known key format, are a secret; other
-candidates are not.
+A candidate is a maximal run of at least `least_length` characters that keys, tokens and encoded data
+are made of, with up to two padding signs; or, behind a credential name and an assignment sign, any
+text of at least `least_assigned` characters up to a blank, a quote or a separator. The forest looks at
+its length, its character transitions, how much of it the corpus's words cover, the path of the
+document, and the neighbouring text.
+
+What is learnt from the documents (all of them): the probability of each letter after another, from
+the counts of all words, and the `dictionary` most frequent words. The forest is trained on labelled
+findings. Where no table of them is given, findings are made whose labels are known by construction:
+keys, tokens and passwords are planted, with names before them and without; hashes, identifiers,
+digests, versions, addresses, file names and plain words are planted too, with credential names before
+them and without. No rule over the features has a part in a label. The trained trees become one SQL
+expression, so a scan is row-local DataFrame work: candidates and the text between them are two arrays
+of one row. The neighbouring text is that of the whole document: a long credential name is itself a
+candidate and still stands before its value.
 
 Defined results: null and empty texts have no candidates; a text that is one long run is one
 candidate; repeated rows are scanned alike and candidates that occur twice are two findings; a null
-path is an unknown path; an empty table gives an empty result (the generated findings still train a
-forest); other columns are ignored, and `redact` returns them unchanged.
+path is an unknown path; an empty table gives an empty result (the made findings still train a
+forest, and every letter follows every other alike); other columns are ignored, and `redact` returns
+them unchanged.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -27,74 +33,123 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm.common import written
+from newsloom.settings import discard
 
-# Characters of a candidate, heads of known key formats, credential names, signs of a stand-in, signs of a path without real keys, common words and letter pairs.
+# Characters of a candidate, heads of known key formats, credential names, signs of a stand-in, signs of a path without real keys, characters of an assigned value.
 RUN = r"A-Za-z0-9+/_.\-"
 HEADS = "AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-|eyJ"
 NAMES = "token|secret|passw|passwd|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|signature"
 STAND_INS = "example|sample|dummy|placeholder|changeme|your.?|xxxx|test"
 TAME_PATHS = "test|example|sample|doc|spec|fixture|mock"
-COMMON_WORDS = "the and that with this from have are was for not you all can but one our out has his her its who get use new der die das und nicht ist ein eine auf mit von les des est une pour que dans sur pas par los las del con para una por como mas http https www com org net html page index user name file data mail example info json".split()
-COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st nt to ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+ASSIGNED = r"[^\s\"'`,;<>()\[\]{}]"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """`sample_documents` and `sample_findings` bound what the forest is trained on."""
+    """`sample_findings` bounds what the forest is trained on, `dictionary` the words it knows."""
 
     least_length: int = 16
+    least_assigned: int = 6
     before: int = 40
     after: int = 20
     trees: int = 12
-    depth: int = 5
-    sample_documents: int = 2000
+    depth: int = 6
+    dictionary: int = 4000
     sample_findings: int = 20_000
-    generated: int = 4000
+    generated: int = 12_000
     threshold: float = 0.5
     seed: int = 5
 
 
+@dataclass(frozen=True)
+class Language:
+    """The most frequent words, and the logarithm of the probability of each letter after another (row: first letter)."""
+
+    words: tuple[str, ...]
+    transitions: tuple[float, ...]
+
+
 @dataclass(frozen=True)
 class Forest:
     """Trees as nested tuples: (feature, threshold, left, right) or a leaf's probability."""
 
     options: ScanOptions
     trees: tuple
+    language: Language
+
+
+def learn_language(docs: DataFrame, options: ScanOptions = ScanOptions()) -> Language:
+    """From the words of all documents, whole texts: runs of letters a-z in any case.
+
+    Words are counted before the shuffle; letter pairs come from the distinct words, weighted by
+    their counts. The driver gets `dictionary` words and at most 676 pairs.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("[a-z]{3,24}"), F.lit(0))).alias("word"))
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    top = [r["word"] for r in counts.where(F.length("word") >= 4).orderBy(F.desc("n"), "word").limit(options.dictionary).collect()]
+    places = F.sequence(F.lit(1), F.length("word") - 1)
+    pairs = counts.select("n", F.explode(F.transform(places, lambda i: F.substr(F.col("word"), i, F.lit(2)))).alias("pair"))
+    found = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    discard(counts)
+    rows = []
+    for a in LETTERS:
+        row = [found.get(a + b, 0) + 1.0 for b in LETTERS]
+        rows += [math.log(v / sum(row)) for v in row]
+    return Language(tuple(top), tuple(rows))
 
 
 def _pattern(options: ScanOptions) -> str:
-    return f"(?<![{RUN}])[{RUN}]{{{options.least_length},}}+={{0,2}}"
+    # An assigned value is looked for only where a sign of assignment stands before; the name is checked there.
+    named = rf"(?<=(?i:{NAMES})[\"'`\w]{{0,12}}\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}[\"'`]?)"
+    assigned = rf"(?<=[:=>]\s{{0,3}}[\"'`]?){named}{ASSIGNED}{{{options.least_assigned},200}}"
+    return f"{assigned}|(?<![{RUN}])[{RUN}]{{{options.least_length},}}+={{0,2}}"
 
 
 def _has(text: Column, pattern: str) -> Column:
     return text.rlike(pattern).cast("double")
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> list[Column]:
+def features(value: Column, before: Column, after: Column, path: Column, language: Language) -> list[Column]:
     """The forest's inputs, in order."""
     length = F.length(value).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / length
-    left = lambda pattern: F.length(F.regexp_replace(value, pattern, "")) / length
+    low = F.lower(value)
+    table = F.array(*[F.lit(float(v)) for v in language.transitions])
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2))), lambda p: p.rlike("^[a-z]{2}$"))
+    at = lambda p: ((F.ascii(p) - 97) * 26 + F.ascii(F.right(p, F.lit(1))) - 97).cast("int")
+    sums = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.coalesce(F.get(table, at(p)), F.lit(0.0)))
+    likely = F.when(F.size(pairs) > 0, sums / F.size(pairs)).otherwise(-6.0)
+    spelled = F.regexp_extract_all(F.lower(F.regexp_replace(value, "(?<=[a-z])(?=[A-Z])", " ")), F.lit("[a-z]{4,}"), F.lit(0))
+    known = F.filter(spelled, lambda w: w.isin(list(language.words))) if language.words else F.array().cast("array<string>")
+    letters = lambda words: F.aggregate(words, F.lit(0.0), lambda total, w: total + F.length(w))
     return [
         F.least(length, F.lit(200.0)),
         share("[0-9]"),
         share("[A-Z]"),
         share("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"),
         share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
-        share("(?i)(?=" + "|".join(COMMON_PAIRS) + ")"),
+        likely,
+        F.size(pairs) / length,
         share("[+/_=.\\-]"),
+        share("[^A-Za-z0-9+/_=.\\-]"),
         F.regexp_count(value, F.lit("\\.")).cast("double"),
-        1.0 - left("[A-Za-z]{4,}"),
-        1.0 - left("(?i)" + "|".join(COMMON_WORDS)),
+        F.regexp_count(value, F.lit("/")).cast("double"),
+        letters(spelled) / length,
+        letters(known) / length,
         _has(value, "^(?:[0-9a-f]+|[0-9A-F]+)$"),
+        _has(value, "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"),
         _has(F.right(before, F.lit(24)), f"(?i)(?:{NAMES})"),
+        _has(before, f"(?i)(?:{NAMES})[\"'`\\w]{{0,12}}\\s*(?:[:=]|:=|=>)\\s*[\"'`]?$"),
         _has(before, "[:=]\\s*[\"'`]?$"),
         _has(before, "[\"'`]$"),
+        _has(F.right(before, F.lit(24)), "(?i)(?:hash|sha|md5|digest|checksum|commit|rev|uuid|guid|version|_id|count|url|path|file|name|type|expir|length|algo)[\"'`\\w]{0,12}\\s*(?:[:=]|:=|=>|\\s)\\s*[\"'`]?$"),
         _has(before, "@$") + _has(after, "^@"),
         _has(F.concat(before, value, after), f"(?i)(?:{STAND_INS})"),
         F.coalesce(_has(path, f"(?i)(?:{TAME_PATHS})"), F.lit(0.5)),
         _has(value, f"^(?:{HEADS})"),
         _has(value, "^[A-Z0-9]+$"),
+        _has(value, "^(?:https?:|[a-z]+://|www\\.|[./~])"),
     ]
 
 
@@ -109,7 +164,8 @@ def _in_context(found: Column, between: Column, options: ScanOptions) -> Column:
 
     Put together from as many neighbouring pieces as the widths can reach, so the work grows with the text.
     """
-    reach = lambda width: range(1, -(-width // options.least_length) + 1)
+    smallest = min(options.least_length, options.least_assigned + 4)  # of a candidate with the text before it
+    reach = lambda width: range(1, -(-width // smallest) + 1)
 
     def item(value: Column, i: Column) -> Column:
         left = [p for j in reversed(reach(options.before)) for p in (F.get(between, i - j), F.get(found, i - j))] + [F.get(between, i)]
@@ -135,55 +191,103 @@ def candidates(docs: DataFrame, options: ScanOptions = ScanOptions(), path_col:
 
 
 def rule_label(value: Column, before: Column) -> Column:
+    """A plain rule to measure the forest against: a credential name or a known head, letters and digits."""
     named = before.rlike(f"(?i)(?:{NAMES})[\"'`\\w]{{0,12}}\\s*(?:[:=]|:=|=>)\\s*[\"'`]?$")
     return ((named | value.rlike(f"^(?:{HEADS})")) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")).cast("double")
 
 
-def generated_findings(spark: SparkSession, options: ScanOptions) -> DataFrame:
-    """value, before, after, path, label: keys and digests in assignments, and the usual false positives."""
+def made_findings(spark: SparkSession, language: Language, options: ScanOptions, first: int = 0) -> DataFrame:
+    """value, before, after, path, label: what is planted is known, so its label is, whatever stands before it.
+
+    Findings are numbered; other numbers (from `first` on) are other findings."""
     n = F.col("id")
+    words = language.words or ("plain", "words", "without", "corpus")
+
+    def pick(values, salt: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+
+    def chance(salt: int, of: int) -> Column:
+        return F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(of))
+
     hexes = F.sha2(F.concat(F.lit("finding"), n.cast("string")), 256)
-    mixed = F.regexp_replace(F.base64(F.unhex(hexes)), "=+$", "")
-    word = lambda i: F.element_at(F.array(*map(F.lit, COMMON_WORDS)), (F.pmod(F.xxhash64(n, F.lit(i)), F.lit(len(COMMON_WORDS))) + 1).cast("int"))
-    pair = lambda i: F.element_at(F.array(*map(F.lit, COMMON_PAIRS)), (F.pmod(F.xxhash64(n, F.lit(i)), F.lit(len(COMMON_PAIRS))) + 1).cast("int"))
-    name = F.element_at(F.array(*map(F.lit, ["token", "secret", "password", "api_key", "access_key", "auth", "client_secret", "credential"])), (F.pmod(F.xxhash64(n), F.lit(8)) + 1).cast("int"))
-    sign = F.element_at(F.array(F.lit(" = \""), F.lit("=\""), F.lit(": "), F.lit("="), F.lit(": '"), F.lit(" := \"")), (F.pmod(F.xxhash64(n, F.lit(9)), F.lit(6)) + 1).cast("int"))
+    mixed = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("mixed"), n.cast("string")), 512))), "=+$", "")
+    plain = F.regexp_replace(mixed, "[+/]", "x")
+    near_words = words[:200]
+    word = lambda i: pick(near_words, i)
+    cut = (chance(3, 24) + 20).cast("int")
+    signs = ["!", "@", "#", "$", "%", "^", "&", "*", "?"]
+    year = F.concat(F.lit("20"), (chance(60, 20) + 10).cast("string"))
+    uuid = F.concat_ws("-", F.left(hexes, F.lit(8)), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
+    secrets = [
+        F.left(plain, cut),
+        F.left(mixed, F.lit(40)),
+        F.left(hexes, F.when(chance(41, 2) == 0, 32).otherwise(40)),
+        F.concat(F.lit("AKIA"), F.left(F.upper(plain), F.lit(16))),
+        F.concat(pick(["ghp_", "sk_live_", "glpat-", "xoxb-", "AIza", "sk-"], 4), F.left(plain, cut)),
+        F.concat(F.lit("eyJ"), F.left(mixed, F.lit(20)), F.lit("."), F.substring(mixed, 21, 30), F.lit("."), F.substring(mixed, 51, 30)),
+        F.concat(pick(words[:400], 30), year),
+        F.concat(F.initcap(pick(words[:400], 31)), pick(signs, 32), (chance(33, 900) + 10).cast("string")),
+        F.concat(F.left(plain, F.lit(6)), pick(signs, 34), F.substring(plain, 8, 5), pick(signs, 35), F.substring(plain, 14, 6)),
+    ]
+    tame = [
+        F.left(hexes, F.lit(40)),
+        hexes,
+        F.md5(n.cast("string")),
+        uuid,
+        F.concat_ws(".", chance(50, 30).cast("string"), chance(51, 30).cast("string"), chance(52, 99).cast("string"), F.lit("post20240101")),
+        F.concat(F.lit("20240"), n.cast("string"), F.lit("000000000000")),
+        F.concat(word(5), F.lit("."), word(6), F.lit("@"), word(7), F.lit(".example.org")),
+        F.concat(F.lit("https://"), word(8), F.lit(".org/"), word(9), F.lit("/"), word(10), F.lit("?id="), chance(53, 9999).cast("string")),
+        F.concat(word(11), F.lit("/"), word(12), F.lit("/"), word(13), F.lit("-"), word(14), F.lit(".html")),
+        F.concat(word(15), F.lit("_"), word(16), F.lit("_"), word(17), F.lit("_"), word(18)),
+        F.concat(*[F.initcap(word(i)) for i in range(19, 24)]),
+        F.upper(F.concat_ws("_", word(24), word(25), word(26))),
+        F.concat(F.lit("${"), F.upper(word(27)), F.lit("_"), F.upper(word(28)), F.lit("}")),
+        F.concat(word(29), word(36), word(46)),
+        F.initcap(F.concat(word(47), word(48), word(49), word(59))),
+        F.initcap(F.concat(word(61), word(62), word(63), word(64), word(65))),
+        F.concat(F.initcap(F.concat(word(66), word(67), word(68), word(69))), F.lit(".")),
+        F.lpad((F.pmod(F.xxhash64(n, F.lit(70)), F.lit(10_000_000_000_000_000))).cast("string"), 16, "4"),
+        F.repeat(pick(["-", "_", "=", ".", "ab", "x"], 37), 20),
+        F.concat(pick(["mail", "smtp", "host", "mx", "news"], 71), chance(72, 40).cast("string"), F.lit("."), pick(["example.com", "example.org", "test.net"], 73)),
+        F.concat(word(74), F.lit("."), word(75), chance(76, 90).cast("string"), pick([".org", ".com", ".net", ".de"], 77)),
+    ]
+    kind = F.pmod(F.shiftright(n, 1), F.lit(len(secrets) * len(tame))).cast("int")
+    secret = (n % 2 == 0).cast("double")
+    value = F.when(n % 2 == 0, F.element_at(F.array(*secrets), kind % len(secrets) + 1)).otherwise(F.element_at(F.array(*tame), kind % len(tame) + 1))
+    names = ["token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret", "credential", "aws_secret_access_key", "DB_PASSWORD", "passwd", "private_key"]
+    tame_names = ["commit", "sha256", "checksum", "uuid", "version", "file", "url", "path", "id", "name", "digest", "rev", "build", "ref"]
+    mixed_names = ["token_type", "secret_name", "auth_url", "password_file", "api_key_id", "token_count", "credential_type", "signature_version", "password_hash", "key_path"]
+    sign = pick([' = "', '="', ": ", "=", ": '", ' := "', " => "], 9)
     near = F.concat(word(1), F.lit(" "), word(2), F.lit(" "))
-    kind, cut = F.pmod(n, F.lit(10)), (F.pmod(F.xxhash64(n, F.lit(3)), F.lit(24)) + 20).cast("int")
-    tail = F.left(hexes, cut)
-    value = (
-        F.when(kind <= 1, F.left(hexes, F.lit(40)))
-        .when(kind == 2, F.left(mixed, cut))
-        .when(kind == 3, F.when(n % 20 < 10, F.concat(F.lit("AKIA"), F.left(F.upper(F.regexp_replace(mixed, "[+/]", "x")), F.lit(16)))).otherwise(F.concat(F.element_at(F.array(F.lit("ghp_"), F.lit("sk_live_"), F.lit("glpat-"), F.lit("xoxb-")), (F.pmod(F.xxhash64(n, F.lit(4)), F.lit(4)) + 1).cast("int")), F.left(F.regexp_replace(mixed, "[+/]", "x"), cut))))
-        .when(kind == 4, tail)
-        .when(kind == 5, F.when(n % 20 < 10, F.concat(*[pair(i) for i in range(10, 20)])).otherwise(F.upper(F.concat(*[pair(i) for i in range(10, 20)]))))
-        .when(kind == 6, F.concat(word(5), F.lit("."), F.left(hexes, F.lit(2)), F.lit("mail5."), word(6), F.lit(".example.com")))
-        .when(kind == 7, F.concat(word(7), F.lit("/"), word(8), F.lit("/"), word(11), F.lit("-"), word(12), F.lit(".html")))
-        .when(kind == 8, F.concat(word(13), F.lit("_"), word(14), F.lit("_"), word(15), F.lit("_"), word(16)))
-        .otherwise(F.concat(F.lit("20240"), n.cast("string"), F.lit("000000000000")))
-    )
-    secret = kind <= 3
-    bare = (kind == 3) & (F.pmod(F.xxhash64(n, F.lit(18)), F.lit(3)) > 0)  # known formats stand alone too
-    before = F.when(bare, near).when(secret, F.concat(near, name, sign)).when(kind == 6, F.concat(near, F.when(n % 20 < 10, "@").otherwise(""))).when((kind == 8) & (n % 20 < 10), F.concat(name, F.lit(" = "))).otherwise(near)
-    after = F.when(bare, F.concat(F.lit(" "), word(17))).when(secret, F.lit("\" ")).otherwise(F.concat(F.lit(" "), word(17)))
-    path = F.when(n % 7 == 0, "docs/example").otherwise(F.concat(F.lit("src"), (n % 20).cast("string")))
-    return spark.range(options.generated).select(value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), secret.cast("double").alias("label"))
-
-
-def labelled(docs: DataFrame, options: ScanOptions, path_col: str = "source") -> DataFrame:
-    """Findings of a bounded sample of documents, chosen by a hash of their id, with the rule's labels."""
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.sample_documents)
-    found = candidates(docs.join(F.broadcast(ids), "doc_id", "left_semi"), options, path_col)
-    return found.select("value", "before", "after", "path", rule_label(F.col("value"), F.col("before")).alias("label"))
-
-
-def train(findings: DataFrame, options: ScanOptions = ScanOptions()) -> Forest:
+    # Keys of a known or dense form also stand alone; passwords only where a name says what they are.
+    index = kind % len(secrets)
+    bare_secret = (index <= 5) & (chance(18, 10) < 3)
+    before_secret = F.when(bare_secret, near).otherwise(F.concat(near, pick(names, 19), sign))
+    place = chance(20, 10)
+    before_tame = (
+        F.when((kind % len(tame) >= len(tame) - 2) & (place < 7), F.concat(near, word(78), F.lit("."), chance(79, 60).cast("string"), F.lit("@")))
+        .when(place < 3, near)
+        .when(place < 4, F.concat(near, F.lit(". ")))
+        .when(place < 6, F.concat(near, pick(tame_names, 38), sign))
+        .when(place < 9, F.concat(near, pick(mixed_names, 39), sign))
+        .otherwise(F.concat(near, pick(names, 40), F.lit(" "), word(42), F.lit(" ")))
+    )
+    before = F.when(n % 2 == 0, before_secret).otherwise(before_tame)
+    quoted = F.when(before.rlike("[\"']$"), F.right(before, F.lit(1))).otherwise("")
+    path = F.when(chance(43, 8) == 0, "docs/guide").otherwise(F.concat(F.lit("src"), chance(44, 20).cast("string")))
+    rows = spark.range(first, first + options.generated).select(value.alias("value"), F.right(before, F.lit(options.before)).alias("before"), F.concat(quoted, F.lit(" "), word(45)).alias("after"), path.alias("path"), secret.alias("label"))
+    return rows.where(F.length("value") >= options.least_assigned)
+
+
+def train(findings: DataFrame, language: Language, options: ScanOptions = ScanOptions()) -> Forest:
     """findings: value, before, after, path, label (0 or 1). At most `sample_findings` rows, chosen by hash, are used."""
-    columns = [f"f{i}" for i in range(len(features(*[F.lit("")] * 4)))]
-    made = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.col("path"))
+    made = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.col("path"), language)
+    columns = [f"f{i}" for i in range(len(made))]
     sample = findings.where(F.col("value").isNotNull() & (F.length("value") > 0) & F.col("label").isNotNull()).orderBy(F.xxhash64("value", "before", "after"), "label").limit(options.sample_findings)
     # Training passes over its rows many times: they are computed once. One file has one order, so that training repeats exactly.
-    rows = written(sample.select(*[c.alias(n) for c, n in zip(made, columns)], "label").coalesce(1), "findings")
+    sample = written(sample.select("value", "before", "after", "path", "label"), "findings")
+    rows = written(sample.orderBy(F.xxhash64("value", "before", "after"), "label").select(*[c.alias(n) for c, n in zip(made, columns)], "label").coalesce(1), "findings")
     rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows).select("features", "label")
     model = RandomForestClassifier(numTrees=options.trees, maxDepth=options.depth, seed=options.seed, featureSubsetStrategy="sqrt").fit(rows)
 
@@ -194,7 +298,13 @@ def train(findings: DataFrame, options: ScanOptions = ScanOptions()) -> Forest:
         split = node.split()
         return split.featureIndex(), split.threshold(), plain(node.leftChild()), plain(node.rightChild())
 
-    return Forest(options, tuple(plain(tree._java_obj.rootNode()) for tree in model.trees))
+    return Forest(options, tuple(plain(tree._java_obj.rootNode()) for tree in model.trees), language)
+
+
+def trained_on(docs: DataFrame, options: ScanOptions = ScanOptions()) -> Forest:
+    """A forest with the language of the documents, trained on made findings."""
+    language = learn_language(docs, options)
+    return train(made_findings(docs.sparkSession, language, options), language, options)
 
 
 def forest_score(forest: Forest, inputs: list[Column]) -> Column:
@@ -213,8 +323,8 @@ def forest_score(forest: Forest, inputs: list[Column]) -> Column:
 
 
 def _scored(found: DataFrame, forest: Forest) -> DataFrame:
-    columns = [f"_f{i}" for i in range(len(features(*[F.lit("")] * 4)))]
-    made = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
+    made = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"), forest.language)
+    columns = [f"_f{i}" for i in range(len(made))]
     # Features are bound once as columns; the trees then only compare numbers.
     bound = found.withColumns(dict(zip(columns, made)))
     return bound.withColumn("score", forest_score(forest, [F.col(c) for c in columns])).drop(*columns)
@@ -235,9 +345,9 @@ def redact(docs: DataFrame, forest: Forest, path_col: str = "source", mark: str
 
     def replaced(item: Column) -> Column:
         value = item["value"]
-        inputs = F.array(*features(value, item["before"], item["after"], F.col("_path")))
+        made = features(value, item["before"], item["after"], F.col("_path"), forest.language)
         # A one-element transform binds the features, so that each is computed once per candidate.
-        score = F.get(F.transform(F.array(inputs), lambda f: forest_score(forest, [F.get(f, k) for k in range(len(features(*[F.lit("")] * 4)))])), 0)
+        score = F.get(F.transform(F.array(F.array(*made)), lambda f: forest_score(forest, [F.get(f, k) for k in range(len(made))])), 0)
         return F.when(score >= options.threshold, F.lit(mark)).otherwise(value)
 
     kept = F.concat(F.array_join(F.zip_with(F.transform(_in_context(F.col("_found"), F.col("_between"), options), replaced), F.slice("_between", F.lit(1), F.size("_found")), lambda v, b: F.concat(b, v)), ""), F.element_at("_between", -1))

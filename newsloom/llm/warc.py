@@ -41,6 +41,9 @@ ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
 END, END64_LOCATOR, END64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
 IN_ZIP64 = 0xFFFFFFFF
 
+# Bytes of records that one task reads, about.
+TASK_BYTES = 8 << 20
+
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
@@ -227,7 +230,7 @@ def with_refers_to(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_packages(pages: DataFrame, folder: str, package_bytes: int = 1 << 30, least_bytes: int = 0) -> DataFrame:
-    """Writes the packages and their manifest (package, records), and returns the manifest as stored."""
+    """Writes the packages and their manifest (package, records, bytes), and returns the manifest as stored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, name, done = None, "", []
@@ -240,14 +243,15 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = 1 << 30,
                 writer.add(page_id, urls[i].as_py(), batch.column(2)[i].as_py().encode("utf-8", "surrogatepass"), refers[i])
                 if writer.bytes >= package_bytes:
                     writer.close()
-                    done.append((name, writer.records))
+                    done.append((name, writer.records, writer.bytes))
                     writer = None
         if writer is not None:
             writer.close()
-            done.append((name, writer.records))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["package", "records"])
+            done.append((name, writer.records, writer.bytes))
+        kinds = [pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kind) for i, kind in enumerate(kinds)], names=["package", "records", "bytes"])
 
-    return written(with_refers_to(pages, least_bytes).mapInArrow(run, "package string, records bigint"), "warc-manifest")
+    return written(with_refers_to(pages, least_bytes).mapInArrow(run, "package string, records bigint, bytes bigint"), "warc-manifest")
 
 
 def locate_records(manifest: DataFrame) -> DataFrame:
@@ -265,7 +269,8 @@ def locate_records(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(out, names=["package", "start", "length"])
                 reader.close()
 
-    return manifest.select("package").mapInArrow(run, "package string, start bigint, length bigint")
+    # A package a task: the manifest's rows are few, and would otherwise all be joined into one.
+    return manifest.select("package").repartition(max(1, manifest.count()), "package").mapInArrow(run, "package string, start bigint, length bigint")
 
 
 def read_packages(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -274,8 +279,10 @@ def read_packages(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     Record places are dealt out by package and range, so one large package is read by many tasks,
     each of them in file order. A response whose bytes do not match its digest raises.
     """
-    places = locate_records(manifest).withColumn("block", (F.col("start") / (8 << 20)).cast("long"))
-    dealt = places.repartition("package", "block").sortWithinPartitions("package", "start").drop("block")
+    places = locate_records(manifest).withColumn("block", (F.col("start") / TASK_BYTES).cast("long"))
+    # As many tasks as there are bytes to read, whatever the size of the rows that say where they are.
+    tasks = 1 + (manifest.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES
+    dealt = places.repartition(tasks, "package", "block").sortWithinPartitions("package", "start").drop("block")
     kind = pa.int64() if id_type == "bigint" else pa.string()
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
