@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsloom.llm import bpe, mixing, ngram_join, quality, queries, secrets
 from newsloom.llm.common import read_table, written
 
-#: No SQL: stages hold trained models and a tokenizer. The stages are tested against plain versions.
+#: No SQL: stages hold trained models and a tokenizer. tests/llm compares what each stage keeps and changes with plain versions.
 ORACLE_SQL = None
 
 THRESHOLD = 0.3
@@ -25,9 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the forest takes for a secret is replaced in the text; n_chars follows."""
-    options = secrets.ScanOptions()
-    findings = secrets.labelled(docs, options).unionByName(secrets.generated_findings(spark, options))
-    clean = secrets.redact(docs, secrets.train(findings, options))
+    clean = secrets.redact(docs, secrets.trained_on(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
