@@ -199,7 +199,7 @@ class WordBpe:
                 runs += [*filter(None, BLANKS.split(text[at : found.start()])), found.group()]
                 at = found.end()
             runs += filter(None, BLANKS.split(text[at:]))
-        if self._held > 256 << 20:
+        if self._held > 96 << 20:
             self.forget()
         for run in set(runs).difference(self._runs[0]):
             self._learn(run)

@@ -86,7 +86,7 @@ class Shingler:
         if not words:
             return np.zeros(0, U64)
         known = self._known
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
         for word in set(words).difference(known):
             known[word] = xxhash.xxh3_64_intdigest(word)
