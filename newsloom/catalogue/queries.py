@@ -62,7 +62,7 @@ def ops_latest(spark, sf_dir):
 
 
 def _means(spark, sf_dir):
-    return analytics.ticker_sentiment(V.scored(spark, sf_dir), V.WHOLE_WINDOW_MIN, 3, V.as_of(spark, sf_dir))
+    return analytics.ticker_sentiment(V.scored(spark, sf_dir), V.whole_window(spark, sf_dir), 3, V.as_of(spark, sf_dir))
 
 
 @registered
@@ -94,24 +94,24 @@ def top_movers_display(spark, sf_dir):
 
 @registered
 def minute_series(spark, sf_dir):
-    series = analytics.minute_series(V.scored(spark, sf_dir), V.WHOLE_WINDOW_MIN, V.as_of(spark, sf_dir))
+    series = analytics.minute_series(V.scored(spark, sf_dir), V.whole_window(spark, sf_dir), V.as_of(spark, sf_dir))
     return series.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "n")
 
 
 @registered
 def source_counts(spark, sf_dir):
-    return analytics.source_counts(V.scored(spark, sf_dir), V.WHOLE_WINDOW_MIN, V.as_of(spark, sf_dir))
+    return analytics.source_counts(V.scored(spark, sf_dir), V.whole_window(spark, sf_dir), V.as_of(spark, sf_dir))
 
 
 @registered
 def topic_counts(spark, sf_dir):
-    return analytics.topic_counts(V.scored(spark, sf_dir), V.WHOLE_WINDOW_MIN, V.as_of(spark, sf_dir))
+    return analytics.topic_counts(V.scored(spark, sf_dir), V.whole_window(spark, sf_dir), V.as_of(spark, sf_dir))
 
 
 @registered
 def stat_cards(spark, sf_dir):
     """Both count lists as label and number, cut to what a card shows."""
-    stats = analytics.stats(V.scored(spark, sf_dir), V.WHOLE_WINDOW_MIN, V.as_of(spark, sf_dir))
+    stats = analytics.stats(V.scored(spark, sf_dir), V.whole_window(spark, sf_dir), V.as_of(spark, sf_dir))
     none = F.lit(None).cast("string")
     by_source = stats.sources.withColumn("topic", none).limit(analytics.DISPLAY_STATS)
     by_topic = stats.topics.withColumn("source", none).limit(analytics.DISPLAY_STATS)

@@ -33,7 +33,7 @@ SCORED = f"""scored AS (
            epoch_us(ts) // 1000 AS scored_ts
     FROM events)"""
 SENT = "round(CAST(sentiment AS DOUBLE), 6)"
-RECENT = f"ts >= (SELECT max(ts) FROM events) - INTERVAL {V.WHOLE_WINDOW_MIN} MINUTE"
+RECENT = "ts IS NOT NULL"  # a trailing window as long as the events
 DAY = "ts >= (SELECT max(ts) FROM events) - INTERVAL 1440 MINUTE"
 
 

@@ -15,9 +15,6 @@ from newsloom.functions.urls import normalize_url
 from newsloom.operators.dedup import first_per_key
 from newsloom.sources.tickers import tickers_from_frame, tickers_from_rows
 
-# A window as long as the test events, so the trailing queries read all of them.
-WHOLE_WINDOW_MIN = 43_200
-
 # The ticker dictionary as plain CSV rules read it.
 TICKER_ROWS = [
     ("AAPL", "Apple Inc", "Apple;Apple Computer;Apple Incorporated"),
@@ -99,6 +96,13 @@ def hashed_weights(buckets: int = 1024) -> np.ndarray:
     return (number * column * 40_503 % 129 - 64) / 64
 
 
+def whole_window(spark: SparkSession, sf_dir: str) -> int:
+    """Minutes of a trailing window that holds all events."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = table(spark, sf_dir, "events").agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
+    return 1 + (ends["last"] - ends["first"]) // 60_000_000 if ends["first"] is not None else 0
+
+
 def tickers(spark: SparkSession) -> DataFrame:
     return tickers_from_rows(spark, TICKER_ROWS)
 

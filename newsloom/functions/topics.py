@@ -8,15 +8,15 @@ from pyspark.sql import Column, functions as F
 
 from newsloom.functions.strings import sorted_set
 
-# Topic and the substrings that signal it, in alphabetical order of topic.
+# Topic and the substrings that signal it.
 TOPIC_KEYWORDS = {
-    "earnings": ["earnings", "q1", "q2", "q3", "q4", "fiscal", "full-year", "eps", "revenue", "beat", "miss"],
     "guidance": ["guidance", "outlook", "forecast"],
-    "legal": ["lawsuit", "litigation", "settlement", "sues", "sued", "investigation"],
+    "earnings": ["earnings", "q1", "q2", "q3", "q4", "fiscal", "full-year", "eps", "revenue", "beat", "miss"],
     "m&a": ["acquire", "acquisition", "merger", "m&a", "takeover"],
+    "legal": ["lawsuit", "litigation", "settlement", "sues", "sued", "investigation"],
+    "rating/analyst": ["downgrade", "upgrade", "initiates coverage", "price target"],
     "macro": ["macro", "inflation", "cpi", "jobs report", "fed", "interest rates", "treasury"],
     "product": ["product", "launches", "introduces", "unveils", "chip", "ai model", "device", "phone", "gpu"],
-    "rating/analyst": ["downgrade", "upgrade", "initiates coverage", "price target"],
 }
 
 

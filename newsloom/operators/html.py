@@ -42,8 +42,10 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 BLOCK_TAGS = HEADINGS | frozenset(
     ["address", "blockquote", "center", "div", "dl", "form", "hr", "ol", "p", "pre", "table", "ul"]
 )
-# An end tag never closes an open element of a higher rank; unlisted elements have rank 0.
-CLOSE_RANK = {"div": 1, "td": 2, "th": 2, "tr": 3, "tbody": 4, "tfoot": 4, "thead": 4, "table": 5, "body": 6, "html": 7}
+# What holds what by the content model of HTML, from the outside in; all other elements come last.
+NESTING = [["html"], ["body"], ["table"], ["tbody", "tfoot", "thead"], ["tr"], ["td", "th"], ["div"]]
+# An end tag never closes an open element that stands further outside than its own.
+CLOSE_RANK = {tag: len(NESTING) - depth for depth, tags in enumerate(NESTING) for tag in tags}
 
 
 def _decode(text: str) -> str:
