@@ -61,8 +61,9 @@ class JoinOptions:
 
     @property
     def lower(self) -> int:
-        """End of the hash range that is counted in all sets: somewhat over the share that prefixes have."""
-        return min((1 << 64) - 1, (100 - self.percent) * 13 * (1 << 64) // 1000)
+        """End of the hash range that is counted in all sets: nearly twice the share that prefixes have, so
+        that a set has common members enough to leave out."""
+        return min((1 << 64) - 1, (100 - self.percent) * 18 * (1 << 64) // 1000)
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
