@@ -4,8 +4,9 @@ Levels (say domain, language, source) make a tree; each node has a weight among
 node's budget is split by weight, but no child gets more than its subtree can supply; what a short
 child leaves goes to its siblings by weight, and only what all of them cannot take stays with the
 ancestors, who had split by the same rule, so it went to the node's own siblings. A leaf of n tokens
-with budget b takes whole epochs first and then, of a seeded order of its documents, the shortest
-prefix that reaches the rest (its last document may cross the line, and `max_epochs` bounds all).
+with budget b takes whole epochs first and then, of its documents in the order that the seed and the
+number of the epoch it has begun give, the shortest prefix that reaches the rest (its last document
+may cross the line, and `max_epochs` bounds all).
 
 Where the line falls in a leaf is found without sorting it: tokens are summed per range of the
 seeded hash, the range that holds the line is found from those sums, and only that range's
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsloom.llm.common import written
+from newsloom.llm.common import broadcast_if_small, written
 
 TINY = 1e-12
 
@@ -106,8 +107,9 @@ def choose(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     leaves = leaves.withColumn("_ranges", F.greatest(F.lit(1), F.ceil(F.col("rows") / options.rows_per_range)).cast("long"))
     leaves = leaves.select(*[F.col(n).alias(f"_{n}") for n in options.levels], "_epochs", "_rest", "_ranges")
     same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in options.levels]
-    # One row per source, counted above: a broadcast with a known bound.
-    placed = docs.join(F.broadcast(leaves), same).withColumn("_hash", F.xxhash64(F.lit(options.seed), F.col("doc_id")))
+    # One row per source: these sides are sent to all tasks only where their number allows it.
+    sources = leaves.count()
+    placed = docs.join(broadcast_if_small(leaves, sources, 96), same).withColumn("_hash", F.xxhash64(F.lit(options.seed), F.col("_epochs"), F.col("doc_id")))
     placed = placed.withColumn("_range", F.floor((F.shiftrightunsigned("_hash", 1) / F.lit(float(1 << 63))) * F.col("_ranges")).cast("long"))
     leaf = [f"_{n}" for n in options.levels]
     sums = placed.groupBy(*leaf, "_range", "_rest").agg(F.sum("n_tokens").alias("_sum"))
@@ -115,7 +117,7 @@ def choose(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     # _before: tokens of the leaf's earlier ranges. The line lies in the range where it is passed.
     line = written(sums.withColumn("_before", F.coalesce(upto, F.lit(0))).where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_sum") >= F.col("_rest"))).select(*[F.col(n).alias(f"{n}_l") for n in leaf], F.col("_range").alias("_line"), "_before"), "mix-lines")
     beside = [F.col(n).eqNullSafe(F.col(f"{n}_l")) for n in leaf]
-    cut = placed.join(F.broadcast(line), [*beside, F.col("_range") == F.col("_line")])
+    cut = placed.join(broadcast_if_small(line, sources, 96), [*beside, F.col("_range") == F.col("_line")])
     running = F.sum("n_tokens").over(Window.partitionBy(*leaf).orderBy(F.shiftrightunsigned("_hash", 1), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     last = cut.select(*leaf, F.shiftrightunsigned("_hash", 1).alias("_at"), F.col("doc_id").alias("_id"), (F.coalesce(running, F.lit(0)) + F.col("_before")).alias("_sofar"), "_rest", "n_tokens")
     # The document that crosses the line: the last one whose predecessors do not reach it.
@@ -124,7 +126,7 @@ def choose(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     at_end = [F.col(n).eqNullSafe(F.col(f"{n}_e")) for n in leaf]
     key = F.struct(F.shiftrightunsigned("_hash", 1).alias("_at"), F.col("doc_id").alias("_id"))
     partial = F.when(F.col("_rest") > 0, F.coalesce((key <= F.col("_end")).cast("int"), F.lit(0))).otherwise(0)
-    taken = placed.join(F.broadcast(ends), at_end, "left").withColumn("copies", (F.col("_epochs") + partial).cast("int"))
+    taken = placed.join(broadcast_if_small(ends, sources, 96), at_end, "left").withColumn("copies", (F.col("_epochs") + partial).cast("int"))
     return taken.where(F.col("copies") > 0).select(*keep, "copies")
 
 

@@ -1,6 +1,5 @@
 """Token files, ranked lexical search and whitening against plain versions, and their defined edge cases."""
 
-import io
 import math
 import random
 import re
@@ -9,7 +8,6 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newsloom.llm import lexical, token_files, whitening

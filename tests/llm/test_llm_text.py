@@ -253,10 +253,12 @@ def test_mix_takes_shortest_prefix(spark):
     rows = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.choice([0, 1, 5, 40]), "c") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_tokens long, copies string").drop("copies")
     options = mixing.MixOptions(levels=("lang", "source"), weights={"lang": {"a": 3.0, "b": 1.0}}, share=0.8, max_epochs=2, rows_per_range=20)
-    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(options.seed), "doc_id"), 1).alias("h")).collect()}
+    # Each epoch has an order of its own.
+    hashed = [F.shiftrightunsigned(F.xxhash64(F.lit(options.seed), F.lit(e).cast("long"), "doc_id"), 1).alias(f"h{e}") for e in range(3)]
+    hashes = {r.doc_id: r[1:] for r in docs.select("doc_id", *hashed).collect()}
     leaves = defaultdict(list)
     for i, lang, source, n, _ in rows:
-        leaves[lang, source].append((hashes[i], i, n))
+        leaves[lang, source].append((i, i, n))
     sums = [{"lang": k[0], "source": k[1], "tokens": sum(x[2] for x in v)} for k, v in leaves.items()]
     total = sum(s["tokens"] for s in sums) * options.share
     budgets = mixing._budgets(sums, options, total)
@@ -266,7 +268,7 @@ def test_mix_takes_shortest_prefix(spark):
         tokens = sum(x[2] for x in docs_of)
         epochs = int(budgets[key] / tokens + 1e-9) if tokens else 0
         rest, so_far = max(0.0, budgets[key] - epochs * tokens), 0
-        for _, i, n in sorted(docs_of):
+        for _, i, n in sorted((hashes[i][min(epochs, 2)], i, n) for _, i, n in docs_of):
             expected[i] = epochs + (so_far < rest)
             so_far += n
     got = {r.doc_id: r.copies for r in mixing.choose(docs, options).collect()}
