@@ -359,7 +359,7 @@ def xxh64(keys: str) -> str:
     lane = ", ".join(f"{_mul(_rotated(f's{i}', 31), _P1)} AS v{i}" for i in range(4))
     taken = ", ".join(f"{_add(f'v{i}', '(' + _mul(_number(f'pos + {8 * i}', 8), _P2) + ')')} AS s{i}" for i in range(4))
     joined = f"({' + '.join(_rotated(f'v{i}', r) for i, r in enumerate((1, 7, 12, 18)))}) % {_M}"
-    merged, steps = "x0", []
+    steps = []
     for i in range(4):
         mixed = _mul(_rotated(_mul(f"v{i}", _P2), 31), _P1)
         steps.append(f"SELECT *, {_add(_mul(f'xor(x{i}, {mixed})', _P1), _P4)} AS x{i + 1}")
