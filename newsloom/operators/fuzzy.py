@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from math import floor
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ PART_LETTERS = 4_000_000
 _MEMO_SIZE = 50_000
 # Letters are counted in this many classes for an upper bound of the common subsequence.
 _CLASSES = 32
+_NONE = np.zeros(0, np.int64)
 
 MATCH = "struct<alias:string,score:double,symbol:string,place:bigint>"
 
@@ -99,7 +102,7 @@ class AliasIndex:
         self.count = np.array([len(w) for w in self.words], np.int64)
         self.letters = np.array([_classes(t) for t in texts], np.int32).reshape(-1, _CLASSES)
         self.by_length = np.argsort(self.length, kind="stable")
-        self.lengths = self.length[self.by_length]
+        self.lengths = self.length[self.by_length].tolist()
         self.by_word, self.by_pair = self._lists(self.words), self._lists(map(_pairs, texts))
 
     @staticmethod
@@ -113,18 +116,22 @@ class AliasIndex:
     def _near(self, text: str, r: float) -> np.ndarray:
         """Aliases without a shared word that may score r or more by edits."""
         size = len(text)
-        low, high = r * size / (2 - r), (2 - r) * size / r if r > 0 else np.inf
-        a, b = np.searchsorted(self.lengths, (np.floor(low - 1e-9), np.ceil(high + 1e-9)), side="left")
-        b = int(np.searchsorted(self.lengths, np.floor(high + 1e-9), side="right")) if np.isfinite(high) else len(self.lengths)
-        shortest = max(1.0, low)
+        low, high = r * size / (2 - r), (2 - r) * size / r if r > 0 else float("inf")
+        a = bisect_left(self.lengths, floor(low - 1e-9))
+        b = bisect_right(self.lengths, floor(high + 1e-9)) if high < float("inf") else len(self.lengths)
+        if a >= b:
+            return _NONE
+        pairs = _pairs(text)
         # A deletion destroys two of the mention's pairs at most, an insertion one.
-        destroyed = 2 * size + shortest - 1.5 * r * (size + shortest) if 1.5 * r >= 1 else np.inf
-        pairs = sorted(_pairs(text), key=lambda p: (len(self.by_pair.get(p, ())), p))
+        shortest = max(1.0, low)
+        destroyed = 2 * size + shortest - 1.5 * r * (size + shortest) if 1.5 * r >= 1 else float("inf")
         if destroyed + 1 >= len(pairs):
             return self.by_length[a:b]
-        lists = [self.by_pair[p] for p in pairs[: int(destroyed) + 1] if p in self.by_pair]
+        by_pair = self.by_pair
+        rarest = sorted((len(by_pair[p]) if p in by_pair else 0, p) for p in pairs)[: int(destroyed) + 1]
+        lists = [by_pair[p] for count, p in rarest if count]
         if not lists:
-            return np.zeros(0, np.int64)
+            return _NONE
         found = np.unique(np.concatenate(lists))
         return found[(self.length[found] >= low - 1e-9) & (self.length[found] <= high + 1e-9)]
 
@@ -139,9 +146,9 @@ class AliasIndex:
         text = " ".join(sorted(words))
         lists = [(self.by_word[w], len(w)) for w in words if w in self.by_word]
         near = self._near(text, cutoff / 100.0)
-        found = np.unique(np.concatenate([near, *(numbers for numbers, _ in lists)]))
-        if not len(found):
+        if not lists and not len(near):
             return None
+        found = np.unique(np.concatenate([near, *(numbers for numbers, _ in lists)]))
         shared, held = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
         for numbers, size in lists:
             at = np.searchsorted(found, numbers)
