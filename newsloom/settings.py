@@ -81,3 +81,9 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.work_folder)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what nothing refers to any more: Spark then removes the shuffle
+    files of finished work, which otherwise stay for half an hour or more."""
+    spark._jvm.System.gc()
