@@ -39,17 +39,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.llm.common import broadcast_if_small, written
 from newsloom.llm.components import components
-from newsloom.settings import discard
+from newsloom.settings import discard, release
 
 U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class JoinOptions:
-    """Links from `percent` of similarity on; sets of `words`-grams. The rest bounds a task's memory."""
+    """Links from `percent` of similarity on; sets of `words`-grams. `counted` is the share of n-grams that
+    is counted in all sets, in tenths of the share that prefixes have: the more, the more common
+    members a set can leave out; long n-grams are rarely common. The rest bounds a task's memory."""
 
     words: int = 3
     percent: int = 90
+    counted: int = 18
     pack_sets: int = 256
     pack_members: int = 1_000_000
     slice_members: int = 4_000_000
@@ -61,9 +64,8 @@ class JoinOptions:
 
     @property
     def lower(self) -> int:
-        """End of the hash range that is counted in all sets: nearly twice the share that prefixes have, so
-        that a set has common members enough to leave out."""
-        return min((1 << 64) - 1, (100 - self.percent) * 18 * (1 << 64) // 1000)
+        """End of the hash range that is counted in all sets."""
+        return min((1 << 64) - 1, (100 - self.percent) * self.counted * (1 << 64) // 1000)
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -439,6 +441,7 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         before = state_now
         state_now = written(state.select("rep", "cluster", "n", F.coalesce("component", "rep").alias("comp"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "join-state")
         discard(before, going, packed, routes, keys, labels)
+        release(sets.sparkSession)
         first = False
 
 
@@ -455,6 +458,7 @@ def _labelled(docs: DataFrame, options: JoinOptions) -> DataFrame:
     firsts = counted.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(broadcast_if_small(copies, copies.count(), 40), ["doc_id", *same], "left_anti")
     found, held = clusters(firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "low", "more"), options)
     discard(counted, copies)
+    release(docs.sparkSession)
     wanted = classes.join(found, classes["rep"] == found["node"]).select("rep", F.col("component").alias("cluster"), F.col("n_shingles").alias("n"), "f1", "f2")
     wanted = written(wanted, "wanted")
     sets = member_sets(docs, wanted, options)

@@ -25,6 +25,7 @@ them unchanged.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -55,7 +56,7 @@ class ScanOptions:
     after: int = 20
     trees: int = 12
     depth: int = 6
-    dictionary: int = 4000
+    dictionary: int = 2000
     sample_findings: int = 20_000
     generated: int = 12_000
     threshold: float = 0.5
@@ -106,6 +107,11 @@ def _pattern(options: ScanOptions) -> str:
     return f"{assigned}|(?<![{RUN}])[{RUN}]{{{options.least_length},}}+={{0,2}}"
 
 
+def constant(values, kind: str) -> Column:
+    """Many values as one literal of the plan, whatever their number."""
+    return F.from_json(F.lit(json.dumps(list(values))), kind)
+
+
 def _has(text: Column, pattern: str) -> Column:
     return text.rlike(pattern).cast("double")
 
@@ -115,13 +121,13 @@ def features(value: Column, before: Column, after: Column, path: Column, languag
     length = F.length(value).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / length
     low = F.lower(value)
-    table = F.array(*[F.lit(float(v)) for v in language.transitions])
+    table = constant(language.transitions, "array<double>")
     pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2))), lambda p: p.rlike("^[a-z]{2}$"))
     at = lambda p: ((F.ascii(p) - 97) * 26 + F.ascii(F.right(p, F.lit(1))) - 97).cast("int")
     sums = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.coalesce(F.get(table, at(p)), F.lit(0.0)))
     likely = F.when(F.size(pairs) > 0, sums / F.size(pairs)).otherwise(-6.0)
     spelled = F.regexp_extract_all(F.lower(F.regexp_replace(value, "(?<=[a-z])(?=[A-Z])", " ")), F.lit("[a-z]{4,}"), F.lit(0))
-    known = F.filter(spelled, lambda w: w.isin(list(language.words))) if language.words else F.array().cast("array<string>")
+    known = F.filter(spelled, lambda w: F.array_contains(constant(language.words, "array<string>"), w))
     letters = lambda words: F.aggregate(words, F.lit(0.0), lambda total, w: total + F.length(w))
     return [
         F.least(length, F.lit(200.0)),
@@ -204,7 +210,7 @@ def made_findings(spark: SparkSession, language: Language, options: ScanOptions,
     words = language.words or ("plain", "words", "without", "corpus")
 
     def pick(values, salt: int) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+        return F.element_at(constant(values, "array<string>"), (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
 
     def chance(salt: int, of: int) -> Column:
         return F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(of))
@@ -254,7 +260,6 @@ def made_findings(spark: SparkSession, language: Language, options: ScanOptions,
     ]
     kind = F.pmod(F.shiftright(n, 1), F.lit(len(secrets) * len(tame))).cast("int")
     secret = (n % 2 == 0).cast("double")
-    value = F.when(n % 2 == 0, F.element_at(F.array(*secrets), kind % len(secrets) + 1)).otherwise(F.element_at(F.array(*tame), kind % len(tame) + 1))
     names = ["token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret", "credential", "aws_secret_access_key", "DB_PASSWORD", "passwd", "private_key"]
     tame_names = ["commit", "sha256", "checksum", "uuid", "version", "file", "url", "path", "id", "name", "digest", "rev", "build", "ref"]
     mixed_names = ["token_type", "secret_name", "auth_url", "password_file", "api_key_id", "token_count", "credential_type", "signature_version", "password_hash", "key_path"]
@@ -274,9 +279,15 @@ def made_findings(spark: SparkSession, language: Language, options: ScanOptions,
         .otherwise(F.concat(near, pick(names, 40), F.lit(" "), word(42), F.lit(" ")))
     )
     before = F.when(n % 2 == 0, before_secret).otherwise(before_tame)
-    quoted = F.when(before.rlike("[\"']$"), F.right(before, F.lit(1))).otherwise("")
     path = F.when(chance(43, 8) == 0, "docs/guide").otherwise(F.concat(F.lit("src"), chance(44, 20).cast("string")))
-    rows = spark.range(first, first + options.generated).select(value.alias("value"), F.right(before, F.lit(options.before)).alias("before"), F.concat(quoted, F.lit(" "), word(45)).alias("after"), path.alias("path"), secret.alias("label"))
+    # Step by step: one expression over all kinds would be too large to compile.
+    ids = spark.range(first, first + options.generated)
+    values = written(ids.where(n % 2 == 0).select("id", F.element_at(F.array(*secrets), kind % len(secrets) + 1).alias("value")), "findings").unionByName(
+        written(ids.where(n % 2 == 1).select("id", F.element_at(F.array(*tame), kind % len(tame) + 1).alias("value")), "findings")
+    )
+    placed = written(values.select("id", "value", F.right(before, F.lit(options.before)).alias("before")), "findings")
+    quoted = F.when(F.col("before").rlike("[\"']$"), F.right("before", F.lit(1))).otherwise("")
+    rows = placed.select("value", "before", F.concat(quoted, F.lit(" "), word(45)).alias("after"), path.alias("path"), secret.alias("label"))
     return rows.where(F.length("value") >= options.least_assigned)
 
 
