@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at a similarity of 0.8 over five-word shingles the first stays."""
-    return ngram_join.keep_first(docs, ngram_join.JoinOptions(words=5, percent=80))
+    return ngram_join.keep_first(docs, ngram_join.JoinOptions(words=5, percent=80, counted=13))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
