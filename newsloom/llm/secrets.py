@@ -122,7 +122,8 @@ def features(value: Column, before: Column, after: Column, path: Column, languag
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / length
     low = F.lower(value)
     table = constant(language.transitions, "array<double>")
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2))), lambda p: p.rlike("^[a-z]{2}$"))
+    # Overlapping pairs of letters in one pass, however long the value.
+    pairs = F.regexp_extract_all(low, F.lit("(?=([a-z]{2}))"), F.lit(1))
     at = lambda p: ((F.ascii(p) - 97) * 26 + F.ascii(F.right(p, F.lit(1))) - 97).cast("int")
     sums = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.coalesce(F.get(table, at(p)), F.lit(0.0)))
     likely = F.when(F.size(pairs) > 0, sums / F.size(pairs)).otherwise(-6.0)
