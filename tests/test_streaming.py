@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.catalogue.tables import TICKER_ROWS
+from newsloom.operators.dedup import dedup_ttl
 from newsloom.operators.tickers import NoEntities
 from newsloom.plans import articles
 from newsloom.schemas import RAW_SCHEMA
@@ -77,6 +78,32 @@ def test_event_time_expiry_is_exact_over_batches(spark, folder):
     assert found == [("None", 11), ("a", 0), ("a", 6), ("a", 8), ("b", 2), ("b", 9), ("c", 5)]
 
 
+def test_keys_share_calls_and_states(spark, folder):
+    """Very many keys, null among them, over three micro-batches: the batch form's rows, with a bounded number of states."""
+    rows = spark.range(12_000).select(
+        (F.col("id") * 7919 % 12_000).alias("n"),
+        F.when(F.col("id") % 5000 != 0, (F.col("id") % 5000).cast("string")).alias("id"),
+        F.timestamp_micros((F.col("id") * 7919 % 12_000) * 40_000_000 + F.lit(HOUR)).alias("ts"),
+        F.when(F.col("id") % 3 != 0, F.lit(2**60) + F.col("id")).alias("large"),
+    )
+    whole = dedup_ttl(rows, "id", "ts", 172_800, tie=["n"])
+    for step in range(3):
+        rows.where(F.floor(F.col("n") / 4000) == step).write.mode("append").parquet(folder("in"))
+        stream = spark.readStream.schema(rows.schema).parquet(folder("in"))
+        kept = state.dedup_stream_event_time(stream, "id", "ts", 172_800, order=("n",))
+        query = kept.writeStream.format("parquet").option("path", folder("out")).option("checkpointLocation", folder("cp")).trigger(availableNow=True).start()
+        run_until_idle(query, 120)
+        assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 5000
+    out = spark.read.schema(rows.schema).parquet(folder("out"))
+    assert out.count() == whole.count() > 5000 and out.exceptAll(whole).isEmpty()
+
+    first = state.dedup_stream(spark.readStream.schema(rows.schema).parquet(folder("in")), "id", 172_800, order=("n",))
+    to_files(first, folder("first"), folder("cp2"))
+    earliest = rows.groupBy("id").agg(F.min_by(F.struct("n", "ts", "large"), "n").alias("v")).select("v.n", "id", "v.ts", "v.large")
+    got = spark.read.schema(rows.schema).parquet(folder("first"))
+    assert got.count() == 5000 and got.exceptAll(earliest).isEmpty()
+
+
 def test_feed_list_is_bounded(spark, folder):
     schema = "tickers array<string>, scored_ts long, payload string"
     options = SinkOptions(feed_rows=3, feed_ttl_s=100)
