@@ -1,6 +1,7 @@
 """Streams against the batch forms on the same input."""
 
 import os
+import threading
 import time
 from datetime import datetime, timedelta
 
@@ -176,6 +177,32 @@ def test_committed_batches(spark, folder):
     assert commits.commit_batch(spark, root, "b-1", lambda place: write(place, rows.limit(0))) and count() == everything
 
 
+def test_many_files_move_at_the_same_time(spark, folder, monkeypatch):
+    """A commit of many files moves them in several runs at once; one that broke off leaves its rows once."""
+    root, rows, movers = folder("t"), spark.range(0, 4_000, 1, 4).selectExpr("id", "id % 3 AS day"), set()
+    move = commits.Folder.move
+
+    def moved(self, source, target):
+        if target.startswith("day="):
+            movers.add(threading.get_ident())
+            if target in lost:
+                raise OSError("lost")
+        move(self, source, target)
+
+    def write(place):
+        rows.write.option("maxRecordsPerFile", 10).partitionBy("day").parquet(place)
+
+    monkeypatch.setattr(commits.Folder, "move", moved)
+    lost = {"day=1/b-0-00200.parquet"}
+    with pytest.raises(OSError):
+        commits.commit_batch(spark, root, "b-0", write)
+    lost.clear()
+    assert commits.commit_batch(spark, root, "b-0", write)
+    assert len(movers) > 1 and len(commits.Folder(spark, root).data_files("")) > 400
+    back = spark.read.parquet(root)
+    assert back.count() == 4_000 and back.select("id").distinct().count() == 4_000
+
+
 def test_pages_as_a_stream(spark, folder):
     """An article meets its page whichever comes first, within the wait and not beyond it."""
     raw_schema, page_schema = RAW_SCHEMA, "url string, status int, html string, fetched_ts long"
