@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import SparkFiles, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.hints import extract_cashtags
 from newsloom.functions.strings import empty_strings, entity_text
@@ -23,8 +30,13 @@ MENTION_WEIGHT = 1.0
 
 # A dictionary goes to the workers in parts of this many letters; each part is one automaton.
 PART_LETTERS = 4_000_000
+# Letters of titles that a worker searches at a time: what it finds in them is held together.
+STEP_LETTERS = 1_000_000
+_FOLDERS: list[tempfile.TemporaryDirectory] = []
 
 _SCORES = "array<struct<score:double,ord:int,symbol:string>>"
+_SCORE_FIELDS = [("score", pa.float64()), ("ord", pa.int32()), ("symbol", pa.string())]
+_SCORES_TYPE = pa.list_(pa.struct(_SCORE_FIELDS))
 
 
 class EntityExtractor(Protocol):
@@ -125,7 +137,22 @@ class SymbolTable:
         return np.unique(np.concatenate(keys))
 
     def scores(self, titles: pa.Array, hosts: pa.Array, investor: pa.Array, cashtags: pa.Array, matched: pa.Array, min_score: float, most: int | None) -> pa.Array:
-        """Per row the (score, ord, symbol) of all symbols that score min_score or more (and more than 0), best first."""
+        """Per row the (score, ord, symbol) of all symbols that score min_score or more (and more than 0), best first.
+
+        Rows go in steps of a bounded number of letters, and of symbols where an investor host may bring all of them.
+        """
+        columns = (titles, hosts, investor, cashtags, matched)
+        letters = pc.fill_null(pc.binary_length(titles), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(letters + (len(self.symbols) if most is None else 0))
+        found, start = [], 0
+        while start < len(titles):
+            used = before[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(before, used + STEP_LETTERS, side="right")))
+            found.append(self._step_scores(*[c.slice(start, end - start) for c in columns], min_score, most))
+            start = end
+        return pa.concat_arrays(found) if found else pa.array([], _SCORES_TYPE)
+
+    def _step_scores(self, titles: pa.Array, hosts: pa.Array, investor: pa.Array, cashtags: pa.Array, matched: pa.Array, min_score: float, most: int | None) -> pa.Array:
         count = len(self.symbols)
         size = len(titles)
         title = self._contained(np.arange(size), [t or "" for t in titles.to_pylist()], False)
@@ -156,7 +183,7 @@ class SymbolTable:
             row = rows[kept]
         values = [pa.array(total[kept]), pa.array(self.ords[symbol[kept]].astype(np.int32)), pa.array([self.symbols[i] for i in symbol[kept]], pa.string())]
         offsets = np.searchsorted(row, np.arange(size + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, ["score", "ord", "symbol"]))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, [name for name, _ in _SCORE_FIELDS]))
 
 
 def _tables(tickers: DataFrame, part_letters: int) -> Iterator[SymbolTable]:
@@ -173,8 +200,32 @@ def _tables(tickers: DataFrame, part_letters: int) -> Iterator[SymbolTable]:
         yield SymbolTable(held)
 
 
-def _by_score(a: Column, b: Column) -> Column:
-    return F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["ord"] - b["ord"])
+def _merged(parts: list[pa.Array], most: int | None) -> pa.Array:
+    """Score lists of the same rows from several parts as one list per row, best first."""
+    size = len(parts[0])
+    row = np.concatenate([np.repeat(np.arange(size), np.diff(p.offsets.to_numpy())) for p in parts])
+    values = pa.concat_arrays([p.flatten() for p in parts])
+    score, ord_, symbol = values.flatten()
+    order = np.lexsort((ord_.to_numpy(), -score.to_numpy(), row))
+    row = row[order]
+    if most is not None:
+        best = np.arange(len(row)) - np.searchsorted(row, row) < most
+        row, order = row[best], order[best]
+    offsets = np.searchsorted(row, np.arange(size + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values.take(pa.array(order)))
+
+
+def _as_files(spark: SparkSession, tables: Iterator[SymbolTable]) -> list[str]:
+    """Names under which Spark hands each table to the executors as a file of its own."""
+    # Spark reads the files whenever an executor joins, so they stay until Python ends.
+    folder, names = tempfile.TemporaryDirectory(prefix="newsloom-tables-"), []
+    _FOLDERS.append(folder)
+    for table in tables:
+        names.append(f"tickers-{uuid.uuid4().hex}")
+        with open(os.path.join(folder.name, names[-1]), "wb") as out:
+            cloudpickle.dump(table, out)
+        spark.sparkContext.addFile(out.name)
+    return names
 
 
 def ticker_scores(articles: DataFrame, tickers: DataFrame, min_score: float = 0.0, most: int | None = None, part_letters: int = PART_LETTERS) -> Column:
@@ -182,15 +233,20 @@ def ticker_scores(articles: DataFrame, tickers: DataFrame, min_score: float = 0.
 
     Row-local for a dictionary of any size, in batches and streams: title, hosts, cashtags and
     mentions go to the worker, whose automaton holds the dictionary. A large one is dealt into
-    parts; a symbol's score rests on its own part, so the parts' best lists are merged.
+    parts that are files on each executor; a worker holds one of them at a time. A symbol's score
+    rests on its own part, so the parts' best lists are merged.
     """
     title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
     hosts = _hosts(F.coalesce("hints", empty_strings()))
     matched = F.col("matched") if "matched" in articles.columns else empty_strings()
     evidence = [F.lower(title), hosts, _investor_host(hosts), extract_cashtags(F.concat(title, F.lit(" "), body)), F.coalesce(matched, empty_strings())]
 
-    def part(table: SymbolTable) -> Column:
-        shared = articles.sparkSession.sparkContext.broadcast(table)
+    tables = _tables(tickers, part_letters)
+    start = list(itertools.islice(tables, 2))
+    if not start:
+        return F.array().cast(_SCORES)
+    if len(start) == 1:
+        shared = articles.sparkSession.sparkContext.broadcast(start[0])
 
         @F.arrow_udf(_SCORES)
         def scores(titles: pa.Array, hosts: pa.Array, investor: pa.Array, cashtags: pa.Array, matched: pa.Array) -> pa.Array:
@@ -198,13 +254,21 @@ def ticker_scores(articles: DataFrame, tickers: DataFrame, min_score: float = 0.
 
         return scores(*evidence)
 
-    parts = [part(table) for table in _tables(tickers, part_letters)]
-    if not parts:
-        return F.array().cast(_SCORES)
-    if len(parts) == 1:
-        return parts[0]
-    merged = F.array_sort(F.concat(*parts), _by_score)
-    return merged if most is None else F.slice(merged, 1, most)
+    names = _as_files(articles.sparkSession, itertools.chain(start, tables))
+
+    @F.arrow_udf(_SCORES)
+    def all_scores(titles: pa.Array, hosts: pa.Array, investor: pa.Array, cashtags: pa.Array, matched: pa.Array) -> pa.Array:
+        found = None
+        for name in names:
+            with open(SparkFiles.get(name), "rb") as file:
+                table = pickle.load(file)
+            scores = table.scores(titles, hosts, investor, cashtags, matched, min_score, most)
+            # One table at a time, also while the next one is read.
+            del table
+            found = scores if found is None else _merged([found, scores], most)
+        return found
+
+    return all_scores(*evidence)
 
 
 def score_tickers(articles: DataFrame, tickers: DataFrame, part_letters: int = PART_LETTERS) -> DataFrame:

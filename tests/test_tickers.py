@@ -1,7 +1,9 @@
 """Ticker dictionary, fuzzy matching and resolution against plain walks."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +233,38 @@ def test_repeated_ids_stay_apart(spark, dictionary):
         out = resolve.resolve_tickers(df, dictionary, part_letters=part_letters)
         assert out.columns == [*df.columns, "tickers"]
         assert sorted((str(r.id), r.tickers) for r in out.collect()) == [("1", ["AAPL"]), ("1", ["AAPL"]), ("1", ["MSFT"]), ("2", []), ("None", ["NVDA"])]
+
+
+def test_found_symbols_are_held_in_steps():
+    """Very many symbols in every title of a batch: memory follows the step, not the batch; results do not."""
+    letters = "etaoin"
+    symbols = [a + b + c for a in letters for b in letters for c in ["", *letters]]
+    table = resolve.SymbolTable([(s.upper(), i, s, []) for i, s in enumerate(symbols)])
+    rnd = random.Random(5)
+    titles = pa.array([None if i % 500 == 0 else "".join(rnd.choices(letters, k=1_500)) for i in range(4_000)])
+    none = pa.array([[]] * len(titles), pa.list_(pa.string()))
+    investor = pa.array([i % 2 == 0 for i in range(len(titles))])
+    tracemalloc.start()
+    found = table.scores(titles, none, investor, none, none, 2.0, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000
+    assert len(found) == len(titles)
+    for i in (0, 1, 2, 998, 2_222, 3_998, 3_999):
+        title = titles[i].as_py() or ""
+        best = [s.upper() for s in symbols if s in title][:3] if i % 2 == 0 else []
+        assert [f["symbol"] for f in found[i].as_py()] == best
+
+
+def test_parts_are_no_broadcasts(spark, monkeypatch):
+    """A dictionary of many parts gives the same lists as one of one part, and no worker keeps all parts."""
+    rows = [(f"S{i}", f"Name {i} Corp", f"alias{i % 7};other {i}") for i in range(40)]
+    tickers = tickers_from_rows(spark, rows)
+    text = [(i, f"$S{i % 40} Name {i % 11} Corp alias{i % 5}", ["host:ir.x.com"] if i % 4 == 0 else ["host:www.s3.com"]) for i in range(200)]
+    articles = spark.createDataFrame(text, "id int, title string, hints array<string>").withColumn("body", F.lit("$S1 or $S39"))
+    for most in (None, 3):
+        one = {r["id"]: r["s"] for r in articles.select("id", resolve.ticker_scores(articles, tickers, 1.0, most).alias("s")).collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a part was broadcast"))
+            many = articles.select("id", resolve.ticker_scores(articles, tickers, 1.0, most, part_letters=60).alias("s")).collect()
+        assert {r["id"]: r["s"] for r in many} == one and max(map(len, one.values())) == (most or 40)
