@@ -17,6 +17,8 @@ from newsloom.sources.tickers import alias_index
 # The dictionary goes to the workers in parts of this many letters; each part is one index.
 PART_LETTERS = 4_000_000
 _MEMO_SIZE = 50_000
+# Mentions that are matched at a time, about; Arrow batches hold a number of articles, whatever they mention.
+_STEP_MENTIONS = 20_000
 # Letters are counted in this many classes for an upper bound of the common subsequence.
 _CLASSES = 32
 _NONE = np.zeros(0, np.int64)
@@ -198,6 +200,15 @@ def _indexes(tickers: DataFrame, part_letters: int) -> Iterator[list[tuple[int,
         yield held
 
 
+def _steps(lists: pa.Array) -> Iterator[pa.Array]:
+    """The lists in order, in slices of about as many elements as are matched at a time."""
+    ends, start = lists.offsets.to_numpy(), 0
+    while start == 0 or start < len(lists):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + _STEP_MENTIONS, side="right")) - 1)
+        yield lists.slice(start, end - start)
+        start = end
+
+
 def best_matches(mentions: Column, tickers: DataFrame, cutoff: float = 85.0, part_letters: int = PART_LETTERS) -> Column:
     """For an array of mentions the array of their best aliases (alias, score, symbol, place), null
     where none reaches the cutoff. Among equal scores the first alias in dictionary order wins.
@@ -214,7 +225,8 @@ def best_matches(mentions: Column, tickers: DataFrame, cutoff: float = 85.0, par
         def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             index, memo = AliasIndex(shared.value), {}
             kind = pa.struct([("alias", pa.string()), ("score", pa.float64()), ("symbol", pa.string()), ("place", pa.int64())])
-            for lists in batches:
+
+            def matched(lists: pa.Array) -> pa.Array:
                 values = lists.flatten().to_pylist()
                 found = []
                 for mention in values:
@@ -226,7 +238,10 @@ def best_matches(mentions: Column, tickers: DataFrame, cutoff: float = 85.0, par
                     found.append(memo[mention])
                 counts = np.where(np.asarray(lists.is_valid()), np.diff(lists.offsets.to_numpy()), 0)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(found, kind))
+                return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found, kind))
+
+            for lists in batches:
+                yield pa.concat_arrays([matched(part) for part in _steps(lists)])
 
         # Marked so that a filter on the result does not search again.
         return match.asNondeterministic()(F.coalesce(mentions, F.array().cast("array<string>")))

@@ -268,3 +268,19 @@ def test_parts_are_no_broadcasts(spark, monkeypatch):
             patch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a part was broadcast"))
             many = articles.select("id", resolve.ticker_scores(articles, tickers, 1.0, most, part_letters=60).alias("s")).collect()
         assert {r["id"]: r["s"] for r in many} == one and max(map(len, one.values())) == (most or 40)
+
+
+def test_mentions_are_matched_in_steps(spark, monkeypatch):
+    """Slices of bounded size hold all lists in order, null and long ones too, and matching does not depend on them."""
+    lists = pa.array([["a"] * 3, None, [], ["b"] * 50, ["c"], None, ["d"] * 9, ["e"] * 2], pa.list_(pa.string()))
+    monkeypatch.setattr(fuzzy, "_STEP_MENTIONS", 10)
+    parts = list(fuzzy._steps(lists))
+    assert pa.concat_arrays(parts).equals(lists) and len(list(fuzzy._steps(lists.slice(0, 0)))) == 1
+    assert all(len(p) == 1 or len(p.flatten()) <= 10 for p in parts) and len(parts) < len(lists)
+    names = list(_alias_order())
+    rows = [(i, None if i % 5 == 0 else [names[(i * j) % len(names)] + "x" * (i % 2) for j in range(i % 7)]) for i in range(60)]
+    mentions = spark.createDataFrame(rows, "id int, entities array<string>").coalesce(1)
+    dictionary = tickers_from_rows(spark, TICKER_ROWS)
+    got = {r["id"]: r["matched"] for r in resolve.match_entities(mentions, dictionary).collect()}
+    wanted = {i: [hit for hit in (_best(m)[2] for m in found or []) if hit] for i, found in rows}
+    assert got == {i: wanted[i] for i, _ in rows}
