@@ -3,7 +3,8 @@
 Nearness is the inner product. With one more component, sqrt(M*M - |x|*|x|) for the largest norm M,
 it becomes the Euclidean distance, whose few Gaussian (2-stable) projections keep it in this sense:
 projected over true squared distance follows a chi-square law. A block of vectors is indexed as a
-kd-tree of its projections. A query visits leaves in the order of their projected distance and, in
+kd-tree of its projections. All queries of a task advance together, a leaf each at a time, and those
+in one leaf share its matrix products. A query visits leaves in the order of their projected distance and, in
 them, verifies on the original components the vectors that the test leaves open: one is passed over
 when its projected distance is so far that a vector nearer than the current k-th best would be there
 with a probability of at most 1 - `certainty`. The search of a block ends when that holds for all
@@ -31,6 +32,7 @@ from newsloom.llm.topk import by_dimension, ranked, search_in_blocks, valid_vect
 
 BLOCK_ROWS = 32768
 LEAF_ROWS = 64
+QUERY_SLICE = 2048
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -70,6 +72,8 @@ class ProjectedTree:
             middle = (end - start) // 2
             self.order[start:end] = part[np.argpartition(points[part, int(spread.argmax())], middle)]
             waiting += [(start + middle, end), (start, start + middle)]
+        self.starts = np.array([a for a, _ in self.leaves])
+        self.sizes = np.array([b - a for a, b in self.leaves])
         self.low = np.stack([points[self.order[a:b]].min(0) for a, b in self.leaves])
         self.high = np.stack([points[self.order[a:b]].max(0) for a, b in self.leaves])
 
@@ -108,46 +112,64 @@ class Search:
     def block(self, ids: np.ndarray, vecs: np.ndarray, projected: np.ndarray) -> None:
         """Improves each query's k best (best first) by a block of vectors."""
         tree = ProjectedTree(projected)
-        away = tree.distances(self.projected)
-        visits = np.argsort(away, axis=1, kind="stable")
-        away = np.take_along_axis(away, visits, axis=1)
+        ids, vecs, projected = ids[tree.order], vecs[tree.order], projected[tree.order]
+        squares = (projected**2).sum(1)
         self.met += len(ids) * len(self.ids)
-        active = np.arange(len(self.ids))
-        for step in range(visits.shape[1]):
-            active = active[away[active, step] <= self.limit * self._kth_distance(active)]
-            if not len(active):
-                break
-            leaf_of = visits[active, step]
-            by = np.argsort(leaf_of, kind="stable")
-            cuts = np.flatnonzero(np.diff(leaf_of[by])) + 1
-            for group in np.split(active[by], cuts):
-                a, b = tree.leaves[visits[group[0], step]]
-                self._leaf(group, ids, vecs, projected, tree.order[a:b])
+        for start in range(0, len(self.ids), QUERY_SLICE):
+            part = np.arange(start, min(start + QUERY_SLICE, len(self.ids)))
+            away = tree.distances(self.projected[part])
+            visits = np.argsort(away, axis=1, kind="stable")
+            away = np.take_along_axis(away, visits, axis=1)
+            active = np.arange(len(part))
+            for step in range(visits.shape[1]):
+                active = active[away[active, step] <= self.limit * self._kth_distance(part[active])]
+                if not len(active):
+                    break
+                leaf_of = visits[active, step]
+                by = np.argsort(leaf_of, kind="stable")
+                self._visit(part[active[by]], leaf_of[by], tree, ids, vecs, projected, squares)
 
     def _kth_distance(self, group: np.ndarray) -> np.ndarray:
         """Squared distance of the k-th best so far; infinite while fewer than k are known."""
         return np.maximum(self.norms[group] ** 2 + self.largest**2 - 2 * self.best_scores[group, -1], 1e-12)
 
-    def _leaf(self, group, ids, vecs, projected, rows) -> None:
-        away = (self.projected[group] ** 2).sum(1)[:, None] + (projected[rows] ** 2).sum(1)[None, :] - 2 * self.projected[group] @ projected[rows].T
-        near = away <= (self.limit * self._kth_distance(group))[:, None]
-        near &= self.ids[group][:, None] != ids[rows][None, :]
+    def _visit(self, group, leaf_of, tree, ids, vecs, projected, squares) -> None:
+        """Each query of the group meets the vectors of its leaf; the queries come by leaf, the vectors in the order of the tree."""
+        starts, sizes = tree.starts[leaf_of], tree.sizes[leaf_of]
+        place = np.arange(tree.sizes.max())
+        rows = np.minimum(starts[:, None] + place, len(ids) - 1)
+        queries, twice = self.queries[group], 2 * self.projected[group]
+        about, away = np.empty(rows.shape), np.empty(rows.shape)
+        cuts = np.flatnonzero(np.diff(leaf_of)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]):
+            start, size = starts[a], sizes[a]
+            about[a:b, :size] = queries[a:b] @ vecs[start : start + size].T
+            away[a:b, :size] = twice[a:b] @ projected[start : start + size].T
+        away = (self.projected[group] ** 2).sum(1)[:, None] + squares[rows] - away
+        near = (place < sizes[:, None]) & (away <= (self.limit * self._kth_distance(group))[:, None])
+        near &= self.ids[group][:, None] != ids[rows]
+        self.verified += int(near.sum())
+        near &= about >= (self.best_scores[group, -1] - self.margin[group])[:, None]
         i, j = np.nonzero(near)
-        self.verified += len(i)
-        about = np.einsum("ij,ij->i", self.queries[group[i]], vecs[rows[j]])
-        helps = about >= self.best_scores[group[i], -1] - self.margin[group[i]]
-        i, j = i[helps], j[helps]
-        if not len(i):
-            return
-        scores = np.full((len(group), len(rows)), -np.inf)
-        scores[i, j] = exact_scores(self.queries[group[i]], vecs[rows[j]])
-        touched = np.unique(i)
-        group, scores = group[touched], scores[touched]
-        all_scores = np.hstack([self.best_scores[group], scores])
-        all_ids = np.hstack([self.best_ids[group], np.broadcast_to(ids[rows], scores.shape)])
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
-        self.best_scores[group] = np.take_along_axis(all_scores, order, axis=1)
-        self.best_ids[group] = np.take_along_axis(all_ids, order, axis=1)
+        if len(i):
+            found = rows[i, j]
+            self._improve(group, i, ids[found], exact_scores(queries[i], vecs[found]))
+
+    def _improve(self, group, i, ids, scores) -> None:
+        """Merges vectors found into the k best of the queries numbered i (ascending) in the group."""
+        touched, first, counts = np.unique(i, return_index=True, return_counts=True)
+        for few in (counts <= 4, counts > 4):  # most queries find few in a leaf
+            some = touched[few]
+            if not len(some):
+                continue
+            width = np.arange(counts[few].max())
+            at, there = first[few][:, None] + width, width < counts[few][:, None]
+            at = np.where(there, at, 0)
+            all_scores = np.hstack([self.best_scores[group[some]], np.where(there, scores[at], -np.inf)])
+            all_ids = np.hstack([self.best_ids[group[some]], ids[at]])
+            order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
+            self.best_scores[group[some]] = np.take_along_axis(all_scores, order, axis=1)
+            self.best_ids[group[some]] = np.take_along_axis(all_ids, order, axis=1)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int = 16, certainty: float = 0.95, seed: int = 11, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
