@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsloom.settings import work_folder, written
 
-__all__ = ["arrow_texts", "broadcast_if_small", "read_table", "work_folder", "written"]
+__all__ = ["arrow_texts", "broadcast_if_small", "parts_of", "read_table", "spans", "work_folder", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,24 @@ def arrow_texts(column: pa.Array) -> Iterator[str]:
         yield "" if text is None else text
 
 
+def spans(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string column, each of at most so many bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield start, stop
+        start = stop
+
+
+def parts_of(batches: Iterable[pa.RecordBatch], text: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts (column number `text`) are each of at most so many bytes, or one row."""
+    for batch in batches:
+        for start, stop in spans(batch.column(text), most_bytes):
+            yield batch.slice(start, stop - start)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, most_bytes: int = 32 << 20) -> DataFrame:
     """Marks a side for broadcast only where its counted rows are known to fit; else Spark shuffles."""
     return F.broadcast(df) if rows * row_bytes <= most_bytes else df

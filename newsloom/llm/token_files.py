@@ -45,7 +45,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import broadcast_if_small, with_base, written
+from newsloom.llm.common import broadcast_if_small, spans, with_base, written
 
 # Fixed values of the seekable format: magic numbers of the skippable frames and of the footer.
 DIRECTORY_MAGIC, SEEK_TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -75,11 +75,38 @@ def _system(uri: str) -> tuple[pafs.FileSystem, str]:
 # Blanks that every reading of Unicode knows, rarer characters that some count as blanks, letters, and ASCII punctuation.
 _WS, _LETTERS, _MARKS = r" \t\n\r\x0b\x0c", r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", re.escape(string.punctuation)
 _RARE = "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-# A word with the blanks before it, up to a mark or a blank; any other text up to a blank; blanks at the end.
-_PIECE = re.compile(rf"[{_WS}]*+[{_LETTERS}]++(?![^{_WS}{_MARKS}])|[{_WS}]*[^{_WS}]++|[{_WS}]+")
-_EVEN = re.compile(rf" ?[^{_WS}]+")
 # What no added token may be: something with blanks, or first letters and then a mark.
 _PARTED = re.compile(rf"[{_WS}{_RARE}]|\A[{_LETTERS}]+[{_MARKS}]")
+# The same by byte of UTF-8: blanks, ASCII letters, ASCII punctuation.
+_IS_WS, _IS_LETTER, _IS_MARK = (np.isin(np.arange(256), list(members)) for members in (b" \t\n\r\x0b\x0c", string.ascii_letters.encode(), string.punctuation.encode()))
+
+
+def pieces_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin, as a mask over their UTF-8 bytes; `starts`: where each text begins.
+
+    A piece begins with every run of blanks, and where a mark follows the letters that a text or
+    whatever comes after blanks begins with.
+    """
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = True
+    blank, letter = _IS_WS[data], _IS_LETTER[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))  # of two bytes: U+00C0 to U+024F without the two signs
+    if len(lead):
+        high, low = data[lead], data[lead + 1]
+        lead = lead[((high == 0xC3) & (low != 0x97) & (low != 0xB7)) | ((high > 0xC3) & (high < 0xC9)) | ((high == 0xC9) & (low <= 0x8F))]
+        letter[lead] = letter[lead + 1] = True
+    out = first.copy()
+    out[1:-1] |= blank[1:] & ~blank[:-1]
+    # Runs of letters: their begins and ends pair up in order.
+    begins, ends = first[:-1] & letter, np.zeros(len(data) + 1, bool)
+    begins[1:] |= letter[1:] & ~letter[:-1]
+    ends[1:-1] = letter[:-1] & (~letter[1:] | first[1:-1])
+    ends[-1] = letter[-1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    kept = (first[begins] | blank[begins - 1]) & (ends < len(data))
+    ends = ends[kept]
+    out[ends[_IS_MARK[data[ends]]]] = True
+    return out[:-1]
 
 
 class Encoder:
@@ -87,8 +114,9 @@ class Encoder:
 
     The library's own splitting begins anew where a run of blanks begins, and between a letter and a
     punctuation mark; so a text's ids are those of such pieces, one after the other. A text with rare
-    kinds of blanks is encoded as a whole. Of the pieces met, a bounded number is remembered: when
-    half of it is new, those that were not met since the last time are forgotten.
+    kinds of blanks is encoded as a whole. Texts are cut, and their distinct pieces found, many texts
+    at once. Of the pieces met, a bounded number is remembered: when half of it is new, those that
+    were not met since the last time are forgotten.
     """
 
     def __init__(self, path: str, known_pieces: int, by_piece: bool):
@@ -117,9 +145,9 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of_lines(self, pieces: list[str]) -> list[bytes]:
+    def _ids_of_lines(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces without line ends, many to a call: a line end between them is a token of its own."""
-        lines = ["\n".join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)]
+        lines = [b"\n".join(pieces[i : i + 64]).decode() for i in range(0, len(pieces), 64)]
         out = []
         for encoded in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False):
             ids = np.array(encoded.ids, "<u4")
@@ -130,32 +158,54 @@ class Encoder:
             out.append(raw[start:])
         return out
 
-    def _learn(self, met: set[str]) -> dict[str, bytes]:
-        """All pieces that are met are in the memory that comes back."""
+    def _learn(self, met: list[bytes], even: list[bool]) -> dict[bytes, bytes]:
+        """All pieces that are met are in the memory that comes back; even: nothing but a blank before a word."""
         if 2 * len(self._young) >= self._most:
             self._young, self._old = {}, self._young
-        known, new = self._young, []
-        for piece in met.difference(known):
-            ids = self._old.get(piece)
-            if ids is None:
-                new.append(piece)
-            else:
-                known[piece] = ids
-        even = [p for p in new if _EVEN.fullmatch(p)]
-        odd = list(set(new).difference(even))
-        known.update(zip(even, self._ids_of_lines(even)))
-        known.update(zip(odd, self._ids(odd)))
+        known, earlier = self._young, self._old
+        lines, odd = [], []
+        for piece, of_lines in zip(met, even):
+            if piece not in known:
+                if piece in earlier:
+                    known[piece] = earlier[piece]
+                else:
+                    (lines if of_lines else odd).append(piece)
+        known.update(zip(lines, self._ids_of_lines(lines)))
+        known.update(zip(odd, self._ids([p.decode() for p in odd])))
         return known
 
+    def _by_piece(self, texts: list[bytes]) -> list[bytes]:
+        whole, lengths = b"".join(texts), np.array([len(t) for t in texts], np.int64)
+        if not whole:
+            return [b""] * len(texts)
+        data, starts = np.frombuffer(whole, np.uint8), np.cumsum(lengths) - lengths
+        cuts = np.flatnonzero(pieces_of(data, starts))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(whole)]).dictionary_encode()
+        _, offsets, held = pieces.dictionary.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(pieces.dictionary) + 1]
+        distinct = held.to_pybytes()[: offsets[-1]]
+        met = [distinct[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        raw = np.frombuffer(distinct, np.uint8)
+        blanks = np.add.reduceat(_IS_WS[raw], offsets[:-1], dtype=np.int64)
+        even = (blanks == 0) | ((blanks == 1) & (raw[offsets[:-1]] == 32) & (np.diff(offsets) > 1))
+        found = list(map(self._learn(met, even.tolist()).__getitem__, met))
+        # The ids of a text are those of its pieces, copied from the distinct pieces' ids.
+        ids, counts = np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), np.int64) // 4
+        which = pieces.indices.to_numpy()
+        sizes, begins = counts[which], (np.cumsum(counts) - counts)[which]
+        ends = np.cumsum(sizes)
+        all_ids = ids[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
+        places = np.append(0, 4 * ends)[np.searchsorted(cuts, np.append(starts, len(data)))].tolist()
+        return [all_ids[a:b] for a, b in zip(places, places[1:])]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
         rare = [i for i, text in enumerate(texts) if any(map(text.__contains__, _RARE[:4] if text.isascii() else _RARE))]
-        cut = [_PIECE.findall(text) for text in texts]
+        cut = [text.encode() for text in texts]
         for i in rare:
-            cut[i] = []
-        known = self._learn(set().union(*cut))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+            cut[i] = b""
+        out = self._by_piece(cut)
         for i, ids in zip(rare, self._ids([texts[i] for i in rare])):
             out[i] = ids
         return out
@@ -306,8 +356,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, options: FileOpti
         encode, end = _encoder(tokenizer, options.known_pieces, by_piece), struct.pack("<I", options.end_id)
         writer, name, done = None, "", []
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                for i, ids in enumerate(encode(batch.column(1).slice(start, 64).to_pylist()), start):
+            for start, stop in spans(batch.column(1), 1 << 20):
+                for i, ids in enumerate(encode(batch.column(1).slice(start, stop - start).to_pylist()), start):
                     if writer is None:
                         name = f"{folder}/{uuid.uuid4().hex}.zst"
                         writer = TokenFileWriter(name, options, batch.schema.field(0).type)

@@ -22,6 +22,25 @@ def odd_texts(seed, count):
 
 
 
+def test_pieces_are_those_of_the_pattern():
+    texts = [t for t in odd_texts(3, 3000) if t]
+    whole = [t.encode() for t in texts]
+    sizes = np.array([len(w) for w in whole])
+    data = b"".join(whole)
+    cuts = [*np.flatnonzero(token_files.pieces_of(np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes)).tolist(), len(data)]
+    assert [data[a:b].decode() for a, b in zip(cuts, cuts[1:])] == [p for t in texts for p in PIECE.findall(t)]
+
+
+@pytest.mark.parametrize("remembered", [2, 250_000])
+def test_many_texts_at_once_have_the_librarys_ids(remembered):
+    ours, library = token_files.Encoder(queries.BYTE_BPE, remembered, True), Tokenizer.from_file(queries.BYTE_BPE)
+    texts = odd_texts(4, 2000)
+    stated = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    for start in range(0, len(texts), 500):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in ours(texts[start : start + 500])] == stated[start : start + 500]
+    assert ours(["", ""]) == [b"", b""] and ours([]) == []
+
+
 def test_queries_meet_their_leaves_together_in_bounded_slices(monkeypatch):
     rng = np.random.default_rng(1)
     vecs, ids = rng.normal(size=(900, 24)).astype(np.float32).astype(float), np.arange(900)
