@@ -8,7 +8,8 @@ fire and adds nothing. Any text then has exactly one path, which spells its toke
 
 Copies share what they do not change: a state is kept as the token that leads to it, the state it
 was copied from, and the arcs taken away since, so 48,894 merges take as many small entries rather
-than a table of states times tokens. A transition that has been followed once is a table entry.
+than a table of states times tokens. New words of many texts go through it together, a symbol of all
+of them at a time; a transition that has been followed lately is a table entry.
 
 Defined results: null reads as empty; empty texts have no tokens; special tokens in a text are
 recognised as such; very long texts and words take time in proportion; rows are independent, so
@@ -19,23 +20,28 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import sys
 import types
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import arrow_texts
+from newsloom.llm.common import arrow_texts, parts_of
 
 # The pre-tokenizer's pattern (blanks are single spaces by then) and what counts as a blank.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
 ODD_BLANKS = regex.compile("[\x1c-\x1f]")  # blanks to str.split, but not here
 BLANKS = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
+#: Bytes of text whose words a worker takes together.
+SPAN_BYTES = 1 << 20
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself, or the next free one from 256 on."""
@@ -44,6 +50,19 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class FoundIn:
+    """Values of many non-negative keys at once; `missing` for others."""
+
+    def __init__(self, entries: dict[int, int], missing: int = 0):
+        keys = np.array([*entries, (1 << 63) - 1], np.int64)
+        order = np.argsort(keys)
+        self._keys, self._values, self._missing = keys[order], np.array([*entries.values(), missing], np.int64)[order], missing
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self._keys, keys)
+        return np.where(self._keys[at] == keys, self._values[at], self._missing)
+
+
 class Automaton:
     """States and arcs over token numbers; see the module's text."""
 
@@ -57,17 +76,29 @@ class Automaton:
         self._left = [-1] * len(labels)
         self._right = [-1] * len(labels)
         self._without: list[dict[int, int]] = [{} for _ in labels]  # arcs taken away, and when
-        self._arcs: dict[tuple[int, int], bool] = {}
         for step, (a, b) in enumerate(merges, 1):
             self._add_gadget(step, a, b)
-        # Lengths of the tokens that can end in three given symbols; tokens of one or two may always.
-        lengths: dict[str, set[int]] = {}
-        for label in self.labels:
-            end = suffix if label.endswith(suffix) else ""
-            stem = label[: len(label) - len(end)]
-            if len(stem) > 2:
-                lengths.setdefault(stem[-3:] + end, set()).add(len(stem))
-        self._lengths = {tail: (2, *sorted(found), 1) for tail, found in lengths.items()}
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The automaton as arrays, and a trie of the tokens read from their ends: one root for tokens within a word, one for those that end it."""
+        end, byte = len(self.suffix), {symbol: i for i, symbol in enumerate(self.symbols)}
+        children: dict[int, int] = {}
+        token_of = [-1, -1]  # of each trie node
+        for token, label in enumerate(self.labels):
+            ends = label.endswith(self.suffix)
+            node = int(ends)
+            for symbol in reversed(label[: len(label) - end] if ends else label):
+                key = node << 8 | byte[symbol]
+                node = children.get(key, 0)
+                if not node:
+                    node = children[key] = len(token_of)
+                    token_of.append(-1)
+            token_of[node] = token
+        self._children, self._token_of = FoundIn(children), np.array(token_of, np.int64)
+        self._gone = FoundIn({state << 32 | token: when for state, taken in enumerate(self._without) for token, when in taken.items()}, 1 << 60)
+        self._made_at, self._left_of, self._right_of = (np.array(x, np.int64) for x in (self._made, self._left, self._right))
+        self._followed = np.full((2, 1 << 19), -1, np.int64)  # transitions followed lately and what they gave, by a hash
 
     def _add_gadget(self, step: int, a: str, b: str) -> None:
         left, right = self.number.get(a), self.number.get(b)
@@ -97,46 +128,84 @@ class Automaton:
             else:
                 return True
 
-    def arc(self, state: int, token: int) -> bool:
-        key = (state, token)
-        known = self._arcs.get(key)
-        if known is None:
-            if len(self._arcs) > 2_000_000:
-                self._arcs.clear()
-            known = self._arcs[key] = self._has_arc(state, token, 1 << 60)
-        return known
-
-    def spelling(self, word: str) -> str:
-        """One symbol for each byte of a word."""
-        if word.isascii() and word.isprintable():
-            return word  # such bytes stand for themselves
-        return "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
-
-    def path(self, text: str) -> list[int]:
-        """Arcs that spell a word's symbols. Step i keeps the one token that ends the path of the first i, in whichever order tried."""
-        n = len(text)
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        number, lengths, arcs, arc = self.number.get, self._lengths.get, self._arcs.get, self.arc
-        for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
-            for length in lengths(text[end - 3 : end] + tail, (2, 1)) if end > 2 else (2, 1):
-                start = end - length
-                if start < 0:
-                    continue
-                token = number(text[start:end] + tail)
-                if token is None:
-                    continue
-                if start:
-                    known = arcs((last[start], token))
-                    if not (arc(last[start], token) if known is None else known):
-                        continue
-                last[end], begin[end] = token, start
-                break
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end = begin[end]
-        return out[::-1]
+    def _have_arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """`_has_arc` of the finished automaton for many states and tokens."""
+        out, at, when = np.zeros(len(states), bool), np.arange(len(states)), np.full(len(states), 1 << 59)
+        while len(at):
+            there = self._gone(states << 32 | tokens) > when
+            at, states, tokens, when = at[there], states[there], tokens[there], when[there]
+            made, younger = self._made_at[states], self._made_at[tokens] > self._made_at[states]
+            when = np.where(younger, np.minimum(when, 2 * self._made_at[tokens] + 1), 2 * made)
+            tokens, states = np.where(younger, self._left_of[tokens], tokens), np.where(younger, states, self._right_of[states])
+            ends = ~younger & (made == 0)
+            out[at[ends]] = True
+            at, states, tokens, when = at[~ends], states[~ends], tokens[~ends], when[~ends]
+        return out
+
+    def arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        keys = states << 32 | tokens
+        with np.errstate(over="ignore"):
+            places = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).view(np.int64)
+        known, out = self._followed[0, places] == keys, self._followed[1, places] == 1
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = self._have_arcs(states[new], tokens[new])
+            # Of two new ones in one place either stays, but with its own result.
+            self._followed[0, places[new]] = keys[new]
+            new = new[self._followed[0, places[new]] == keys[new]]
+            self._followed[1, places[new]] = out[new]
+        return out
+
+    def path(self, word: str) -> list[int]:
+        return self.paths([word.encode("utf-8", "surrogatepass")])[0] if word else []
+
+    def paths(self, words: list[bytes]) -> list[list[int]]:
+        """Arcs that spell each word's bytes (no word is empty). Step i keeps the one token that ends the path of the first i, in whichever order tried."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        # Of every place, all tokens that end there: the trie is walked back from all of them at once.
+        steps = np.arange(len(data)) - np.repeat(first, sizes)
+        last_place = np.zeros(len(data), np.int64)
+        last_place[first + sizes - 1] = 1
+        at, nodes, depth, ends, lengths, tokens = np.arange(len(data)), last_place, 0, [], [], []
+        while len(at):
+            nodes = self._children(nodes << 8 | data[at - depth])
+            there = nodes > 0
+            at, nodes, depth = at[there], nodes[there], depth + 1
+            token = self._token_of[nodes]
+            found = token >= 0
+            ends.append(at[found])
+            tokens.append(token[found])
+            lengths.append(np.full(int(found.sum()), depth))
+            further = steps[at] >= depth
+            at, nodes = at[further], nodes[further]
+        ends, lengths, tokens = np.concatenate(ends), np.concatenate(lengths), np.concatenate(tokens)
+        # By step in the word, then by place; a place's tokens one after the other, the longest last.
+        order = np.lexsort((lengths, ends, steps[ends]))
+        ends, lengths, tokens = ends[order], lengths[order], tokens[order]
+        cuts = np.searchsorted(steps[ends], np.arange(int(sizes.max()) + 1)).tolist()
+        last, begin = np.full(len(data), -1, np.int64), np.zeros(len(data), np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            end, length, token = ends[a:b], lengths[a:b], tokens[a:b]
+            before = end - length
+            fits = length > steps[end]  # the whole word so far
+            inner = np.flatnonzero(~fits)
+            inner = inner[last[before[inner]] >= 0]
+            fits[inner] = self.arcs(last[before[inner]], token[inner])
+            last[end[fits]], begin[end[fits]] = token[fits], before[fits]
+        # Back from the ends: the arcs of all paths, the last ones first.
+        word, at, spelled, owners = np.arange(len(words)), first + sizes - 1, [], []
+        while len(word):
+            spelled.append(last[at])
+            owners.append(word)
+            at = begin[at]
+            further = at >= first[word]
+            word, at = word[further], at[further]
+        owners, spelled = np.concatenate(owners)[::-1], np.concatenate(spelled)[::-1]
+        flat = spelled[np.argsort(owners, kind="stable")].tolist()
+        stops = np.cumsum(np.bincount(owners, minlength=len(words))).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops], stops)]
 
 
 class WordBpe:
@@ -153,9 +222,12 @@ class WordBpe:
         self.label = {i: label for label, i in {**self.vocab, **self.special}.items()}
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._ids = [self.vocab[label] for label in self.automaton.labels]
-        # Of each run of non-blanks seen: its ids, and ids and labels as text. Blanks end every word, so runs are independent.
-        self._runs: tuple[dict[str, tuple[int, ...]], dict[str, str], dict[str, str]] = {}, {}, {}
-        self._words: dict[str, tuple[tuple[int, ...], str, str]] = {}  # runs differ in case and marks, their words much less
+        self._shown = [str(i) for i in self._ids]
+        self._named = [self.label[i] for i in self._ids]
+        # Of each word and each run of non-blanks seen: its ids, or ids and labels as text. Blanks end every word, so runs are
+        # independent; they differ in case and marks, their words much less.
+        self._coded: tuple[dict, dict] = {}, {}
+        self._spelt: tuple[dict, dict] = {}, {}
         self._held = 0
         self.forget()
 
@@ -165,64 +237,91 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing knows no final form
         return BLANKS.sub(" ", text).lower()
 
-    def word(self, word: str) -> list[int]:
-        return [self._ids[t] for t in self.automaton.path(self.automaton.spelling(word))]
-
-    def _learn(self, run: str) -> None:
-        known, found = self._words, []
-        if run.isascii():
-            low = run.lower()
-        else:
-            low = self.normalized(run)
-        for word in WORDS.findall(low):
-            entry = known.get(word)
-            if entry is None:
-                ids = tuple(self.word(word))
-                entry = known[word] = ids, " ".join(map(str, ids)), " ".join([self.label[i] for i in ids])
+    def _learn(self, runs: Iterable[str], memory: tuple[dict, dict], of_path: Callable, of_words: Callable) -> None:
+        (known, learnt), split, new = memory, [], set()
+        for run in runs:
+            low = run.lower() if run.isascii() else self.normalized(run)
+            stem = low.rstrip(string.punctuation)
+            if stem.isalpha():  # as the pattern splits letters and marks after them
+                words = [stem, low[len(stem) :]] if len(stem) < len(low) else [low]
+            else:
+                words = WORDS.findall(low)
+            split.append((run, words))
+            new.update(words)
+        # A run holds any number of symbols, so the words go in parts of a bounded number.
+        part, size, parts = [], 0, []
+        for word in new.difference(known):
+            part.append(word)
+            size += len(word)
+            if size > 1 << 18:
+                parts.append(part)
+                part, size = [], 0
+        for part in [*parts, part]:
+            for word, path in zip(part, self.automaton.paths([w.encode("utf-8", "surrogatepass") for w in part]) if part else ()):
+                known[word] = of_path(path)
                 self._held += 400 + 8 * len(word)
-            found.append(entry)
-        if len(found) == 1:
-            entry = found[0]  # shared, not copied
-        else:
-            entry = tuple(chain.from_iterable(f[0] for f in found)), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
-        for shelf, value in zip(self._runs, entry):
-            shelf[run] = value
-        self._held += 200 + 4 * len(run)
-
-    def runs(self, text: str) -> list[str]:
-        """The text's runs of non-blanks and special tokens, all of them learnt."""
+        for run, words in split:
+            learnt[run] = known[words[0]] if len(words) == 1 else of_words([known[w] for w in words])  # one word's is shared, not copied
+            self._held += 200 + 4 * len(run)
+
+    def _split_runs(self, text: str) -> list[str]:
+        """The text's runs of non-blanks and special tokens."""
         if not self._split or "<" not in text:
-            runs = text.split() if not ODD_BLANKS.search(text) else [r for r in BLANKS.split(text) if r]
-        else:
-            runs, at = [], 0
-            for found in self._split.finditer(text):
-                runs += [*filter(None, BLANKS.split(text[at : found.start()])), found.group()]
-                at = found.end()
-            runs += filter(None, BLANKS.split(text[at:]))
+            return text.split() if not ODD_BLANKS.search(text) else [r for r in BLANKS.split(text) if r]
+        runs, at = [], 0
+        for found in self._split.finditer(text):
+            runs += [*filter(None, BLANKS.split(text[at : found.start()])), found.group()]
+            at = found.end()
+        return runs + [*filter(None, BLANKS.split(text[at:]))]
+
+    def _met(self, texts: list[str], memory: tuple[dict, dict], of_path: Callable, of_words: Callable) -> Iterator[list]:
+        """What is learnt of each text's runs."""
+        split = [self._split_runs(text) for text in texts]
         if self._held > 256 << 20:
             self.forget()
-        for run in set(runs).difference(self._runs[0]):
-            self._learn(run)
-        return runs
+        learnt = memory[1]
+        self._learn(set().union(*split).difference(learnt), memory, of_path, of_words)
+        for runs in split:
+            yield [learnt[run] for run in runs]
 
     def forget(self) -> None:
         """Empties what was learnt, so that memory is bounded; special tokens are their own runs."""
         self._held = 0
-        self._words.clear()
-        for shelf in self._runs:
+        for shelf in (*self._coded, *self._spelt):
             shelf.clear()
         for label, i in self.special.items():
-            for shelf, value in zip(self._runs, ((i,), str(i), label)):
-                shelf[label] = value
+            self._coded[1][label], self._spelt[1][label] = (i,), (str(i), label)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        ids = self._ids
+
+        def of_path(path: list[int]) -> tuple[int, ...]:
+            return tuple([ids[t] for t in path])
+
+        def of_words(words: list[tuple[int, ...]]) -> tuple[int, ...]:
+            return tuple(chain.from_iterable(words))
+
+        return [list(chain.from_iterable(met)) for met in self._met(texts, self._coded, of_path, of_words)]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._runs[0].__getitem__, self.runs(text))))
+        return self.encode_all([text])[0]
+
+    def spelled_all(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text, how many tokens, their ids as text, and the decoded text."""
+        shown, named = self._shown, self._named
+
+        def of_path(path: list[int]) -> tuple[str, str]:
+            return " ".join([shown[t] for t in path]), " ".join([named[t] for t in path])
+
+        def of_words(words: list[tuple[str, str]]) -> tuple[str, str]:
+            return " ".join([w[0] for w in words]), " ".join([w[1] for w in words])
+
+        for met in self._met(texts, self._spelt, of_path, of_words):
+            ids = " ".join([m[0] for m in met])
+            yield ids.count(" ") + 1 if ids else 0, ids, " ".join([m[1] for m in met])
 
     def spelled(self, text: str) -> tuple[int, str, str]:
-        """How many tokens, their ids as text, and the decoded text."""
-        runs = self.runs(text)
-        ids, shown, labels = self._runs
-        return sum(map(len, map(ids.__getitem__, runs))), " ".join(map(shown.__getitem__, runs)), " ".join(map(labels.__getitem__, runs))
+        return next(self.spelled_all([text]))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The arc labels along the path, with a space between them; unknown numbers emit nothing."""
@@ -247,8 +346,8 @@ def encode_with(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            ids = pa.array([bpe.encode(t) for t in arrow_texts(batch.column(len(keep)))], pa.list_(pa.int32()))
+        for batch in parts_of(batches, len(keep), SPAN_BYTES):
+            ids = pa.array(bpe.encode_all([*arrow_texts(batch.column(len(keep)))]), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=[*keep, "ids"])
 
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{typed}, ids array<int>")
@@ -282,12 +381,9 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            rows = []
-            for text in arrow_texts(batch.column(1)):
-                count, ids, decoded = bpe.spelled(text)
-                rows.append((count, digest(ids), digest(decoded)))
-            counts, ids, decoded = zip(*rows) if rows else ((), (), ())
+        for batch in parts_of(batches, 1, SPAN_BYTES):
+            rows = [(count, digest(ids), digest(decoded)) for count, ids, decoded in bpe.spelled_all([*arrow_texts(batch.column(1))])]
+            counts, ids, decoded = zip(*rows)
             out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=names)
 

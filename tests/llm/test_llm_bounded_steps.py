@@ -22,6 +22,26 @@ def odd_texts(seed, count):
 
 
 
+def test_new_words_of_many_texts_are_walked_together():
+    ours, library, calls = bpe.WordBpe(queries.WORD_BPE), Tokenizer.from_file(queries.WORD_BPE), []
+    walk = ours.automaton.paths
+    ours.automaton.paths = lambda words: calls.append(len(words)) or walk(words)
+    texts = [*odd_texts(1, 400), "z" * 3000, "é" * 2000 + "!" * 500]
+    stated = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    assert ours.encode_all(texts) == stated
+    assert len(calls) == 1
+    assert [(n, ids) for n, ids, _ in ours.spelled_all(texts)] == [(len(s), " ".join(map(str, s))) for s in stated]
+    assert len(calls) == 2  # what is spelled is remembered by itself
+    assert list(ours.spelled_all(texts)) and len(calls) == 2
+
+
+def test_letters_and_marks_are_split_as_the_pattern_does():
+    letters = re.compile(r"\A[^\W\d_]+\Z")
+    for i in range(0x110000):
+        if chr(i).isalpha() and not 0xD800 <= i < 0xE000:
+            assert letters.match(chr(i)) and bpe.WORDS.findall(chr(i)) == [chr(i)]
+
+
 def test_pieces_are_those_of_the_pattern():
     texts = [t for t in odd_texts(3, 3000) if t]
     whole = [t.encode() for t in texts]
