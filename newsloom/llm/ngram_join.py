@@ -37,12 +37,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsloom.llm.common import broadcast_if_small, written
+from newsloom.llm.common import broadcast_if_small, parts_of, written
 from newsloom.llm.components import components
 from newsloom.settings import discard, release
 
 U64 = np.uint64
 
+#: Bytes of text whose sets a worker holds at a time.
+SPAN_BYTES = 2 << 20
+
 
 @dataclass(frozen=True)
 class JoinOptions:
@@ -120,7 +123,7 @@ def counted_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, end = Shingler(options.words), U64(options.lower)
         longs = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in parts_of(batches, 2, SPAN_BYTES):
             sizes, marks, low, more = [], [], [], []
             for text in batch.column(2):
                 members = shingle(text.as_py() or "")
@@ -145,7 +148,7 @@ def member_sets(docs: DataFrame, wanted: DataFrame, options: JoinOptions) -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(options.words)
-        for batch in batches:
+        for batch in parts_of(batches, 1, SPAN_BYTES):
             sets = [shingle(t.as_py() or "") for t in batch.column(1)]
             stated = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             fits = [len(s) > 0 and fingerprint(s) == m for s, m in zip(sets, stated)]

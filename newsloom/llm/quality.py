@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import arrow_texts
+from newsloom.llm.common import arrow_texts, parts_of
 
 STATS = 13
 BINS = 16
@@ -72,7 +72,7 @@ class Featurizer:
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
         known = self._known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for word in set(words).difference(known):
             known[word] = xxhash.xxh32_intdigest(word) % self.buckets
@@ -211,7 +211,7 @@ def keep_good(docs: DataFrame, model: FMModel, threshold: float = 0.3) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = shared.value
         make = Featurizer(fm.options)
-        for batch in batches:
+        for batch in parts_of(batches, text, 4 << 20):
             counts = batch.column(count).to_pylist() if count is not None else [None] * batch.num_rows
             raw = np.array([raw_score(fm, *make(t, n)) for t, n in zip(arrow_texts(batch.column(text)), counts)])
             yield batch.filter(pa.array(probability(raw) >= threshold))

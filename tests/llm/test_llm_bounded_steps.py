@@ -21,7 +21,6 @@ def odd_texts(seed, count):
     return ["".join(rng.choices(PARTS, k=rng.randrange(0, 14))) for _ in range(count)]
 
 
-
 def test_new_words_of_many_texts_are_walked_together():
     ours, library, calls = bpe.WordBpe(queries.WORD_BPE), Tokenizer.from_file(queries.WORD_BPE), []
     walk = ours.automaton.paths
@@ -80,3 +79,29 @@ def test_queries_meet_their_leaves_together_in_bounded_slices(monkeypatch):
         scores = ann.exact_scores(np.broadcast_to(vecs[q], vecs.shape), vecs)
         order = [i for i in np.lexsort((ids, -scores)) if i != q][:20]
         assert best_ids.tolist() == order and best_scores.tolist() == scores[order].tolist()
+
+
+def test_parts_of_batches():
+    texts = pa.array(["aaaa", None, "bb", "", "é" * 30, "c"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), texts], names=["id", "text"])
+    parts = list(common.parts_of([batch, batch.slice(0, 0)], 1, 6))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2, 3], [4], [5]]
+    assert [p.column(0).to_pylist() for p in common.parts_of([batch.slice(2)], 1, 6)] == [[2, 3], [4], [5]]
+
+
+def test_workers_hold_the_sets_of_a_part_of_a_batch(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the words of document number {i} and more") for i in range(6)], "doc_id long, text string")
+    taken, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run) or real(self, run, schema))
+    monkeypatch.setattr(ngram_join, "SPAN_BYTES", 80)
+    options = ngram_join.JoinOptions()
+    sets = ngram_join.counted_sets(docs, options)
+    given = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(range(6)), pa.array(["some words of a text " * 3] * 6)], names=["doc_id", "text_hash", "text"])
+    assert [b.num_rows for b in taken[0](iter([given]))] == [1] * 6
+    wanted = sets.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("cluster"), F.col("n_shingles").alias("n"), "f1", "f2")
+    assert ngram_join.member_sets(docs, wanted, options).count() == 6
+    found = next(iter(taken[0](iter([given])))).to_pylist()[0]
+    rows = pa.RecordBatch.from_arrays([given.column(0), given.column(2), given.column(0), pa.array([found["n_shingles"]] * 6), pa.array([found["f1"]] * 6), pa.array([found["f2"]] * 6)], names=["doc_id", "text", "cluster", "n", "f1", "f2"])
+    assert [b.num_rows for b in taken[1](iter([rows]))] == [1] * 6
+    model = quality.fit([], quality.FMOptions(buckets=64))
+    assert quality.keep_good(docs, model).count() == 6
