@@ -356,7 +356,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, options: FileOpti
         encode, end = _encoder(tokenizer, options.known_pieces, by_piece), struct.pack("<I", options.end_id)
         writer, name, done = None, "", []
         for batch in batches:
-            for start, stop in spans(batch.column(1), 1 << 20):
+            for start, stop in spans(batch.column(1), 3 << 20):
                 for i, ids in enumerate(encode(batch.column(1).slice(start, stop - start).to_pylist()), start):
                     if writer is None:
                         name = f"{folder}/{uuid.uuid4().hex}.zst"
