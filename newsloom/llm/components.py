@@ -5,6 +5,8 @@ smaller neighbours likewise (small star), until only stars are left; the number
 the logarithm of the nodes. Minima are aggregated before the shuffle and joined back, so a hub with
 a third of all edges is neither one group nor one task's window; Spark splits such a join. Each
 round is a written table, so a lost executor costs no more than a round; the one before is deleted.
+Spark keeps a thread of the driver for each exchange of the last minute, so a round is one table and
+one check, an aggregate without a join, after which the driver lets go of what the round has left.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import written
-from newsloom.settings import discard
+from newsloom.settings import discard, release
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -27,6 +29,12 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     return linked.where(F.col("a") != F.col("b"))
 
 
+def _tangled(edges: DataFrame) -> DataFrame:
+    """The nodes that keep edges (a, b) from being stars: those with two smaller neighbours, or with a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; the component is its smallest node.
 
@@ -34,11 +42,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     named = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(named, "links")
-    while now.take(1):
+    going = bool(now.take(1))
+    while going:
         before, now = now, written(_star(_star(now, True), False).distinct(), "links")
         discard(before)
         # All stars: every node with a smaller neighbour has one, and that one has none.
-        if not now.join(now.select(F.col("b").alias("_b")).distinct(), F.col("a") == F.col("_b"), "left_semi").take(1) and not now.groupBy("a").count().where("count > 1").take(1):
-            break
+        going = bool(_tangled(now).take(1))
+        release(edges.sparkSession)
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -382,6 +382,7 @@ def clusters(reps: DataFrame, options: JoinOptions) -> tuple[DataFrame, DataFram
     hubs = members.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where(F.col("hub") < F.col("_last")).select("gram", "hub")
     held = written(members.join(hubs, "gram").select("rep", "gram", "hub"), "shared-prefixes")
     discard(members)
+    release(reps.sparkSession)
     edges = held.where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     return components(edges), held
 
@@ -425,9 +426,10 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         number = F.floor((F.col("_rank") - 1) / options.pack_sets) * 1_000_000 + F.floor(weight / options.pack_members)
         packed = written(ranked.withColumn("pack_no", number.cast("long")).select("rep", "n", "comp", "cluster", "pack_no"), "join-packs")
         # Only the members of sets that still wait are met: after the first round these are few.
-        live = waiting.select("rep").distinct()
+        live = open_sets.join(going, "cluster").select("rep").distinct()
         met = held.join(broadcast_if_small(live, live.count(), 32), "rep", "left_semi")
         routes = written(_routes(waiting, packed, met, options.percent), "join-routes")
+        release(sets.sparkSession)
         slices = F.greatest(F.ceil(F.sum("n") / options.slice_members), F.ceil(F.count("*") / options.slice_sets)).cast("int")
         dealt = routes.groupBy("cluster", "pack_no").agg(slices.alias("slices"))
         pack, salts = F.xxhash64("cluster", "pack_no").alias("pack"), F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
@@ -437,6 +439,7 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         stream = sets.select("rep", "n", "members").join(broadcast_if_small(keys, keys.count(), 96), ["rep", "n"])
         stream = stream.repartition("pack", "salt").sortWithinPartitions("pack", "salt", "kind", "rep")
         found = written(pack_links(stream, options.percent), "join-links")
+        release(sets.sparkSession)
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "join-labels")
         done = packed.select("rep", "n", F.lit(True).alias("_done"))
@@ -465,6 +468,7 @@ def _labelled(docs: DataFrame, options: JoinOptions) -> DataFrame:
     wanted = classes.join(found, classes["rep"] == found["node"]).select("rep", F.col("component").alias("cluster"), F.col("n_shingles").alias("n"), "f1", "f2")
     wanted = written(wanted, "wanted")
     sets = member_sets(docs, wanted, options)
+    release(docs.sparkSession)
     links = _rounds(sets, held.select("rep", "gram"), options)
     discard(held, wanted, sets)
     if links is not None:

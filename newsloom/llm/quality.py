@@ -155,6 +155,11 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], options: FMOptions) ->
     return FMModel(options, bias, linear, factors)
 
 
+def give_back() -> None:
+    """Arrow keeps the memory of tables that are gone; the driver needs no such table again."""
+    pa.default_memory_pool().release_unused()
+
+
 def train(docs: DataFrame, labels: DataFrame, options: FMOptions = FMOptions(), label: str = "quality") -> FMModel:
     """Learns from at most `options.sample_rows` labelled documents, chosen by a hash of their id.
 
@@ -181,7 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, options: FMOptions = FMOptions(),
 
     found = rows.mapInArrow(featurize, "id string, label double, index array<bigint>, value array<double>").toArrow().sort_by("id")
     index, value = found["index"].combine_chunks(), found["value"].combine_chunks()
-    return fit([(y, index[i].values.to_numpy(), value[i].values.to_numpy()) for i, y in enumerate(found["label"].to_pylist())], options)
+    model = fit([(y, index[i].values.to_numpy(), value[i].values.to_numpy()) for i, y in enumerate(found["label"].to_pylist())], options)
+    del found, index, value
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: FMModel, threshold: float = 0.3) -> DataFrame:
