@@ -376,30 +376,51 @@ def _rarest(reps: DataFrame, column: str, room: Column) -> DataFrame:
 
 
 def clusters(reps: DataFrame, options: JoinOptions) -> tuple[DataFrame, DataFrame]:
-    """(node, component): sets that share a prefix member, transitively; and (rep, gram) of the shared ones. reps: rep, n, low, more."""
+    """(node, component): sets that share a prefix member, transitively; and (rep, gram, lead) of the shared ones. reps: rep, n, low, more.
+
+    lead: the one of a set's shared members that most sets hold.
+    """
     prefix = F.col("n") - F.ceil(F.col("n") * options.percent / 100).cast("long") + 1
     members = written(_rarest(reps, "low", prefix).unionByName(_rarest(reps, "more", prefix - F.size("low"))), "prefixes")
-    hubs = members.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where(F.col("hub") < F.col("_last")).select("gram", "hub")
-    held = written(members.join(hubs, "gram").select("rep", "gram", "hub"), "shared-prefixes")
-    discard(members)
     release(reps.sparkSession)
+    hubs = members.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last"), F.count("*").alias("_sets")).where(F.col("hub") < F.col("_last"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("_sets"), "gram"))
+    held = written(members.join(hubs, "gram").select("rep", "gram", "hub", (place == 1).alias("lead")), "shared-prefixes")
+    discard(members)
     edges = held.where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     return components(edges), held
 
 
+def _meetings(asked: DataFrame, bounds: DataFrame, percent: int, *others: Column) -> DataFrame:
+    """(rep, n, cluster, comp, pack_no) for each member that an asked set shares with a pack it may link to. asked: rep, n, cluster, comp, _own, gram."""
+    near = (100 * F.col("n") >= percent * F.col("_low")) & (100 * F.col("_high") >= percent * F.col("n"))
+    other = (F.col("_c1") != F.col("comp")) | (F.col("_c2") != F.col("comp"))
+    later = F.col("_own").isNull() | (F.col("_own") < F.col("pack_no"))
+    met = asked.join(bounds, "gram").where(near & other & later)
+    for condition in others:
+        met = met.where(condition)
+    return met.select("rep", "n", "cluster", "comp", "pack_no")
+
+
 def _routes(waiting: DataFrame, packed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, cluster, comp, pack_no): the packs that hold a set which a waiting set may link to, its own and earlier packs left out.
+    """(rep, n, cluster, comp, pack_no): the packs that hold a set which a waiting set may link to, its own and earlier packs left out; a written table.
 
     Two sets may link when they share a prefix member, their sizes are near enough and their
     components differ. Of two packs' sets, those of the earlier pack are looked up in the later one.
+    Near copies share many members, of which one is enough: a set's lead member goes first, a row for
+    each pack at most, and its other members meet only the packs that this one has not found.
     """
     bounds = packed.join(held, "rep").groupBy("gram", "pack_no").agg(F.min("n").alias("_low"), F.max("n").alias("_high"), F.min("comp").alias("_c1"), F.max("comp").alias("_c2"))
+    bounds = written(bounds, "join-bounds")
     own = packed.select("rep", "n", F.col("pack_no").alias("_own"))
-    asked = waiting.select("rep", "n", "cluster", "comp").join(own, ["rep", "n"], "left").join(held, "rep")
-    near = (100 * F.col("n") >= percent * F.col("_low")) & (100 * F.col("_high") >= percent * F.col("n"))
-    other = (F.col("_c1") != F.col("comp")) | (F.col("_c2") != F.col("comp"))
-    later = F.col("_own").isNull() | (F.col("_own") < F.col("pack_no"))
-    return asked.join(bounds, "gram").where(near & other & later).select("rep", "n", "cluster", "comp", "pack_no").distinct()
+    asked = waiting.select("rep", "n", "cluster", "comp").join(own, ["rep", "n"], "left")
+    first = written(_meetings(asked.join(held.where("lead"), "rep"), bounds, percent), "join-leads")
+    found = first.groupBy("rep", "n").agg(F.collect_list("pack_no").alias("_found"))
+    rest = asked.join(found, ["rep", "n"], "left").join(held.where(~F.col("lead")), "rep")
+    new = F.col("_found").isNull() | ~F.array_contains("_found", F.col("pack_no"))
+    routes = written(first.unionByName(_meetings(rest, bounds, percent, new).distinct()), "join-routes")
+    discard(bounds, first)
+    return routes
 
 
 def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame | None:
@@ -415,20 +436,20 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         if not going.take(1):
             discard(state, going)
             return links
-        sizes = open_sets.join(going, "cluster").groupBy("cluster", "comp").agg(F.count("*").alias("_size"))
-        waiting = open_sets.join(going, "cluster").join(sizes, ["cluster", "comp"])
+        waiting = written(open_sets.join(going, "cluster").select("rep", "n", "cluster", "comp"), "join-waiting")
+        sizes = waiting.groupBy("cluster", "comp").agg(F.count("*").alias("_size"))
         # Small components first: once all sets outside the largest one were in packs, the cluster is through.
         # Among components of one size, sets of near sizes share a pack.
         rank = Window.partitionBy("cluster").orderBy("_size", "n", "comp", "rep")
         most = options.pack_sets * (1 if first else options.packs_per_round)
-        ranked = waiting.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= most)
+        ranked = waiting.join(sizes, ["cluster", "comp"]).withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= most)
         weight = F.sum("n").over(Window.partitionBy("cluster").orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         number = F.floor((F.col("_rank") - 1) / options.pack_sets) * 1_000_000 + F.floor(weight / options.pack_members)
         packed = written(ranked.withColumn("pack_no", number.cast("long")).select("rep", "n", "comp", "cluster", "pack_no"), "join-packs")
         # Only the members of sets that still wait are met: after the first round these are few.
-        live = open_sets.join(going, "cluster").select("rep").distinct()
+        live = waiting.select("rep").distinct()
         met = held.join(broadcast_if_small(live, live.count(), 32), "rep", "left_semi")
-        routes = written(_routes(waiting, packed, met, options.percent), "join-routes")
+        routes = _routes(waiting, packed, met, options.percent)
         release(sets.sparkSession)
         slices = F.greatest(F.ceil(F.sum("n") / options.slice_members), F.ceil(F.count("*") / options.slice_sets)).cast("int")
         dealt = routes.groupBy("cluster", "pack_no").agg(slices.alias("slices"))
@@ -446,7 +467,7 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         state = state.join(done, ["rep", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         before = state_now
         state_now = written(state.select("rep", "cluster", "n", F.coalesce("component", "rep").alias("comp"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "join-state")
-        discard(before, going, packed, routes, keys, labels)
+        discard(before, going, waiting, packed, routes, keys, labels)
         release(sets.sparkSession)
         first = False
 
@@ -469,7 +490,7 @@ def _labelled(docs: DataFrame, options: JoinOptions) -> DataFrame:
     wanted = written(wanted, "wanted")
     sets = member_sets(docs, wanted, options)
     release(docs.sparkSession)
-    links = _rounds(sets, held.select("rep", "gram"), options)
+    links = _rounds(sets, held.select("rep", "gram", "lead"), options)
     discard(held, wanted, sets)
     if links is not None:
         labels = components(links)
@@ -490,4 +511,7 @@ def keep_first(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
     Rows that repeat a doc_id are judged each by its own text; rows without an id stay.
     """
     later = _labelled(docs, options).where(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
-    return docs.withColumn("_text_hash", text_hash()).join(written(later, "later-copies"), ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
+    later = written(later, "later-copies")
+    # By broadcast where these are few: a shuffle would move and store all texts.
+    later = broadcast_if_small(later, later.count(), 40)
+    return docs.withColumn("_text_hash", text_hash()).join(later, ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
