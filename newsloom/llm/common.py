@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,11 +38,24 @@ def spans(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def trim() -> None:
+    """Gives memory that is free inside this process back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts_of(batches: Iterable[pa.RecordBatch], text: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts whose texts (column number `text`) are each of at most so many bytes, or one row."""
+    """The batches in parts whose texts (column number `text`) are each of at most so many bytes, or one row.
+
+    At the end of its task a worker lets go of what is free: it waits for later tasks, beside stages that need no Python.
+    """
+    batch = None
     for batch in batches:
         for start, stop in spans(batch.column(text), most_bytes):
             yield batch.slice(start, stop - start)
+    del batch
+    trim()
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, most_bytes: int = 32 << 20) -> DataFrame:

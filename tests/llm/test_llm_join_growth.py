@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from newsloom.llm import ngram_join
+from newsloom.llm import common, ngram_join
 
 PAIRS = "rep long, gram long, lead boolean"
 
@@ -80,3 +81,14 @@ def test_a_set_has_one_lead_member(spark):
     assert by_rep and all(r["leads"] == 1 for r in by_rep)
     most = held.groupBy("gram").count().join(held, "gram").groupBy("rep").agg(F.max("count").alias("most"), F.max(F.when(F.col("lead"), F.col("count"))).alias("led"))
     assert all(r["most"] == r["led"] for r in most.collect())
+
+
+def test_workers_let_go_of_free_memory_after_a_task(monkeypatch):
+    common.trim()
+    freed = []
+    monkeypatch.setattr(common, "trim", lambda: freed.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa", "b", None])], names=["text"])
+    parts = common.parts_of(iter([batch, batch]), 0, 2)
+    assert [next(parts).num_rows for _ in range(4)] == [1, 2, 1, 2] and not freed
+    assert list(parts) == [] and freed == [1]
+    assert list(common.parts_of(iter([]), 0, 2)) == [] and freed == [1, 1]
