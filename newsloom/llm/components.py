@@ -7,11 +7,16 @@ a third of all edges is neither one group nor one task's window; Spark splits su
 round is a written table, so a lost executor costs no more than a round; the one before is deleted.
 Spark keeps a thread of the driver for each exchange of the last minute, so a round is one table and
 one check, an aggregate without a join, after which the driver lets go of what the round has left.
+
+Where a caller has many small graphs to solve one after another, `components_of_few` spares them these
+rounds: edges whose counted number is bounded are joined in the driver, more go the way above.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from newsloom.llm.common import written
 from newsloom.settings import discard, release
@@ -51,3 +56,29 @@ def components(edges: DataFrame) -> DataFrame:
         release(edges.sparkSession)
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def smallest_linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, and the smallest node that each is connected with."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(least[u], least[v]), np.maximum(least[u], least[v])
+        apart = low < high
+        if not apart.any():
+            return nodes, nodes[least]
+        np.minimum.at(least, high[apart], low[apart])
+        while (further := least[least]).tobytes() != least.tobytes():
+            least = further
+
+
+def components_of_few(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """`components` of a written table of edges; at most `most` edges between whole numbers are joined in the driver."""
+    kind = edges.schema["a"].dataType
+    if not isinstance(kind, (T.LongType, T.IntegerType)) or edges.count() > most:
+        return written(components(edges), "labels")
+    found = edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long")).toArrow()
+    node, component = smallest_linked(*(found.column(c).to_numpy() for c in ("a", "b")))
+    table = pa.table({"node": node, "component": component})
+    return edges.sparkSession.createDataFrame(table).select(F.col("node").cast(kind), F.col("component").cast(kind))

@@ -34,11 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.llm.common import broadcast_if_small, parts_of, written
-from newsloom.llm.components import components
+from newsloom.llm.components import components, components_of_few
 from newsloom.settings import discard, release
 
 U64 = np.uint64
@@ -80,35 +80,117 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct n-gram hashes of a text, ascending."""
+    """Distinct n-gram hashes of texts, ascending, of all texts of a batch at once.
+
+    A word's hash is the sum of its letters' numbers times powers of an odd base, which running sums over
+    all letters give for every word in a few steps; mixing follows where words make n-grams.
+    """
+
+    #: Letters whose running sums are held together, unless one word is longer.
+    block = 1 << 18
+    base = 0x9E3779B97F4A7C15
+    blanks = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+    # A number for each byte; A-Z count as a-z.
+    letters = mixed(np.where(np.isin(np.arange(256), np.arange(65, 91)), np.arange(256) + 32, np.arange(256)).astype(U64) + U64(1), 5)
 
     def __init__(self, words: int):
         self.words = words
-        self._known: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        # bytes.lower and bytes.split know exactly A-Z and the blanks \x20 and \x09-\x0D.
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, U64)
-        known = self._known
-        if len(known) > 200_000:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, words), U64, len(words))
-        n = min(self.words, len(words))
+        self._powers = self._inverse = np.ones(1, U64)
+
+    def _ready(self, size: int) -> None:
+        """Powers of the base and of its inverse for blocks of so many letters."""
+        if len(self._powers) < size:
+            powers = [np.full(size, base, U64) for base in (self.base, pow(self.base, -1, 1 << 64))]
+            for p in powers:
+                p[0] = 1
+            with np.errstate(over="ignore"):
+                self._powers, self._inverse = (np.cumprod(p, dtype=U64) for p in powers)
+
+    def _words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of texts that lie one after another in data, and how many words each text has. ends: of the texts."""
+        word = ~self.blanks[data]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        # A text's ends also end its words.
+        sizes = np.diff(ends, prepend=0)
+        begins, stops = (ends - sizes)[sizes > 0], ends[sizes > 0]
+        first[begins], last[stops - 1] = word[begins], word[stops - 1]
+        starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+        hashes, done = np.empty(len(starts), U64), 0
         with np.errstate(over="ignore"):
-            grams = np.full(len(words) - n + 1, n, U64)
+            while done < len(starts):
+                low = int(starts[done])
+                end = max(done + 1, int(np.searchsorted(stops, low + self.block, "right")))
+                size = int(stops[end - 1]) - low
+                self._ready(size)
+                sums = np.zeros(size + 1, U64)
+                np.cumsum(self.letters[data[low : low + size]] * self._powers[:size], out=sums[1:])
+                own = starts[done:end] - low
+                hashes[done:end] = (sums[stops[done:end] - low] - sums[own]) * self._inverse[own]
+                done = end
+        return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+    def _grams(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n words from each word on."""
+        with np.errstate(over="ignore"):
+            grams = np.full(len(hashes) - n + 1, n, U64)
             for i in range(n):
                 grams = grams * U64(0x100000001B3) + mixed(hashes[i : len(hashes) - n + 1 + i], i + 1)
-        return np.unique(mixed(grams, 77))
-
-
-def fingerprint(members: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        both = np.array([mixed(members, 3).sum(dtype=U64), mixed(members, 4).sum(dtype=U64)], U64).view(np.int64)
-    return int(both[0]), int(both[1])
+        return mixed(grams, 77)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The members of all texts one after another, and where each text's begin, with the end. Null reads as empty."""
+        # Arrow's bytes as they are: only A-Z count as letters with two cases, only \x20 and \x09-\x0D as blanks.
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        _, places, letters = texts.buffers()
+        places = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(letters, np.uint8)[places[0] : places[-1]] if letters is not None else np.zeros(0, np.uint8)
+        hashes, counts = self._words(data, places[1:] - places[0])
+        n = self.words
+        sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(counts)
+        members = np.empty(to[-1], U64)
+        short = (counts > 0) & (counts < n)
+        long = np.ones(len(members), bool)
+        long[to[:-1][short]] = False
+        if len(hashes) >= n:
+            whole = np.ones(len(hashes) - n + 1, bool)
+            for i in range(1, n):
+                cut = ends[counts >= i] - i
+                whole[cut[cut < len(whole)]] = False
+            members[long] = self._grams(hashes, n)[whole]
+        for k in range(1, n):
+            of = np.flatnonzero(counts == k)
+            at = (ends[of] - k)[:, None] + np.arange(k)
+            members[to[of]] = self._grams(hashes[at.ravel()], k)[::k] if len(of) else members[:0]
+        for start, end in zip(to[:-1].tolist(), to[1:].tolist()):
+            members[start:end].sort()
+        new = np.ones(len(members), bool)
+        new[1:] = members[1:] != members[:-1]
+        new[to[:-1][sizes > 0]] = True
+        return members[new], np.concatenate([[0], np.cumsum(summed(new, to, np.int64))])
+
+
+def summed(values: np.ndarray, places: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of the values between each place and the next; 0 where nothing lies between."""
+    sums = np.zeros(len(places) - 1, kind)
+    filled = np.flatnonzero(np.diff(places))
+    if len(filled):
+        sums[filled] = np.add.reduceat(values, places[filled], dtype=kind)
+    return sums
+
+
+def fingerprints(members: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that tell sets apart, for the sets that lie between the places."""
+    return summed(mixed(members, 3), places, U64).view(np.int64), summed(mixed(members, 4), places, U64).view(np.int64)
+
+
+def _lists(members: np.ndarray, places: np.ndarray, kept: np.ndarray) -> pa.Array:
+    """The kept members of each set as a list column."""
+    ends = np.cumsum(summed(kept, places, np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(members[kept].view(np.int64)))
 
 
 def text_hash() -> Column:
@@ -122,17 +204,13 @@ def counted_sets(docs: DataFrame, options: JoinOptions) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, end = Shingler(options.words), U64(options.lower)
-        longs = pa.list_(pa.int64())
         for batch in parts_of(batches, 2, SPAN_BYTES):
-            sizes, marks, low, more = [], [], [], []
-            for text in batch.column(2):
-                members = shingle(text.as_py() or "")
-                cut = int(np.searchsorted(members, end))
-                sizes.append(len(members))
-                marks.append(fingerprint(members))
-                low.append(members[:cut].view(np.int64))
-                more.append(members[cut:].view(np.int64) if len(members) and cut < options.prefix(len(members)) else members[:0].view(np.int64))
-            out = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(low, longs), pa.array(more, longs)]
+            members, places = shingle(batch.column(2))
+            sizes = np.diff(places)
+            low = members < end
+            unfilled = (sizes > 0) & (summed(low, places, np.int64) < options.prefix(sizes))
+            more = ~low & np.repeat(unfilled, sizes)
+            out = [batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, fingerprints(members, places)), _lists(members, places, low), _lists(members, places, more)]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "low", "more"])
 
     schema = f"doc_id {kind}, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, low array<bigint>, more array<bigint>"
@@ -149,12 +227,12 @@ def member_sets(docs: DataFrame, wanted: DataFrame, options: JoinOptions) -> Dat
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(options.words)
         for batch in parts_of(batches, 1, SPAN_BYTES):
-            sets = [shingle(t.as_py() or "") for t in batch.column(1)]
-            stated = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            fits = [len(s) > 0 and fingerprint(s) == m for s, m in zip(sets, stated)]
+            members, places = shingle(batch.column(1))
+            f1, f2 = fingerprints(members, places)
+            fits = (np.diff(places) > 0) & (f1 == batch.column(4).to_numpy()) & (f2 == batch.column(5).to_numpy())
             names = ["rep", "cluster", "n", "members"]
-            out = [batch.column(0), batch.column(2), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(fits, pa.bool_()))
+            sets = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((places * 8).astype(np.int32)), pa.py_buffer(members)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), sets], names=names).filter(pa.array(fits))
 
     found = texts.select("doc_id", "text", "cluster", "n", "f1", "f2").mapInArrow(run, f"rep {kind}, cluster {kind}, n bigint, members binary")
     found = written(found, "member-sets")
@@ -254,8 +332,8 @@ def _probe(rows: Iterator[tuple], percent: int, own: bool) -> Iterator[tuple]:
 
     own: the pack's sets are looked up too.
 
-    rows: (kind, rep, group, members). Groups that a found link connects are joined for the rest of
-    the stream, so at most one link comes out per set and pack member.
+    rows: (kind, rep, group, members). A link comes out as the two sets' groups. Groups that a found link
+    connects are joined for the rest of the stream, so at most one link comes out per set and pack member.
     """
     tree, pack, parent = None, [], {}
 
@@ -278,7 +356,7 @@ def _probe(rows: Iterator[tuple], percent: int, own: bool) -> Iterator[tuple]:
             a, b = top(held[j][1]), top(pack[i][1])
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                yield held[j][0], pack[i][0]
+                yield held[j][1], pack[i][1]
         held = []
 
     def looked_up():
@@ -312,7 +390,7 @@ def _probe(rows: Iterator[tuple], percent: int, own: bool) -> Iterator[tuple]:
 
 
 def pack_links(stream: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from rows (pack, salt, kind, rep, comp, members) that come sorted and together by (pack, salt)."""
+    """Links (a, b) between components, from rows (pack, salt, kind, rep, comp, members) that come sorted and together by (pack, salt)."""
     kind = stream.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +447,8 @@ def _rarest(reps: DataFrame, column: str, room: Column) -> DataFrame:
     """
     members = reps.select("rep", F.explode(column).alias("gram"))
     shared = members.groupBy("gram").agg(F.count("*").alias("held_by")).where(F.col("held_by") > 1)
-    ranked = members.join(shared, "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held_by", "gram"))).alias("common"))
+    # Counts are the smaller side: hashed, so that the members need not be sorted to meet them.
+    ranked = members.join(shared.hint("shuffle_hash"), "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held_by", "gram"))).alias("common"))
     rooms = reps.where(F.size(column) > 0).select(F.col("rep").alias("_rep"), (room - F.size(column)).cast("int").alias("_room"))
     kept = ranked.join(rooms, F.col("rep") == F.col("_rep")).withColumn("_room", F.col("_room") + F.size("common")).where(F.col("_room") > 0)
     return kept.select("rep", F.explode(F.slice("common", F.lit(1), F.col("_room"))["gram"]).alias("gram"))
@@ -423,10 +502,15 @@ def _routes(waiting: DataFrame, packed: DataFrame, held: DataFrame, percent: int
     return routes
 
 
-def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame | None:
-    """Links of all clusters' sets. Each round makes packs of the sets that still have to be looked up."""
+def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame:
+    """(node, component) of the sets that link to one of a smaller rep. Each round makes packs of the sets that still have to be looked up.
+
+    The state holds every set's component so far, and links are found between components: a round joins
+    the components of its own links only, which after the first round are few. Rounds take more and more
+    packs of a cluster, as long as the sets meet few of them, so their number grows with its logarithm.
+    """
     state_now = written(sets.select("rep", "cluster", "n", F.col("rep").alias("comp"), F.lit(False).alias("done")).distinct(), "join-state")
-    links, first = None, True
+    total, packs = state_now.count(), 1
     while True:
         state = state_now
         # A cluster goes on while its sets that were in no pack belong to several components.
@@ -434,14 +518,14 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         going = open_sets.groupBy("cluster").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).where(F.col("_c1") < F.col("_c2"))
         going = written(going.select("cluster"), "join-going")
         if not going.take(1):
-            discard(state, going)
-            return links
+            discard(going)
+            return state.where(F.col("rep") != F.col("comp")).select(F.col("rep").alias("node"), F.col("comp").alias("component")).distinct()
         waiting = written(open_sets.join(going, "cluster").select("rep", "n", "cluster", "comp"), "join-waiting")
         sizes = waiting.groupBy("cluster", "comp").agg(F.count("*").alias("_size"))
         # Small components first: once all sets outside the largest one were in packs, the cluster is through.
         # Among components of one size, sets of near sizes share a pack.
         rank = Window.partitionBy("cluster").orderBy("_size", "n", "comp", "rep")
-        most = options.pack_sets * (1 if first else options.packs_per_round)
+        most = options.pack_sets * packs
         ranked = waiting.join(sizes, ["cluster", "comp"]).withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= most)
         weight = F.sum("n").over(Window.partitionBy("cluster").orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         number = F.floor((F.col("_rank") - 1) / options.pack_sets) * 1_000_000 + F.floor(weight / options.pack_members)
@@ -457,19 +541,19 @@ def _rounds(sets: DataFrame, held: DataFrame, options: JoinOptions) -> DataFrame
         stored = packed.join(dealt, ["cluster", "pack_no"], "left").select("rep", "n", pack, F.explode(salts).alias("salt"), F.lit(0).alias("kind"), "comp")
         looked_up = routes.join(dealt, ["cluster", "pack_no"]).select("rep", "n", pack, F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int").alias("salt"), F.lit(1).alias("kind"), "comp")
         keys = written(stored.unionByName(looked_up), "join-keys")
-        stream = sets.select("rep", "n", "members").join(broadcast_if_small(keys, keys.count(), 96), ["rep", "n"])
+        moved = keys.count()
+        stream = sets.select("rep", "n", "members").join(broadcast_if_small(keys, moved, 96), ["rep", "n"])
         stream = stream.repartition("pack", "salt").sortWithinPartitions("pack", "salt", "kind", "rep")
         found = written(pack_links(stream, options.percent), "join-links")
         release(sets.sparkSession)
-        links = found if links is None else links.unionByName(found)
-        labels = written(components(links), "join-labels")
+        labels = components_of_few(found)
         done = packed.select("rep", "n", F.lit(True).alias("_done"))
-        state = state.join(done, ["rep", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        state = state.join(done, ["rep", "n"], "left").join(labels.withColumnRenamed("node", "comp"), "comp", "left")
         before = state_now
-        state_now = written(state.select("rep", "cluster", "n", F.coalesce("component", "rep").alias("comp"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "join-state")
-        discard(before, going, waiting, packed, routes, keys, labels)
+        state_now = written(state.select("rep", "cluster", "n", F.coalesce("component", "comp").alias("comp"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "join-state")
+        discard(before, going, waiting, packed, routes, keys, found)
         release(sets.sparkSession)
-        first = False
+        packs = options.packs_per_round if packs < options.packs_per_round else packs * (4 if moved <= total else 1)
 
 
 def _labelled(docs: DataFrame, options: JoinOptions) -> DataFrame:
@@ -490,12 +574,10 @@ def _labelled(docs: DataFrame, options: JoinOptions) -> DataFrame:
     wanted = written(wanted, "wanted")
     sets = member_sets(docs, wanted, options)
     release(docs.sparkSession)
-    links = _rounds(sets, held.select("rep", "gram", "lead"), options)
+    labels = _rounds(sets, held.select("rep", "gram", "lead"), options)
     discard(held, wanted, sets)
-    if links is not None:
-        labels = components(links)
-        classes = classes.join(labels, classes["rep"] == labels["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
-    moved = classes.where((F.col("_copies") > 1) | F.col("component").isNotNull()) if links is not None else classes.where(F.col("_copies") > 1)
+    classes = classes.join(labels, classes["rep"] == labels["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
+    moved = classes.where((F.col("_copies") > 1) | F.col("component").isNotNull())
     out = base.select("doc_id", "text_hash", *same).join(moved.select(*[F.col(c).alias(f"_{c}") for c in same], "rep"), [F.col(c) == F.col(f"_{c}") for c in same], "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
 
