@@ -284,3 +284,65 @@ def test_mentions_are_matched_in_steps(spark, monkeypatch):
     got = {r["id"]: r["matched"] for r in resolve.match_entities(mentions, dictionary).collect()}
     wanted = {i: [hit for hit in (_best(m)[2] for m in found or []) if hit] for i, found in rows}
     assert got == {i: wanted[i] for i, _ in rows}
+
+
+def _plain_best(rows, title, hosts, cashtags, matched, min_score, most):
+    investor, company = any("ir." in h or "investor" in h for h in hosts), [h for h in hosts if h.endswith(".com")]
+    listed = []
+    for symbol, ord_, low, names in rows:
+        score = 4.0 * (symbol in cashtags) + 1.5 * (low in title or any(n in title for n in names)) + 1.0 * matched.count(symbol)
+        score += 1.0 * (investor or any(low in h for h in company))
+        if score >= min_score:
+            listed.append((-score, ord_, symbol))
+    return [(s, o, -n) for n, o, s in sorted(listed)[:most]]
+
+
+def test_a_large_dictionary_is_searched_in_one_pass(spark, monkeypatch):
+    """Symbols and names beyond the first part are found whatever the number of parts, and no automaton is made of them."""
+    rnd = random.Random(9)
+    word = lambda a, b: "".join(rnd.choice("ABCé") for _ in range(rnd.randrange(a, b)))
+    entries = {word(2, 7): (word(3, 9), word(0, 5)) for _ in range(400)}
+    rows = [(s, i, s.lower(), [x for x in dict.fromkeys([n.lower(), a.lower()]) if x]) for i, (s, (n, a)) in enumerate(entries.items()) if s == s.upper()]
+    tickers = spark.createDataFrame([(s, i, names) for s, i, _, names in rows], "symbol string, ord int, aliases array<string>")
+    monkeypatch.setattr(resolve, "FIRST_SYMBOLS", 5)
+    symbols = [s for s, *_ in rows]
+    odd = ["www.%s.com" % "".join(rnd.choice("abcé") for _ in range(6)), "ir.x.com", "investor.abc.org", "x.org"]
+    articles = []
+    for i in range(150):
+        title = " ".join(word(1, 9) for _ in range(rnd.choice([0, 1, 2, 30]))) if i % 10 else None
+        articles.append((i, title, [rnd.choice(odd) for _ in range(rnd.randrange(3))], [rnd.choice(symbols) for _ in range(rnd.randrange(3))], [rnd.choice([*symbols, "none"]) for _ in range(rnd.randrange(4))]))
+    df = spark.createDataFrame([(i, t, "".join(f" ${c}" for c in cash if c.isascii() and len(c) <= 5), [f"host:{h}" for h in hosts], m) for i, t, hosts, cash, m in articles], "id int, title string, body string, hints array<string>, matched array<string>")
+    # One file and one automaton at most are made for each part: now only the index.
+    made = resolve.SymbolTable
+    monkeypatch.setattr(resolve, "SymbolTable", lambda *_: pytest.fail("an automaton was made"))
+    got = {}
+    for part_letters in (60, 900):
+        for min_score, most in ((2.0, 5), (1.5, 2), (2.5, 40), (4.0, 3)):
+            column = resolve.ticker_scores(df, tickers, min_score, most, part_letters)
+            for r in df.select("id", resolve.extract_cashtags(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "body")).alias("c"), column.alias("s")).collect():
+                _, title, hosts, _, matched = articles[r["id"]]
+                assert [tuple(x) for x in r["s"]] == [(n, o, s) for s, o, n in _plain_best(rows, (title or "").lower(), hosts, r["c"], matched, min_score, most)], (r["id"], min_score)
+                got[min_score] = got.get(min_score, 0) + len(r["s"])
+    assert all(n > 50 for n in got.values()) and len(got) == 4
+    # With all symbols asked for, the parts' automata still answer.
+    monkeypatch.setattr(resolve, "SymbolTable", made)
+    assert df.select(resolve.ticker_scores(df, tickers, 1.0, 3, 900).alias("s")).count() == 150
+
+
+def test_windows_of_texts_of_any_length():
+    from newsloom.operators import symbol_index as index
+
+    rnd = random.Random(6)
+    patterns = sorted({"".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 9))) for _ in range(60)})
+    bits = index.bit_field(len(patterns))
+    hashes = index.SpanHash().whole(pa.array(patterns))
+    index.set_bits(bits, hashes)
+    windows = index.Windows(bits, sorted({len(p.encode()) for p in patterns}))
+    texts = ["".join(rnd.choice("abcé") for _ in range(rnd.choice([0, 1, 7, 50, 900]))) for _ in range(40)]
+    for block in (16, index.BLOCK):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(index, "BLOCK", block)
+            at, found = windows.find([t.encode() for t in texts])
+            assert (index.SpanHash().whole(pa.array(patterns)) == hashes).all()
+        pairs = set(zip(at.tolist(), found.tolist()))
+        assert all((p in t) == ((i, h) in pairs) for i, t in enumerate(texts) for p, h in zip(patterns, hashes.tolist()))
