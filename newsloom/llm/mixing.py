@@ -99,18 +99,26 @@ def leaf_budgets(docs: DataFrame, options: MixOptions) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, ", ".join([*kinds, "rows bigint", "tokens bigint", "budget double"]))
 
 
-def choose(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
-    """The rows of `docs` (which has doc_id, n_tokens and the levels) that are taken, with `copies` (1 to max_epochs)."""
+def choose(docs: DataFrame, options: MixOptions = MixOptions(), counts: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` (which has doc_id, n_tokens and the levels) that are taken, with `copies` (1 to max_epochs).
+
+    counts: doc_id, n_tokens and the levels of the same rows, where counting the tokens of docs each time would be dear.
+    """
     keep = docs.columns
-    leaves = leaf_budgets(docs, options).withColumn("_epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + F.lit(1e-9))).otherwise(0).cast("long"))
+    counts = docs if counts is None else counts
+    leaves = leaf_budgets(counts, options).withColumn("_epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + F.lit(1e-9))).otherwise(0).cast("long"))
     leaves = leaves.withColumn("_rest", F.greatest(F.lit(0.0), F.col("budget") - F.col("_epochs") * F.col("tokens")))
     leaves = leaves.withColumn("_ranges", F.greatest(F.lit(1), F.ceil(F.col("rows") / options.rows_per_range)).cast("long"))
     leaves = leaves.select(*[F.col(n).alias(f"_{n}") for n in options.levels], "_epochs", "_rest", "_ranges")
     same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in options.levels]
     # One row per source: these sides are sent to all tasks only where their number allows it.
     sources = leaves.count()
-    placed = docs.join(broadcast_if_small(leaves, sources, 96), same).withColumn("_hash", F.xxhash64(F.lit(options.seed), F.col("_epochs"), F.col("doc_id")))
-    placed = placed.withColumn("_range", F.floor((F.shiftrightunsigned("_hash", 1) / F.lit(float(1 << 63))) * F.col("_ranges")).cast("long"))
+
+    def place(rows: DataFrame) -> DataFrame:
+        hashed = rows.join(broadcast_if_small(leaves, sources, 96), same).withColumn("_hash", F.xxhash64(F.lit(options.seed), F.col("_epochs"), F.col("doc_id")))
+        return hashed.withColumn("_range", F.floor((F.shiftrightunsigned("_hash", 1) / F.lit(float(1 << 63))) * F.col("_ranges")).cast("long"))
+
+    placed = place(counts)
     leaf = [f"_{n}" for n in options.levels]
     sums = placed.groupBy(*leaf, "_range", "_rest").agg(F.sum("n_tokens").alias("_sum"))
     upto = F.sum("_sum").over(Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
@@ -126,7 +134,7 @@ def choose(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     at_end = [F.col(n).eqNullSafe(F.col(f"{n}_e")) for n in leaf]
     key = F.struct(F.shiftrightunsigned("_hash", 1).alias("_at"), F.col("doc_id").alias("_id"))
     partial = F.when(F.col("_rest") > 0, F.coalesce((key <= F.col("_end")).cast("int"), F.lit(0))).otherwise(0)
-    taken = placed.join(broadcast_if_small(ends, sources, 96), at_end, "left").withColumn("copies", (F.col("_epochs") + partial).cast("int"))
+    taken = place(docs).join(broadcast_if_small(ends, sources, 96), at_end, "left").withColumn("copies", (F.col("_epochs") + partial).cast("int"))
     return taken.where(F.col("copies") > 0).select(*keep, "copies")
 
 
@@ -137,6 +145,7 @@ def mix(docs: DataFrame, options: MixOptions, domain: Column | None = None) -> D
     base = docs.select(*[F.col(n).alias(rename[n]) for n in names], *[F.col(n) for n in names if n == "doc_id" or n in options.levels])
     if domain is not None:
         base = base.withColumn("domain", domain)
-    base = base.withColumn("n_tokens", word_tokens(F.col(rename["text"])))
-    chosen = choose(base, options)
+    # Tokens are counted once for all steps; only the last step reads the texts again.
+    counts = written(base.select("doc_id", *options.levels, word_tokens(F.col(rename["text"])).alias("n_tokens")), "mix-counts")
+    chosen = choose(base, options, counts)
     return chosen.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(rename[n]).alias(n) for n in names])

@@ -44,6 +44,8 @@ STAND_INS = "example|sample|dummy|placeholder|changeme|your.?|xxxx|test"
 TAME_PATHS = "test|example|sample|doc|spec|fixture|mock"
 ASSIGNED = r"[^\s\"'`,;<>()\[\]{}]"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+# Stands between a text and its candidates while both are one string.
+CUT = "\ue0f7"
 
 
 @dataclass(frozen=True)
@@ -103,7 +105,8 @@ def learn_language(docs: DataFrame, options: ScanOptions = ScanOptions()) -> Lan
 def _pattern(options: ScanOptions) -> str:
     # An assigned value is looked for only where a sign of assignment stands before; the name is checked there.
     named = rf"(?<=(?i:{NAMES})[\"'`\w]{{0,12}}\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}[\"'`]?)"
-    assigned = rf"(?<=[:=>]\s{{0,3}}[\"'`]?){named}{ASSIGNED}{{{options.least_assigned},200}}"
+    # One character before tells at most places of a text that none does.
+    assigned = rf"(?<=[:=>\s\"'`])(?<=[:=>]\s{{0,3}}[\"'`]?){named}{ASSIGNED}{{{options.least_assigned},200}}"
     return f"{assigned}|(?<![{RUN}])[{RUN}]{{{options.least_length},}}+={{0,2}}"
 
 
@@ -160,10 +163,19 @@ def features(value: Column, before: Column, after: Column, path: Column, languag
     ]
 
 
-def _items(text: Column, options: ScanOptions) -> tuple[Column, Column]:
+def _pieces(text: Column, options: ScanOptions) -> Column:
+    """The text cut at its candidates: text, candidate, text and so on, one text more than candidates. One pass of the pattern."""
+    whole, pattern = F.coalesce(text, F.lit("")), F.lit(_pattern(options))
+    marked = F.split(F.regexp_replace(whole, pattern, F.lit(f"{CUT}$0{CUT}")), CUT, -1)
+    # A text that holds the sign itself takes two passes.
+    found, between = F.regexp_extract_all(whole, pattern, F.lit(0)), F.split(whole, _pattern(options), -1)
+    paired = F.flatten(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, v: F.array(b, v)))
+    return F.when(F.contains(whole, F.lit(CUT)), F.concat(paired, F.array(F.element_at(between, -1)))).otherwise(marked)
+
+
+def _items(pieces: Column) -> tuple[Column, Column]:
     """The candidates, and the texts around them (one more than candidates)."""
-    whole = F.coalesce(text, F.lit(""))
-    return F.regexp_extract_all(whole, F.lit(_pattern(options)), F.lit(0)), F.split(whole, _pattern(options), -1)
+    return F.filter(pieces, lambda _, i: i % 2 == 1), F.filter(pieces, lambda _, i: i % 2 == 0)
 
 
 def _in_context(found: Column, between: Column, options: ScanOptions) -> Column:
@@ -187,8 +199,10 @@ def _in_context(found: Column, between: Column, options: ScanOptions) -> Column:
 def candidates(docs: DataFrame, options: ScanOptions = ScanOptions(), path_col: str = "source") -> DataFrame:
     """doc_id, path, start (characters before it), value, before, after: one row per candidate."""
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
-    found, between = _items(F.col("text").cast("string"), options)
-    cut = docs.select("doc_id", path.alias("path"), found.alias("found"), between.alias("between")).where(F.size("found") > 0)
+    found, between = _items(F.col("pieces"))
+    # Texts without candidates give no rows below; a filter here would find the candidates once more.
+    cut = docs.select("doc_id", path.alias("path"), _pieces(F.col("text").cast("string"), options).alias("pieces"))
+    cut = cut.select("doc_id", "path", found.alias("found"), between.alias("between"))
     lengths = F.zip_with("found", "between", lambda v, b: F.length(v) + F.length(b))
     # Ends of the candidates so far; each starts its own length before its end.
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
@@ -351,9 +365,10 @@ def scan(docs: DataFrame, forest: Forest, path_col: str = "source") -> DataFrame
 def redact(docs: DataFrame, forest: Forest, path_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """The documents with their own columns; secrets in `text` become the mark. Row-local, no shuffle."""
     options, names = forest.options, docs.columns
-    found, between = _items(F.col("text").cast("string"), options)
+    found, between = _items(F.col("_pieces"))
     path = F.col(path_col).cast("string") if path_col in names else F.lit(None).cast("string")
-    held = docs.select(*names, found.alias("_found"), between.alias("_between"), path.alias("_path"))
+    held = docs.select(*names, _pieces(F.col("text").cast("string"), options).alias("_pieces"), path.alias("_path"))
+    held = held.select(*names, found.alias("_found"), between.alias("_between"), "_path")
 
     def replaced(item: Column) -> Column:
         value = item["value"]
